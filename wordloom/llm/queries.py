@@ -17,11 +17,27 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_mixing": op4_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from wordloom.llm import mixing
+
+    return {"op4_mixing": mixing.SQL}
