@@ -37,16 +37,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from wordloom.llm import mixing
+    from wordloom.llm import mixing, warc
 
-    return {"op4_mixing": mixing.SQL}
+    return {"op4_mixing": mixing.SQL, "op10_warc": warc.SQL}
