@@ -231,7 +231,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
     copies = pages.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies"))
-    heads = copies.where("copies > 1 and head is not null").select("digest", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    heads = copies.where("copies > 1 and head is not null").select("digest", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     joined = pages.withColumn("salt", salt.cast("long")).join(X.settle(heads), ["digest", "salt"], "left")
     return joined.select("page_id", "url", "html", "digest", "n", F.when(F.col("page_id").isNull() | (F.col("head") != F.col("page_id")), F.col("head")).alias("refers_to"))
 
@@ -257,7 +257,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
 SQL = """
 WITH sized AS (
-  SELECT page_id, CAST(octet_length(CAST(coalesce(html, '') AS BLOB)) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
   FROM pages
 ), heads AS (
   SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS head FROM sized
