@@ -37,12 +37,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.html_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.warc import archive_pages
 
@@ -55,7 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
+        "op6_toxicity": op6_toxicity,
         "op7_html_text": op7_html_text,
+        "op8_language_id": op8_language_id,
         "op10_warc": op10_warc,
     }
 
