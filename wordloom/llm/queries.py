@@ -17,6 +17,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.substring_dedup import dedup_substrings
 
@@ -55,6 +61,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.warc import archive_pages
 
@@ -64,17 +76,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_topk_search": op2_topk_search,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_toxicity": op6_toxicity,
         "op7_html_text": op7_html_text,
         "op8_language_id": op8_language_id,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from wordloom.llm import mixing, warc
+    from wordloom.llm import mixing, topk_search, warc
 
-    return {"op4_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op2_topk_search": topk_search.SQL, "op4_mixing": mixing.SQL, "op10_warc": warc.SQL}
