@@ -17,8 +17,11 @@ Method: set-relation skipping over prefix index lists.
    component need no comparison among themselves. What remains are members of
    one list in different components. Jaccard distance is a metric, so a pair
    whose distances to a common hub differ by more than 1 - t is skipped, as are
-   pairs whose positions leave too small an overlap; all others are compared
-   exactly. No link between different components is lost.
+   pairs whose positions leave too small an overlap, and pairs whose parity
+   bitmaps differ in more bits than the sets may differ in shingles (each bit is
+   the parity of the shingles hashed to it, so that bits that differ are at most
+   the symmetric difference); all others are compared exactly. No link between
+   different components is lost.
 
 Defined results: a null text, or one without words, has an empty set, links
 with nothing and is its own component. A text with fewer words than a shingle
@@ -44,7 +47,7 @@ from wordloom.llm import textblocks as T
 SHINGLE_WORDS = 5
 THRESHOLD = Fraction(4, 5)
 
-_CHUNK_SCHEMA = "doc_id long, n_shingles long, local_rep long, f1 long, f2 long, tokens array<long>, places array<int>, shingles binary"
+_CHUNK_SCHEMA = "doc_id long, n_shingles long, local_rep long, f1 long, f2 long, tokens array<long>, places array<int>, bits array<long>, shingles binary"
 
 
 def _document_sets(table: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -115,7 +118,7 @@ def _indexed(k: int, t: Fraction):
         classes = np.concatenate([*blobs, np.zeros(0, np.uint8)])
         lengths = np.array([len(s) for s in sets], dtype=np.int64)
         place = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
-        columns: dict[str, list] = {name: [] for name in ("local_rep", "f1", "f2", "tokens", "places", "shingles")}
+        columns: dict[str, list] = {name: [] for name in ("local_rep", "f1", "f2", "tokens", "places", "bits", "shingles")}
         seen: dict[tuple, int] = {}
         end = 0
         for doc_id, own in zip(ids.tolist(), sets, strict=True):
@@ -127,15 +130,17 @@ def _indexed(k: int, t: Fraction):
             columns["local_rep"].append(rep)
             columns["f1"].append(print_[1] if first else None)
             columns["f2"].append(print_[2] if first else None)
-            tokens = places = blob = None
+            tokens = places = bits = blob = None
             if first:
                 ranks = classes[place[start:end]]
                 prefix = np.argsort(ranks, kind="stable")[: _prefix_length(len(own), t)]  # hashes ascend already
                 at = np.flatnonzero(ranks[prefix])
                 if len(at):
                     tokens, places, blob = own[prefix[at]].view(np.int64), at.astype(np.int32), X.pack_sorted(own)
+                    bits = np.packbits((np.bincount(own >> np.uint64(56), minlength=256) & 1).astype(bool)).view(np.int64)
             columns["tokens"].append(tokens)
             columns["places"].append(places)
+            columns["bits"].append(bits)
             columns["shingles"].append(blob)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()),
@@ -145,6 +150,7 @@ def _indexed(k: int, t: Fraction):
             "f2": pa.array(columns["f2"], pa.int64()),
             "tokens": pa.array(columns["tokens"], pa.list_(pa.int64())),
             "places": pa.array(columns["places"], pa.list_(pa.int32())),
+            "bits": pa.array(columns["bits"], pa.list_(pa.int64())),
             "shingles": pa.array(columns["shingles"], pa.binary()),
         })
 
@@ -198,7 +204,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     local = rows.where("f1 is not null").select("local_rep", "n_shingles", "f1", "f2")
     whole = local.groupBy("n_shingles", "f1", "f2").agg(F.min("local_rep").alias("rep"))
     reps = X.settle(local.join(whole, ["n_shingles", "f1", "f2"]).select("local_rep", "rep"))
-    sets = rows.where("shingles is not null").join(reps.where("local_rep = rep").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "tokens", "places", "shingles")
+    sets = rows.where("shingles is not null").join(reps.where("local_rep = rep").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "tokens", "places", "bits", "shingles")
 
     block = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(float(1 / t)))).cast("int")
     lists = sets.select("doc_id", F.col("n_shingles").alias("n"), block.alias("block"), F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("doc_id", "n", "block", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
@@ -218,9 +224,13 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     distance = first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("far"))
     distance = distance.union(distance.select("hub", "doc_id", "far"))
     mixed = named.join(main, "token").join(hubs, ["token", "block"]).join(distance, ["doc_id", "hub"], "left").withColumn("far", F.when(F.col("doc_id") == F.col("hub"), 0.0).otherwise(F.col("far")))
-    mixed = X.settle(mixed.select("token", "doc_id", "n", "block", "place", "component", "main", "hub", "far"))
-    x = mixed.where("component <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "block", "place", "component", "hub", "far")))
-    y = mixed.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "block", "place", "component", "hub", "far")))
+    parity = [f"bits{i}" for i in range(4)]
+    mixed = mixed.join(sets.select("doc_id", *(F.element_at("bits", i + 1).alias(c) for i, c in enumerate(parity))), "doc_id")
+    kept = ["doc_id", "n", "block", "place", "component", "hub", "far", *parity]
+    mixed = X.settle(mixed.select("token", "main", *kept))
+    x = mixed.where("component <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in kept))
+    y = mixed.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in kept))
+    unlike = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in parity), F.lit(0))
     near = (
         (F.col("x_component") != F.col("y_component"))
         & ((F.col("y_component") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id")))
@@ -228,11 +238,13 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
         & (F.least("x_n", "y_n") * t.denominator >= F.greatest("x_n", "y_n") * t.numerator)
         # the first shingle that both hold: what stands before it in either is in only one of them
         & ((F.col("x_place") + F.col("y_place")) * (t.denominator + t.numerator) <= (F.col("x_n") + F.col("y_n")) * (t.denominator - t.numerator))
+        & (unlike * (t.denominator + t.numerator) <= (F.col("x_n") + F.col("y_n")) * (t.denominator - t.numerator))
         & ((F.col("x_hub") != F.col("y_hub")) | (F.abs(F.col("x_far") - F.col("y_far")) <= float(1 - t) + 1e-9))
     )
     rest = x.join(y, "token").where(near).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = _links(_compared(rest, sets), t)
+    rest = _compared(rest, sets)
+    more = _links(rest, t)
     bridges = more.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     over = X.components(bridges)
     final = known.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component_id"))
