@@ -65,9 +65,9 @@ class _Chunk:
         table = table.combine_chunks()
         ids = np.array([2**63 - 1 if i is None else i for i in table.column("doc_id").to_pylist()], dtype=np.int64)
         order = np.argsort(ids, kind="stable")
-        self.ids = table.column("doc_id").take(pa.array(order)) if table.num_rows else table.column("doc_id")
-        texts = table.column("text").take(pa.array(order)).combine_chunks() if table.num_rows else pa.array([], pa.string())
-        self.data, self.offsets = T.buffers(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts)
+        self.rows = table.take(pa.array(order))
+        texts = self.rows.column("text").combine_chunks()
+        self.data, self.offsets = T.buffers(texts)
         rank = np.unique(ids[order], return_inverse=True)[1]
         self.k, self.pieces = k, []
         edges, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -136,7 +136,7 @@ def _paths(gone: np.ndarray, begins: np.ndarray, words: int, k: int) -> np.ndarr
     return np.cumsum(cover[:-1]) > 0
 
 
-def _cut(k: int, with_text: bool):
+def _cut(k: int, carry: tuple[str, ...] | None):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = _Chunk(docs, k)
         rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("hash_range", "repeats", "n")), strict=True))
@@ -168,21 +168,26 @@ def _cut(k: int, with_text: bool):
                 n_words.append(int(counts[i + 1] - counts[i]))
                 n_removed.append(n_words[-1] - int(kept_counts[i + 1] - kept_counts[i]))
                 digests.append(hashlib.sha256(text).hexdigest())
-                if with_text:
+                if carry is not None:
                     texts.append(text.decode())
-        out = {"doc_id": pa.array(chunk.ids.to_pylist(), pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+        out = {"doc_id": chunk.rows.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        if carry is not None:
+            out |= {"text": pa.array(texts, pa.string())} | {c: chunk.rows.column(c) for c in carry}
+        return pa.table(out)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for each row of docs(doc_id, text)."""
+def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text); with `carry`, also the kept text and those columns."""
     k = window_words
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in (carry or ())}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
     chunks = X.chunk_count(X.text_bytes(docs))
     dealt = docs.withColumn("chunk", range_chunk(docs, chunks))
     requests = dealt.groupBy("chunk").applyInArrow(_request(chunks, k), "chunk int, hash_range int, edges binary")
     replies = requests.groupBy("hash_range").applyInArrow(_reply, "chunk int, hash_range int, repeats binary, n int")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(k, with_text), schema)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    if carry is not None:
+        schema += ", text string" + "".join(f", `{c}` {others[c]}" for c in carry)
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(k, carry), schema)
