@@ -1,15 +1,302 @@
-"""The registered queries of the spelling and terminology operators, with their SQL counterparts."""
+"""The registered queries of the spelling and terminology operators, with their SQL counterparts.
+
+Each query runs over its whole tables. Inputs that the tables lack (typos,
+directives, Markdown, manifests) are derived from them, or are small fixtures,
+in the same way on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom import fixtures
+from wordloom.functions import text as T
+from wordloom.functions.distance import alignment_distance
+from wordloom.lists import COMMON_WORDS, words_table
+from wordloom.operators import check as C
+from wordloom.operators import lint, preprocess, report, rewrite, vocab
+from wordloom.operators import suggest as S
+from wordloom.operators.markdown import blanked, strip_inline
+from wordloom.plans.check import Checked, Options, check, frequent_words
+from wordloom.sources import wordlists
+from wordloom.sql import SQL
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _joined(values: Column | str) -> Column:
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), ",")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return frequent_words(preprocess.tokens(docs), docs)
+
+
+def _typo(word: Column) -> Column:
+    """Second and third characters swapped."""
+    return F.concat(F.substring(word, 1, 1), F.substring(word, 3, 1), F.substring(word, 2, 1), F.expr("substring(word, 4)"))
+
+
+def _typos(lexicon: DataFrame) -> DataFrame:
+    """(word): typos of all lexicon words of at least four letters that are no words themselves."""
+    made = lexicon.where((F.length("word") >= 4) & T.is_suggestable(F.col("word"))).select(_typo(F.col("word")).alias("word")).distinct()
+    return made.join(lexicon, "word", "left_anti")
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> Checked:
+    return check(_docs(spark, sf_dir), Options(_lexicon(spark, sf_dir)))
+
+
+def q01_misspelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = C.occurrences(preprocess.tokens(docs), C.valid_words(_lexicon(spark, sf_dir)))
+    return C.misspellings(found).select("doc_id", "word", F.col("n").cast("long").alias("n"), F.size("lines").cast("long").alias("n_lines"), _joined("lines").alias("lines"))
+
+
+def q02_token_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    split = preprocess.tokens(docs).join(docs.select("doc_id", "lang"), "doc_id").withColumn("clean", T.clean_word(F.col("token")))
+    return split.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.sum(F.length("clean")).cast("long").alias("clean_chars"), F.count_distinct("clean").alias("distinct_clean"), F.sum("line").cast("long").alias("line_sum"))
+
+
+def q03_noise_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = _table(spark, sf_dir, "pages").select(F.lit("url").alias("kind"), F.col("page_id").alias("id"), F.lit(1).alias("line"), F.col("url").alias("value"))
+    texts = preprocess.lines(_docs(spark, sf_dir)).select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), "line", "value")
+    both = urls.union(texts).withColumn("kept", _joined(T.tokens(T.strip_noise(F.col("value")))))
+    return both.where(F.col("kept") != _joined(T.tokens(F.col("value")))).select("kind", "id", "line", "kept")
+
+
+def _with_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*(F.lit(f"spellcheck:{k} ") for k in ("off", "disable-next-line", "on", "disable-line")))
+    value = F.transform(F.split("text", "\n", -1), lambda v, i: F.concat(F.when((i + 1) % 4 == 2, F.element_at(kinds, (F.floor((i + 1) / 4) % 4 + 1).cast("int"))).otherwise(""), v))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(value, "\n").alias("text"))
+
+
+def q04_directive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = preprocess.checked_lines(_with_directives(spark, sf_dir))
+    return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.length("value").cast("long").alias("chars"))
+
+
+def q05_markdown_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.operators.markdown import blank_markdown
+
+    docs = blank_markdown(spark.createDataFrame(fixtures.MARKDOWN, "doc_id long, text string"))
+    return preprocess.lines(docs).select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
+
+
+def q06_html_comment_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n", -1)).alias("line", "value"))
+    return split.select("page_id", (F.col("line") + 1).cast("long").alias("line"), F.md5(strip_inline(F.col("value")).cast("binary")).alias("kept_md5"))
+
+
+def _compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token) in camel, snake, kebab, dotted and acronym form, from neighbouring tokens of the documents."""
+    split = preprocess.tokens(_docs(spark, sf_dir)).select("doc_id", "line", "pos", T.clean_word(F.col("token")).alias("w")).where("w <> ''")
+    after = split.select("doc_id", "line", (F.col("pos") - 1).alias("pos"), F.col("w").alias("v"))
+    pairs = split.join(after, ["doc_id", "line", "pos"]).select("w", "v").distinct()
+    capital = F.concat(F.upper(F.substring("v", 1, 1)), F.expr("substring(v, 2)"))
+    made = F.array(F.concat("w", capital), F.concat_ws("_", "w", "v"), F.concat_ws("-", "w", "v"), F.concat_ws(".", "w", "v"), F.concat(F.upper("w"), capital))
+    return pairs.select(F.explode(made).alias("token")).distinct()
+
+
+def q07_identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compounds(spark, sf_dir).select("token", F.array_join(T.split_identifiers(F.col("token")), " ").alias("parts"))
+
+
+def q08_dotted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = C.invalid_parts(_compounds(spark, sf_dir), C.valid_words(_lexicon(spark, sf_dir)))
+    return bad.select("token", F.col("part_pos").cast("long").alias("part_pos"), "word")
+
+
+def q09_ignore_extra_minlen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = C.valid_words(words_table(spark, COMMON_WORDS), spark.createDataFrame([(w,) for w in T_EXTRA], "word string"), spark.createDataFrame([(w,) for w in T_IGNORED], "word string"))
+    found = C.occurrences(preprocess.tokens(_docs(spark, sf_dir)), valid, 5)
+    return found.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+T_EXTRA = ["Thing", "heed", "queaux", "sich"]
+T_IGNORED = ["EINE", "ment"]
+
+
+def q10_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = S.deletion_index(_lexicon(spark, sf_dir))
+    return index.groupBy("deletion").agg(F.count("*").alias("n"), F.min("candidate").alias("first_candidate"))
+
+
+def q11_osa_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.createDataFrame(fixtures.WORD_PAIRS, "a string, b string")
+    made = _lexicon(spark, sf_dir).where(F.length("word") >= 4).select(_typo(F.col("word")).alias("a"), F.col("word").alias("b"))
+    return fixed.union(made).distinct().select("a", "b", alignment_distance(F.col("a"), F.col("b"), 2).cast("long").alias("distance"))
+
+
+def q12_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = _lexicon(spark, sf_dir)
+    return S.scored(S.candidates(_typos(lexicon), S.deletion_index(lexicon)), lexicon).select("query", "candidate", F.col("distance").cast("long").alias("distance"))
+
+
+def q13_suggest_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions for every misspelt word of the documents."""
+    lexicon = _lexicon(spark, sf_dir)
+    words = C.occurrences(preprocess.tokens(_docs(spark, sf_dir)), C.valid_words(lexicon)).select("word").distinct()
+    best = S.suggestions(words, lexicon, words_table(spark, COMMON_WORDS), lexicon)
+    return best.select("query", _joined("suggestions").alias("suggestions"), F.col("top_distance").cast("long").alias("top_distance"))
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = _lexicon(spark, sf_dir)
+    typos = _typos(lexicon)
+    best = S.suggestions(typos, lexicon, words_table(spark, COMMON_WORDS), lexicon)
+    lines = typos.where(F.length("word") % 2 == 0).select(F.length("word").alias("line_no"), F.concat("word", F.lit(" = Fixed-"), "word", F.lit(" # learned")).alias("value"))
+    return S.with_learned(typos, best, wordlists.corrections(lines))
+
+
+def q14_learned_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir).select("word", _joined("suggestions").alias("suggestions"), F.col("top_distance").cast("long").alias("top_distance"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the documents and of the terminology fixtures, whose ids are below zero."""
+    texts = spark.createDataFrame(fixtures.TERMS, "doc_id long, text string")
+    return preprocess.tokens(_docs(spark, sf_dir).select("doc_id", "text").union(texts))
+
+
+def q15_brand_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lint.casing_findings(_terms(spark, sf_dir))
+    return found.select("doc_id", "form", "recommendation", F.col("n").cast("long").alias("n"), _joined("lines").alias("lines"))
+
+
+def q16_separator_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = lint.variants(_terms(spark, sf_dir))
+    return each.select("doc_id", F.col("key").alias("group_key"), "form", F.col("n").cast("long").alias("n"), _joined("lines").alias("lines"), F.col("place").cast("long").alias("place"))
+
+
+def q17_findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lint.findings(_terms(spark, sf_dir))
+    return found.select("doc_id", F.col("place").cast("long").alias("place"), "kind", "recommendation", F.array_join(F.transform("forms", lambda f: f["form"]), ",").alias("forms"), _joined("lines").alias("lines"))
+
+
+def q18_identifier_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _docs(spark, sf_dir).select(F.col("text").alias("content")).union(_table(spark, sf_dir, "conversations").select("text"))
+    counted = vocab.identifier_words(texts).groupBy("word").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= 3)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, length, content): one made-up source file per document, named after its first words, and the manifest fixtures."""
+    words = F.filter(F.split(T.trim(F.col("text")), rf"{T.SPACE}+"), lambda w: w != "")
+    folder = F.element_at(F.array(*(F.lit(f) for f in ("src", "lib/node_modules", ".cache", "docs", "Build"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    ending = F.element_at(F.array(*(F.lit(e) for e in (".ts", ".py", ".jsx", ".min.js", ".md", ".bin", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
+    name = F.regexp_replace(F.array_join(F.slice(words, 1, 3), "-"), "/", "_")
+    made = _docs(spark, sf_dir).select(F.concat(folder, F.lit("/"), name, ending).alias("path"), F.length("text").cast("long").alias("length"), F.col("text").alias("content"))
+    fixed = spark.createDataFrame([(p, len(c), c) for p, c in fixtures.FILES], "path string, length long, content string")
+    return made.union(fixed)
+
+
+def q19_filename_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = vocab.classified(vocab.wanted_files(_paths(spark, sf_dir))).where("role = 'source'")
+    return vocab.file_name_words(seen).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def q20_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("event_id", F.explode(vocab.json_keys("props")).alias("json_key"))
+    keys = events.groupBy("json_key").agg(F.count("*").alias("n"), F.sum("event_id").cast("long").alias("event_id_sum"))
+    files = spark.createDataFrame(fixtures.FILES, "path string, content string").where("path like '%package.json'")
+    phrases = vocab.package_json_phrases(files).select(F.concat_ws(":", "path", "phrase").alias("json_key"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("event_id_sum"))
+    return keys.union(phrases)
+
+
+def q21_toml_gomod_reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame(fixtures.FILES, "path string, content string")
+    return vocab.manifest_words(files)
+
+
+def q22_vocab_union_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, stats = vocab.harvest(_paths(spark, sf_dir))
+    return words.agg(F.count("*").alias("words"), F.md5(F.array_join(F.array_sort(F.collect_set("word")), ",").cast("binary")).alias("words_md5")).crossJoin(stats)  # one row each
+
+
+def q23_wordlist_load_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = wordlists.wordlist(spark.createDataFrame([(v,) for v in fixtures.WORDLIST], "value string"))
+    names = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(spark.createDataFrame([("ALPHA",), ("beta",), ("alpha",)], "word string"))
+    return wordlists.new_words(names, existing).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def q24_corrections_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = wordlists.corrections(spark.createDataFrame(list(enumerate(fixtures.CORRECTIONS)), "line_no int, value string"))
+    names = _table(spark, sf_dir, "nation").select(F.lower("n_name").alias("typo"), F.initcap("n_name").alias("fix"))
+    pairs = names.union(spark.createDataFrame(fixtures.NEW_PAIRS, "typo string, fix string"))
+    return wordlists.new_corrections(pairs, existing)
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Checked]:
+    """Documents whose third word of each line has a typo, checked against the untouched documents' lexicon."""
+    spoil = F.regexp_replace("text", r"(?m)^([^ \n]+ [^ \n]+ [A-Za-z])([a-z])([a-z])([a-z]+ )", "$1$3$2$4")
+    docs = _docs(spark, sf_dir).select("doc_id", spoil.alias("text"))
+    return docs, check(docs, Options(_lexicon(spark, sf_dir)))
+
+
+def q25_fix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found = _typed(spark, sf_dir)
+    fixed = rewrite.fixes(docs, found.occurrences, found.suggested)
+    return fixed.select("doc_id", F.col("line").cast("long").alias("line"), F.md5(F.col("old_line").cast("binary")).alias("old_md5"), F.md5(F.col("new_line").cast("binary")).alias("new_md5"))
+
+
+def q26_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame(fixtures.FIXABLE, "doc_id long, text string")
+    lexicon = spark.createDataFrame([(w,) for w in fixtures.LEXICON], "word string")
+    found = check(docs, Options(lexicon))
+    hunks = rewrite.diff(rewrite.fixes(docs, found.occurrences, found.suggested))
+    return hunks.select("doc_id", F.col("line").cast("long").alias("line"), "hunk")
+
+
+def q27_learned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _checked(spark, sf_dir)
+    return rewrite.learned_pairs(found.occurrences, found.suggested)
+
+
+def q28_unfixable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _checked(spark, sf_dir)
+    return rewrite.unfixable(found.occurrences, found.suggested).select("doc_id", F.col("place").cast("long").alias("place"), "word")
+
+
+def q29_agent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _checked(spark, sf_dir)
+    return report.tasks(found.misspelt, found.findings).select("doc_id", F.col("n").cast("long").alias("n"), F.col("confidence").cast("long").alias("confidence"), F.col("line").cast("long").alias("line"), "text")
+
+
+def q30_text_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _checked(spark, sf_dir)
+    lines = report.text_report(found.misspelt, found.findings)
+    return lines.select("doc_id", F.col("section").cast("long").alias("section"), F.col("place").cast("long").alias("place"), "report_line")
+
+
+def q31_generate_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = C.occurrences(preprocess.tokens(_docs(spark, sf_dir)), C.valid_words(_lexicon(spark, sf_dir)))
+    existing = wordlists.wordlist(spark.createDataFrame([(v,) for v in fixtures.WORDLIST], "value string"))
+    return wordlists.new_words(found.select("word").distinct(), existing).select("word")
+
+
+def q32_path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = vocab.classified(vocab.wanted_files(_paths(spark, sf_dir)))
+    return seen.select("path", "extension", "role", T.is_markdown_path(F.col("path")).alias("markdown"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["blanked", "oracle_sql", "queries"]
