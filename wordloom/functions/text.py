@@ -84,7 +84,7 @@ def file_name(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """The last dot and what follows, lower-cased; a leading dot alone is no extension."""
-    return F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)\z", 1))
+    return F.lower(F.regexp_extract(name, r".(\.[^.]*)\z", 1))
 
 
 def is_markdown_path(path: Column) -> Column:

@@ -150,7 +150,7 @@ wanted AS (SELECT path, length, content, s[-1] AS name, lower(s[-1]) AS low FROM
   WHERE len(list_filter(s[1:-2], lambda d: starts_with(d, '.') OR list_contains([{', '.join(map(_text, SKIP_DIRS))}], lower(d)))) = 0
     AND NOT starts_with(s[-1], '.') AND NOT contains(lower(s[-1]), 'lock') AND NOT (ends_with(lower(s[-1]), '.map') OR ends_with(lower(s[-1]), '.min.js') OR ends_with(lower(s[-1]), '.min.css'))),
 classified AS MATERIALIZED (SELECT *, CASE WHEN low IN ({', '.join(map(_text, MANIFESTS))}) THEN 'manifest' WHEN extension IN ({', '.join(map(_text, SOURCE_EXTENSIONS))}) THEN 'source' ELSE 'other' END AS role,
-  left(name, length(name) - length(extension)) AS stem FROM (SELECT *, lower(regexp_extract(name, '[^.](\\.[^.]*)$', 1)) AS extension FROM wanted))"""
+  left(name, length(name) - length(extension)) AS stem FROM (SELECT *, lower(regexp_extract(name, '.(\\.[^.]*)$', 1)) AS extension FROM wanted))"""
 COUNTED = f"""ident AS (SELECT lower(unnest({PARTS.format('name')})) AS word FROM (SELECT unnest({IDENTIFIERS}) AS name FROM {{source}})),
 stem_words AS (SELECT lower(unnest(regexp_split_to_array(stem, '[^a-zA-Z]+'))) AS word FROM classified WHERE role = 'source')"""
 
