@@ -16,8 +16,10 @@ Method: one interpolated Kneser-Ney model of characters per language.
    text. The language with the lowest cross-entropy per character wins. The score
    is the softmax of the mean log-probabilities, scaled by the root of the length.
 4. Rejection is calibrated on training documents: a text is rejected if it has no
-   letter, or its best cross-entropy exceeds REJECT_FACTOR times the largest that
-   the language's own training texts have.
+   letter, or if it has at least LEAST_SYMBOLS symbols and its best cross-entropy
+   exceeds REJECT_FACTOR times the largest that the language's own training texts
+   of that length have, by a margin that narrows with the root of its length. A
+   shorter text says too little to be turned away.
 
 Letters are lower-cased, runs of white space are one space, digits are one
 symbol. Whole texts are scored.
@@ -48,6 +50,7 @@ TRAIN_DOCS = 400
 DOC_CHARS = 20_000
 MOST_LANGUAGES = 1000
 REJECT_FACTOR = 1.5
+LEAST_SYMBOLS = 20
 _SYMBOLS = 21  # bits of a code point
 
 
@@ -184,7 +187,7 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     model = Model(languages, hashes, probs, contexts, backoff, np.full(n_languages, np.inf), np.log(floor))
     limits = []
     for i, language in enumerate(languages):
-        means = [-sums[i] / max(1, n) for sums, n in score(model, texts[language]) if n >= 20]
+        means = [-sums[i] / max(1, n) for sums, n in score(model, texts[language]) if n >= LEAST_SYMBOLS]
         limits.append(max(means, default=np.inf) * REJECT_FACTOR)
     model.limits = np.array(limits)
     return model
@@ -281,7 +284,7 @@ def _predict(shared, carry: list[str]):
                 best[i] = model.languages[top]
                 scores[i] = float(1 / np.exp((means - means[top]) * np.sqrt(n)).sum())
                 entropy[i] = float(-means[top])
-                reject[i] = bool(entropy[i] > model.limits[top])
+                reject[i] = bool(n >= LEAST_SYMBOLS and entropy[i] > model.limits[top] * (1 + n**-0.5))
             columns = [batch.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(entropy, pa.float64()), pa.array(reject, pa.bool_())], [*carry, "lang_pred", "score", "cross_entropy", "rejected"])
 
