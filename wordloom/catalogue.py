@@ -222,7 +222,11 @@ def q21_toml_gomod_reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q22_vocab_union_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, stats = vocab.harvest(_paths(spark, sf_dir))
-    return words.agg(F.count("*").alias("words"), F.md5(F.array_join(F.array_sort(F.collect_set("word")), ",").cast("binary")).alias("words_md5")).crossJoin(stats)  # one row each
+    own = words.agg(F.count("*").alias("words"), F.md5(F.array_join(F.array_sort(F.collect_set("word")), ",").cast("binary")).alias("words_md5"))
+    names = ["words", "words_md5", *stats.columns]
+    both = own.unionByName(stats, allowMissingColumns=True)
+    return both.agg(*(F.max(n).alias(n) for n in names))
+
 
 
 def q23_wordlist_load_append(spark: SparkSession, sf_dir: str) -> DataFrame:

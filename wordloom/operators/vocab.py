@@ -132,8 +132,11 @@ def harvest(files: DataFrame, max_files: int | None = None, min_count: int = MIN
     read = seen.where(F.col("length") <= lists.MAX_FILE_BYTES)
     trusted = manifest_words(read.where("role = 'manifest'"))
     counted = counted_words(read.where("role = 'source'"), min_count).select("word")
-    stats = seen.agg(F.count("*").alias("files_scanned")).crossJoin(trusted.agg(F.count("*").alias("manifest_words"))).crossJoin(counted.agg(F.count("*").alias("counted_words")))
-    return trusted.union(counted).distinct(), stats.select(*(F.col(c).cast("long").alias(c) for c in ("manifest_words", "counted_words", "files_scanned")))
+    names = ("manifest_words", "counted_words", "files_scanned")
+    parts = [rows.agg(*(F.count("*").alias(n) if n == own else F.lit(0).cast("long").alias(n) for n in names)) for own, rows in zip(names, (trusted, counted, seen), strict=True)]
+    stats = parts[0].union(parts[1]).union(parts[2]).agg(*(F.sum(n).alias(n) for n in names))
+    return trusted.union(counted).distinct(), stats
+
 
 
 def json_keys(column: str) -> Column:
