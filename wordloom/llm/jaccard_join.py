@@ -267,3 +267,20 @@ def _sizes(k: int):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(n, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "component_id": pa.nulls(n, pa.int64())})
 
     return run
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM d
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links
+), reached AS (SELECT doc_id AS node, doc_id AS top FROM documents UNION SELECT v, top FROM reached JOIN edges ON u = node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, t.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(top) AS component_id FROM reached GROUP BY node) t ON t.node = d.doc_id
+"""

@@ -89,6 +89,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from wordloom.llm import mixing, topk_search, warc
+    from wordloom.llm import embedding_dedup, jaccard_join, mixing, substring_dedup, topk_search, warc
 
-    return {"op2_topk_search": topk_search.SQL, "op4_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {
+        "op1_jaccard_join": jaccard_join.SQL,
+        "op2_topk_search": topk_search.SQL,
+        "op3_substring_dedup": substring_dedup.SQL,
+        "op4_mixing": mixing.SQL,
+        "op9_embedding_dedup": embedding_dedup.SQL,
+        "op10_warc": warc.SQL,
+    }

@@ -191,3 +191,21 @@ def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, carry: t
     if carry is not None:
         schema += ", text string" + "".join(f", `{c}` {others[c]}" for c in carry)
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(k, carry), schema)
+
+
+SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, unnest(range(0, len(w) - 19)) AS start, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS edge FROM d WHERE len(w) >= 20
+), sources AS (SELECT edge, min(struct_pack(doc_id, start)) AS source FROM windows GROUP BY edge HAVING count(*) > 1
+), gone AS MATERIALIZED (SELECT doc_id, start FROM windows JOIN sources USING (edge) WHERE struct_pack(doc_id, start) > source
+), words AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM d
+), marked AS (
+  SELECT w.doc_id, pos, word, max(CASE WHEN g.start IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS removed
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.start = w.pos
+), kept AS (
+  SELECT doc_id, CAST(sum(removed) AS BIGINT) AS n_removed, string_agg(CASE WHEN removed = 0 THEN word END, ' ' ORDER BY pos) AS text FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
