@@ -20,7 +20,7 @@ import pyarrow as pa
 from wordloom.llm import textblocks as T
 
 #: Distinct cuts remembered by a process before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 #: A cut of letters, all ASCII or in U+00C0-00FF, with at most one space before them.
 PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")

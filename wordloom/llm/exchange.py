@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch between Spark and Python: a batch of long texts is then a few MB, on both sides.
+BATCH_ROWS = 1000
 #: Bytes of text in a chunk, on average; a chunk is one group of a grouped map.
 CHUNK_BYTES = 4 << 20
 
@@ -75,6 +77,13 @@ def _own_dir() -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python at most BATCH_ROWS rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows written as a Parquet table in the shared folder and read back: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession

@@ -193,6 +193,7 @@ def _links(compared: DataFrame, t: Fraction) -> DataFrame:
 def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
     t, k = Fraction(threshold), shingle_words
+    X.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = X.chunk_count(X.text_bytes(docs))
     dealt = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))

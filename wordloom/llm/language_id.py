@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import textblocks as T
+from wordloom.llm.exchange import small_batches
 
 UNKNOWN = "und"
 ORDER = 4
@@ -294,6 +295,7 @@ def _predict(shared, carry: list[str]):
 def identify(docs: DataFrame, model: Model | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, carried columns, lang_pred, score, cross_entropy, rejected for each row of docs(doc_id, text, lang)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.withColumn("text", F.col("text").cast("string"))
     if model is None:
         texts = training_texts(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")))

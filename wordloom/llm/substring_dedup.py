@@ -181,6 +181,7 @@ def _cut(k: int, carry: tuple[str, ...] | None):
 def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, carry: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text); with `carry`, also the kept text and those columns."""
     k = window_words
+    X.small_batches(docs.sparkSession)
     others = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in (carry or ())}
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
     chunks = X.chunk_count(X.text_bytes(docs))

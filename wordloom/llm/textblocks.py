@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is one slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 # Odd multipliers of the polynomials and of the mixing function.
 BYTE_BASE = 0x9E3779B97F4A7C15

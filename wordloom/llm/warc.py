@@ -250,6 +250,7 @@ def capture_index(archives: DataFrame, folder: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write pages to WARC archives in the shared folder, read them back and return their index, one row a page."""
+    X.small_batches(pages.sparkSession)
     folder = f"{X.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     index = capture_index(write_archives(pages, folder), folder)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "record_offset")
