@@ -59,7 +59,8 @@ def _pieces(path: str, ranks: str, sequence: int):
 def pack_histogram(counts: dict[int, int], sequence: int) -> list[tuple[int, list[int]]]:
     """Patterns (number of sequences, lengths) that hold every piece of the histogram once.
 
-    Packs are kept by free room; a length goes into the packs with most room.
+    Packs are kept by free room; a length goes into the packs with most room. If
+    none has room, new packs take the length as often as it fits.
     """
     by_room: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
     rooms: list[int] = []  # a heap of the rooms in use, largest first
@@ -71,17 +72,20 @@ def pack_histogram(counts: dict[int, int], sequence: int) -> list[tuple[int, lis
             while rooms and not by_room[-rooms[0]]:
                 heapq.heappop(rooms)
             room = -rooms[0] if rooms else -1
+            times = 1
             if room < length:
-                number, lengths, room = left, [], sequence
+                times = min(left, sequence // length)
+                number, lengths, room = left // times, [], sequence
             else:
                 number, lengths = by_room[room].pop()
                 if number > left:
                     by_room[room].append((number - left, lengths))
                     number = left
-            left -= number
-            if not by_room[room - length]:
-                heapq.heappush(rooms, -(room - length))
-            by_room[room - length].append((number, [*lengths, length]))
+            left -= number * times
+            room -= length * times
+            if not by_room[room]:
+                heapq.heappush(rooms, -room)
+            by_room[room].append((number, lengths + [length] * times))
     return [pack for room in sorted(by_room) for pack in by_room[room]]
 
 
@@ -114,6 +118,7 @@ def _placed(table: list[tuple[int, int, int, int, int]]):
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str, sequence: int = SEQUENCE) -> DataFrame:
     """One row per piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    X.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = X.settle(docs.mapInArrow(_pieces(tokenizer, ranks, sequence), _PIECES))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
