@@ -140,3 +140,16 @@ def test_damaged_record_is_found():
     assert warc.parse(raw)["payload_bytes"] == 7
     with pytest.raises(ValueError, match="damaged"):
         warc.parse(raw.replace(b"payload", b"pAyload", 1).replace(b"\r\n\r\npayload", b"\r\n\r\npAyload"))
+
+
+PARAGRAPH = "Long prose of the article, with a clause; and another one, so that it weighs. " * 5
+TEASER = "<article><h3>Other story</h3><p>Short teaser.</p></article>"
+
+
+def test_ratios_choose_the_content_though_articles_are_elsewhere():
+    """Teasers in article elements do not stand for the page, and an article element is not needed."""
+    body = "<h1>Title</h1>" + f"<p>{PARAGRAPH}</p>" * 6
+    text = " ".join(["Title", *[PARAGRAPH.strip()] * 6])
+    assert html_text.main_text(f"<html><body><div id=content>{body}</div><div class=cards>{TEASER * 3}</div></body></html>") == text
+    assert html_text.main_text(f"<html><body><article>{body}</article><div class=cards>{TEASER * 3}</div></body></html>") == text
+    assert html_text.main_text(f"<html><body><div class=cards>{TEASER * 3}</div><div><div>{body}</div></div></body></html>") == text

@@ -3,22 +3,26 @@
 Method:
 
 1. One pass over the markup yields text nodes, each under its root-to-leaf path
-   of tags (with class and id names), and the block that the text belongs to.
+   of tags (with class and id names less their digits), and the block that the
+   text belongs to.
    End tags may be missing: a new paragraph, list item or row closes the open
    one, an end tag closes what stands open inside its element, and what is open
    at the end of the page ends there.
-2. For each path: the sum of its texts' lengths and punctuation marks over its
-   number of nodes, the text-to-tag-path ratios. Both are smoothed over the
-   nodes in page order and fused by their product.
-3. Sections are the children of the body and of plain wrappers. Paths through an
-   element whose name or attributes mark it as menu, header, footer, sidebar,
-   notice, advert, form or comment are out, whatever their ratio. Among the
-   others, an article or main element holds the content; where there is none, the
-   section with the largest fused weight does, and those whose fused ratio
-   reaches the page's deviation threshold join it.
-4. All text of a chosen section that is not under an excluded element is kept:
-   character references decoded, white space inside a block made one space,
-   blocks in page order joined by one space.
+2. Paths through an element whose name or attributes mark it as menu, header,
+   footer, sidebar, notice, advert, form or comment are out, whatever their ratio.
+3. For each other path of every page: the sum of its texts' lengths and
+   punctuation marks over its number of nodes, the text-to-tag-path ratios. Both
+   are smoothed over the nodes in page order and fused by their product, which
+   counts double inside an article or main element. Paths whose mean reaches the
+   deviation of the page's fused ratios are chosen, the best one always.
+4. The content is what holds all nodes of the chosen paths: their lowest common
+   container, and the article or main element around it or else each container
+   above it that holds no text of other containers. If only the body is common, and no chosen
+   node is its own, it is the containers with chosen nodes, what lies between
+   them, and the body's own text.
+5. All text of the content that is not under an excluded element is kept, so
+   headings, lists and short blocks stay: character references decoded, white
+   space inside a block made one space, blocks in page order joined by one space.
 
 Defined results: a null or empty html, or a page without text, has an empty
 text. Unclosed or misplaced tags never fail. A null url or page_id is returned
@@ -58,10 +62,15 @@ BOILERPLATE = frozenset(
     "disclaimer skip hidden complementary contentinfo".split()
 )
 CONTENT = frozenset(["article", "main"])
+#: How often a ratio counts inside an article or main element.
+CONTENT_WEIGHT = 2
+PAGE = frozenset(["", "html", "body"])
+CONTAINERS = PAGE | CONTENT | frozenset(["div", "section", "center"])
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$|[\"'])", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…、。，！？]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
@@ -80,31 +89,57 @@ def _excluded(name: str, attributes: str) -> tuple[bool, str]:
             elif key == "style":
                 out |= "display:none" in value.replace(" ", "")
             elif value:
-                label += f".{value}"
+                label += f".{_DIGITS.sub('', value)}"
                 out |= name not in ("body", "html", *CONTENT) and not BOILERPLATE.isdisjoint(_WORDS.findall(value))
     return out, label
 
 
 class _Node:
-    __slots__ = ("block", "content", "out", "path", "section", "text")
+    __slots__ = ("block", "content", "element", "out", "path", "text")
 
-    def __init__(self, text: str, path: str, block: int, out: bool, content: int, section: int) -> None:
-        self.text, self.path, self.block, self.out, self.content, self.section = text, path, block, out, content, section
+    def __init__(self, text: str, path: str, block: int, out: bool, content: int, element: int) -> None:
+        self.text, self.path, self.block, self.out, self.content, self.element = text, path, block, out, content, element
 
 
-def nodes(page: str) -> list[_Node]:
-    """The text nodes of a page in order."""
+class _Elements:
+    """The tree of elements, numbered in page order: names, parents and the nearest container, which may be the element itself."""
+
+    def __init__(self) -> None:
+        self.names, self.parents, self.boxes = [""], [0], [0]
+
+    def add(self, name: str, parent: int) -> int:
+        self.names.append(name)
+        self.parents.append(parent)
+        self.boxes.append(len(self.boxes) if name in CONTAINERS or "-" in name else self.boxes[parent])
+        return len(self.boxes) - 1
+
+    def above(self, box: int) -> int:
+        return self.boxes[self.parents[box]]
+
+    def common(self, a: int, b: int) -> int:
+        """The lowest common container of two containers."""
+        while a != b:
+            if a > b:
+                a = self.above(a)
+            else:
+                b = self.above(b)
+        return a
+
+
+def nodes(page: str) -> tuple[list[_Node], _Elements]:
+    """The text nodes of a page in order, and its elements."""
     found: list[_Node] = []
-    # name, path, excluded, number of the content element or 0, section
+    elements = _Elements()
+    # name, path, excluded, number of the content element or 0, element
     stack: list[tuple[str, str, bool, int, int]] = [("", "", False, 0, 0)]
-    block = at = contents = sections = 0
+    block = at = contents = 0
     end = len(page)
     while at < end:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            _, path, out, content, section = stack[-1]
-            found.append(_Node(page[at:stop], path, block, out, content, section))
+            _, path, out, content, element = stack[-1]
+            found.append(_Node(page[at:stop], path, block, out, content, element))
         if not m:
             break
         at = m.end()
@@ -146,28 +181,18 @@ def nodes(page: str) -> list[_Node]:
                 lowest = depth
             if lowest:
                 del stack[lowest:]
-        _, path, out, content, section = stack[-1]
+        _, path, out, content, element = stack[-1]
         marked, label = _excluded(name, attributes)
         if name in CONTENT and not content and not (out or marked):
             contents += 1
             content = contents
-        if name not in INLINE and path.count("/") <= 3:
-            sections += 1
-            section = sections
         if not attributes.endswith("/") or name in INLINE:
-            stack.append((name, f"{path}/{label}", out or marked, content, section))
-    return found
+            stack.append((name, f"{path}/{label}", out or marked, content, elements.add(name, element)))
+    return found, elements
 
 
-def _chosen(found: list[_Node]) -> list[_Node]:
-    """The nodes of the content, by path ratios."""
-    inside = [n for n in found if not n.out]
-    own = [n for n in inside if n.content]
-    if own:
-        return own
-    with_text = [n for n in inside if n.text.strip()]
-    if not with_text:
-        return []
+def _path_nodes(with_text: list[_Node]) -> list[_Node]:
+    """The nodes of the paths that reach the threshold."""
     paths: dict[str, list[float]] = {}
     for n in with_text:
         sums = paths.setdefault(n.path, [0.0, 0.0, 0.0])
@@ -178,13 +203,53 @@ def _chosen(found: list[_Node]) -> list[_Node]:
     mark_ratio = np.array([paths[n.path][1] / paths[n.path][2] for n in with_text])
     kernel = np.array([0.25, 0.5, 0.25])
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, mode="valid")
-    fused = smooth(text_ratio) * (1 + smooth(mark_ratio))
-    weight: dict[int, float] = {}
+    fused = smooth(text_ratio) * (1 + smooth(mark_ratio)) * np.array([CONTENT_WEIGHT if n.content else 1 for n in with_text])
+    weight = dict.fromkeys(paths, 0.0)
     for n, f in zip(with_text, fused, strict=True):
-        weight[n.section] = max(weight.get(n.section, 0.0), float(f))
+        weight[n.path] += float(f) / paths[n.path][2]
     level = min(max(weight.values()), float(fused.std()))
-    chosen = {s for s, w in weight.items() if w >= level}
-    return [n for n in inside if n.section in chosen]
+    return [n for n in with_text if weight[n.path] >= level]
+
+
+def _chosen(found: list[_Node], elements: _Elements) -> list[_Node]:
+    """The nodes of the content, by path ratios."""
+    inside = [n for n in found if not n.out]
+    with_text = [n for n in inside if n.text.strip()]
+    if not with_text:
+        return []
+    boxes, parents, names = elements.boxes, elements.parents, elements.names
+    own = {boxes[n.element] for n in _path_nodes(with_text)}
+    top = elements.common(min(own), max(own))  # numbers follow the page, so the others lie between
+    around = top
+    while around and names[around] not in CONTENT:
+        around = elements.above(around)
+    top = around or top
+    texts, below = [0] * len(names), [0] * len(names)
+    for n in with_text:
+        texts[boxes[n.element]] += 1
+    for e in range(len(names) - 1, -1, -1):
+        below[e] += texts[e]
+        if e:
+            below[parents[e]] += below[e]
+    while top and names[top] not in CONTENT and below[up := elements.above(top)] == below[top] + texts[up]:
+        top = up
+    if names[top] in PAGE and top not in own:
+        return _parts(inside, elements, top, own)
+    under = [e == top for e in range(len(names))]
+    for e in range(top + 1, len(names)):
+        under[e] = under[parents[e]]
+    return [n for n in inside if under[n.element]]
+
+
+def _parts(inside: list[_Node], elements: _Elements, top: int, own: set[int]) -> list[_Node]:
+    """The nodes in those containers directly in top that hold containers of own, between them, and in top itself."""
+    part = list(range(len(elements.names)))
+    for e in range(1, len(part)):
+        box = elements.boxes[e]
+        part[e] = part[box] if box != e else e if e <= top or elements.above(e) <= top else part[elements.above(e)]
+    held = {part[box] for box in own}
+    at = [i for i, n in enumerate(inside) if part[n.element] in held]
+    return [n for i, n in enumerate(inside) if at[0] <= i <= at[-1] or part[n.element] == top]
 
 
 def main_text(page: str | None) -> str:
@@ -192,7 +257,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks: dict[int, list[str]] = {}
-    for n in _chosen(nodes(page)):
+    for n in _chosen(*nodes(page)):
         blocks.setdefault(n.block, []).append(n.text)
     texts = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for parts in blocks.values())
     return " ".join(t for t in texts if t)
