@@ -153,3 +153,13 @@ def test_ratios_choose_the_content_though_articles_are_elsewhere():
     assert html_text.main_text(f"<html><body><div id=content>{body}</div><div class=cards>{TEASER * 3}</div></body></html>") == text
     assert html_text.main_text(f"<html><body><article>{body}</article><div class=cards>{TEASER * 3}</div></body></html>") == text
     assert html_text.main_text(f"<html><body><div class=cards>{TEASER * 3}</div><div><div>{body}</div></div></body></html>") == text
+
+
+def test_short_blocks_beside_chosen_paths_stay():
+    """A content div directly in the body keeps its headings, lists and short blocks."""
+    inner = "<h1>Title</h1>" + f"<p>{PARAGRAPH}</p>" * 9 + "<h2>Part</h2><ul><li>one<li>two<li>three<li>four</ul><div class=quote>Short.</div>"
+    text = " ".join(["Title", *[PARAGRAPH.strip()] * 9, "Part one two three four Short."])
+    for opened, closed in (("<div class=content>", "</div>"), ("<div><div class=content>", "</div></div>"), ("", "")):
+        assert html_text.main_text(f"<html><body><nav>Menu</nav>{opened}{inner}{closed}<footer>(c)</footer></body></html>") == text
+    split = f"<div class=content><h1>Title</h1><div id=part1><p>{PARAGRAPH * 4}</p></div><div id=part2><p>Short end.</p></div></div>"
+    assert html_text.main_text(f"<body>{split}</body>") == f"Title {(PARAGRAPH * 4).strip()} Short end."
