@@ -176,6 +176,29 @@ def test_packing(make, tokenizer):
         assert one.length.sum() <= packing.SEQUENCE
 
 
+@pytest.fixture(scope="module")
+def unmodified():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATHS[0])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*ALPHABET, "<|endoftext", "|>"]), max_size=30).map("".join), max_size=6))
+def test_ids_equal_the_unmodified_tokenizer(unmodified, texts):
+    got = [ids.tolist() for ids in bpe.encoder(*PATHS, special_as_text=False).batch(pa.array(texts, pa.string()))]
+    assert got == [e.ids for e in unmodified.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_special_strings(make, unmodified):
+    """The string of a special token is that token; one that only two texts together have is none."""
+    rows = [(1, "a<|endoftext|>b"), (2, "plain"), (3, "<|endoftext"), (4, "|>"), (5, None), (6, "<|endoftext|>" * 3), (7, "x <|endoftext|>\u00a0y")]
+    ids = {i: np.array([*unmodified.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows}
+    assert ids[1].tolist() == [64, 50256, 65, 1]
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack(make(rows), *PATHS).collect()}
+    assert got == {i: (len(own), zlib.crc32(own.tobytes())) for i, own in ids.items()}
+
+
 def test_packing_edges(make):
     assert packing.pack(make([]), *PATHS).count() == 0
     got = packing.pack(make([(1, None), (1, None), (None, "")]), *PATHS).collect()

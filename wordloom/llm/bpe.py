@@ -3,7 +3,8 @@
 The tokenizer's pattern never lets a token cross from a letter to an ASCII
 non-letter, from ink to white space, or past a single line break into ink, so
 texts are cut there, and equal cuts have equal ids. A text with white space
-other than the six ASCII bytes is encoded whole. Cuts of letters are one piece
+other than the six ASCII bytes, or with the string of an added token, is encoded
+whole. Cuts of letters are one piece
 of the pattern and are merged by the ranks of the same vocabulary; tests hold
 the ids against the tokenizer's own.
 """
@@ -25,18 +26,21 @@ REMEMBERED = 600_000
 #: A cut of letters, all ASCII or in U+00C0-00FF, with at most one space before them.
 PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, ranks: str) -> Encoder:
+def encoder(path: str, ranks: str, special_as_text: bool = True) -> Encoder:
     """The process's encoder for a tokenizer file and the ranks of the same vocabulary."""
-    if (path, ranks) not in _encoders:
-        _encoders[path, ranks] = Encoder(path, ranks)
-    return _encoders[path, ranks]
+    key = path, ranks, special_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 class Encoder:
-    def __init__(self, path: str, ranks: str) -> None:
+    """Ids of the tokenizer file. The strings of special tokens in a text are ordinary text, or as in the file as it is those tokens."""
+
+    def __init__(self, path: str, ranks: str, special_as_text: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
@@ -46,7 +50,9 @@ class Encoder:
         self.merge = tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        if special_as_text:
+            self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self._forget()
 
     def _forget(self) -> None:
@@ -124,7 +130,7 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        odd = self._odd_texts(data, offsets)
+        odd = self._odd_texts(data, offsets) | self._with_added(data, offsets)
         hashes = T.span_hashes(data, starts, ends)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         slots = self._slots(keys, data, starts[where], ends[where])[inverse]
@@ -138,6 +144,18 @@ class Encoder:
             else:
                 yield ids[counts[i] : counts[i + 1]]
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts with the string of an added token."""
+        found, raw = np.zeros(len(offsets) - 1, bool), data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                end = int(offsets[i + 1])
+                found[i] |= at + len(token) <= end
+                at = raw.find(token, end if found[i] else at + 1)
+        return found
+
     @staticmethod
     def _odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts with white space that is not one of the six bytes: U+0085, U+00A0, U+1680, U+2000-200A, 2028, 2029, 202F, 205F, 3000, and 0x1C-0x1F."""

@@ -12,7 +12,9 @@ Method: shortest-pack-first over the length histogram.
    bucket, so that a common length is no single task. A pattern owns a range of
    ranks of each of its lengths, and that joins it back to the pieces.
 
-Defined results: a null or empty text is its end id alone. Equal rows are
+Defined results: a null or empty text is its end id alone. Ids are those of the
+tokenizer file as it is: the string of a special token in a text is that token,
+and no token is added around a text. Equal rows are
 interchangeable. A null doc_id is kept. Extra columns are ignored; an empty
 table gives an empty result.
 """
@@ -42,7 +44,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _pieces(path: str, ranks: str, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, ranks)
+        own = encoder(path, ranks, special_as_text=False)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.batch(batch.column("text")), strict=True):
