@@ -58,3 +58,58 @@ def test_fixed_lines(spark):
     got = {(r["doc_id"], r["line"], r["old_md5"], r["new_md5"]) for r in q25_fix_lines(spark, SF).collect()}
     assert got == expected
     assert len(got) > 100
+
+
+def test_diff_of_all_documents(spark):
+    """q33 has no SQL: its hunks are those of a plain rewrite of the same words, over all documents."""
+    from wordloom.catalogue import _typed, q33_diff_documents
+    from wordloom.operators.rewrite import rewritten
+
+    docs, found = _typed(spark, SF)
+    text = {r["doc_id"]: r["text"].split("\n") for r in docs.collect()}
+    top = {r["word"]: r["suggestions"][0] for r in found.suggested.collect() if r["suggestions"]}
+    words: dict[tuple, dict[str, str]] = {}
+    for r in found.occurrences.orderBy("doc_id", "line", "pos", "part_pos").collect():
+        if r["word"] in top:
+            words.setdefault((r["doc_id"], r["line"]), {}).setdefault(r["word"].lower(), top[r["word"]])
+    expected = set()
+    for (doc_id, line), fixes in words.items():
+        old = text[doc_id][line - 1]
+        if (new := rewritten(old, list(fixes.items()))) != old:
+            expected.add((doc_id, line, f"@@ line {line}\n-{old}\n+{new}"))
+    got = [tuple(r) for r in q33_diff_documents(spark, SF).select("doc_id", "line", "hunk").collect()]
+    assert sorted(got) == sorted(expected)
+    assert len({doc_id for doc_id, *_ in got}) > 100
+
+
+def plain_kept(text: str) -> list[str]:
+    """Markdown blanked by a plain walk over the lines."""
+    import re
+
+    out, until = [], None
+    for i, line in enumerate(text.split("\n")):
+        bare = line.strip()
+        mark = re.match("`{3,}|~{3,}", bare)
+        if until:
+            ended = bare.startswith(until) if until[0] in "`~" else until in line if until == "-->" else line.rstrip() == until
+            out.append("")
+            until = None if ended else until
+        elif (i == 0 and bare == "---") or mark or (bare.startswith("<!--") and "-->" not in line):
+            out.append("")
+            until = mark[0] if mark else "-->" if bare.startswith("<!--") else "---"
+        else:
+            out.append(re.sub(" +", " ", re.sub("`[^`]*`", " ", re.sub("<!--.*?-->", " ", line)).strip()))
+    return out
+
+
+def test_markdown_of_all_documents(spark):
+    """q34 has no SQL: its lines are those of a plain walk, over all documents and the fixtures."""
+    from wordloom.catalogue import _with_markdown, q34_markdown_documents
+
+    texts = {r["doc_id"]: r["text"] for r in _with_markdown(spark, SF).collect()}
+    expected = [(i, n, kept) for i, text in texts.items() for n, kept in enumerate(plain_kept(text), 1)]
+    got = [(r["doc_id"], r["line"], r["kept"]) for r in q34_markdown_documents(spark, SF).collect()]
+    assert sorted(got) == sorted(expected)
+    assert min(texts) == -7
+    assert len(texts) == 7 + spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert sum(kept == "" for *_, kept in got) > 100

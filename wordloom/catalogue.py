@@ -2,7 +2,8 @@
 
 Each query runs over its whole tables. Inputs that the tables lack (typos,
 directives, Markdown, manifests) are derived from them, or are small fixtures,
-in the same way on both sides.
+in the same way on both sides. q05, q21, q24 and q26 hold mainly fixtures against
+literal rows; q33 and q34 do the work of q26 and q05 on all documents, without SQL.
 """
 
 from __future__ import annotations
@@ -295,6 +296,36 @@ def q32_path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("path", "extension", "role", T.is_markdown_path(F.col("path")).alias("markdown"))
 
 
+def q33_diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hunks of all documents' fixes, those of q25."""
+    docs, found = _typed(spark, sf_dir)
+    hunks = rewrite.diff(rewrite.fixes(docs, found.occurrences, found.suggested))
+    return hunks.select("doc_id", F.col("line").cast("long").alias("line"), "hunk")
+
+
+def _with_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a sentence a line, with front matter, fences, comments or inline marks by doc_id; and the fixtures, whose ids are below zero."""
+    kind = F.pmod("doc_id", F.lit(4))
+    value = F.split(F.regexp_replace("text", r"\. ", ".\n"), "\n", -1)
+
+    def marked(v: Column, i: Column) -> Column:
+        opens, closes = i % 5 == 1, i % 5 == 3
+        fenced = F.when(opens, F.concat(F.lit("```js\n"), v)).when(closes, F.concat(v, F.lit("\n```"))).otherwise(v)
+        commented = F.when(opens, F.concat(F.lit("<!-- open\n"), v)).when(closes, F.concat(v, F.lit("\nclose --> gone"))).otherwise(v)
+        return F.when(kind == 1, fenced).when(kind == 2, commented).when(kind == 3, F.concat(v, F.lit(" `code` <!-- note --> end"))).otherwise(v)
+
+    text = F.concat(F.when(kind == 0, "---\ntitle: x\n---\n").otherwise(""), F.array_join(F.transform(value, marked), "\n"))
+    fixed = spark.createDataFrame([(-i, t) for i, t in fixtures.MARKDOWN], "doc_id long, text string")
+    return _docs(spark, sf_dir).select("doc_id", text.alias("text")).union(fixed)
+
+
+def q34_markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.operators.markdown import blank_markdown
+
+    kept = preprocess.lines(blank_markdown(_with_markdown(spark, sf_dir)))
+    return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
