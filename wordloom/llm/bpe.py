@@ -2,7 +2,9 @@
 
 The tokenizer's pattern never lets a token cross from a letter to an ASCII
 non-letter, from ink to white space, or past a single line break into ink, so
-texts are cut there, and equal cuts have equal ids. A text with white space
+texts are cut there, and equal cuts have equal ids. Cuts are found by hash and
+then compared byte for byte; a text with a cut whose hash belongs to another cut
+is encoded whole. A text with white space
 other than the six ASCII bytes, or with the string of an added token, is encoded
 whole. Cuts of letters are one piece
 of the pattern and are merged by the ranks of the same vocabulary; tests hold
@@ -60,6 +62,8 @@ class Encoder:
         self.old, self.new = none, none
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.sizes, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0
+        self.byte_starts, self.byte_sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,10 +93,17 @@ class Encoder:
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             while self.known + len(found) > len(self.starts):
-                self.starts, self.sizes = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+                self.starts, self.sizes, self.byte_starts, self.byte_sizes = (np.concatenate((c, np.zeros_like(c))) for c in (self.starts, self.sizes, self.byte_starts, self.byte_sizes))
+            raw = np.frombuffer(b"".join(cuts), np.uint8)
+            while self.held + len(raw) > len(self.bytes):
+                self.bytes = np.concatenate((self.bytes, np.zeros_like(self.bytes)))
+            self.bytes[self.held : self.held + len(raw)] = raw
             self.ids[self.used : self.used + len(flat)] = flat
             own = np.arange(self.known, self.known + len(found))
             self.starts[own], self.sizes[own] = self.used + np.cumsum(sizes) - sizes, sizes
+            lengths = (ends - starts)[missing]
+            self.byte_starts[own], self.byte_sizes[own] = self.held + np.cumsum(lengths) - lengths, lengths
+            self.held += len(raw)
             slots[missing] = own
             self.used += len(flat)
             self.known += len(found)
@@ -134,6 +145,10 @@ class Encoder:
         hashes = T.span_hashes(data, starts, ends)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         slots = self._slots(keys, data, starts[where], ends[where])[inverse]
+        lengths = ends - starts
+        unlike = lengths != self.byte_sizes[slots]
+        unlike |= ~T.same_bytes(data, starts, self.bytes, self.byte_starts[slots], np.where(unlike, 0, lengths))
+        odd[np.searchsorted(offsets, starts[unlike], side="right") - 1] = True
         sizes = self.sizes[slots]
         through = np.cumsum(sizes, dtype=np.int64)
         ids = self.ids[np.arange(through[-1]) + np.repeat(self.starts[slots] - through + sizes, sizes)]

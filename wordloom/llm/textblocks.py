@@ -2,13 +2,16 @@
 
 Texts are handled as one UTF-8 buffer per slice. White space is the six ASCII
 bytes 0x20 and 0x09-0x0D; as no byte of a multi-byte UTF-8 character falls in
-that range, splitting bytes equals splitting characters. A word hash is a
-polynomial modulo 2**64 over the word's bytes, read off one cumulative sum and
-then mixed; a window hash is the same over word hashes.
+that range, splitting bytes equals splitting characters. A word hash takes the
+word's bytes eight at a time, each time scrambling all that came before, so that
+no polynomial identity makes different words alike; a longer word than
+LANE_BYTES has a BLAKE2 digest. A window hash joins the hashes of halves in the
+same way. Hashes find candidates; where equality decides, `same_bytes` compares.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,29 +20,15 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer single text is one slice of its own.
 SLICE_BYTES = 1 << 18
 
-# Odd multipliers of the polynomials and of the mixing function.
-BYTE_BASE = 0x9E3779B97F4A7C15
+# Odd multipliers.
+LENGTH_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = 0xD1342543DE82EF95
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept per process and grown on demand."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    """The inverse of an odd number modulo 2**64."""
-    return pow(base, -1, 1 << 64)
+#: Words of up to so many bytes are hashed in steps of eight bytes, all at once.
+LANE_BYTES = 256
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,18 +86,53 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(inverse(BYTE_BASE), len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(mix(sizes.astype(np.uint64) * LENGTH_BASE) ^ (eight[starts] & _MASKS[np.minimum(sizes, 8)]))
+    some, at = np.flatnonzero(sizes > 8), 8
+    while len(some) and at < LANE_BYTES:
+        out[some] = mix(out[some] ^ (eight[starts[some] + at] & _MASKS[np.minimum(sizes[some] - at, 8)]))
+        at += 8
+        some = some[sizes[some] > at]
+    for i in np.flatnonzero(sizes > LANE_BYTES):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    both = (left ^ (left >> np.uint64(29))) * MIX_1 + right
+    return (both ^ (both >> np.uint64(32))) * MIX_2
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive words; windows that cross texts are the caller's to drop."""
-    if len(words) < k:
+    """A hash of each k consecutive words, from those of its parts; windows that cross texts are the caller's to drop."""
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * powers(WORD_BASE, len(words)), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * powers(inverse(WORD_BASE), len(words) + 1)[: len(words) - k + 1] + np.uint64(k))
+    out, done, part, size = None, 0, words, 1
+    while True:
+        if k & size:
+            out = part[:n] if out is None else _joined(out, part[done : done + n])
+            done += size
+        if done == k:
+            return mix(out + np.uint64(k))
+        part = _joined(part[:-size], part[size:])
+        size *= 2
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether a's and b's spans of the given sizes are equal, byte for byte."""
+    total = int(sizes.sum())
+    if not total:
+        return np.ones(len(sizes), bool)
+    before = np.cumsum(sizes) - sizes
+    step = np.arange(total) - np.repeat(before, sizes)
+    unlike = a[np.repeat(a_starts, sizes) + step] != b[np.repeat(b_starts, sizes) + step]
+    counts = np.concatenate(([0], np.cumsum(unlike)))
+    return counts[before + sizes] == counts[before]
 
 
 def text_words(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
