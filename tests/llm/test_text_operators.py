@@ -100,6 +100,102 @@ def test_substrings_over_many_chunks(make, monkeypatch):
     assert sorted_rows(jaccard_components(make(rows))) == sorted(((i, *expected[i]) for i, _ in rows), key=repr)
 
 
+def thue_morse(n):
+    word, other = "a", "b"
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_words_that_collide_under_polynomials(make):
+    """Complementary Thue-Morse words agree under every polynomial modulo a power of two."""
+    one, other = thue_morse(2048)
+    rest = " p q r s"
+    assert sorted_rows(jaccard_components(make([(1, one + rest), (2, other + rest)])).select("doc_id", "component_id")) == [(1, 1), (2, 2)]
+    tail = " ".join(f"w{i}" for i in range(19))
+    assert sorted_rows(dedup_substrings(make([(1, f"{one} {tail}"), (2, f"{other} {tail}")])).select("doc_id", "n_removed")) == [(1, 0), (2, 0)]
+    own = bpe.Encoder(*PATHS, special_as_text=False)
+    texts = [one, other]
+    assert [list(ids) for ids in own.batch(pa.array(texts))] == [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def weak_hash(monkeypatch):
+    monkeypatch.setattr(textblocks, "span_hashes", lambda data, starts, ends: (data[starts] & 1).astype(np.uint64))
+
+
+def test_equal_hashes_of_unequal_words(monkeypatch):
+    """Where hashes collide, bytes decide: ids stay the tokenizer's, and paths that are not their source's are found."""
+    from wordloom.llm import substring_dedup as S
+
+    weak_hash(monkeypatch)
+    own = bpe.Encoder(*PATHS, special_as_text=False)
+    texts = ["some words of a text", "come swords or a test", "", "123 456"]
+    assert [list(ids) for ids in own.batch(pa.array(texts))] == [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    asked = pa.table({"source": [1, 1], "unit": [0, 0], "digest": [b"x", b"y"], "text": ["a b c d", "a b c f"]})
+    regions = pa.table({"source": [1], "unit": [0], "text": ["a b c d"]})
+    bad = S._verified(3)((pa.scalar(1),), asked, regions)
+    assert bad.column("digest").to_pylist() == [b"y"]
+    assert np.frombuffer(bad.column("good")[0].as_py(), bool).tolist() == [True, False]
+
+
+def test_documents_cut_anew(make, monkeypatch):
+    """Edges that a comparison refutes go back into their documents."""
+    from wordloom.llm import substring_dedup as S
+
+    real = S._verified
+
+    def refuting(k):
+        run = real(k)
+
+        def all_bad(key, asked, regions):
+            run(key, asked, regions)
+            n = [len(t.split()) - k + 1 for t in asked.column("text").to_pylist()]
+            return pa.table({"source": pa.array([key[0].as_py()] * len(n), pa.int64()), "digest": asked.column("digest"), "good": pa.array([bytes(x) for x in n], pa.binary())})
+
+        return all_bad
+
+    monkeypatch.setattr(S, "_verified", refuting)
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 1 << 9)
+    long = " ".join(str(i) for i in range(30))
+    rows = [(i, long if i % 50 == 0 else f"{i} {i}") for i in range(200)]
+    got = sorted_rows(dedup_substrings(make(rows)).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    assert got == sorted(((i, len(t.split()), 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=repr)
+
+
+def test_messages_in_levels(make, monkeypatch):
+    """With fewer messages a chunk than chunks, they meet in several levels."""
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 1 << 9)
+    monkeypatch.setattr(exchange, "FAN_BITS", 3)
+    assert len(exchange.levels(256)) == 3
+    rows = awkward(15)
+    assert sorted_rows(dedup_substrings(make(rows)).select("doc_id", "n_words", "n_removed")) == sorted((r[:3] for r in kept(rows)), key=repr)
+    expected = expected_components(rows)
+    assert sorted_rows(jaccard_components(make(rows))) == sorted(((i, *expected[i]) for i, _ in rows), key=repr)
+
+
+def test_long_lists_in_parts(make, monkeypatch):
+    """An index list over several units of work gives the same components."""
+    from wordloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "LIST_ROWS", 3)
+    monkeypatch.setattr(J, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(J, "PAIRS_AT_ONCE", 5)
+    monkeypatch.setattr(J, "UNIT_SHINGLES", 100)
+    rows = awkward(16)
+    expected = expected_components(rows)
+    assert sorted_rows(jaccard_components(make(rows))) == sorted(((i, *expected[i]) for i, _ in rows), key=repr)
+
+
+def test_nameless_documents_over_chunks(make, monkeypatch):
+    """Null doc_ids are documents in an order of their own, so that no chunk holds them all: one copy of each text stays."""
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 1 << 9)
+    long = [" ".join(f"{j}.{i}" for i in range(30)) for j in range(40)]
+    rows = [(None, t) for t in long] + [(None, t + " end") for t in long] + [(1, long[0])]
+    got = [tuple(r) for r in dedup_substrings(make(rows)).select("doc_id", "n_words", "n_removed").collect()]
+    assert (1, 30, 0) in got
+    assert sum(r[2] for r in got) == 30 * 41
+
+
 def test_mixing(make):
     rows = [(i, t, None, [None, "a", "B", "é", "z"][i % 5]) for i, t in awkward(6)]
     got = mixing.mix(make(rows)).toPandas()

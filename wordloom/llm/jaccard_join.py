@@ -3,25 +3,34 @@
 Method: set-relation skipping over prefix index lists.
 
 1. Shingle sets come from whole texts. Every distinct shingle gets its
-   document-frequency class by a request-reply exchange over all documents;
-   the global order is rare class first, then hash. Two sets with a Jaccard
-   similarity of t share a shingle within their first n - ceil(t * n) + 1 of
-   that order, so only those are indexed, and of them only shingles that occur
-   in more than one document.
+   document-frequency class by an exchange over all documents; the class is read
+   off the shingle's leading hash bits, which are enough to order shingles: rare
+   class first, then hash. Two sets with a Jaccard similarity of t share a
+   shingle within their first n - ceil(t * n) + 1 of that order, so only those
+   are indexed, and of them only shingles that occur in more than one document.
 2. Equal sets collapse into one, within a chunk and then by fingerprint.
-3. An index list holds the sets of one shingle, cut into blocks by set size
-   (a block spans a ratio of 1/t, so only neighbouring blocks can link). Each
-   block has a hub; every member is compared with the hub of its own block and
-   of the next, exactly.
-4. The hub's answers stand for those of the sets linked with it: members of one
-   component need no comparison among themselves. What remains are members of
-   one list in different components. Jaccard distance is a metric, so a pair
-   whose distances to a common hub differ by more than 1 - t is skipped, as are
-   pairs whose positions leave too small an overlap, and pairs whose parity
+3. An index list holds the sets of one shingle, in blocks of set sizes (a block
+   spans a ratio of 1/t, so only neighbouring blocks can link). Each block has a
+   hub; every member is compared with the hub of its own block and of the next,
+   exactly.
+4. A set's answers come from its hub's: a set linked with a hub has the hub's
+   component, and members of one component need no comparison among themselves.
+   What remains are members of one list in different components. Within a list,
+   sets of a size block stand in order of the shingle's position, so that a run
+   of sets whose positions leave too small an overlap is skipped as a block, as
+   are size blocks that are too far apart; no pair of them is formed. Of the
+   others, Jaccard distance is a metric, so a pair whose distances to a common
+   hub differ by more than 1 - t needs no comparison, nor does one whose parity
    bitmaps differ in more bits than the sets may differ in shingles (each bit is
-   the parity of the shingles hashed to it, so that bits that differ are at most
-   the symmetric difference); all others are compared exactly. No link between
-   different components is lost.
+   the parity of the shingles hashed to it). All others are compared exactly. No
+   link between different components is lost.
+5. A long list is cut into parts by a hash of the document; each pair of parts is
+   a unit of work of bounded size, so that a shingle of a third of all documents
+   is no single task. Sets are compared in a stream: a hub's set comes once
+   before its partners', in parts by their summed size.
+
+Sets are compared by 64-bit hashes of their shingles, which scramble word by
+word (`textblocks`), so that no text that is not made for it has two alike.
 
 Defined results: a null text, or one without words, has an empty set, links
 with nothing and is its own component. A text with fewer words than a shingle
@@ -47,6 +56,14 @@ from wordloom.llm import textblocks as T
 SHINGLE_WORDS = 5
 THRESHOLD = Fraction(4, 5)
 
+#: Members of a list that one unit of work takes on either side, rows of the units that go together, and pairs looked at together.
+LIST_ROWS = 4096
+BUCKET_ROWS = 1 << 16
+PAIRS_AT_ONCE = 1 << 20
+PARITY = ("bits0", "bits1", "bits2", "bits3")
+#: Shingles that a hub's set is compared with before its partners go to another unit.
+UNIT_SHINGLES = 1 << 21
+
 _CHUNK_SCHEMA = "doc_id long, n_shingles long, local_rep long, f1 long, f2 long, tokens array<long>, places array<int>, bits array<long>, shingles binary"
 
 
@@ -75,49 +92,33 @@ def _document_sets(table: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray
     return ids, sets
 
 
-def _request(ranges: int, k: int):
+def _leading(size: int) -> np.uint64:
+    """A mask of the leading hash bits that tell the shingles of so many bytes of text apart, but for one in 256 or fewer."""
+    bits = min(64, -(-(size.bit_length() + 8) // 8) * 8)
+    return np.uint64((1 << 64) - (1 << 64 - bits))
+
+
+def _request(chunks: int, k: int, mask: np.uint64):
+    bits = X.levels(chunks)
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, sets = _document_sets(table, k)
-        hashes, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-        cuts = X.range_cuts(hashes, ranges)
-        some = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
-        many = np.minimum(counts, 255).astype(np.uint8)
-        return pa.table({
-            "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()),
-            "hash_range": pa.array(some, pa.int32()),
-            "hashes": pa.array([X.pack_sorted(hashes[cuts[r] : cuts[r + 1]]) for r in some], pa.binary()),
-            "counts": pa.array([X.pack_bytes(many[cuts[r] : cuts[r + 1]]) for r in some], pa.binary()),
-        })
+        hashes, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & mask, return_counts=True)
+        return X.messages(key[0].as_py(), hashes, counts, bits[0], last=len(bits) == 1)
 
     return run
 
 
-def _reply(table: pa.Table) -> pa.Table:
-    """For one hash range: to each chunk the frequency class of each hash it sent; 0 is one document, then powers of two."""
-    blobs = [X.unpack_sorted(b) for b in table.column("hashes").to_pylist()]
-    counts = np.concatenate([X.unpack_bytes(b) for b in table.column("counts").to_pylist()]).astype(np.int64)
-    hashes, place = np.unique(np.concatenate(blobs), return_inverse=True)
-    total = np.bincount(place, weights=counts, minlength=len(hashes))
-    classes = np.ceil(np.log2(total)).astype(np.uint8)[place]
-    cuts = np.cumsum([len(b) for b in blobs])[:-1]
-    return pa.table({
-        "chunk": table.column("chunk"),
-        "hash_range": table.column("hash_range"),
-        "classes": pa.array([X.pack_bytes(c) for c in np.split(classes, cuts)], pa.binary()),
-    })
-
-
 def _prefix_length(n: int, t: Fraction) -> int:
     return n + t.numerator * -n // t.denominator + 1  # n - ceil(t * n) + 1
 
 
-def _indexed(k: int, t: Fraction):
+def _indexed(k: int, t: Fraction, mask: np.uint64):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         ids, sets = _document_sets(docs, k)
-        blobs = [X.unpack_bytes(b) for _, b in sorted(zip(replies.column("hash_range").to_pylist(), replies.column("classes").to_pylist(), strict=True))]
-        classes = np.concatenate([*blobs, np.zeros(0, np.uint8)])
+        classes = np.ceil(np.log2(np.maximum(X.replied(replies), 1))).astype(np.uint8)  # 0 is one document, then powers of two
         lengths = np.array([len(s) for s in sets], dtype=np.int64)
-        place = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
+        place = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & mask, return_inverse=True)[1]
         columns: dict[str, list] = {name: [] for name in ("local_rep", "f1", "f2", "tokens", "places", "bits", "shingles")}
         seen: dict[tuple, int] = {}
         end = 0
@@ -158,32 +159,97 @@ def _indexed(k: int, t: Fraction):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The exact intersection size of each pair of sets."""
+    """The exact intersection size of each pair of sets: a's set precedes its partners', which follow it in the stream."""
+    of, own, size = None, np.zeros(0, np.uint64), 0
     for batch in batches:
-        known: dict[int, np.ndarray] = {}
-        a, b = batch.column("a"), batch.column("b")
-        shared = []
-        left, right = batch.column("left"), batch.column("right")
-        for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
-            for key, blobs in ((x, left), (y, right)):
-                if key not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[key] = X.unpack_sorted(blobs[i].as_py())
-            if x not in known:
-                known[x] = X.unpack_sorted(left[i].as_py())
-            small, large = sorted((known[x], known[y]), key=len)
+        rows: list[tuple] = []
+        for a, b, n, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "shingles")), strict=True):
+            other = X.unpack_sorted(blob)
+            if b is None:
+                of, own, size = a, other, n
+                continue
+            if a != of:
+                raise ValueError("a pair without its first set")
+            small, large = (own, other) if len(own) < len(other) else (other, own)
             at = np.searchsorted(large, small)
             at[at == len(large)] = 0
-            shared.append(int(np.count_nonzero(large[at] == small)))
-        yield pa.RecordBatch.from_pydict({"a": a, "b": b, "na": batch.column("na"), "nb": batch.column("nb"), "shared": pa.array(shared, pa.int64())})
+            rows.append((a, b, size, n, int(np.count_nonzero(large[at] == small))))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "na", "nb", "shared"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, shared) of pairs (a, b)."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("right"))
-    return X.settle(pairs.join(left, "a").join(right, "b").mapInArrow(_compare, "a long, b long, na long, nb long, shared long"))
+    """(a, b, na, nb, shared) of distinct pairs (a, b)."""
+    pairs = X.settle(pairs)
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias("n"), "shingles")
+    sized = pairs.join(of("b").select("b", "n"), "b")
+    units = sized.groupBy("a").agg(F.ceil(F.sum("n") / UNIT_SHINGLES).cast("int").alias("units"))
+    first = units.join(of("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(None).cast("long").alias("b"), "n", "shingles")
+    unit = F.pmod(F.xxhash64("b"), F.col("units")).cast("int")
+    others = pairs.join(units, "a").select("a", unit.alias("unit"), "b").join(of("b"), "b").select("a", "unit", "b", "n", "shingles")
+    stream = first.union(others).repartition("a", "unit").sortWithinPartitions("a", "unit", F.col("b").asc_nulls_first())
+    return X.settle(stream.select("a", "b", "n", "shingles").mapInArrow(_compare, "a long, b long, na long, nb long, shared long"))
+
+
+def _near(t: Fraction):
+    """Candidate pairs of some units of index lists: of members outside a list's main component with all members of another part.
+
+    The other side stands in order of list, size block and position, so that a
+    member reads one run of each neighbouring block and skips the rest of it.
+    """
+    up, down = t.denominator - t.numerator, t.denominator + t.numerator
+    names = ("doc_id", "n", "block", "place", "component", "main", "hub", "far", *PARITY)
+
+    def run(table: pa.Table) -> pa.Table:
+        every = {c: table.column(c).to_numpy() for c in (*names, "token", "x", "y", "left")}
+        order = np.lexsort((every["y"], every["x"], every["token"]))
+        changes = sum((np.diff(every[c][order], prepend=every[c][order][:1]) != 0 for c in ("token", "x", "y")), np.zeros(len(order), bool))
+        every["unit"] = np.empty(len(order), np.int64)
+        every["unit"][order] = np.cumsum(changes)
+        left = every["left"]
+        x, y = ({c: every[c][side] for c in (*names, "unit")} for side in (left, ~left))
+        key = lambda unit, block, place: unit << 40 | (block.astype(np.int64) + 1) << 32 | place
+        keys = key(y["unit"], y["block"], y["place"].astype(np.int64))
+        order = np.argsort(keys, kind="stable")
+        keys, y = keys[order], {c: v[order] for c, v in y.items()}
+        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        for step in (-1, 0, 1):
+            block = x["block"] + step
+            most = np.floor(np.power(float(1 / t), block + 1) + 1e-6).astype(np.int64)  # the largest set of the block
+            far = (x["n"] + most) * up // down - x["place"]  # from there on, too little is left to share
+            start = np.searchsorted(keys, key(x["unit"], block, np.int64(0)))
+            runs = np.where(far < 0, 0, np.searchsorted(keys, key(x["unit"], block, np.clip(far, 0, 2**32 - 1)), side="right") - start)
+            through = np.cumsum(runs)
+            first = 0
+            while first < len(runs):  # a bounded number of pairs at once
+                last = max(first + 1, int(np.searchsorted(through, (through[first - 1] if first else 0) + PAIRS_AT_ONCE, side="right")))
+                own = np.arange(first, last)
+                i = np.repeat(own, runs[own])
+                j = np.arange(len(i)) - np.repeat(np.cumsum(runs[own]) - runs[own], runs[own]) + np.repeat(start[own], runs[own])
+                fit = _open(x, y, i, j, t, up, down)
+                found.append(np.sort(np.stack((x["doc_id"][i[fit]], y["doc_id"][j[fit]])), axis=0))
+                first = last
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    return run
+
+
+def _open(x: dict, y: dict, i: np.ndarray, j: np.ndarray, t: Fraction, up: int, down: int) -> np.ndarray:
+    """Which of the pairs (row of x, row of y) have to be compared."""
+    n, m = x["n"][i], y["n"][j]
+    open_ = (x["place"][i].astype(np.int64) + y["place"][j]) * down <= (n + m) * up
+    open_ &= np.minimum(n, m) * t.denominator >= np.maximum(n, m) * t.numerator
+    a, b = x["component"][i], y["component"][j]
+    open_ &= (a != b) & ((b == y["main"][j]) | (x["doc_id"][i] < y["doc_id"][j]))
+    with np.errstate(invalid="ignore"):
+        open_ &= ~((x["hub"][i] == y["hub"][j]) & (np.abs(x["far"][i] - y["far"][j]) > float(1 - t) + 1e-9))
+    at = np.flatnonzero(open_)
+    i, j = i[at], j[at]
+    unlike = np.zeros(len(at), np.int64)
+    for c in PARITY:
+        unlike += np.bitwise_count(x[c][i].view(np.uint64) ^ y[c][j].view(np.uint64))
+    return at[unlike * down <= (n + m)[at] * up]
 
 
 def _links(compared: DataFrame, t: Fraction) -> DataFrame:
@@ -195,11 +261,11 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     t, k = Fraction(threshold), shingle_words
     X.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = X.chunk_count(X.text_bytes(docs))
-    dealt = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    requests = dealt.groupBy("chunk").applyInArrow(_request(chunks, k), "chunk int, hash_range int, hashes binary, counts binary")
-    replies = requests.groupBy("hash_range").applyInArrow(_reply, "chunk int, hash_range int, classes binary")
-    rows = X.settle(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_indexed(k, t), _CHUNK_SCHEMA))
+    size = X.text_bytes(docs)
+    chunks, mask = X.chunk_count(size), _leading(size)
+    dealt = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    replies = X.reduce_over_chunks(dealt.groupBy("chunk").applyInArrow(_request(chunks, k, mask), X.MESSAGE), chunks, "sum")
+    rows = X.settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_indexed(k, t, mask), _CHUNK_SCHEMA))
 
     # One set for each fingerprint over all chunks: at most one row a chunk has the same one.
     local = rows.where("f1 is not null").select("local_rep", "n_shingles", "f1", "f2")
@@ -207,14 +273,14 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     reps = X.settle(local.join(whole, ["n_shingles", "f1", "f2"]).select("local_rep", "rep"))
     sets = rows.where("shingles is not null").join(reps.where("local_rep = rep").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "tokens", "places", "bits", "shingles")
 
-    block = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(float(1 / t)))).cast("int")
+    block = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(float(1 / t))) + 1e-9).cast("int")
     lists = sets.select("doc_id", F.col("n_shingles").alias("n"), block.alias("block"), F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("doc_id", "n", "block", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
     shared = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     lists = X.settle(lists.join(shared, "token"))
     hubs = lists.groupBy("token", "block").agg(F.min(F.struct("place", "doc_id")).getField("doc_id").alias("hub"))
-    own = lists.join(hubs, ["token", "block"]).select("doc_id", "hub")
-    following = hubs.join(hubs.select("token", (F.col("block") - 1).alias("block"), F.col("hub").alias("doc_id")), ["token", "block"]).select("doc_id", "hub")
-    stars = own.union(following).where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    own = lists.join(hubs, ["token", "block"]).select("hub", "doc_id")
+    following = hubs.join(hubs.select("token", (F.col("block") - 1).alias("block"), F.col("hub").alias("doc_id")), ["token", "block"]).select("hub", "doc_id")
+    stars = own.union(following).where("doc_id <> hub").toDF("a", "b").distinct()
     first = _compared(stars, sets)
     known = X.settle(X.components(_links(first, t)))
 
@@ -222,28 +288,20 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     named = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("members"))
     main = sizes.groupBy("token").agg(F.max(F.struct("members", "component")).getField("component").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    distance = first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("far"))
-    distance = distance.union(distance.select("hub", "doc_id", "far"))
+    distance = first.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("far"))
     mixed = named.join(main, "token").join(hubs, ["token", "block"]).join(distance, ["doc_id", "hub"], "left").withColumn("far", F.when(F.col("doc_id") == F.col("hub"), 0.0).otherwise(F.col("far")))
-    parity = [f"bits{i}" for i in range(4)]
-    mixed = mixed.join(sets.select("doc_id", *(F.element_at("bits", i + 1).alias(c) for i, c in enumerate(parity))), "doc_id")
-    kept = ["doc_id", "n", "block", "place", "component", "hub", "far", *parity]
-    mixed = X.settle(mixed.select("token", "main", *kept))
-    x = mixed.where("component <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in kept))
-    y = mixed.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in kept))
-    unlike = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in parity), F.lit(0))
-    near = (
-        (F.col("x_component") != F.col("y_component"))
-        & ((F.col("y_component") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id")))
-        & (F.abs(F.col("x_block") - F.col("y_block")) <= 1)
-        & (F.least("x_n", "y_n") * t.denominator >= F.greatest("x_n", "y_n") * t.numerator)
-        # the first shingle that both hold: what stands before it in either is in only one of them
-        & ((F.col("x_place") + F.col("y_place")) * (t.denominator + t.numerator) <= (F.col("x_n") + F.col("y_n")) * (t.denominator - t.numerator))
-        & (unlike * (t.denominator + t.numerator) <= (F.col("x_n") + F.col("y_n")) * (t.denominator - t.numerator))
-        & ((F.col("x_hub") != F.col("y_hub")) | (F.abs(F.col("x_far") - F.col("y_far")) <= float(1 - t) + 1e-9))
-    )
-    rest = x.join(y, "token").where(near).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = mixed.join(sets.select("doc_id", *(F.element_at("bits", i + 1).alias(c) for i, c in enumerate(PARITY))), "doc_id")
+    mixed = X.settle(mixed.select("token", "main", "doc_id", "n", "block", "place", "component", "hub", "far", *PARITY))
+    parts = mixed.groupBy("token").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / LIST_ROWS).cast("int"))
+    units = parts.agg(F.coalesce(F.sum(F.col("members") * F.col("parts")), F.lit(0))).first()[0]
+    parts = parts.drop("members")
+    bucket = F.pmod(F.xxhash64("token", "x", "y"), F.lit(max(1, -(-2 * units // BUCKET_ROWS))))
+    mixed = mixed.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = mixed.where("component <> main").withColumn("left", F.lit(True)).withColumnsRenamed({"part": "x", "other": "y"})
+    y = mixed.withColumn("left", F.lit(False)).withColumnsRenamed({"part": "y", "other": "x"})
+    rest = x.unionByName(y).drop("parts").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_near(t), "a long, b long").distinct()
+    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.join(first, ["a", "b"], "left_anti")
     rest = _compared(rest, sets)
     more = _links(rest, t)
     bridges = more.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
