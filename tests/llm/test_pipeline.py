@@ -1,6 +1,7 @@
 """The pipeline stage by stage on awkward documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.corpus import awkward, words
 from tests.llm.test_text_operators import expected_components, kept
@@ -9,9 +10,12 @@ pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+CLASHES = "rejected held_out lang_pred cross_entropy n_words n_removed kept_sha256 position copy copies carried row c0 at tie place spans regions through before goal slope".split() + ["with.dot"]
+
+
 def test_stages(spark, make, tmp_path):
     rows = [(i, t, "en", "abc"[i % 3]) for i, t in awkward(11)]
-    docs = make(rows, clash=False)
+    docs = make(rows).withColumns({c: F.lit("clash") for c in CLASHES})
     columns = docs.columns
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -22,6 +26,8 @@ def test_stages(spark, make, tmp_path):
         path = str(tmp_path / name)
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.where(" or ".join(f"`{c}` is distinct from 'clash'" for c in CLASHES)).count() == 0
         seen[name] = before.collect(), docs.collect()
     before, after = seen["language ID"]
     lettered = {r["doc_id"] for r in before if r["text"] and any(map(str.isalpha, r["text"]))}
@@ -40,7 +46,16 @@ def test_stages(spark, make, tmp_path):
 
 
 def test_repeated_rows_and_empty(spark, make, tmp_path):
-    docs = make([(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (0, "a b c d e f", "en"), (None, "p q r", "en")], clash=False)
+    docs = make([(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (0, "a b c d e f", "en"), (None, "p q r", "en")], clash=True)
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 0), (True, 0)]
-    assert corpus_pipeline.near_duplicates(spark, make([], clash=False), "").count() == 0
+    assert corpus_pipeline.near_duplicates(spark, make([], clash=True), "").count() == 0
+
+
+def test_stages_on_empty_tables(spark, make):
+    docs = make([])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns

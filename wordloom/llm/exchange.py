@@ -219,12 +219,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_settled(spark: SparkSession, first: int = 0) -> None:
-    """Delete the settled tables of this process from the first-th on; no result that is still to be computed may need them."""
-    for path in _settled[first:]:
+def remove_settled(spark: SparkSession, first: int, last: int) -> None:
+    """Delete this process's settled tables from the first-th up to the last-th; no result that is still to be computed may need them."""
+    for path in _settled[first:last]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _settled[first:]
+    del _settled[first:last]
 
 
 def settled_count() -> int:

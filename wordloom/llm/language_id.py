@@ -2,11 +2,14 @@
 
 Method: one interpolated Kneser-Ney model of characters per language.
 
-1. Training counts come from labelled documents: per language, at most
-   TRAIN_CHARS characters in an order fixed by a hash of the id. All orders up to
-   ORDER are counted; below the highest, Kneser-Ney counts distinct left
-   contexts instead of occurrences. Absolute discounts are estimated per order
-   from the numbers of n-grams seen once and twice.
+1. Training counts come from labelled documents: of each language, documents in
+   an order fixed by a hash of the id until sample_chars() characters are reached.
+   Every language that has a label is learned, however many there are; as the
+   model holds a column per language, the more there are the less text of each is
+   taken, so that its size stays near MODEL_CELLS. All orders up to ORDER are
+   counted; below the highest, Kneser-Ney counts distinct left contexts instead
+   of occurrences. Absolute discounts are estimated per order from the numbers of
+   n-grams seen once and twice.
 2. The interpolated probability of every n-gram that any language has seen, and
    the backoff weight of every context, are computed once and stored in arrays
    sorted by n-gram hash, one column per language. Their size is bounded by the
@@ -15,18 +18,21 @@ Method: one interpolated Kneser-Ney model of characters per language.
    order by order for those that no language has, and sums log-probabilities per
    text. The language with the lowest cross-entropy per character wins. The score
    is the softmax of the mean log-probabilities, scaled by the root of the length.
-4. Rejection is calibrated on training documents: a text is rejected if it has no
-   letter, or if it has at least LEAST_SYMBOLS symbols and its best cross-entropy
-   exceeds REJECT_FACTOR times the largest that the language's own training texts
-   of that length have, by a margin that narrows with the root of its length. A
-   shorter text says too little to be turned away.
+4. Rejection is calibrated on texts that training does not see, one in
+   CALIBRATE of the sample. A text of n symbols is rejected if it has no letter, or
+   if its best cross-entropy exceeds a + b / sqrt(n): a is REJECT_FACTOR times the
+   largest cross-entropy of the language's calibration texts, and b the least with
+   which no piece of them, whatever its length, is rejected. So the margin widens
+   for short texts by what short pieces of the language need.
 
 Letters are lower-cased, runs of white space are one space, digits are one
 symbol. Whole texts are scored.
 
 Defined results: a null text, or one without any letter, is `und` with score 0
 and is rejected. Without any training text every text is `und`. Null languages
-are never learned. Extra columns are ignored; an empty table gives an empty
+are never learned. Of a training document longer than its language's whole sample,
+so many characters are read. A language without a calibration text has the widest
+limits of all others, or none. Extra columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -39,19 +45,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window
 
 from wordloom.llm import textblocks as T
-from wordloom.llm.exchange import small_batches
+from wordloom.llm.exchange import loose, packed, small_batches
 
 UNKNOWN = "und"
 ORDER = 4
-#: Bounds of the labelled sample: characters per language in all, documents per language, and characters of one document.
+#: Bounds of the labelled sample: characters of a language at most and at least, and entries of the model.
 TRAIN_CHARS = 400_000
-TRAIN_DOCS = 400
-DOC_CHARS = 20_000
-MOST_LANGUAGES = 1000
+LEAST_CHARS = 50
+MODEL_CELLS = 1 << 26
+#: One text in so many calibrates rejection; from each language, so many pieces of each length at most.
+CALIBRATE = 5
+PIECES = 200
+PIECE_SYMBOLS = (2, 4, 8, 16, 32, 64)
 REJECT_FACTOR = 1.5
-LEAST_SYMBOLS = 20
 _SYMBOLS = 21  # bits of a code point
 
 
@@ -117,8 +127,8 @@ class Model:
     probs: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    limits: np.ndarray
     floor: np.ndarray
+    limits: np.ndarray  # (languages, 2): a and b of the rejection limit a + b / sqrt(n)
 
 
 def _order(own: list[np.ndarray], n: int) -> tuple[np.ndarray, ...]:
@@ -185,12 +195,27 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
         probs.append(np.log(below[1]).astype(np.float32))
         contexts.append(heads)
         backoff.append(np.log(weight).astype(np.float32))
-    model = Model(languages, hashes, probs, contexts, backoff, np.full(n_languages, np.inf), np.log(floor))
-    limits = []
-    for i, language in enumerate(languages):
-        means = [-sums[i] / max(1, n) for sums, n in score(model, texts[language]) if n >= LEAST_SYMBOLS]
-        limits.append(max(means, default=np.inf) * REJECT_FACTOR)
-    model.limits = np.array(limits)
+    return Model(languages, hashes, probs, contexts, backoff, np.log(floor), np.full((n_languages, 2), np.inf))
+
+
+def calibrated(model: Model, texts: dict[str, list[str]]) -> Model:
+    """The model with limits from texts that it was not trained on."""
+    limits = np.full((len(model.languages), 2), np.nan)
+    for i, language in enumerate(model.languages):
+        own = [t for t in texts.get(language, ()) if has_letter(t)]
+        if not own:
+            continue
+        whole = REJECT_FACTOR * max(-sums[i] / n for sums, n in score(model, own))
+        whole_text, margin = " ".join(own), 0.0
+        for size in PIECE_SYMBOLS:
+            step = max(size, len(whole_text) // PIECES)
+            pieces = [p for at in range(0, len(whole_text), step) if has_letter(p := whole_text[at : at + size])]
+            for sums, n in score(model, pieces):
+                margin = max(margin, (-sums[i] / n - whole) * np.sqrt(n))
+        limits[i] = whole, margin
+    known = ~np.isnan(limits[:, 0])
+    limits[~known] = limits[known].max(axis=0) if known.any() else np.inf
+    model.limits = limits
     return model
 
 
@@ -253,23 +278,32 @@ def score(model: Model, texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
         yield from flush()
 
 
-def training_texts(docs: DataFrame) -> dict[str, list[str]]:
-    """A bounded sample of labelled documents per language, fixed by a hash of the id; held-out rows take no part."""
+def sample_chars(languages: int) -> int:
+    """Characters taken of each of so many languages."""
+    return max(LEAST_CHARS, min(TRAIN_CHARS, MODEL_CELLS // languages**2))
+
+
+def training_texts(docs: DataFrame) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Texts of each language to train and to calibrate on: a bounded sample, fixed by a hash of the id; held-out rows take no part."""
     labelled = docs.where(~held_out(3, 1) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs")).collect()
     if not counts:
-        return {}
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * TRAIN_DOCS / r["count"]))))
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    some = labelled.withColumn("turn", turn).where(F.col("turn") < F.element_at(share, F.col("lang")))
-    rows = some.select("lang", F.struct("turn", "doc_id").alias("place"), F.substring("text", 1, DOC_CHARS).alias("text")).limit(2 * TRAIN_DOCS * len(counts)).collect()
-    texts: dict[str, list[str]] = {}
-    sizes: dict[str, int] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["place"]["turn"], r["text"])):
-        if len(texts.get(row["lang"], ())) < TRAIN_DOCS and has_letter(row["text"]) and sizes.get(row["lang"], 0) < TRAIN_CHARS:
-            texts.setdefault(row["lang"], []).append(row["text"])
-            sizes[row["lang"]] = sizes.get(row["lang"], 0) + len(row["text"])
-    return texts
+        return {}, {}
+    most = sample_chars(len(counts))
+    # documents enough for the sample twice over and twenty more, so that no language is sorted whole
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * most / r["chars"] + 20 / r["docs"])) for r in counts], "lang string, share double")
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    some = labelled.withColumn("turn", turn).join(shares, "lang").where(F.col("turn") < F.col("share"))
+    order = Window.partitionBy("lang").orderBy(F.length("text") > most, "turn", "doc_id", "text")
+    before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("nth", F.row_number().over(order)).where(F.col("before") < most)
+    train_on: dict[str, list[str]] = {}
+    hold: dict[str, list[str]] = {}
+    for row in sorted(some.select("lang", "nth", F.substring("text", 1, most).alias("text")).collect(), key=lambda r: (r["lang"], r["nth"])):
+        if has_letter(row["text"]):
+            into = hold if row["nth"] % CALIBRATE == 0 else train_on
+            into.setdefault(row["lang"], []).append(row["text"])
+    return train_on, hold
 
 
 def _predict(shared, carry: list[str]):
@@ -285,24 +319,24 @@ def _predict(shared, carry: list[str]):
                 best[i] = model.languages[top]
                 scores[i] = float(1 / np.exp((means - means[top]) * np.sqrt(n)).sum())
                 entropy[i] = float(-means[top])
-                reject[i] = bool(n >= LEAST_SYMBOLS and entropy[i] > model.limits[top] * (1 + n**-0.5))
+                reject[i] = bool(entropy[i] > model.limits[top, 0] + model.limits[top, 1] * n**-0.5)
             columns = [batch.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(entropy, pa.float64()), pa.array(reject, pa.bool_())], [*carry, "lang_pred", "score", "cross_entropy", "rejected"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, carried columns, lang_pred, score, cross_entropy, rejected for each row of docs(doc_id, text, lang)."""
+def identify(docs: DataFrame, model: Model | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, cross_entropy, rejected for each row of docs(doc_id, text, lang); with `carry`, also those columns as the struct `carried`."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    text = F.col("text").cast("string").alias("text")
     if model is None:
-        texts = training_texts(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")))
-        model = train(texts) if texts else None
+        train_on, hold = training_texts(docs.select("doc_id", text, F.col("lang").cast("string").alias("lang")))
+        model = calibrated(train(train_on), hold) if train_on else None
     shared = spark.sparkContext.broadcast(model)
-    kept = ["doc_id", "held_out", *carry]
-    named = docs.withColumn("held_out", held_out(3, 1)).select(*dict.fromkeys([*kept, "text"]))
-    kinds = {f.name: f.dataType.simpleString() for f in named.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    return named.mapInArrow(_predict(shared, kept), schema)
+    own = docs.select("doc_id", held_out(3, 1).alias("held_out"), text, *([packed(docs, carry).alias("carried")] if carry is not None else []))
+    kept = [c for c in own.columns if c != "text"]
+    found = StructType.fromDDL("lang_pred string, score double, cross_entropy double, rejected boolean")
+    schema = StructType([*(StructField(f.name, loose(f.dataType)) for f in own.schema if f.name != "text"), *found])
+    return own.mapInArrow(_predict(shared, kept), schema)

@@ -7,7 +7,7 @@ Method (DataFrame and SQL functions only):
    source's target is its share by weight, at most twice its size, what exceeds
    that being shared again by weight (water-filling, solved in closed form).
 2. A source's documents stand in a fixed pseudo-random order, by the MD5 of
-   their id. Their cumulative sizes are summed in two levels, over 4,096 hash
+   their id and text. Their cumulative sizes are summed in two levels, over 4,096 hash
    buckets and then within each bucket, so that no source is one task. The mix
    runs through that order until the target is reached, at most twice.
 3. A source's weight may rise or fall over training: its rate at time t is
@@ -19,7 +19,7 @@ The last document that a source takes may be taken in part, so that the words
 taken are the target rounded down.
 
 Defined results: a null or empty text has size 0 and takes nothing. A null
-doc_id is hashed as an empty string. Equal rows are interchangeable and share
+doc_id is hashed as an empty string beside its text. Equal rows are interchangeable and share
 the words of both. Extra columns are ignored unless carried. An empty table
 gives an empty result.
 """
@@ -66,12 +66,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", target.alias("target"), F.floor(target).cast("long").alias("goal"), "slope")
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, first_position, second_position and carried columns."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *(F.col(c).alias(f"carried_{c}") for c in carry))
-    if not carry:
-        sized = X.settle(sized)
+def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, first_position, second_position; with `carry`, also those columns as the struct `carried`."""
+    # rows that share an id, or have none, go by their text, so that no id is one window
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).cast("binary"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *([X.packed(docs, carry).alias("carried")] if carry is not None else []))
+    sized = X.settle(sized)
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")
     targets = source_targets(buckets).withColumnRenamed("source", "of")
@@ -86,29 +86,42 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return placed.select(
         "doc_id", "size", "source_size", "target", (part(at) + part(again)).cast("long").alias("taken"),
         F.when(part(at) > 0, _position(at)).alias("first_position"), F.when(part(again) > 0, _position(again)).alias("second_position"),
-        *(F.col(f"carried_{c}").alias(c) for c in carry),
+        *(["carried"] if carry is not None else []),
     )
 
 
+def by_position(mixed: DataFrame) -> DataFrame:
+    """Documents range-sorted by the position of their first copy; those that the mix leaves out come last."""
+    out = mixed.columns
+    far = F.coalesce("first_position", F.lit(2.0))  # positions are at most 1
+    keyed = mixed.withColumn("at", far).repartitionByRange("at", "doc_id", "size")
+    return keyed.sortWithinPartitions("at", "doc_id", "size").select(*out)
+
+
 def training_order(docs: DataFrame) -> DataFrame:
-    """A row of docs for each copy that the mix takes, range-sorted by training position; a copy taken in part keeps its first words, joined by spaces."""
-    columns = docs.columns
-    mixed = mix(docs, tuple(c for c in columns if c != "doc_id"))
+    """A row of docs for each copy that the mix takes, range-sorted by training position; a copy taken in part keeps its first words, joined by spaces.
+
+    Positions are found without the texts, which are joined to them once.
+    """
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = X.settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), F.col("source").alias("source"), X.packed(docs, own).alias("carried")))
+    mixed = mix(rows.select("row", "doc_id", "text", "source"), ["row"]).where(F.col("first_position").isNotNull())
     first = F.least("size", "taken")
     copies = F.array(F.struct(F.col("first_position").alias("position"), first.alias("words")), F.struct(F.col("second_position").alias("position"), (F.col("taken") - first).alias("words")))
-    each = mixed.withColumn("copy", F.explode(F.filter(copies, lambda c: c["position"].isNotNull())))
+    mixed = X.settle(mixed.select(F.col("carried")["c0"].alias("row"), "size", F.filter(copies, lambda c: c["position"].isNotNull()).alias("copies")))
+    each = rows.drop("source").join(mixed, "row").select("doc_id", "text", "carried", "size", F.explode("copies").alias("copy"))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int"))
     text = F.when(F.col("copy.words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
-    each = each.withColumn("text", text).withColumn("position", F.col("copy.position"))
-    if "n_chars" in columns:
-        each = each.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return each.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*columns)
+    each = each.select("doc_id", text.alias("text"), F.col("copy.position").alias("position"), "carried")
+    each = each.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    size = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
+    return each.select("doc_id", "text", *size, *X.unpacked(own)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank

@@ -30,9 +30,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.mixing import mix
+    from wordloom.llm.mixing import by_position, mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return by_position(mix(table(spark, sf_dir, "documents")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
