@@ -10,49 +10,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.exchange import settle
+
+def _names(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; `lang` becomes the language found in the text."""
+    """Documents whose language is recognised; `lang` becomes the language found in the text.
+
+    A null or empty text, and one without a letter, goes. Equal rows stay or go
+    together. Further columns stay as they are, whatever their names; an empty
+    table stays empty.
+    """
+    from wordloom.llm.exchange import unpacked
     from wordloom.llm.language_id import identify
 
     own = [c for c in docs.columns if c not in ("doc_id", "lang")]
-    named = identify(docs, carry=("lang", *own))
-    return named.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    named = identify(docs, carry=own).where(~F.col("rejected"))
+    return named.select("doc_id", F.col("lang_pred").alias("lang"), *unpacked(own)).select(*_names(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, once."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id, once.
+
+    Texts without words, and rows without doc_id, are in no group and stay. Of
+    rows that share a doc_id one stays. Further columns are those of the row that
+    stays, whatever their names; an empty table stays empty.
+    """
+    from wordloom.llm.exchange import packed, settle, unpacked
     from wordloom.llm.jaccard_join import jaccard_components
 
     groups = settle(jaccard_components(docs))
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    own = [c for c in docs.columns if c != "doc_id"]
+    kept = docs.select("doc_id", packed(docs, own).alias("carried")).join(dropped, "doc_id", "left_anti")
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    stay = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return stay.select("doc_id", *unpacked(own)).select(*_names(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated passages; one of which nothing is left stays, with an empty text."""
+    """Documents without the words of repeated passages; one of which nothing is left stays, with an empty text.
+
+    A null text becomes empty; n_chars follows the text. Equal rows keep what the
+    operator says of rows with one doc_id. Further columns stay as they are,
+    whatever their names; an empty table stays empty.
+    """
+    from wordloom.llm.exchange import unpacked
     from wordloom.llm.substring_dedup import dedup_substrings
 
-    kept = dedup_substrings(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = dedup_substrings(docs, carry=own)
+    size = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
+    return kept.select("doc_id", "text", *size, *unpacked(own)).select(*_names(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix of sources takes, in training order."""
+    """A row for each copy that the mix of sources takes, in training order.
+
+    A text without words is taken by no source's demand and goes; a null source
+    is a source of its own. Further columns stay as they are, whatever their
+    names; an empty table stays empty.
+    """
     from wordloom.llm.mixing import training_order
 
     return training_order(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all copies and their places in sequences."""
+    """The pieces of all copies and their places in sequences.
+
+    A null or empty text is its end id alone; equal rows are pieces of their own.
+    Further columns are left out; an empty table gives no piece.
+    """
     import public_tokenizers
 
     from wordloom.llm.packing import pack
@@ -73,9 +104,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage settles for itself is removed when its output is written."""
+    from wordloom.llm import exchange
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = exchange.settled_count()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = settle(docs)
+            docs = exchange.settle(docs)
+            exchange.remove_settled(spark, before, exchange.settled_count() - 1)
     return docs
