@@ -5,17 +5,20 @@ Method: external index merge.
 1. A payload's SHA-1 and size come from the text columns. Where pages share a
    payload of at least 1,000 bytes, the one with the largest page_id is stored
    as a response and the others as revisits of it; that choice is a partial
-   aggregation and a join salted by page, so that one payload in a third of all
+   aggregation and a join in which a payload of more pages than SALT_ROWS is
+   dealt over as many parts as it needs, so that one payload in a third of all
    pages is no single task.
 2. Each task writes its records, gzip member by member, to archive files in the
    shared folder, under a name that no other attempt uses. Only files that a
    finished task reports exist for what follows.
-3. The archives are read back record by record. Digests of stored payloads are
-   computed anew and must equal the header's. Each archive gives one capture
-   run, sorted by URL key, time and page.
-4. Runs are cut by ranges of that key, balanced within a URL too, and each range
-   merges its runs with a loser tree. The ranges in order are the capture
-   history of every URL.
+3. The archives are read back record by record, each by a task of its own.
+   Digests of stored payloads are computed anew and must equal the header's. An
+   archive's captures are sorted by URL key, time and page RUN_ROWS at a time;
+   each such run is written out in that order, numbered within it.
+4. Runs are cut by ranges of that key, balanced within a URL too. A range's part
+   of a run is put back in the order of its numbers, not sorted by key again, and
+   each range merges its parts with a loser tree. The ranges in order are the
+   capture history of every URL.
 
 Defined results: a null html is an empty payload. A null url is archived
 without a target and sorts first. Rows with equal page_id and payload are alike:
@@ -31,11 +34,12 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
-from itertools import count
+from itertools import count, islice, pairwise
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
@@ -45,11 +49,15 @@ from wordloom.llm import exchange as X
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
-SALTS = 16
-#: Captures merged by one task.
+#: Pages of one payload that are joined with its response together, or a share of all pages by which at most so many payloads are dealt over parts.
+SALT_ROWS = 50_000
+MOST_DEALT = 100_000
+#: Captures of a run, and captures merged by one task.
+RUN_ROWS = 20_000
 RANGE_ROWS = 50_000
+BLOCK_ROWS = 4096
 
-_RUN = "url_key string, captured string, page_id long, archive string, record_offset long, record_type string, payload_digest string, payload_bytes long, refers_to long"
+_RUN = "url_key string, captured string, page_id long, archive string, record_offset long, record_type string, payload_digest string, payload_bytes long, refers_to long, run long, number long"
 _NAMES = [c.split()[0] for c in _RUN.split(", ")]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -105,7 +113,7 @@ def parse(raw: bytes) -> dict:
     return {"url_key": url_key(fields.get("WARC-Target-URI")), "captured": fields["WARC-Date"], "page_id": number("WARC-Record-ID"), "record_type": kind, "payload_digest": digest, "payload_bytes": size, "refers_to": number("WARC-Refers-To")}
 
 
-def _write(folder: str):
+def _write(folder: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = pyarrow.fs.FileSystem.from_uri(folder)
         system.create_dir(path)
@@ -120,7 +128,7 @@ def _write(folder: str):
                 member = squeeze.compress(record(page_id, url, (html or "").encode(), digest, n, refers_to)) + squeeze.flush()
                 out.write(member)
                 size += len(member)
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     out.close()
                     done.append(name)
                     out = None
@@ -152,19 +160,27 @@ def records(stream) -> Iterator[tuple[int, bytes]]:
         at += used
 
 
-def _runs(folder: str):
+def _runs(folder: str, run_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
                 with system.open_input_stream(archive, compression=None) as stream:
-                    rows = [parse(raw) | {"archive": archive, "record_offset": at} for at, raw in records(stream)]
-                rows.sort(key=_order)
-                yield pa.RecordBatch.from_pydict({c: [r[c] for r in rows] for c in _NAMES}, schema=_schema())
+                    read = ({**parse(raw), "archive": archive, "record_offset": at} for at, raw in records(stream))
+                    for n in count():
+                        rows = sorted(islice(read, run_rows), key=_order)
+                        if not rows:
+                            break
+                        for at in range(0, len(rows), BLOCK_ROWS):
+                            yield _batch([r | {"run": n, "number": at + i} for i, r in enumerate(rows[at : at + BLOCK_ROWS])])
 
     return run
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: [r[c] for r in rows] for c in _NAMES}, schema=_schema())
+
+
 def _schema() -> pa.Schema:
     return pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in _RUN.split(", ")])
 
@@ -173,14 +189,15 @@ def _order(row: dict) -> tuple:
     return row["url_key"], row["captured"], row["page_id"] is not None, row["page_id"] or 0, row["archive"], row["record_offset"]
 
 
-def loser_tree(runs: list[list], key) -> Iterator:
+def loser_tree(runs: list[Iterable], key) -> Iterator:
     """The items of sorted runs in order. Each inner node keeps the loser of its match, so that an item costs one match a level."""
     if not runs:
         return
     width = 1 << max(0, (len(runs) - 1).bit_length())
-    places = [0] * width
+    sources = [iter(r) for r in runs] + [iter(())] * (width - len(runs))
     last = object()
-    keys = [key(runs[i][0]) if i < len(runs) and runs[i] else last for i in range(width)]
+    heads = [next(r, last) for r in sources]
+    keys = [last if h is last else key(h) for h in heads]
 
     def beats(a: int, b: int) -> bool:
         return keys[a] is not last and (keys[b] is last or (keys[a], a) < (keys[b], b))
@@ -199,9 +216,9 @@ def loser_tree(runs: list[list], key) -> Iterator:
         winners = following
     best = winners[0]
     while keys[best] is not last:
-        yield runs[best][places[best]]
-        places[best] += 1
-        keys[best] = key(runs[best][places[best]]) if places[best] < len(runs[best]) else last
+        yield heads[best]
+        heads[best] = next(sources[best], last)
+        keys[best] = last if heads[best] is last else key(heads[best])
         node = (width + best) >> 1
         while node:
             if beats(losers[node], best):
@@ -209,43 +226,66 @@ def loser_tree(runs: list[list], key) -> Iterator:
             node >>= 1
 
 
+def _rows(table: pa.Table) -> Iterator[dict]:
+    """A run's part, a block of rows in memory at a time."""
+    for batch in table.to_batches(BLOCK_ROWS):
+        yield from batch.to_pylist()
+
+
+def _rows(table: pa.Table) -> Iterator[dict]:
+    """A run's part, a block of rows in memory at a time."""
+    for batch in table.to_batches(BLOCK_ROWS):
+        yield from batch.to_pylist()
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the index: the runs' parts in it, merged."""
-    runs: dict[str, list[dict]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            runs.setdefault(row["archive"], []).append(row)
-    parts = [sorted(rows, key=_order) for _, rows in sorted(runs.items())]  # a part may arrive in several blocks
+    """One range of the index: the runs' parts in it, one after the other and each in its order, merged."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    archive, run = table.column("archive").combine_chunks().dictionary_encode().indices.to_numpy(), table.column("run").to_numpy()
+    changes = np.flatnonzero((np.diff(archive) != 0) | (np.diff(run) != 0)) + 1
+    starts = [0, *changes.tolist(), len(run)]
+    parts = [_rows(table.slice(a, b - a)) for a, b in pairwise(starts)]
     some: list[dict] = []
     for row in loser_tree(parts, _order):
         some.append(row)
-        if len(some) == 4096:
-            yield pa.RecordBatch.from_pylist(some, schema=_schema())
+        if len(some) == BLOCK_ROWS:
+            yield _batch(some)
             some = []
-    yield pa.RecordBatch.from_pylist(some, schema=_schema())
+    if some:
+        yield _batch(some)
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(page_id, url, html, digest, n, refers_to): refers_to is null where a record is a response."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
-    copies = pages.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies"))
-    heads = copies.where("copies > 1 and head is not null").select("digest", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    joined = pages.withColumn("salt", salt.cast("long")).join(X.settle(heads), ["digest", "salt"], "left")
+    copies = X.settle(pages.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1 and head is not null"))
+    limit = max(SALT_ROWS, copies.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // MOST_DEALT)
+    dealt = copies.where(F.col("copies") > limit).select("digest", F.ceil(F.col("copies") / limit).alias("parts"))
+    # at most MOST_DEALT rows, as their copies sum to all pages at most
+    salted = pages.join(F.broadcast(dealt), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / limit) - 1))
+    heads = copies.select("digest", "head", F.when(F.col("copies") > limit, F.lit(True)).alias("many"), "copies")
+    heads = heads.where("many").select("digest", "head", salts.alias("salt")).union(heads.where("many is null").select("digest", "head", F.lit(0).cast("long")))
+    joined = salted.join(heads, ["digest", "salt"], "left")
     return joined.select("page_id", "url", "html", "digest", "n", F.when(F.col("page_id").isNull() | (F.col("head") != F.col("page_id")), F.col("head")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """(archive): the WARC files written to the folder for pages(page_id, url, html)."""
-    return X.settle(with_revisits(pages).mapInArrow(_write(folder), "archive string"))
+    return X.settle(with_revisits(pages).mapInArrow(_write(folder, ARCHIVE_BYTES), "archive string"))
 
 
 def capture_index(archives: DataFrame, folder: str) -> DataFrame:
     """The records of the archives in global order of (url_key, captured, page_id)."""
-    runs = X.settle(archives.repartition("archive").mapInArrow(_runs(folder), _RUN))
+    n = max(1, archives.count())  # a number of partitions that is not joined up again: one archive is a task's work
+    runs = X.settle(archives.repartitionByRange(n, "archive").mapInArrow(_runs(folder, RUN_ROWS), _RUN))
     ranges = max(1, -(-runs.count() // RANGE_ROWS))
-    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "record_offset").mapInArrow(_merge, _RUN)
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "record_offset")
+    return dealt.sortWithinPartitions("archive", "run", "number").mapInArrow(_merge, _RUN)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
