@@ -7,10 +7,12 @@ Method:
 2. Unit vectors are rotated to the principal axes of a bounded sample, those with
    most variance first. A rotation keeps every inner product, so the sample only
    decides how soon comparisons stop.
-3. Classes are dealt into tiles of bounded size; each pair of tiles is one task's
-   work, packed, without a row per pair. Leading dimensions are multiplied first;
-   by Cauchy-Schwarz the rest adds at most the product of the suffix norms. Pairs
-   whose bound stays below the threshold stop there; the others take further
+3. Classes are dealt into tiles of bounded size, and tiles into squares of
+   SQUARE tiles a side. A square is one task's work: its tiles arrive in a stream,
+   those of its rows are held and each of its columns meets them in turn. A tile is
+   sent once for every square that it is part of. Leading dimensions are multiplied
+   first; by Cauchy-Schwarz the rest adds at most the product of the suffix norms.
+   Pairs whose bound stays below the threshold stop there; the others take further
    dimensions, and what remains is decided on the original vectors in doubles.
 4. A tile pair returns each vector's number of links and a spanning forest of its
    links, not the links themselves; the forests' components are those of all
@@ -18,7 +20,8 @@ Method:
 
 The comparison is quadratic in the number of distinct vectors, with a small
 constant: exact search at this threshold over vectors without structure leaves
-no whole tile to skip. Tasks stay of equal size at any input size.
+no whole tile to skip. A task's memory and input do not grow with the input, the
+number of tasks and what is sent do, with its square over TILE_ROWS * SQUARE.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component. A row without vec_id
@@ -29,6 +32,8 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +45,8 @@ from wordloom.llm.vectors import matrix, shape, usable_vectors
 THRESHOLD = 0.9
 #: Classes of a tile, rows of an inner block, and the rows that principal axes are fitted on.
 TILE_ROWS = 8192
+#: Tiles of a square's side.
+SQUARE = 4
 BLOCK_ROWS = 1024
 SAMPLE_ROWS = 20_000
 STEP = 16
@@ -77,32 +84,39 @@ def principal_axes(vectors: DataFrame, width: int, rows: int) -> np.ndarray:
     turn = F.pmod(F.xxhash64("least"), F.lit(1 << 30))
     some = vectors.where(turn < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, rows)))).select("v").limit(SAMPLE_ROWS).toArrow()
     sample = matrix(some.column("v").cast(pa.list_(pa.float64())), width) if some.num_rows else np.zeros((0, width))
-    norms = np.linalg.norm(sample, axis=1, keepdims=True)
-    sample = sample / np.where(norms > 0, norms, 1)
+    sample = sample / np.abs(sample).max(axis=1, keepdims=True, initial=np.finfo(float).tiny)
+    sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), np.finfo(float).tiny)
     return np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
 
 
-def _tiles(tiles: int, width: int):
+def _packed(width: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """A tile packed once for each pair of tiles that it is part of."""
-        tile = key[0].as_py()
+        """A tile in one row."""
         names = [np.ascontiguousarray(table.column(c).to_numpy()).tobytes() for c in ("class", "least", "copies")]
-        data = matrix(table.column("v"), width).tobytes()
-        n = tiles
-        return pa.table({
-            "low": pa.array([min(tile, other) for other in range(n)], pa.int32()),
-            "high": pa.array([max(tile, other) for other in range(n)], pa.int32()),
-            "tile": pa.array([tile] * n, pa.int32()),
-            **{c: pa.array([b] * n, pa.binary()) for c, b in zip(("class", "least", "copies", "data"), [*names, data], strict=True)},
-        })
+        blobs = zip(("class", "least", "copies", "data"), [*names, matrix(table.column("v"), width).tobytes()], strict=True)
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([b], pa.binary()) for c, b in blobs}})
 
     return run
 
 
+def _squares(packed: DataFrame, tiles: int) -> DataFrame:
+    """(low, high, column, tile, ...): each tile as a row and as a column of every square on or above the diagonal that it is part of."""
+    sides = -(-tiles // SQUARE)
+    own = F.floor(F.col("tile") / SQUARE).cast("int")
+    as_row = packed.withColumn("low", own).withColumn("column", F.lit(False)).withColumn("high", F.explode(F.sequence(own, F.lit(sides - 1))))
+    as_column = packed.withColumn("high", own).withColumn("column", F.lit(True)).withColumn("low", F.explode(F.sequence(F.lit(0), own)))
+    both = as_row.unionByName(as_column)
+    # the squares on or above the diagonal, numbered by column, are the partitions
+    square = (F.col("high") * (F.col("high") + 1) / 2 + F.col("low")).cast("int")
+    return both.withColumn("square", square).repartitionById(sides * (sides + 1) // 2, "square").sortWithinPartitions("square", "column", "tile")
+
+
 class _Tile:
     def __init__(self, row: dict, width: int, axes: np.ndarray) -> None:
+        self.number = row["tile"]
         self.classes, self.least, self.copies = (np.frombuffer(row[c], np.int64) for c in ("class", "least", "copies"))
         data = np.frombuffer(row["data"], np.float64).reshape(-1, width)
+        data = data / np.abs(data).max(axis=1, keepdims=True)  # no square over- or underflows
         self.unit = data / np.linalg.norm(data, axis=1, keepdims=True)
         self.turned = (self.unit @ axes).astype(np.float32)
         squares = np.cumsum(self.turned[:, ::-1].astype(np.float64) ** 2, axis=1)[:, ::-1]
@@ -148,25 +162,41 @@ def _labels(n: int, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarr
             return label
 
 
-def _compare(width: int, axes: np.ndarray, threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        sides = [_Tile(row, width, axes) for row in sorted(table.to_pylist(), key=lambda r: r["tile"])]
-        a, b = sides[0], sides[-1]
-        same = a is b
-        shift = 0 if same else len(a.unit)
-        links = np.zeros(shift + len(b.unit), np.int64)
-        label = np.arange(len(links))
-        for i in range(0, len(a.unit), BLOCK_ROWS):
-            for j in range(i if same else 0, len(b.unit), BLOCK_ROWS):
-                x, y = _linked(a, b, slice(i, min(i + BLOCK_ROWS, len(a.unit))), slice(j, min(j + BLOCK_ROWS, len(b.unit))), threshold)
-                if len(x):
-                    np.add.at(links, x, b.copies[y])
-                    np.add.at(links, y + shift, a.copies[x])
-                    label = _labels(len(label), x, y + shift, label)
-        classes = a.classes if same else np.concatenate((a.classes, b.classes))
-        least = a.least if same else np.concatenate((a.least, b.least))
-        some = np.flatnonzero(links)
-        return pa.table({"class": pa.array(classes[some]), "links": pa.array(links[some]), "a": pa.array(least[some]), "b": pa.array(least[label[some]])})
+def _met(a: _Tile, b: _Tile, threshold: float, block: int) -> pa.RecordBatch:
+    """The links of two tiles, or within one, by class: their numbers and a spanning forest."""
+    same = a is b
+    shift = 0 if same else len(a.unit)
+    links = np.zeros(shift + len(b.unit), np.int64)
+    label = np.arange(len(links))
+    for i in range(0, len(a.unit), block):
+        for j in range(i if same else 0, len(b.unit), block):
+            x, y = _linked(a, b, slice(i, min(i + block, len(a.unit))), slice(j, min(j + block, len(b.unit))), threshold)
+            if len(x):
+                np.add.at(links, x, b.copies[y])
+                np.add.at(links, y + shift, a.copies[x])
+                label = _labels(len(label), x, y + shift, label)
+    classes = a.classes if same else np.concatenate((a.classes, b.classes))
+    least = a.least if same else np.concatenate((a.least, b.least))
+    some = np.flatnonzero(links)
+    return pa.RecordBatch.from_pydict({"class": pa.array(classes[some]), "links": pa.array(links[some]), "a": pa.array(least[some]), "b": pa.array(least[label[some]])})
+
+
+def _compare(width: int, axes: np.ndarray, threshold: float, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[_Tile] = []
+        square = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["square"] != square:
+                    square, rows = row["square"], []
+                if not row["column"]:
+                    rows.append(_Tile(row, width, axes))
+                    continue
+                other = next((t for t in rows if t.number == row["tile"]), None) or _Tile(row, width, axes)
+                for tile in rows:
+                    if tile.number <= other.number:
+                        yield _met(tile, other, threshold, block)
 
     return run
 
@@ -186,8 +216,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     n = classes.count()
     tiles = max(1, -(-n // TILE_ROWS))
     axes = principal_axes(classes, width, n)
-    packed = classes.withColumn("tile", F.pmod(F.xxhash64("class"), F.lit(tiles)).cast("int")).groupBy("tile").applyInArrow(_tiles(tiles, width), "low int, high int, tile int, class binary, least binary, copies binary, data binary")
-    met = X.settle(packed.groupBy("low", "high").applyInArrow(_compare(width, axes, threshold), "class long, links long, a long, b long"))
+    packed = X.settle(classes.withColumn("tile", F.pmod(F.xxhash64("class"), F.lit(tiles)).cast("int")).groupBy("tile").applyInArrow(_packed(width), "tile int, class binary, least binary, copies binary, data binary"))
+    met = X.settle(_squares(packed, tiles).mapInArrow(_compare(width, axes, threshold, BLOCK_ROWS), "class long, links long, a long, b long"))
     links = met.groupBy("class").agg(F.sum("links").alias("links"))
     reached = X.components(met.select("a", "b").where("a <> b"))
     of_local = heads.select("local", whole.alias("v")).join(classes, "v").select("local", "class", "least", "copies")
