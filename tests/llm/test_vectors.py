@@ -32,14 +32,36 @@ def expected_top(rows, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "block"), [(16_384, 512), (37, 3)])
-def test_top_k(spark, monkeypatch, shard, block):
+@pytest.mark.parametrize(("shard", "block", "group"), [(16_384, 8192, 8), (37, 3, 2)])
+def test_top_k(spark, monkeypatch, shard, block, group):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", shard)
     monkeypatch.setattr(topk_search, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(topk_search, "GROUP_SHARDS", group)
     rows = some() + BAD
     assert sorted_rows(topk_search.top_k(table(spark, rows))) == sorted(expected_top(rows, 20), key=repr)
 
 
+def test_threshold_bounds_every_row():
+    """No row within the limits and the length exceeds the threshold, and some row reaches it."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        d = int(rng.integers(1, 6))
+        limits, weights, length = rng.normal(0.3, 0.6, d), rng.uniform(0.1, 2, d), float(rng.uniform(0.1, 2))
+        bound = topk_search.threshold(limits, weights, length)
+        v = np.minimum(rng.normal(0, 1, (20_000, d)), limits)
+        norms = np.linalg.norm(v, axis=1)
+        v = v[norms <= length]
+        if bound == -np.inf:
+            assert not len(v)
+            continue
+        assert not len(v) or (v @ weights).max() <= bound + 1e-9
+        low, high = 0.0, 1e6  # the best row by bisection
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.linalg.norm(np.minimum(limits, middle * weights)) <= length else (low, middle)
+        assert bound == pytest.approx(float(np.minimum(limits, low * weights) @ weights), abs=1e-6)
+
+
 def test_top_k_edges(spark):
     assert topk_search.top_k(table(spark, [])).count() == 0
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (20, [0.0, 0.0])]
@@ -53,18 +75,30 @@ def test_threshold_stops_early():
     rows = rng.integers(-3, 4, size=(5000, 4))
     rows[:30] = 40
     shard = topk_search.Shard(np.arange(5000), rows)
-    scored = []
-    shard.as_double = type("Counted", (), {"__getitem__": lambda self, at, own=shard.as_double: (scored.append(len(at)), own[at])[1]})()
     at, best = shard.top(10_000, np.array([5, 5, 5, 5]), 20)
     assert set(at.tolist()) == set(range(20))
-    assert sum(scored) < 2500
+    assert shard.scored < 200
+
+
+def test_length_stops_before_the_lists():
+    """Rows of one length: what the lists alone allow is no row, so the search ends sooner than their values say."""
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(20_000, 4))
+    rows = np.floor(64 * rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.int64)
+    shard = topk_search.Shard(np.arange(len(rows)), rows)
+    at, best = shard.top(0, rows[0], 20)
+    scores = rows @ rows[0]
+    order = [i for i in np.lexsort((np.arange(len(rows)), -scores)) if i][:20]
+    assert sorted(at.tolist()) == sorted(order)
+    assert sorted(best.tolist()) == sorted(scores[order].tolist())
+    assert shard.scored < len(rows) / 2
 
 
 @pytest.mark.parametrize("tile", [8192, 40])
 def test_near_duplicates(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dedup, "TILE_ROWS", tile)
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(embedding_dedup, "STEP", 3)
+    monkeypatch.setattr(embedding_dedup, "SQUARE", 3)
     rows = some(seed=2)
     own = np.array([v for _, v in rows], dtype="f4").astype("f8")
     own /= np.linalg.norm(own, axis=1, keepdims=True)
@@ -79,6 +113,12 @@ def test_near_duplicates(spark, monkeypatch, tile):
     assert sorted_rows(embedding_dedup.near_duplicates(table(spark, rows))) == sorted(expected, key=repr)
 
 
+def test_components_of_any_size_have_norms(spark):
+    rows = [(1, [1e300, 1e300]), (2, [3e300, 3e300]), (3, [1e-300, 1e-300]), (4, [1.0, -1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted_rows(embedding_dedup.near_duplicates(frame).select("vec_id", "component_id")) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_near_duplicate_edges(spark):
     assert embedding_dedup.near_duplicates(table(spark, [])).count() == 0
     rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [2.0]), (4, [-0.0, 1.0]), (6, [0.0, 1.0]), (None, [1.0, 0.0]), (None, None)]

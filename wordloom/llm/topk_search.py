@@ -4,15 +4,18 @@ Method: Fagin's threshold algorithm over sorted per-dimension lists.
 
 1. A vector's components become floor(64 x). Rows are dealt into shards of
    bounded size by a hash of the id; each shard sorts one list per dimension.
-2. A block of queries meets every shard. A query reads its dimensions' lists from
-   the end that its component's sign prefers, to doubling depths; rows seen for
-   the first time are scored in full. The threshold is the score of a row that
-   would stand at the present depth of every list: no unseen row exceeds it.
-   When it is below the k-th score found, the search in the shard ends. Once most
-   of a shard has been seen, the rest is scored at once, as that costs less than
-   reading on.
-3. The k best of each shard are merged: any of the k best of all is among the k
-   best of its shard.
+2. A query reads its dimensions' lists from the end that its component's sign
+   prefers, to doubling depths, each list in proportion to the component's size;
+   rows seen for the first time are scored in full. The threshold is the highest
+   score of a row that stands at or behind the present depth of every list and is
+   no longer than the shard's longest row: at each component the smaller of the
+   list's value and a multiple of the query's component, with the multiple that
+   spends the whole length. No unseen row exceeds it. When it is below the k-th
+   score found, the search in the shard ends; it ends too when every row has been
+   seen. A task searches some shards one after the other and starts each with the
+   k-th score of those before.
+3. The k best of each group of shards are merged: any of the k best of all is
+   among the k best of its group.
 
 Rank order is score descending, then smaller vec_id; the search goes on while
 the threshold equals the k-th score, so ties are exact.
@@ -34,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordloom.llm import exchange as X
 from wordloom.llm.vectors import matrix, shape, usable_vectors
 
 K = 20
 SCALE = 64
-#: Rows of a shard, and queries of a block.
+#: Rows of a shard, shards that a task searches in turn, and queries that it holds.
 SHARD_ROWS = 16_384
-BLOCK_QUERIES = 512
+GROUP_SHARDS = 8
+BLOCK_QUERIES = 8192
 FIRST_DEPTH = 16
 
 _FOUND = "query_id long, vec_id long, score long"
@@ -56,72 +61,114 @@ def _packed(width: int):
     return run
 
 
+def threshold(limits: np.ndarray, weights: np.ndarray, length: float) -> float:
+    """The highest sum of weights * v over v <= limits with a norm of at most `length`; weights are positive."""
+    free = limits > 0
+    squares = limits**2
+    budget = length**2 - squares[~free].sum()
+    if budget < 0:
+        return -np.inf  # no such row
+    fixed = float(limits[~free] @ weights[~free])
+    limits, weights, squares = limits[free], weights[free], squares[free]
+    order = np.argsort(limits / weights)
+    limits, weights, squares = limits[order], weights[order], squares[order]
+    # with the first i limits reached, the others are the same multiple of their weights
+    left = np.maximum(budget - np.concatenate(([0.0], np.cumsum(squares))), 0)
+    rest = np.concatenate((np.cumsum((weights**2)[::-1])[::-1], [0.0]))
+    with np.errstate(divide="ignore"):
+        multiple = np.sqrt(left[:-1] / rest[:-1])
+    open_ = np.flatnonzero(multiple <= limits / weights)
+    if not len(open_):
+        return fixed + float(limits @ weights)
+    i = int(open_[0])
+    return fixed + float(limits[:i] @ weights[:i]) + float(multiple[i] * rest[i])
+
+
 class Shard:
     """The rows of a shard and, for each dimension, its row numbers in descending order of that component."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows  # ids ascend
-        self.lists = np.argsort(-rows, axis=0, kind="stable").T.copy()
+        self.lists = np.argsort(-rows, axis=0, kind="stable").T.astype(np.int32)
         self.values = np.take_along_axis(rows, self.lists.T, axis=0).T.copy()
-        # sums below 2**53 are exact in doubles
-        self.as_double = rows.astype(np.float64)
         self.most = int(np.abs(rows).max(initial=0))
+        self.length = float(np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1).max(initial=0))) * (1 + 1e-9)
+        self.floats = rows.astype(np.float32 if self.most**2 * rows.shape[1] < 1 << 24 else np.float64)
+        self.scored = 0
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, scores) of the k best rows but the query's own."""
+    def top(self, query_id: int, query: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, scores) of the k best rows but the query's own; those below `least` may be left out."""
         n = len(self.ids)
-        exact = self.most * int(np.abs(query).max(initial=0)) * len(query) < 1 << 53
-        score = (lambda at: (self.as_double[at] @ query.astype(np.float64)).astype(np.int64)) if exact else (lambda at: self.rows[at] @ query)
+        # integer sums below 2**24 are exact in single precision, below 2**53 in double
+        largest = self.most * int(np.abs(query).max(initial=0)) * len(query)
+        exact = largest < 1 << (24 if self.floats.dtype == np.float32 else 53)
+        as_float = query.astype(self.floats.dtype)
+        score = (lambda at: (self.floats[at] @ as_float).astype(np.int64)) if exact else (lambda at: self.rows[at] @ query)
         used = np.flatnonzero(query)
-        used = used[np.argsort(-np.abs(query[used]), kind="stable")]
         rising = query[used] < 0
+        weights = np.abs(query[used]).astype(np.float64)
         seen = np.zeros(n, bool)
         seen[np.searchsorted(self.ids, query_id) : np.searchsorted(self.ids, query_id, side="right")] = True
         at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        done, depth = 0, FIRST_DEPTH
-        while True:
-            whole = depth >= n or not len(used) or np.count_nonzero(seen) * 2 > n
-            if whole:
-                new = np.flatnonzero(~seen)
-            else:
-                fresh = np.zeros(n, bool)
-                down, up = used[~rising], used[rising]
-                fresh[self.lists[down, done:depth].ravel()] = True
-                fresh[self.lists[up, n - depth : n - done].ravel()] = True
-                new = np.flatnonzero(fresh & ~seen)
+        done, depth = np.zeros(len(used), np.int64), FIRST_DEPTH
+        while not seen.all():
+            fresh = np.zeros(n, bool)
+            to = np.minimum(n, np.ceil(depth * weights / weights.max(initial=1))).astype(np.int64)
+            for d, up, a, b in zip(used.tolist(), rising.tolist(), done.tolist(), to.tolist(), strict=True):
+                fresh[self.lists[d, n - b : n - a] if up else self.lists[d, a:b]] = True
+            if not len(used):
+                fresh[:] = True
+            new = np.flatnonzero(fresh & ~seen)
             seen[new] = True
+            self.scored += len(new)
             at, best = np.concatenate((at, new)), np.concatenate((best, score(new)))
+            if len(at) > 4 * k:
+                some = np.flatnonzero(best >= np.partition(best, len(best) - k)[len(best) - k])
+                at, best = at[some], best[some]
             if len(at) > k:
                 keep = np.lexsort((self.ids[at], -best))[:k]
                 at, best = at[keep], best[keep]
-            if whole:
-                return at, best
             if len(at) == k:
-                here = np.where(rising, self.values[used, n - depth], self.values[used, depth - 1])
-                if int(here @ query[used]) < best.min():
-                    return at, best
-            done, depth = depth, depth * 2
+                least = max(least, float(best.min()))
+            here = np.where(rising, -self.values[used, n - to], self.values[used, to - 1]).astype(np.float64)
+            bound = threshold(here, weights, self.length)
+            if bound + 1e-9 * (1 + abs(bound)) < least:
+                break
+            done, depth = to, depth * 2
+        return at, best
 
 
 def _search(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, Shard] | None = None
+        queries = vectors = None
+        best: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def found() -> pa.RecordBatch:
+            sizes = [len(ids) for ids, _ in best]
+            columns = np.repeat(queries, sizes), np.concatenate([ids for ids, _ in best]), np.concatenate([scores for _, scores in best])
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                part = batch.column("part")[i].as_py()
-                if last is None or last[0] != part:
-                    ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                    last = part, Shard(ids, np.frombuffer(batch.column("data")[i].as_py(), np.int64).reshape(-1, width))
-                shard = last[1]
-                queries = np.frombuffer(batch.column("query_ids")[i].as_py(), np.int64)
-                vectors = np.frombuffer(batch.column("query_data")[i].as_py(), np.int64).reshape(-1, width)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for query_id, query in zip(queries.tolist(), vectors, strict=True):
-                    at, scores = shard.top(query_id, query, k)
-                    out[0].append(np.full(len(at), query_id))
-                    out[1].append(shard.ids[at])
-                    out[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["query_id", "vec_id", "score"])
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                rows = np.frombuffer(batch.column("data")[i].as_py(), np.int64).reshape(-1, width)
+                if not batch.column("shard")[i].as_py():  # the queries precede the shards that they meet
+                    if queries is not None:
+                        yield found()
+                    queries, vectors = ids, rows
+                    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+                    continue
+                if queries is None:
+                    continue  # a block that no query fell into
+                shard = Shard(ids, rows)
+                for q, (query_id, query) in enumerate(zip(queries.tolist(), vectors, strict=True)):
+                    have, scores = best[q]
+                    at, more = shard.top(query_id, query, k, float(scores.min()) if len(have) == k else -np.inf)
+                    have, scores = np.concatenate((have, shard.ids[at])), np.concatenate((scores, more))
+                    keep = np.lexsort((have, -scores))[:k]
+                    best[q] = have[keep], scores[keep]
+        if queries is not None and len(queries):
+            yield found()
 
     return run
 
@@ -131,13 +178,18 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     vectors = usable_vectors(embeddings).distinct()
     rows, width = shape(vectors)
     shards = max(1, -(-rows // SHARD_ROWS))
+    groups = -(-shards // GROUP_SHARDS)
     blocks = max(1, -(-rows // (every * BLOCK_QUERIES)))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     schema = "part int, ids binary, data binary"
-    data = vectors.withColumn("part", part(shards)).groupBy("part").applyInArrow(_packed(width), schema)
-    queries = vectors.where(F.col("vec_id") % every == 0).withColumn("part", part(blocks)).groupBy("part").applyInArrow(_packed(width), schema)
-    queries = queries.select(F.col("part").alias("block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
-    pairs = queries.join(data, "part").repartition(shards * blocks, "part", "block").sortWithinPartitions("part")
+    data = X.settle(vectors.withColumn("part", part(shards)).groupBy("part").applyInArrow(_packed(width), schema))
+    queries = X.settle(vectors.where(F.col("vec_id") % every == 0).withColumn("part", part(blocks)).groupBy("part").applyInArrow(_packed(width), schema))
+    # each block of queries meets each group of shards in a partition of its own
+    asked = queries.select((F.col("part") * groups).alias("base"), F.lit(False).alias("shard"), F.lit(0).alias("part"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    met = data.select(F.floor(F.col("part") / GROUP_SHARDS).cast("int").alias("group"), F.lit(True).alias("shard"), "part", "ids", "data")
+    met = met.withColumn("base", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) * groups), F.lit(max(1, groups)))))
+    pairs = asked.unionByName(met).withColumn("meeting", F.col("base") + F.col("group"))
+    pairs = pairs.repartitionById(blocks * groups, "meeting").sortWithinPartitions("meeting", "shard", "part")
     found = pairs.mapInArrow(_search(width, k), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
