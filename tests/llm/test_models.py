@@ -183,3 +183,57 @@ def test_short_blocks_beside_chosen_paths_stay():
         assert html_text.main_text(f"<html><body><nav>Menu</nav>{opened}{inner}{closed}<footer>(c)</footer></body></html>") == text
     split = f"<div class=content><h1>Title</h1><div id=part1><p>{PARAGRAPH * 4}</p></div><div id=part2><p>Short end.</p></div></div>"
     assert html_text.main_text(f"<body>{split}</body>") == f"Title {(PARAGRAPH * 4).strip()} Short end."
+
+
+def test_article_keeps_its_header_and_classed_blocks():
+    body = f"<p>{PARAGRAPH}</p>" * 4
+    page = f"<body><header>Site</header><article><header><h1>Title</h1></header><p class=notice>Mind this.</p>{body}<div class=share>Share</div><footer>(c)</footer></article></body>"
+    assert html_text.main_text(page) == " ".join(["Title Mind this.", *[PARAGRAPH.strip()] * 4])
+    beside = f"<body><article><h1>One</h1>{body}</article><section class=body2><h2>Two</h2>{body}</section><nav>Menu</nav></body>"
+    assert html_text.main_text(beside).count(PARAGRAPH.strip()) == 8
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<select>", "</i>", "<p><b>", "<li>", "<div><b>x", "<table><td>", "<!--", "<a href='"])
+def test_time_grows_with_the_page(piece):
+    """Unclosed and misplaced tags take time and memory in proportion to the page."""
+    import time
+    import tracemalloc
+
+    def cost(n):
+        page = "<article>word, more." + piece * n + "end.</article>"
+        tracemalloc.start()
+        began = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - began, tracemalloc.get_traced_memory()[1], tracemalloc.stop()
+
+    small, large = cost(4000), cost(32_000)
+    assert large[1] < 16 * small[1] + (8 << 20)
+    assert large[0] < 32 * small[0] + 1
+
+
+def plain_paths(page):
+    """The chosen texts by the formula itself: means over each path of smoothed ratios, those that reach the deviation."""
+    found = [n for n in html_text.nodes(page)[0] if not n.out and n.text.strip()]
+    of = {}
+    for n in found:
+        of.setdefault(n.path, []).append(n)
+    ratio = lambda size: [sum(size(m) for m in of[n.path]) / len(of[n.path]) for n in found]
+    smooth = lambda x: [0.25 * x[max(0, i - 1)] + 0.5 * x[i] + 0.25 * x[min(len(x) - 1, i + 1)] for i in range(len(x))]
+    texts, marks = smooth(ratio(lambda m: len(m.text.strip()))), smooth(ratio(lambda m: sum(c in ".,;:!?…、。，！？" for c in m.text)))
+    fused = [t * (1 + k) * (2 if n.content else 1) for t, k, n in zip(texts, marks, found)]
+    mean = sum(fused) / len(fused)
+    deviation = (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5
+    weight = {p: sum(f for f, n in zip(fused, found) if n.path == p) / len(of[p]) for p in of}
+    level = min(max(weight.values()), deviation)
+    return [n.text for n in found if weight[n.path] >= level - 1e-9]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_ratios_on_real_pages(spark):
+    """On every page the formula chooses the paths, and with the article element renamed to div the text is the same."""
+    rows = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(300).collect() if r["html"]]
+    for page in rows:
+        found = [n for n in html_text.nodes(page)[0] if not n.out and n.text.strip()]
+        if found:
+            assert [n.text for n in html_text._path_nodes(found)] == plain_paths(page)
+        assert html_text.main_text(page) == html_text.main_text(page.replace("<article", "<div").replace("</article", "</div"))

@@ -7,9 +7,13 @@ Method:
    text belongs to.
    End tags may be missing: a new paragraph, list item or row closes the open
    one, an end tag closes what stands open inside its element, and what is open
-   at the end of the page ends there.
+   at the end of the page ends there. The work for a tag does not grow with the
+   number of open elements.
 2. Paths through an element whose name or attributes mark it as menu, header,
    footer, sidebar, notice, advert, form or comment are out, whatever their ratio.
+   Within an article or main element only containers are told by such words: a
+   paragraph, heading or item stays whatever its class, and so does a header
+   element, which is the article's own.
 3. For each other path of every page: the sum of its texts' lengths and
    punctuation marks over its number of nodes, the text-to-tag-path ratios. Both
    are smoothed over the nodes in page order and fused by their product, which
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +67,8 @@ BOILERPLATE = frozenset(
     "disclaimer skip hidden complementary contentinfo".split()
 )
 CONTENT = frozenset(["article", "main"])
+#: Containers, which alone are told by class words within an article or main element.
+BOXES = frozenset("div section ul ol dl table figure details center".split())
 #: How often a ratio counts inside an article or main element.
 CONTENT_WEIGHT = 2
 PAGE = frozenset(["", "html", "body"])
@@ -76,9 +83,9 @@ _MARKS = re.compile(r"[.,;:!?…、。，！？]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 
 
-def _excluded(name: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is a part other than the article, and its label in a tag path."""
-    if name in OUTSIDE:
+def _excluded(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element, inside a content element or not, is a part other than the article, and its label in a tag path."""
+    if name in OUTSIDE and not (inside and name == "header"):
         return True, name
     label, out = name, False
     if attributes:
@@ -90,14 +97,15 @@ def _excluded(name: str, attributes: str) -> tuple[bool, str]:
                 out |= "display:none" in value.replace(" ", "")
             elif value:
                 label += f".{_DIGITS.sub('', value)}"
-                out |= name not in ("body", "html", *CONTENT) and not BOILERPLATE.isdisjoint(_WORDS.findall(value))
+                told = name in BOXES if inside else name not in ("body", "html", *CONTENT)
+                out |= told and not BOILERPLATE.isdisjoint(_WORDS.findall(value))
     return out, label
 
 
 class _Node:
     __slots__ = ("block", "content", "element", "out", "path", "text")
 
-    def __init__(self, text: str, path: str, block: int, out: bool, content: int, element: int) -> None:
+    def __init__(self, text: str, path: int, block: int, out: bool, content: int, element: int) -> None:
         self.text, self.path, self.block, self.out, self.content, self.element = text, path, block, out, content, element
 
 
@@ -126,74 +134,102 @@ class _Elements:
         return a
 
 
+class _Open:
+    """The open elements, from the root inwards, with what finds one without walking over the others."""
+
+    def __init__(self) -> None:
+        # name, number of the path, excluded, number of the content element or 0, element, the nearest scope's depth
+        self.stack: list[tuple[str, int, bool, int, int, int]] = [("", 0, False, 0, 0, 0)]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, name: str, path: int, out: bool, content: int, element: int) -> None:
+        depth = len(self.stack)
+        self.stack.append((name, path, out, content, element, depth if name in SCOPES else self.stack[-1][5]))
+        self.depths.setdefault(name, []).append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close all from the given depth on."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop()[0]].pop()
+
+    def innermost(self, name: str) -> int:
+        """The depth of the innermost open element of a name, or 0."""
+        depths = self.depths.get(name)
+        return depths[-1] if depths else 0
+
+    def outermost(self, names: frozenset[str], above: int) -> int:
+        """The depth of the outermost open element of some names above a depth, or 0."""
+        found = 0
+        for name in names:
+            depths = self.depths.get(name, ())
+            at = bisect_right(depths, above)
+            if at < len(depths) and (not found or depths[at] < found):
+                found = depths[at]
+        return found
+
+
 def nodes(page: str) -> tuple[list[_Node], _Elements]:
     """The text nodes of a page in order, and its elements."""
     found: list[_Node] = []
     elements = _Elements()
-    # name, path, excluded, number of the content element or 0, element
-    stack: list[tuple[str, str, bool, int, int]] = [("", "", False, 0, 0)]
+    paths: dict[tuple[int, str], int] = {}
+    open_ = _Open()
+    endless: set[str] = set()  # raw elements without a further end tag
     block = at = contents = 0
     end = len(page)
     while at < end:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            _, path, out, content, element = stack[-1]
+            _, path, out, content, element, _ = open_.stack[-1]
             found.append(_Node(page[at:stop], path, block, out, content, element))
         if not m:
             break
         at = m.end()
         name = m[2] or m[5]
         if not name:
-            if m[0].startswith("<![CDATA["):
-                continue
             continue
         name = name.lower()
         closing = m[1] or m[4]
         if name not in INLINE:
             block += 1
         if closing:
-            depth = len(stack) - 1
-            while depth and stack[depth][0] != name:
-                depth -= 1
-            if depth and not (name in INLINE and any(s[0] in SCOPES for s in stack[depth + 1 :])):
-                del stack[depth:]
+            depth = open_.innermost(name)
+            if depth and not (name in INLINE and open_.stack[-1][5] > depth):
+                open_.cut(depth)
             continue
         if name in VOID:
             continue
         attributes = m[3] if m[2] else m[6]
         if name in RAW:
-            if name == "head":
+            if name == "head" or attributes.endswith("/"):
                 continue
-            if not attributes.endswith("/"):
-                last = _RAW_END[name].search(page, at)
-                at = page.find(">", last.end()) + 1 or end if last else end if name in ("script", "style", "textarea", "title") else at
+            last = None if name in endless else _RAW_END[name].search(page, at)
+            if last:
+                at = page.find(">", last.end()) + 1 or end
+            else:
+                endless.add(name)
+                at = end if name in ("script", "style", "textarea", "title") else at
             continue
         closes = CLOSES.get(name) or (CLOSES["p"] if name in CLOSE_P else None)
         if closes:
-            depth = len(stack) - 1
-            lowest = 0
-            while depth and stack[depth][0] not in SCOPES:
-                if stack[depth][0] in closes:
-                    lowest = depth
-                depth -= 1
-            if name in ("li", "dt", "dd", "tr", "td", "th") and depth and stack[depth][0] in closes:
-                lowest = depth
+            scope = open_.stack[-1][5]
+            lowest = scope if name in ("li", "dt", "dd", "tr", "td", "th") and scope and open_.stack[scope][0] in closes else open_.outermost(closes, scope)
             if lowest:
-                del stack[lowest:]
-        _, path, out, content, element = stack[-1]
-        marked, label = _excluded(name, attributes)
+                open_.cut(lowest)
+        _, path, out, content, element, _ = open_.stack[-1]
+        marked, label = _excluded(name, attributes, content > 0)
         if name in CONTENT and not content and not (out or marked):
             contents += 1
             content = contents
         if not attributes.endswith("/") or name in INLINE:
-            stack.append((name, f"{path}/{label}", out or marked, content, elements.add(name, element)))
+            open_.push(name, paths.setdefault((path, label), len(paths) + 1), out or marked, content, elements.add(name, element))
     return found, elements
 
 
 def _path_nodes(with_text: list[_Node]) -> list[_Node]:
     """The nodes of the paths that reach the threshold."""
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for n in with_text:
         sums = paths.setdefault(n.path, [0.0, 0.0, 0.0])
         sums[0] += len(n.text.strip())
