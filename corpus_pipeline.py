@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows that share a doc_id one stays. Further columns are those of the row that
     stays, whatever their names; an empty table stays empty.
     """
-    from wordloom.llm.exchange import packed, settle, unpacked
+    from wordloom.llm.exchange import packed, unpacked
     from wordloom.llm.jaccard_join import jaccard_components
+    from wordloom.storage import settle
 
     groups = settle(jaccard_components(docs))
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
@@ -105,13 +106,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What a stage settles for itself is removed when its output is written."""
-    from wordloom.llm import exchange
+    from wordloom import storage
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before = exchange.settled_count()
+        before = storage.settled_count()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = exchange.settle(docs)
-            exchange.remove_settled(spark, before, exchange.settled_count() - 1)
+            docs = storage.settle(docs)
+            storage.remove_settled(spark, before, storage.settled_count() - 1)
     return docs

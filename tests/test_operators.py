@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.functions import text as T
 from wordloom.lists import BRANDS, COMMON_WORDS, TECH_WORDS
 from wordloom.operators import check as C
 from wordloom.operators import lint, preprocess, report, rewrite, vocab
@@ -28,7 +29,7 @@ def flagged(spark, text, **options):
 
 
 def test_list_sizes():
-    assert (len(set(COMMON_WORDS)), len(set(TECH_WORDS)), len(BRANDS)) == (160, 174, 80)
+    assert (len(set(COMMON_WORDS)), len(set(TECH_WORDS)), len(BRANDS)) == (160, 173, 80)
 
 
 @pytest.mark.parametrize(
@@ -94,11 +95,14 @@ def test_variants(spark):
     assert got == {0: ("backend", [1, 2, 3]), 1: ("x86_64", [1, 2]), 3: ("its", [1])}
 
 
-def test_fix_and_learn(spark):
+def test_fix_and_learn(spark, tmp_path):
     own = docs(spark, "teh wrod\nTeh Cat", "clean")
     found = check(own, Options(words(spark, *LEXICON, "clean")))
     fixed = rewrite.fixes(own, found.occurrences, found.suggested)
-    assert {r["doc_id"]: r["text"] for r in rewrite.fixed_documents(own, fixed).collect()} == {0: "the word\nThe Cat", 1: "clean"}
+    whole = rewrite.fixed_documents(own, fixed)
+    assert {r["doc_id"]: r["text"] for r in whole.collect()} == {0: "the word\nThe Cat", 1: "clean"}
+    rewrite.write_documents(whole, str(tmp_path / "fixed"))
+    assert spark.read.parquet(str(tmp_path / "fixed")).count() == 2
     assert {tuple(r) for r in rewrite.learned_pairs(found.occurrences, found.suggested).collect()} == {("teh", "the"), ("wrod", "word")}
 
 
@@ -116,6 +120,74 @@ def test_tasks_and_reports(spark):
     assert {tuple(r) for r in report.issue_counts(found.misspelt, found.findings).collect()} == {(0, 3, 0, 3), (1, 1, 0, 1)}
 
 
+def test_reports_of_clean_documents_and_whole_lists(spark):
+    own = docs(spark, "teh wrod", "hello")
+    found = check(own, Options(words(spark, *LEXICON)))
+    assert {r["report_line"] for r in report.text_report(found.misspelt, found.findings, own).where("doc_id = 1").collect()} == {report.CLEAN}
+    command = report.command(consistency=True, corrections="learned.txt")
+    assert command == "wordloom --consistency --corrections learned.txt"
+    lists = {r["doc_id"]: r["text"].split("\n") for r in report.task_lists(own, report.tasks(found.misspelt, found.findings, command), command).collect()}
+    assert lists[1] == ["# SPELLCHECK TASK LIST", "# file: 1", "# NO ISSUES"]
+    assert lists[0][2:4] == ["# issues: 2 (2 fixable, 0 review)", f"# self-service: {command} --fix 0"]
+    assert lists[0][4].startswith("1. [fix:high] line 1: replace 'teh'")
+    assert report.exit_status(found.misspelt, found.findings) == 1
+    clean = check(docs(spark, "hello"), Options(words(spark, *LEXICON)))
+    assert report.exit_status(clean.misspelt, clean.findings) == 0
+
+
+AFF = """
+SET UTF-8
+KEEPCASE K
+NEEDAFFIX N
+PFX R Y 1
+PFX R 0 re .
+SFX D Y 3
+SFX D 0 d e
+SFX D y ied [^aeiou]y
+SFX D 0 ed [^ey]
+SFX S N 1
+SFX S 0 s .
+""".splitlines()
+DIC = ["7", "make/RS", "create/RD", "try/DS", "play/D", "iPad/K", "part/N\tpo:x", "Paris"]
+
+
+def test_dictionary(spark):
+    from wordloom.sources import dictionary as D
+
+    made = D.dictionary(spark.createDataFrame([(v,) for v in DIC], "value string"), D.affixes(AFF))
+    got = {r["word"]: r["keep_case"] for r in made.collect()}
+    assert set(got) == {"make", "makes", "remake", "create", "created", "recreate", "recreated", "try", "tried", "trys", "play", "iPad", "Paris"}
+    assert [w for w, keep in got.items() if keep] == ["iPad"]
+    tried = words(spark, "make", "Make", "MAKE", "mAKE", "paris", "PARIS", "Paris", "iPad", "IPAD", "IPad", "x", "")
+    assert {r["word"] for r in D.accepted(tried, made).where("valid").collect()} == {"make", "Make", "MAKE", "PARIS", "Paris", "iPad"}
+
+
+def test_dictionary_files(spark, tmp_path):
+    from wordloom.sources import dictionary as D
+
+    (tmp_path / "x.dic").write_text("2\ngo/1,23\nsee/23\n")
+    (tmp_path / "x.aff").write_text("FLAG num\nSFX 23 Y 1\nSFX 23 0 n .\nPFX 1 N 1\nPFX 1 0 for/7 .\n")
+    assert {r["word"] for r in D.read_dictionary(spark, str(tmp_path / "x.dic"), str(tmp_path / "x.aff")).collect()} == {"go", "gon", "forgo", "see", "seen"}
+    assert {r["word"] for r in D.read_dictionary(spark, str(tmp_path / "x.dic")).collect()} == {"go", "see"}
+    long = D.stems(spark.createDataFrame([("ab/XxYy",), ("/",)], "value string"), "long").collect()
+    assert [(r["word"], list(r["flags"])) for r in long] == [("ab", ["Xx", "Yy"]), ("/", [])]
+
+
+def test_noise_is_what_the_plain_pattern_finds(spark):
+    """Guards and anchors change nothing: every line comes out as under the bare patterns, token by token."""
+    import random
+
+    rng = random.Random(9)
+    pieces = ["a@b", "@", "@@x", "x@", "http://u/@", "https://", "www.a", "www.", "0x1F", "0X", "deadbeef1", "0xdeadbeef99@q", "\u00a0", "\u3000", " ", "\t", "é", "abc", "-", "cafe0000", "_deadbeef00"]
+    rows = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    frame = spark.createDataFrame([(r,) for r in rows], "v string")
+    ink = T.INK
+    bare = F.regexp_replace(F.regexp_replace("v", rf"https?://{ink}+|www\.{ink}+|{ink}+@{ink}+|0[xX][0-9a-fA-F]+", " "), T.HEX_RUN, " ")
+    split = F.filter(F.split("v", f"{T.SPACE}+"), lambda t: t != "")
+    got = frame.select("v", T.strip_noise(F.col("v")).alias("a"), bare.alias("b"), T.tokens(F.col("v")).alias("c"), split.alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in got)
+
+
 def test_harvest(spark, tmp_path):
     def put(path, content):
         target = tmp_path / path
@@ -136,6 +208,12 @@ def test_harvest(spark, tmp_path):
     assert not {"zorpish", "hidden", "locked", "huge"} & got
     assert stats.first()["files_scanned"] == 7
     assert vocab.harvest(files.read_repository(spark, str(tmp_path)), max_files=3)[1].first()["files_scanned"] == 3
+    line = report.harvest_report(found, stats).first()["line"]
+    assert line.startswith(f"repo vocab: +{len(got)} words (") and line.endswith("from 7 files")
+    from wordloom.plans.check import extra_words
+
+    extra = {r["word"] for r in extra_words([words(spark, "Own")], files.read_repository(spark, str(tmp_path))).collect()}
+    assert extra == got | {"Own"}
 
 
 def test_wordlists(spark, tmp_path):
@@ -143,6 +221,7 @@ def test_wordlists(spark, tmp_path):
     assert [r["word"] for r in wordlists.wordlist(wordlists.read_lines(spark, str(tmp_path / "words"))).collect()] == ["alpha", "beta", "Gamma"]
     assert wordlists.append_words(words(spark, "ALPHA", "delta", "alpha"), words(spark, "Alpha"), str(tmp_path / "out")) == 1
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["delta"]
+    assert [wordlists.add_word(spark, w, words(spark, "Alpha"), str(tmp_path / "own")) for w in ("alpha", "new")] == [0, 1]
     rows = spark.createDataFrame(list(enumerate(["teh=the", "Wrod = word # n", "broken", "=nofix", "nofix=", "teh=The", "a=b=c"])), "line_no int, value string")
     assert {tuple(r) for r in wordlists.corrections(rows).collect()} == {("teh", "The"), ("wrod", "word"), ("a", "b=c")}
     old = spark.createDataFrame([("teh", "the")], "typo string, fix string")

@@ -24,6 +24,7 @@ from wordloom.operators.markdown import blanked, strip_inline
 from wordloom.plans.check import Checked, Options, check, frequent_words
 from wordloom.sources import wordlists
 from wordloom.sql import SQL
+from wordloom.storage import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +39,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 
 
-def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return frequent_words(preprocess.tokens(docs), docs)
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all documents, found in one pass and settled."""
+    return settle(preprocess.tokens(_docs(spark, sf_dir)))
+
+
+def _lexicon(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
+    tokens = preprocess.tokens(_docs(spark, sf_dir)) if tokens is None else tokens
+    return settle(frequent_words(tokens, _docs(spark, sf_dir)))
 
 
 def _typo(word: Column) -> Column:
@@ -55,25 +61,26 @@ def _typos(lexicon: DataFrame) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> Checked:
-    return check(_docs(spark, sf_dir), Options(_lexicon(spark, sf_dir)))
+    tokens = _tokens(spark, sf_dir)
+    return check(_docs(spark, sf_dir), Options(_lexicon(spark, sf_dir, tokens)), tokens)
 
 
 def q01_misspelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    found = C.occurrences(preprocess.tokens(docs), C.valid_words(_lexicon(spark, sf_dir)))
+    tokens = _tokens(spark, sf_dir)
+    found = C.occurrences(tokens, C.valid_words(_lexicon(spark, sf_dir, tokens)))
     return C.misspellings(found).select("doc_id", "word", F.col("n").cast("long").alias("n"), F.size("lines").cast("long").alias("n_lines"), _joined("lines").alias("lines"))
 
 
 def q02_token_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    split = preprocess.tokens(docs).join(docs.select("doc_id", "lang"), "doc_id").withColumn("clean", T.clean_word(F.col("token")))
+    split = preprocess.tokens(_docs(spark, sf_dir), keep=("lang",)).withColumn("clean", T.clean_word(F.col("token")))
     return split.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.sum(F.length("clean")).cast("long").alias("clean_chars"), F.count_distinct("clean").alias("distinct_clean"), F.sum("line").cast("long").alias("line_sum"))
 
 
 def q03_noise_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = _table(spark, sf_dir, "pages").select(F.lit("url").alias("kind"), F.col("page_id").alias("id"), F.lit(1).alias("line"), F.col("url").alias("value"))
     texts = preprocess.lines(_docs(spark, sf_dir)).select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), "line", "value")
-    both = urls.union(texts).withColumn("kept", _joined(T.tokens(T.strip_noise(F.col("value")))))
+    both = urls.union(texts).withColumn("stripped", T.strip_noise(F.col("value"))).where(F.col("stripped") != F.col("value"))
+    both = both.withColumn("kept", _joined(T.tokens(F.col("stripped"))))
     return both.where(F.col("kept") != _joined(T.tokens(F.col("value")))).select("kind", "id", "line", "kept")
 
 
@@ -147,8 +154,9 @@ def q12_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q13_suggest_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions for every misspelt word of the documents."""
-    lexicon = _lexicon(spark, sf_dir)
-    words = C.occurrences(preprocess.tokens(_docs(spark, sf_dir)), C.valid_words(lexicon)).select("word").distinct()
+    tokens = _tokens(spark, sf_dir)
+    lexicon = _lexicon(spark, sf_dir, tokens)
+    words = C.invalid_parts(tokens.select("token").distinct(), C.valid_words(lexicon)).select("word").distinct()
     best = S.suggestions(words, lexicon, words_table(spark, COMMON_WORDS), lexicon)
     return best.select("query", _joined("suggestions").alias("suggestions"), F.col("top_distance").cast("long").alias("top_distance"))
 
@@ -168,7 +176,7 @@ def q14_learned_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the documents and of the terminology fixtures, whose ids are below zero."""
     texts = spark.createDataFrame(fixtures.TERMS, "doc_id long, text string")
-    return preprocess.tokens(_docs(spark, sf_dir).select("doc_id", "text").union(texts))
+    return settle(preprocess.tokens(_docs(spark, sf_dir).select("doc_id", "text").union(texts)))
 
 
 def q15_brand_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,16 +196,17 @@ def q17_findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q18_identifier_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _docs(spark, sf_dir).select(F.col("text").alias("content")).union(_table(spark, sf_dir, "conversations").select("text"))
-    counted = vocab.identifier_words(texts).groupBy("word").agg(F.count("*").alias("n"))
+    counted = vocab.identifier_words(texts).groupBy("word").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= 3)
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, length, content): one made-up source file per document, named after its first words, and the manifest fixtures."""
-    words = F.filter(F.split(T.trim(F.col("text")), rf"{T.SPACE}+"), lambda w: w != "")
+    three = rf"\A{T.SPACE}*({T.INK}+)?{T.SPACE}*({T.INK}+)?{T.SPACE}*({T.INK}+)?"  # of a text, the words that name its file
+    words = F.filter(F.array(*(F.regexp_extract("text", three, i) for i in (1, 2, 3))), lambda w: w != "")
     folder = F.element_at(F.array(*(F.lit(f) for f in ("src", "lib/node_modules", ".cache", "docs", "Build"))), (F.col("doc_id") % 5 + 1).cast("int"))
     ending = F.element_at(F.array(*(F.lit(e) for e in (".ts", ".py", ".jsx", ".min.js", ".md", ".bin", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
-    name = F.regexp_replace(F.array_join(F.slice(words, 1, 3), "-"), "/", "_")
+    name = F.regexp_replace(F.array_join(words, "-"), "/", "_")
     made = _docs(spark, sf_dir).select(F.concat(folder, F.lit("/"), name, ending).alias("path"), F.length("text").cast("long").alias("length"), F.col("text").alias("content"))
     fixed = spark.createDataFrame([(p, len(c), c) for p, c in fixtures.FILES], "path string, length long, content string")
     return made.union(fixed)
@@ -222,9 +231,10 @@ def q21_toml_gomod_reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q22_vocab_union_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, stats = vocab.harvest(_paths(spark, sf_dir))
-    own = words.agg(F.count("*").alias("words"), F.md5(F.array_join(F.array_sort(F.collect_set("word")), ",").cast("binary")).alias("words_md5"))
-    names = ["words", "words_md5", *stats.columns]
+    words, stats = vocab.harvest(_paths(spark, sf_dir), max_files=None)
+    digest = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long")  # of any order
+    own = words.agg(F.count("*").alias("words"), F.sum(digest).alias("words_digest"))
+    names = ["words", "words_digest", *stats.columns]
     both = own.unionByName(stats, allowMissingColumns=True)
     return both.agg(*(F.max(n).alias(n) for n in names))
 
@@ -246,7 +256,7 @@ def q24_corrections_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Checked]:
     """Documents whose third word of each line has a typo, checked against the untouched documents' lexicon."""
     spoil = F.regexp_replace("text", r"(?m)^([^ \n]+ [^ \n]+ [A-Za-z])([a-z])([a-z])([a-z]+ )", "$1$3$2$4")
-    docs = _docs(spark, sf_dir).select("doc_id", spoil.alias("text"))
+    docs = settle(_docs(spark, sf_dir).select("doc_id", spoil.alias("text")))
     return docs, check(docs, Options(_lexicon(spark, sf_dir)))
 
 
@@ -281,12 +291,13 @@ def q29_agent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q30_text_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _checked(spark, sf_dir)
-    lines = report.text_report(found.misspelt, found.findings)
+    lines = report.text_report(found.misspelt, found.findings, _docs(spark, sf_dir))
     return lines.select("doc_id", F.col("section").cast("long").alias("section"), F.col("place").cast("long").alias("place"), "report_line")
 
 
 def q31_generate_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.occurrences(preprocess.tokens(_docs(spark, sf_dir)), C.valid_words(_lexicon(spark, sf_dir)))
+    tokens = _tokens(spark, sf_dir)
+    found = C.invalid_parts(tokens.select("token").distinct(), C.valid_words(_lexicon(spark, sf_dir, tokens)))
     existing = wordlists.wordlist(spark.createDataFrame([(v,) for v in fixtures.WORDLIST], "value string"))
     return wordlists.new_words(found.select("word").distinct(), existing).select("word")
 
@@ -326,6 +337,18 @@ def q34_markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
 
 
+def q35_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON object for each document."""
+    found = _checked(spark, sf_dir)
+    return report.json_report(_docs(spark, sf_dir), found.misspelt, found.findings)
+
+
+def q36_task_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task list of each document as one text."""
+    found = _checked(spark, sf_dir)
+    return report.task_lists(_docs(spark, sf_dir), report.tasks(found.misspelt, found.findings))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 

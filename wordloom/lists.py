@@ -30,7 +30,7 @@ localhost lockfile lsp markdown mjs middleware monorepo msg multiline myspell
 namespace nodejs npm nullable nspell oauth param params png polyfill popup
 prepublish pubsub py pyproject readme regex regexes refactor refactored repo
 repos retarget roadmap rollback runtime scaffold scrollbar sdk serde shebang
-sidebar spellguard sqlite stacktrace stdin stdout stderr subdir subcommand
+sidebar sqlite stacktrace stdin stdout stderr subdir subcommand
 subdirectory svg symlink tcp tls tmp todo todos tokenizer toolchain tooltip
 transpile transpiled transpiler tsconfig tsx txt typescript utf utf8 uuid vcs
 vscode webpack websocket wifi wildcard workflow workflows xml yaml yml zlib
@@ -57,6 +57,8 @@ SKIP_DIRS = "node_modules dist build out coverage vendor target __pycache__ venv
 MANIFESTS = "package.json cargo.toml go.mod pyproject.toml requirements.txt".split()
 SOURCE_EXTENSIONS = ".ts .tsx .js jsx .mjs .cjs .py .go .rs .java .kt .rb .php .c .h .cpp .hpp .cs .swift .sh .md .markdown .mdx .txt .yml .yaml .toml .json".split()
 MAX_FILE_BYTES = 512 * 1024
+#: Files of a project that are looked at unless the caller says otherwise.
+MAX_FILES = 1500
 
 
 def words_table(spark: SparkSession, words: list[str]) -> DataFrame:

@@ -46,7 +46,11 @@ def occurrences(tokens: DataFrame, valid: DataFrame, min_length: int = 1) -> Dat
 
     Validity depends on the token alone and is decided once per distinct token.
     """
-    bad = invalid_parts(tokens.select("token").distinct(), valid, min_length)
+    return placed(tokens, invalid_parts(tokens.select("token").distinct(), valid, min_length))
+
+
+def placed(tokens: DataFrame, bad: DataFrame) -> DataFrame:
+    """(doc_id, line, pos, part_pos, word): the places of bad(token, part_pos, word)."""
     return tokens.join(bad, "token").select("doc_id", "line", "pos", "part_pos", "word")
 
 

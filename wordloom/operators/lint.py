@@ -11,14 +11,15 @@ from wordloom.lists import brands_table
 
 
 def forms(tokens: DataFrame) -> DataFrame:
-    """(doc_id, line, pos, form): tokens with inner separators kept, of at least two characters."""
-    return tokens.select("doc_id", "line", "pos", T.word_form(F.col("token")).alias("form")).where(F.length("form") >= 2)
+    """(token, form): distinct tokens with inner separators kept, of at least two characters."""
+    return tokens.select("token").distinct().withColumn("form", T.word_form(F.col("token"))).where(F.length("form") >= 2)
 
 
 def casing_findings(tokens: DataFrame, brands: DataFrame | None = None) -> DataFrame:
     """(doc_id, form, recommendation, lines, n, first): brands in another case than theirs, unless in capitals.
 
     A plural or possessive s is left off if the whole is no brand. n counts lines.
+    Distinct tokens are judged first, and only the wrong ones are looked up in the text.
     """
     brands = brands_table(tokens.sparkSession) if brands is None else brands
     found = forms(tokens).withColumn("raw", T.alphanumeric(F.col("form"))).withColumn("key", F.lower("raw"))
@@ -30,11 +31,11 @@ def casing_findings(tokens: DataFrame, brands: DataFrame | None = None) -> DataF
     joined = found.join(F.broadcast(exact), "key", "left").join(F.broadcast(stems), "stem", "left")
     whole = F.col("display_1").isNotNull()
     named = joined.where(whole | F.col("display_2").isNotNull()).select(
-        "doc_id", "line", "pos", F.coalesce("display_1", "display_2").alias("recommendation"), F.coalesce("alpha_1", "alpha_2").alias("alpha"),
+        "token", F.coalesce("display_1", "display_2").alias("recommendation"), F.coalesce("alpha_1", "alpha_2").alias("alpha"),
         F.when(whole, F.col("raw")).otherwise(F.expr("substring(raw, 1, length(raw) - 1)")).alias("form"),
     )
     capitals = (F.col("form") == F.upper("form")) & F.col("form").rlike("[A-Z]")
-    wrong = named.where((F.col("form") != F.col("alpha")) & ~capitals)
+    wrong = tokens.join(named.where((F.col("form") != F.col("alpha")) & ~capitals), "token")
     return wrong.groupBy("doc_id", "form", "recommendation").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.count_distinct("line").alias("n"), F.min(F.struct("line", "pos")).alias("first"))
 
 
@@ -42,8 +43,12 @@ def variants(tokens: DataFrame) -> DataFrame:
     """(doc_id, key, form, n, lines, place, first): spellings that differ in separators only, best first.
 
     Forms are counted by occurrence; the first one seen stands for those that differ in case.
+    A spelling that has no other in all the tokens has none in a document, so only the
+    tokens of the others are looked up in the text.
     """
-    found = forms(tokens).withColumn("key", T.group_key(F.col("form"))).where((F.length("key") >= 3) & F.col("form").rlike("[A-Za-z]"))
+    judged = forms(tokens).withColumn("key", T.group_key(F.col("form"))).where((F.length("key") >= 3) & F.col("form").rlike("[A-Za-z]"))
+    several = judged.groupBy("key").agg(F.min(F.lower("form")).alias("a"), F.max(F.lower("form")).alias("b")).where("a <> b").select("key")
+    found = tokens.join(judged.join(several, "key"), "token")
     found = found.groupBy("doc_id", "key", F.lower("form").alias("variant")).agg(F.count("*").alias("n"), F.min_by("form", F.struct("line", "pos")).alias("form"), F.array_sort(F.collect_set("line")).alias("lines"), F.min(F.struct("line", "pos")).alias("first"))
     group = Window.partitionBy("doc_id", "key")
     order = group.orderBy(F.desc("n"), F.length("form"), F.collate("form", "UNICODE"))

@@ -10,12 +10,12 @@ from wordloom.functions import text as T
 from wordloom.operators.markdown import blank_markdown
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, value): split at line feeds, numbered from 1, trailing empty lines kept."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "value")).select("doc_id", (F.col("at") + 1).alias("line"), "value")
+def lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, line, value): split at line feeds, numbered from 1, trailing empty lines kept."""
+    return docs.select("doc_id", *keep, F.posexplode(F.split("text", "\n", -1)).alias("at", "value")).select("doc_id", *keep, (F.col("at") + 1).alias("line"), "value")
 
 
-def active_lines(split: DataFrame) -> DataFrame:
+def active_lines(split: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines that no inline directive turns off.
 
     A block is off from `off` to `on`. `disable-next-line` arms one skip, which the
@@ -27,17 +27,18 @@ def active_lines(split: DataFrame) -> DataFrame:
     armed = F.sum((F.col("kind") == "disable-next-line").cast("int")).over(so_far)
     counted = marked.withColumn("armed", armed).withColumn("state", state).where((F.col("kind") == "") & (F.coalesce("state", F.lit("on")) == "on"))
     used = F.lag("armed", 1, 0).over(Window.partitionBy("doc_id").orderBy("line"))
-    return counted.withColumn("used", used).where(F.col("armed") == F.col("used")).select("doc_id", "line", "value")
+    return counted.withColumn("used", used).where(F.col("armed") == F.col("used")).select("doc_id", *keep, "line", "value")
 
 
-def checked_lines(docs: DataFrame, markdown: bool = False) -> DataFrame:
-    """(doc_id, line, value): the lines to check. Only documents with a directive are sorted for its window."""
+def checked_lines(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, line, value): the lines to check. Only documents with a directive are sorted for its window."""
     source = blank_markdown(docs) if markdown else docs
     has = F.coalesce(F.col("text").rlike(T.DIRECTIVE), F.lit(False))
-    return lines(source.where(~has)).unionByName(active_lines(lines(source.where(has))))
+    return lines(source.where(~has), keep).unionByName(active_lines(lines(source.where(has), keep), keep))
 
 
-def tokens(docs: DataFrame, markdown: bool = False) -> DataFrame:
-    """(doc_id, line, pos, token) of docs(doc_id, text)."""
-    kept = checked_lines(docs.select("doc_id", "text"), markdown)
-    return kept.select("doc_id", "line", F.posexplode(T.tokens(T.strip_noise(F.col("value")))).alias("pos", "token"))
+def tokens(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, line, pos, token) of docs(doc_id, text)."""
+    kept = checked_lines(docs.select("doc_id", "text", *keep), markdown, keep)
+    stripped = kept.withColumn("value", T.strip_noise(F.col("value"))).withColumn("found", T.tokens(F.col("value")))
+    return stripped.select("doc_id", *keep, "line", F.posexplode("found").alias("pos", "token"))

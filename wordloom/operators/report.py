@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 COMMAND = "wordloom"
+CLEAN = "No errors, everything is good"
+
+
+def command(consistency: bool = False, markdown: bool = False, corrections: str | None = None) -> str:
+    """The command that repeats a check's options."""
+    return " ".join([COMMAND, *["--consistency"] * consistency, *["--markdown"] * markdown, *(["--corrections", corrections] if corrections else [])])
 
 
 def _joined(values: Column) -> Column:
@@ -17,14 +23,19 @@ def _quoted(forms: Column) -> Column:
     return F.array_join(F.transform(forms, lambda f: F.concat(F.lit("'"), f["form"], F.lit("'"))), " vs ")
 
 
-def text_report(misspelt: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, section, place, report_line) of (doc_id, word, lines, first, suggestions) and findings."""
+def text_report(misspelt: DataFrame, found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, section, place, report_line) of (doc_id, word, lines, first, suggestions) and findings; a line for each clean document of docs, if given."""
     label = F.col("doc_id").cast("string")
     hints = F.when(F.size("suggestions") > 0, F.concat(F.lit(" Suggestions: "), F.array_join("suggestions", ", "))).otherwise("")
     first = Window.partitionBy("doc_id").orderBy("first")
     words = misspelt.select("doc_id", F.lit(0).alias("section"), F.row_number().over(first).alias("place"), F.concat(label, F.lit(": '"), "word", F.lit("' misspelled on line(s): "), _joined(F.col("lines")), F.lit("."), hints).alias("report_line"))
     terms = found.select("doc_id", F.lit(1).alias("section"), "place", F.concat(label, F.lit(": terminology: "), _quoted(F.col("forms")), F.lit(" — prefer '"), "recommendation", F.lit("' (line(s): "), _joined(F.col("lines")), F.lit(")")).alias("report_line"))
-    return words.unionByName(terms)
+    both = words.unionByName(terms)
+    if docs is None:
+        return both
+    issues = misspelt.select("doc_id").union(found.select("doc_id")).distinct()
+    clean = docs.select("doc_id").join(issues, "doc_id", "left_anti")
+    return both.unionByName(clean.select("doc_id", F.lit(2).alias("section"), F.lit(1).alias("place"), F.lit(CLEAN).alias("report_line")))
 
 
 def json_report(docs: DataFrame, misspelt: DataFrame, found: DataFrame) -> DataFrame:
@@ -66,6 +77,30 @@ def tasks(misspelt: DataFrame, found: DataFrame, command: str = COMMAND) -> Data
     return words.unionByName(terms).select("doc_id", F.row_number().over(order).alias("n"), "confidence", "line", "text")
 
 
+def task_lists(docs: DataFrame, listed: DataFrame, command: str = COMMAND) -> DataFrame:
+    """(doc_id, text): each document's tasks under a header, also where there are none."""
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), "text")
+    each = listed.groupBy("doc_id").agg(F.count("*").alias("issues"), F.count_if(F.col("confidence") != 2).alias("fixable"), F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    label, number = F.col("doc_id").cast("string"), lambda c: c.cast("string")
+    counts = F.concat(F.lit("# issues: "), number(F.col("issues")), F.lit(" ("), number(F.col("fixable")), F.lit(" fixable, "), number(F.col("issues") - F.col("fixable")), F.lit(" review)"))
+    head = [F.lit("# SPELLCHECK TASK LIST"), F.concat(F.lit("# file: "), label)]
+    full = F.array_join(F.concat(F.array(*head, counts, F.concat(F.lit(f"# self-service: {command} --fix "), label)), "lines"), "\n")
+    none = F.array_join(F.array(*head, F.lit("# NO ISSUES")), "\n")
+    return docs.select("doc_id").join(each, "doc_id", "left").select("doc_id", F.when(F.col("issues").isNull(), none).otherwise(full).alias("text"))
+
+
+def exit_status(misspelt: DataFrame, found: DataFrame) -> int:
+    """0 if nothing is wrong, else 1."""
+    return 0 if misspelt.isEmpty() and found.isEmpty() else 1
+
+
+def harvest_report(words: DataFrame, stats: DataFrame) -> DataFrame:
+    """(line): one line on a project's vocabulary."""
+    text = lambda c: F.col(c).cast("string")
+    number = words.count()
+    return stats.select(F.concat(F.lit(f"repo vocab: +{number} words ("), text("manifest_words"), F.lit(" manifest, "), text("counted_words"), F.lit(" from code) from "), text("files_scanned"), F.lit(" files")).alias("line"))
+
+
 def issue_counts(misspelt: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, words, findings, issues) of documents with any issue; a document is clean if it has no row."""
     both = misspelt.select("doc_id", F.lit(1).alias("w"), F.lit(0).alias("f")).union(found.select("doc_id", F.lit(0), F.lit(1)))

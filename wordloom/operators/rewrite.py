@@ -45,6 +45,11 @@ def fixed_documents(docs: DataFrame, fixed: DataFrame) -> DataFrame:
     return docs.join(changes, "doc_id", "left").select("doc_id", F.when(F.col("new").isNull(), F.col("text")).otherwise(text).alias("text"))
 
 
+def write_documents(fixed: DataFrame, path: str) -> None:
+    """Write fixed documents to a new Parquet table; one that is there already is an error."""
+    fixed.write.mode("error").parquet(path)
+
+
 def diff(fixed: DataFrame) -> DataFrame:
     """(doc_id, line, hunk): one hunk per changed line."""
     return fixed.select("doc_id", "line", F.concat(F.lit("@@ line "), F.col("line").cast("string"), F.lit("\n-"), "old_line", F.lit("\n+"), "new_line").alias("hunk"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wordloom import lists
 from wordloom.functions import text as T
+from wordloom.storage import settle
 
 MIN_COUNT = 3
 DEPENDENCY_KINDS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
@@ -37,9 +38,10 @@ def classified(files: DataFrame) -> DataFrame:
 
 
 def identifier_words(texts: DataFrame) -> DataFrame:
-    """(word) for each vocabulary sub-word of each identifier in texts(content)."""
+    """(word, n): the vocabulary sub-words of the identifiers in texts(content), a row for each distinct identifier that has them."""
     names = texts.select(F.explode(F.regexp_extract_all("content", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))).alias("name"))
-    return names.select(F.explode(T.split_identifiers(F.col("name"))).alias("part")).select(F.lower("part").alias("word")).where(T.is_vocabulary_word(F.col("word")))
+    names = names.groupBy("name").agg(F.count("*").alias("n"))
+    return names.select(F.explode(T.split_identifiers(F.col("name"))).alias("part"), "n").select(F.lower("part").alias("word"), "n").where(T.is_vocabulary_word(F.col("word")))
 
 
 def file_name_words(sources: DataFrame) -> DataFrame:
@@ -49,8 +51,8 @@ def file_name_words(sources: DataFrame) -> DataFrame:
 
 def counted_words(sources: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n): identifier and file-name words of source files, counted together, at least min_count times."""
-    both = identifier_words(sources).union(file_name_words(sources))
-    return both.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, min_count))
+    both = identifier_words(sources).union(file_name_words(sources).withColumn("n", F.lit(1).cast("long")))
+    return both.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, min_count))
 
 
 def _lines(files: DataFrame) -> DataFrame:
@@ -123,15 +125,19 @@ def manifest_words(files: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def harvest(files: DataFrame, max_files: int | None = None, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+def harvest(files: DataFrame, max_files: int | None = lists.MAX_FILES, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """((word), one row of manifest_words, counted_words, files_scanned) of files(path, length, content).
 
-    Larger files than MAX_FILE_BYTES count as scanned but are not read.
+    Larger files than MAX_FILE_BYTES count as scanned but are not read. Files are
+    classified in one pass, which settles their names and the contents of those that are read.
     """
     seen = classified(wanted_files(files, max_files))
+    content = F.when((F.col("length") <= lists.MAX_FILE_BYTES) & (F.col("role") != "other"), F.col("content"))
+    seen = settle(seen.select("path", "stem", "role", "length", content.alias("content")))
     read = seen.where(F.col("length") <= lists.MAX_FILE_BYTES)
-    trusted = manifest_words(read.where("role = 'manifest'"))
-    counted = counted_words(read.where("role = 'source'"), min_count).select("word")
+    manifests = settle(read.where("role = 'manifest'").select("path", "content"))
+    trusted = settle(manifest_words(manifests))
+    counted = settle(counted_words(read.where("role = 'source'"), min_count).select("word"))
     names = ("manifest_words", "counted_words", "files_scanned")
     parts = [rows.agg(*(F.count("*").alias(n) if n == own else F.lit(0).cast("long").alias(n) for n in names)) for own, rows in zip(names, (trusted, counted, seen), strict=True)]
     stats = parts[0].union(parts[1]).union(parts[2]).agg(*(F.sum(n).alias(n) for n in names))

@@ -11,6 +11,7 @@ from wordloom.lists import COMMON_WORDS, words_table
 from wordloom.operators import check as C
 from wordloom.operators import lint, preprocess
 from wordloom.operators import suggest as S
+from wordloom.storage import settle
 
 
 @dataclass
@@ -36,20 +37,34 @@ class Checked:
     findings: DataFrame
 
 
-def check(docs: DataFrame, options: Options) -> Checked:
-    """Check docs(doc_id, text). Suggestions are looked up once per distinct word."""
+def check(docs: DataFrame, options: Options, tokens: DataFrame | None = None) -> Checked:
+    """Check docs(doc_id, text), which is read once: its tokens, unless given, and what is decided of them are settled.
+
+    Validity is decided once per distinct token, suggestions are looked up once per distinct word.
+    """
     spark = docs.sparkSession
-    own = preprocess.tokens(docs, options.markdown)
-    found = C.occurrences(own, C.valid_words(options.lexicon, options.extra, options.ignored), options.min_length)
+    own = settle(preprocess.tokens(docs, options.markdown)) if tokens is None else tokens
+    bad = settle(C.invalid_parts(own.select("token").distinct(), C.valid_words(options.lexicon, options.extra, options.ignored), options.min_length))
+    found = settle(C.placed(own, bad))
     vocabulary = options.lexicon.select("word") if options.extra is None else options.lexicon.select("word").union(options.extra.select("word"))
-    words = found.select("word").distinct()
+    words = bad.select("word").distinct()
     best = S.suggestions(words, vocabulary, words_table(spark, COMMON_WORDS), vocabulary)
     corrections = options.corrections if options.corrections is not None else spark.createDataFrame([], "typo string, fix string")
-    suggested = S.with_learned(words, best, corrections)
+    suggested = settle(S.with_learned(words, best, corrections))
     misspelt = C.misspellings(found).join(suggested, "word").select("doc_id", "word", "n", "lines", "first", "suggestions", "top_distance")
     return Checked(own, found, suggested, misspelt, lint.findings(own))
 
 
+def extra_words(wordlists: list[DataFrame], files: DataFrame | None = None, **harvest: int | None) -> DataFrame:
+    """(word): word lists(word), then the vocabulary of a project's files(path, length, content), if given."""
+    from functools import reduce
+
+    from wordloom.operators import vocab
+
+    parts = [w.select("word") for w in wordlists] + ([vocab.harvest(files, **harvest)[0].select("word")] if files is not None else [])
+    return reduce(DataFrame.union, parts)
+
+
 def frequent_words(tokens: DataFrame, documents: DataFrame, share: int = 100, least: int = 2) -> DataFrame:
     """(word): a lexicon from the corpus itself: suggestable words in at least one of `share` documents, and `least`."""
     from wordloom.functions import text as T
@@ -57,6 +72,6 @@ def frequent_words(tokens: DataFrame, documents: DataFrame, share: int = 100, le
 
     spark = tokens.sparkSession
     words = tokens.select("doc_id", F.lower(T.clean_word(F.col("token"))).alias("word")).where(T.is_suggestable(F.col("word"))).distinct()
-    limit = documents.agg(F.greatest(F.lit(least), F.floor(F.count("*") / share)).alias("limit"))
-    common = words.groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(limit), F.col("n") >= F.col("limit")).select("word")  # one row
+    limit = max(least, documents.count() // share)
+    common = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("word")
     return common.union(words_table(spark, TECH_WORDS)).union(words_table(spark, COMMON_WORDS)).distinct()

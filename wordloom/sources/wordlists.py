@@ -55,6 +55,11 @@ def append_words(words: DataFrame, existing: DataFrame, path: str) -> int:
         fresh.unpersist()
 
 
+def add_word(spark: SparkSession, word: str, existing: DataFrame, path: str) -> int:
+    """Append one word, unless it is there in any case; how many were appended."""
+    return append_words(spark.createDataFrame([(word,)], "word string"), existing, path)
+
+
 def append_corrections(pairs: DataFrame, existing: DataFrame, path: str) -> int:
     """Append the new pairs as typo=fix lines; their number."""
     fresh = new_corrections(pairs, existing).select(F.concat_ws("=", "typo", "fix").alias("value")).persist()

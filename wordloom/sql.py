@@ -113,6 +113,10 @@ FULL = f"WITH RECURSIVE {CHECK}, {_suggest('occ')}, {SUGGESTED}, {MIS}"
 BRAND_ROWS = [(("".join(c for c in b if c.isalnum())).lower(), b, "".join(c for c in b if c.isalnum())) for b in BRANDS]
 
 
+#: A form of a finding in JSON; forms hold letters, digits, hyphens, underscores and apostrophes only.
+ENTRY = """'{{"form":"' || form || '","lines":[' || array_to_string({lines}, ',') || '],"count":' || {n} || '}}'"""
+
+
 def _lint(source: str) -> str:
     """CTEs casing and variants of source(doc_id, line, pos, token), and findings(doc_id, place, kind, recommendation, forms, lines)."""
     form = "regexp_replace(regexp_replace(token, '[^A-Za-z0-9''_-]', '', 'g'), '^[-'']+|[-'']+$', '', 'g')"
@@ -121,15 +125,16 @@ brand AS (SELECT * FROM {_values(BRAND_ROWS)} AS b(key, display, alpha)),
 raw AS (SELECT doc_id, line, pos, regexp_replace(form, '[^A-Za-z0-9]', '', 'g') AS raw FROM form),
 named AS (SELECT doc_id, line, pos, coalesce(x.display, y.display) AS recommendation, coalesce(x.alpha, y.alpha) AS alpha, CASE WHEN x.key IS NULL THEN left(raw, length(raw) - 1) ELSE raw END AS form
   FROM raw LEFT JOIN brand x ON x.key = lower(raw) LEFT JOIN brand y ON y.key = left(lower(raw), length(raw) - 1) AND lower(raw) LIKE '%s' WHERE x.key IS NOT NULL OR y.key IS NOT NULL),
-casing AS MATERIALIZED (SELECT doc_id, form, recommendation, count(DISTINCT line) AS n, list_sort(list(DISTINCT line)) AS lines, min(struct_pack(line, pos)) AS first
-  FROM named WHERE form <> alpha AND NOT (form = upper(form) AND regexp_matches(form, '[A-Z]')) GROUP BY ALL),
+casing AS MATERIALIZED (SELECT doc_id, form, recommendation, count(DISTINCT line) AS n, list_sort(list(DISTINCT line)) AS lines, min(struct_pack(line, pos)) AS first,
+  {ENTRY.format(lines="list_sort(list(DISTINCT line))", n="count(DISTINCT line)")} AS detail
+  FROM named WHERE form <> alpha AND NOT (form = upper(form) AND regexp_matches(form, '[A-Z]')) GROUP BY doc_id, form, recommendation),
 variant AS (SELECT doc_id, group_key, lower(form) AS v, count(*) AS n, arg_min(form, struct_pack(line, pos)) AS form, list_sort(list(DISTINCT line)) AS lines, min(struct_pack(line, pos)) AS first
   FROM (SELECT *, translate(lower(form), '-_''', '') AS group_key FROM form) WHERE length(group_key) >= 3 AND regexp_matches(form, '[A-Za-z]') GROUP BY ALL),
 variants AS MATERIALIZED (SELECT doc_id, group_key, form, n, lines, first, row_number() OVER (PARTITION BY doc_id, group_key ORDER BY n DESC, length(form), replace(replace(form, '_', chr(1)), '-', chr(2))) AS place
   FROM variant QUALIFY count(*) OVER (PARTITION BY doc_id, group_key) > 1),
-found AS (SELECT doc_id, 'casing' AS kind, recommendation, [form] AS forms, lines, first FROM casing
-  UNION ALL SELECT doc_id, 'variants', arg_min(form, place), list(form ORDER BY place), list_sort(list_distinct(flatten(list(lines)))), min(first) FROM variants GROUP BY doc_id, group_key),
-findings AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_min(lines), kind, first) AS place, kind, recommendation, forms, lines FROM found)"""
+found AS (SELECT doc_id, 'casing' AS kind, recommendation, [form] AS forms, lines, first, detail FROM casing
+  UNION ALL SELECT doc_id, 'variants', arg_min(form, place), list(form ORDER BY place), list_sort(list_distinct(flatten(list(lines)))), min(first), string_agg({ENTRY.format(lines="lines", n="n")}, ',' ORDER BY place) FROM variants GROUP BY doc_id, group_key),
+findings AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_min(lines), kind, first) AS place, kind, recommendation, forms, lines, detail FROM found)"""
 
 
 TERMS = f"terms AS MATERIALIZED {_tok('(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ' + _values(fixtures.TERMS) + ' AS t(doc_id, text))')}"
@@ -172,6 +177,18 @@ MARKDOWN_KEPT = {
 DIFF_ROWS = [(1, 1, "@@ line 1\n-teh wrod\n+the word"), (2, 1, "@@ line 1\n-Teh Cat\n+The Cat"), (3, 1, "@@ line 1\n-TEH `teh` x-teh\n+THE `the` x-the"), (5, 1, "@@ line 1\n-recieve\n+receive"), (5, 2, "@@ line 2\n-ok recieve\n+ok receive")]
 DIRECTIVES = "string_split(text, chr(10)) AS a"
 
+TASKS = f"""{FULL}, {_lint('tok')},
+each AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(word), line ORDER BY first) AS nth FROM (SELECT doc_id, word, first, suggestions, top_distance, len(lines) AS times, unnest(lines) AS line FROM mis)),
+task AS (
+  SELECT doc_id, CASE WHEN len(suggestions) = 0 OR times >= 2 THEN 2 WHEN top_distance = 1 THEN 0 ELSE 1 END AS confidence, line,
+    CASE WHEN len(suggestions) = 0 THEN '[review] line ' || line || ': ''' || word || ''' has no suggestion — rewrite or bless: wordloom --add-word ' || word
+         WHEN times >= 2 THEN '[review] line ' || line || ': ''' || word || ''' appears on ' || times || ' lines — if intentional, bless: wordloom --add-word ' || word || '; suggested fix: ''' || suggestions[1] || ''''
+         ELSE '[fix:' || CASE WHEN top_distance = 1 THEN 'high' ELSE 'medium' END || '] line ' || line || ': replace ''' || word || ''' with ''' || suggestions[1] || '''' || CASE WHEN len(suggestions) > 1 THEN ' (alternatives: ' || array_to_string(suggestions[2:], ', ') || ')' ELSE '' END END AS text,
+    0 AS source, first.line AS k1, first.pos AS k2, first.part_pos AS k3
+  FROM each WHERE nth = 1
+  UNION ALL
+  SELECT doc_id, 2, list_min(lines), '[review] consistency line ' || list_min(lines) || ': ' || CASE WHEN kind = 'casing' THEN '''' || forms[1] || ''' should be ''' || recommendation || '''' ELSE {QUOTED} || ' — prefer ''' || recommendation || '''' END, 1, place, 0, 0 FROM findings)"""
+
 SQL = {
     "q01_misspelled_words": f"WITH {CHECK} SELECT doc_id, word, count(*) AS n, count(DISTINCT line) AS n_lines, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM occ GROUP BY doc_id, word",
     "q02_token_stats_by_lang": f"WITH {TOK} SELECT lang, count(*) AS n_tokens, CAST(sum(length({CLEAN.format('token')})) AS BIGINT) AS clean_chars, count(DISTINCT {CLEAN.format('token')}) AS distinct_clean, CAST(sum(line) AS BIGINT) AS line_sum FROM tok JOIN documents USING (doc_id) GROUP BY lang",
@@ -203,27 +220,29 @@ SELECT word, array_to_string(CASE WHEN length(word) % 2 = 0 THEN list_concat(['F
     "q21_toml_gomod_reqs": "SELECT word FROM " + _words(MANIFEST_WORDS),
     "q22_vocab_union_stats": f"""WITH {PATHS}, {COUNTED.format(source="(SELECT content FROM classified WHERE role = 'source')")}, counted AS (SELECT word FROM (SELECT word FROM ident UNION ALL SELECT word FROM stem_words) WHERE {VOCAB} GROUP BY word HAVING count(*) >= 3),
 every AS (SELECT word FROM counted UNION SELECT word FROM {_words(MANIFEST_WORDS)})
-SELECT (SELECT count(*) FROM every) AS words, (SELECT md5(string_agg(word, ',' ORDER BY word)) FROM every) AS words_md5, CAST({len(MANIFEST_WORDS)} AS BIGINT) AS manifest_words, (SELECT count(*) FROM counted) AS counted_words, (SELECT count(*) FROM classified) AS files_scanned""",
+SELECT (SELECT count(*) FROM every) AS words, (SELECT CAST(sum(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT)) AS BIGINT) FROM every) AS words_digest, CAST({len(MANIFEST_WORDS)} AS BIGINT) AS manifest_words, (SELECT count(*) FROM counted) AS counted_words, (SELECT count(*) FROM classified) AS files_scanned""",
     "q23_wordlist_load_append": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT unnest(['ALPHA', 'beta', 'alpha'])) WHERE lower(word) NOT IN ('alpha', 'beta', 'blush') GROUP BY word",
     "q24_corrections_append": f"SELECT typo, fix FROM (SELECT lower(n_name) AS typo, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS fix FROM nation UNION ALL SELECT * FROM {_values(fixtures.NEW_PAIRS)} AS t(typo, fix)) WHERE (lower(typo), fix) NOT IN (('teh', 'The'), ('wrod', 'word'), ('japan', 'Japan'))",
     "q26_diff": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(line AS BIGINT) AS line, hunk FROM " + _values(DIFF_ROWS) + " AS t(doc_id, line, hunk)",
     "q27_learned_pairs": f"{FULL} SELECT lower(word) AS typo, arg_max(suggestions[1], struct_pack(doc_id, line, pos, part_pos)) AS fix FROM occ JOIN sug USING (word) WHERE len(suggestions) > 0 GROUP BY 1",
     "q28_unfixable": f"{FULL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS place, word FROM mis WHERE len(suggestions) = 0",
-    "q29_agent_tasks": f"""{FULL}, {_lint('tok')},
-each AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(word), line ORDER BY first) AS nth FROM (SELECT doc_id, word, first, suggestions, top_distance, len(lines) AS times, unnest(lines) AS line FROM mis)),
-task AS (
-  SELECT doc_id, CASE WHEN len(suggestions) = 0 OR times >= 2 THEN 2 WHEN top_distance = 1 THEN 0 ELSE 1 END AS confidence, line,
-    CASE WHEN len(suggestions) = 0 THEN '[review] line ' || line || ': ''' || word || ''' has no suggestion — rewrite or bless: wordloom --add-word ' || word
-         WHEN times >= 2 THEN '[review] line ' || line || ': ''' || word || ''' appears on ' || times || ' lines — if intentional, bless: wordloom --add-word ' || word || '; suggested fix: ''' || suggestions[1] || ''''
-         ELSE '[fix:' || CASE WHEN top_distance = 1 THEN 'high' ELSE 'medium' END || '] line ' || line || ': replace ''' || word || ''' with ''' || suggestions[1] || '''' || CASE WHEN len(suggestions) > 1 THEN ' (alternatives: ' || array_to_string(suggestions[2:], ', ') || ')' ELSE '' END END AS text,
-    0 AS source, first.line AS k1, first.pos AS k2, first.part_pos AS k3
-  FROM each WHERE nth = 1
-  UNION ALL
-  SELECT doc_id, 2, list_min(lines), '[review] consistency line ' || list_min(lines) || ': ' || CASE WHEN kind = 'casing' THEN '''' || forms[1] || ''' should be ''' || recommendation || '''' ELSE {QUOTED} || ' — prefer ''' || recommendation || '''' END, 1, place, 0, 0 FROM findings)
+    "q29_agent_tasks": f"""{TASKS}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence, line, source, k1, k2, k3) AS n, CAST(confidence AS BIGINT) AS confidence, CAST(line AS BIGINT) AS line, text FROM task""",
     "q30_text_json_report": f"""{FULL}, {_lint('tok')}
 SELECT doc_id, CAST(0 AS BIGINT) AS section, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS place, doc_id || ': ''' || word || ''' misspelled on line(s): ' || array_to_string(lines, ', ') || '.' || CASE WHEN len(suggestions) > 0 THEN ' Suggestions: ' || array_to_string(suggestions, ', ') ELSE '' END AS report_line FROM mis
-UNION ALL SELECT doc_id, 1, place, doc_id || ': terminology: ' || {QUOTED} || ' — prefer ''' || recommendation || ''' (line(s): ' || array_to_string(lines, ', ') || ')' FROM findings""",
+UNION ALL SELECT doc_id, 1, place, doc_id || ': terminology: ' || {QUOTED} || ' — prefer ''' || recommendation || ''' (line(s): ' || array_to_string(lines, ', ') || ')' FROM findings
+UNION ALL SELECT doc_id, 2, 1, 'No errors, everything is good' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM mis UNION SELECT doc_id FROM findings)""",
     "q31_generate_dict": f"WITH {CHECK} SELECT DISTINCT word FROM occ WHERE lower(word) NOT IN ('alpha', 'beta', 'blush')",
     "q32_path_filters": rf"WITH {PATHS} SELECT path, extension, role, regexp_matches(path, '(?i)\.(md|markdown|mdx)$') AS markdown FROM classified",
+    "q35_json_report": f"""{FULL}, {_lint('tok')},
+m AS (SELECT doc_id, count(*) AS n, string_agg('{{"word":"' || word || '","lines":[' || array_to_string(lines, ',') || '],"suggestions":[' || array_to_string(list_transform(suggestions, lambda s: '"' || s || '"'), ',') || ']' || coalesce(',"topDistance":' || top_distance, '') || '}}', ',' ORDER BY first) AS words FROM mis GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg('{{"kind":"' || kind || '","recommendation":"' || recommendation || '","forms":[' || detail || '],"lines":[' || array_to_string(lines, ',') || ']}}', ',' ORDER BY place) AS terms FROM findings GROUP BY doc_id)
+SELECT doc_id, '{{"file":"' || doc_id || '","count":' || coalesce(n, 0) || ',"misspellings":[' || coalesce(words, '') || '],"consistency":[' || coalesce(terms, '') || ']}}' AS report
+FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "q36_task_lists": f"""{TASKS},
+numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence, line, source, k1, k2, k3) AS n, confidence, text FROM task),
+listed AS (SELECT doc_id, count(*) AS issues, count(*) FILTER (confidence <> 2) AS fixable, string_agg(n || '. ' || text, chr(10) ORDER BY n) AS lines FROM numbered GROUP BY doc_id)
+SELECT doc_id, '# SPELLCHECK TASK LIST' || chr(10) || '# file: ' || doc_id || chr(10) || CASE WHEN issues IS NULL THEN '# NO ISSUES'
+  ELSE '# issues: ' || issues || ' (' || fixable || ' fixable, ' || (issues - fixable) || ' review)' || chr(10) || '# self-service: wordloom --fix ' || doc_id || chr(10) || lines END AS text
+FROM documents LEFT JOIN listed USING (doc_id)""",
 }
