@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import exchange as X
 from wordloom.llm.vectors import matrix, shape, usable_vectors
+from wordloom.storage import settle
 
 THRESHOLD = 0.9
 #: Classes of a tile, rows of an inner block, and the rows that principal axes are fitted on.
@@ -208,16 +209,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     rows, width = shape(good)
     groups = max(1, -(-rows // TILE_ROWS))
     local = good.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).groupBy("group").applyInArrow(_local, "vec_id long, local long, least long, copies long, v array<double>")
-    local = X.settle(local)
+    local = settle(local)
     heads = local.where("v is not null")
     # -0.0 and zeros after a shorter vector are the same class as without them
     whole = F.concat(F.transform("v", lambda x: x + F.lit(0.0)), F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))
-    classes = X.settle(heads.groupBy(whole.alias("v")).agg(F.min("local").alias("class"), F.min("least").alias("least"), F.sum("copies").alias("copies")))
+    classes = settle(heads.groupBy(whole.alias("v")).agg(F.min("local").alias("class"), F.min("least").alias("least"), F.sum("copies").alias("copies")))
     n = classes.count()
     tiles = max(1, -(-n // TILE_ROWS))
     axes = principal_axes(classes, width, n)
-    packed = X.settle(classes.withColumn("tile", F.pmod(F.xxhash64("class"), F.lit(tiles)).cast("int")).groupBy("tile").applyInArrow(_packed(width), "tile int, class binary, least binary, copies binary, data binary"))
-    met = X.settle(_squares(packed, tiles).mapInArrow(_compare(width, axes, threshold, BLOCK_ROWS), "class long, links long, a long, b long"))
+    packed = settle(classes.withColumn("tile", F.pmod(F.xxhash64("class"), F.lit(tiles)).cast("int")).groupBy("tile").applyInArrow(_packed(width), "tile int, class binary, least binary, copies binary, data binary"))
+    met = settle(_squares(packed, tiles).mapInArrow(_compare(width, axes, threshold, BLOCK_ROWS), "class long, links long, a long, b long"))
     links = met.groupBy("class").agg(F.sum("links").alias("links"))
     reached = X.components(met.select("a", "b").where("a <> b"))
     of_local = heads.select("local", whole.alias("v")).join(classes, "v").select("local", "class", "least", "copies")

@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import exchange as X
 from wordloom.llm import textblocks as T
+from wordloom.storage import settle
 
 SHINGLE_WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -180,7 +181,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, shared) of distinct pairs (a, b)."""
-    pairs = X.settle(pairs)
+    pairs = settle(pairs)
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias("n"), "shingles")
     sized = pairs.join(of("b").select("b", "n"), "b")
     units = sized.groupBy("a").agg(F.ceil(F.sum("n") / UNIT_SHINGLES).cast("int").alias("units"))
@@ -188,7 +189,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     unit = F.pmod(F.xxhash64("b"), F.col("units")).cast("int")
     others = pairs.join(units, "a").select("a", unit.alias("unit"), "b").join(of("b"), "b").select("a", "unit", "b", "n", "shingles")
     stream = first.union(others).repartition("a", "unit").sortWithinPartitions("a", "unit", F.col("b").asc_nulls_first())
-    return X.settle(stream.select("a", "b", "n", "shingles").mapInArrow(_compare, "a long, b long, na long, nb long, shared long"))
+    return settle(stream.select("a", "b", "n", "shingles").mapInArrow(_compare, "a long, b long, na long, nb long, shared long"))
 
 
 def _near(t: Fraction):
@@ -265,24 +266,24 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     chunks, mask = X.chunk_count(size), _leading(size)
     dealt = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     replies = X.reduce_over_chunks(dealt.groupBy("chunk").applyInArrow(_request(chunks, k, mask), X.MESSAGE), chunks, "sum")
-    rows = X.settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_indexed(k, t, mask), _CHUNK_SCHEMA))
+    rows = settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_indexed(k, t, mask), _CHUNK_SCHEMA))
 
     # One set for each fingerprint over all chunks: at most one row a chunk has the same one.
     local = rows.where("f1 is not null").select("local_rep", "n_shingles", "f1", "f2")
     whole = local.groupBy("n_shingles", "f1", "f2").agg(F.min("local_rep").alias("rep"))
-    reps = X.settle(local.join(whole, ["n_shingles", "f1", "f2"]).select("local_rep", "rep"))
+    reps = settle(local.join(whole, ["n_shingles", "f1", "f2"]).select("local_rep", "rep"))
     sets = rows.where("shingles is not null").join(reps.where("local_rep = rep").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "tokens", "places", "bits", "shingles")
 
     block = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(float(1 / t))) + 1e-9).cast("int")
     lists = sets.select("doc_id", F.col("n_shingles").alias("n"), block.alias("block"), F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("doc_id", "n", "block", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
     shared = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    lists = X.settle(lists.join(shared, "token"))
+    lists = settle(lists.join(shared, "token"))
     hubs = lists.groupBy("token", "block").agg(F.min(F.struct("place", "doc_id")).getField("doc_id").alias("hub"))
     own = lists.join(hubs, ["token", "block"]).select("hub", "doc_id")
     following = hubs.join(hubs.select("token", (F.col("block") - 1).alias("block"), F.col("hub").alias("doc_id")), ["token", "block"]).select("hub", "doc_id")
     stars = own.union(following).where("doc_id <> hub").toDF("a", "b").distinct()
     first = _compared(stars, sets)
-    known = X.settle(X.components(_links(first, t)))
+    known = settle(X.components(_links(first, t)))
 
     # Lists whose members are in more than one component; what is not in a list's main component meets the rest of it.
     named = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -291,7 +292,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     distance = first.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("far"))
     mixed = named.join(main, "token").join(hubs, ["token", "block"]).join(distance, ["doc_id", "hub"], "left").withColumn("far", F.when(F.col("doc_id") == F.col("hub"), 0.0).otherwise(F.col("far")))
     mixed = mixed.join(sets.select("doc_id", *(F.element_at("bits", i + 1).alias(c) for i, c in enumerate(PARITY))), "doc_id")
-    mixed = X.settle(mixed.select("token", "main", "doc_id", "n", "block", "place", "component", "hub", "far", *PARITY))
+    mixed = settle(mixed.select("token", "main", "doc_id", "n", "block", "place", "component", "hub", "far", *PARITY))
     parts = mixed.groupBy("token").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / LIST_ROWS).cast("int"))
     units = parts.agg(F.coalesce(F.sum(F.col("members") * F.col("parts")), F.lit(0))).first()[0]
     parts = parts.drop("members")
@@ -307,7 +308,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     bridges = more.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     over = X.components(bridges)
     final = known.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component_id"))
-    final = X.settle(final.union(over.join(known.select(F.col("node")), "node", "left_anti").select("node", "component")))
+    final = settle(final.union(over.join(known.select(F.col("node")), "node", "left_anti").select("node", "component")))
 
     named_reps = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("local_rep", F.coalesce("component_id", "rep").alias("component_id"))
     by_id = rows.select("doc_id", "n_shingles", "local_rep").join(named_reps, "local_rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.llm import exchange as X
+from wordloom.storage import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     # rows that share an id, or have none, go by their text, so that no id is one window
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).cast("binary"))
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *([X.packed(docs, carry).alias("carried")] if carry is not None else []))
-    sized = X.settle(sized)
+    sized = settle(sized)
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")
     targets = source_targets(buckets).withColumnRenamed("source", "of")
@@ -104,11 +105,11 @@ def training_order(docs: DataFrame) -> DataFrame:
     Positions are found without the texts, which are joined to them once.
     """
     own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    rows = X.settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), F.col("source").alias("source"), X.packed(docs, own).alias("carried")))
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), F.col("source").alias("source"), X.packed(docs, own).alias("carried")))
     mixed = mix(rows.select("row", "doc_id", "text", "source"), ["row"]).where(F.col("first_position").isNotNull())
     first = F.least("size", "taken")
     copies = F.array(F.struct(F.col("first_position").alias("position"), first.alias("words")), F.struct(F.col("second_position").alias("position"), (F.col("taken") - first).alias("words")))
-    mixed = X.settle(mixed.select(F.col("carried")["c0"].alias("row"), "size", F.filter(copies, lambda c: c["position"].isNotNull()).alias("copies")))
+    mixed = settle(mixed.select(F.col("carried")["c0"].alias("row"), "size", F.filter(copies, lambda c: c["position"].isNotNull()).alias("copies")))
     each = rows.drop("source").join(mixed, "row").select("doc_id", "text", "carried", "size", F.explode("copies").alias("copy"))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int"))
     text = F.when(F.col("copy.words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))

@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from wordloom.llm import exchange as X
 from wordloom.llm.bpe import encoder
+from wordloom.storage import settle
 
 SEQUENCE = 2048
 END_ID = 1
@@ -122,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, sequence: int = SEQUENCE)
     """One row per piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     X.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = X.settle(docs.mapInArrow(_pieces(tokenizer, ranks, sequence), _PIECES))
+    pieces = settle(docs.mapInArrow(_pieces(tokenizer, ranks, sequence), _PIECES))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
     buckets = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in buckets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `sequence` rows

@@ -6,71 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordloom.llm import embedding_dedup, html_text, jaccard_join, language_id, mixing, packing, substring_dedup, topk_search, toxicity, warc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.jaccard_join import jaccard_components
-
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.topk_search import top_k
-
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.substring_dedup import dedup_substrings
-
-    return dedup_substrings(table(spark, sf_dir, "documents"))
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.mixing import by_position, mix
-
-    return by_position(mix(table(spark, sf_dir, "documents")))
+    return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from wordloom.llm.packing import pack
-
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.toxicity import score_toxicity
-
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.html_text import extract
-
-    return extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.language_id import identify
-
-    return identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.embedding_dedup import near_duplicates
-
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.warc import archive_pages
-
-    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -89,8 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from wordloom.llm import embedding_dedup, jaccard_join, mixing, substring_dedup, topk_search, warc
-
     return {
         "op1_jaccard_join": jaccard_join.SQL,
         "op2_topk_search": topk_search.SQL,

@@ -40,6 +40,7 @@ from pyspark.sql.types import StructType
 
 from wordloom.llm import exchange as X
 from wordloom.llm import textblocks as T
+from wordloom.storage import settle
 
 WINDOW_WORDS = 20
 #: doc_id quantiles held as a literal in the plan; finer chunks divide the steps between them evenly.
@@ -297,19 +298,19 @@ def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, carry: l
     outcome = StructType.fromDDL(_OUTCOME)
     if kept:
         outcome = outcome.add("text", "string").add("carried", X.loose(docs.schema["carried"].dataType))
-    rows = X.settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_compacted(k, kept), StructType([*outcome, *StructType.fromDDL(_PATHS)])))
+    rows = settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_compacted(k, kept), StructType([*outcome, *StructType.fromDDL(_PATHS)])))
 
     spans = rows.select("chunk", "place", F.explode("spans").alias("s")).select("chunk", "place", "s.*")
     asked = spans.where("text is not null").groupBy("source", "digest").agg(F.min("text").alias("text"))
-    asked = X.settle(asked)
+    asked = settle(asked)
     units = asked.groupBy("source").agg(F.ceil(F.sum(F.octet_length("text")) / X.CHUNK_BYTES).alias("units"))
     unit = F.pmod(F.xxhash64("digest"), F.col("units"))
     asked = asked.join(units, "source").select("source", unit.alias("unit"), "digest", "text")
     regions = rows.select(F.col("chunk").alias("source"), F.explode("regions").alias("text")).join(units, "source").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("unit"), "text")
-    bad = X.settle(asked.groupBy("source", "unit").cogroup(regions.groupBy("source", "unit")).applyInArrow(_verified(k), "source long, digest binary, good binary"))
+    bad = settle(asked.groupBy("source", "unit").cogroup(regions.groupBy("source", "unit")).applyInArrow(_verified(k), "source long, digest binary, good binary"))
 
     # chunks with an edge that is not what its hash says: seldom any
-    wrong = X.settle(spans.join(bad, ["source", "digest"], "left_semi").select("chunk").distinct())
+    wrong = settle(spans.join(bad, ["source", "digest"], "left_semi").select("chunk").distinct())
     again = spans.join(wrong, "chunk", "left_semi").join(bad, ["source", "digest"], "left").select("chunk", "place", "begin", "n", "good")
     anew = dealt.join(wrong, "chunk", "left_semi").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_cut_anew(k, kept), outcome)
     return rows.join(wrong, "chunk", "left_anti").select(*anew.columns).unionByName(anew)

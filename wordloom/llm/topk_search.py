@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.llm import exchange as X
 from wordloom.llm.vectors import matrix, shape, usable_vectors
+from wordloom.storage import settle
 
 K = 20
 SCALE = 64
@@ -182,8 +182,8 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     blocks = max(1, -(-rows // (every * BLOCK_QUERIES)))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     schema = "part int, ids binary, data binary"
-    data = X.settle(vectors.withColumn("part", part(shards)).groupBy("part").applyInArrow(_packed(width), schema))
-    queries = X.settle(vectors.where(F.col("vec_id") % every == 0).withColumn("part", part(blocks)).groupBy("part").applyInArrow(_packed(width), schema))
+    data = settle(vectors.withColumn("part", part(shards)).groupBy("part").applyInArrow(_packed(width), schema))
+    queries = settle(vectors.where(F.col("vec_id") % every == 0).withColumn("part", part(blocks)).groupBy("part").applyInArrow(_packed(width), schema))
     # each block of queries meets each group of shards in a partition of its own
     asked = queries.select((F.col("part") * groups).alias("base"), F.lit(False).alias("shard"), F.lit(0).alias("part"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     met = data.select(F.floor(F.col("part") / GROUP_SHARDS).cast("int").alias("group"), F.lit(True).alias("shard"), "part", "ids", "data")

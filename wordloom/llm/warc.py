@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import exchange as X
+from wordloom.storage import settle, shared_dir
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -262,7 +263,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     """(page_id, url, html, digest, n, refers_to): refers_to is null where a record is a response."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
-    copies = X.settle(pages.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1 and head is not null"))
+    copies = settle(pages.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1 and head is not null"))
     limit = max(SALT_ROWS, copies.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // MOST_DEALT)
     dealt = copies.where(F.col("copies") > limit).select("digest", F.ceil(F.col("copies") / limit).alias("parts"))
     # at most MOST_DEALT rows, as their copies sum to all pages at most
@@ -276,13 +277,13 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """(archive): the WARC files written to the folder for pages(page_id, url, html)."""
-    return X.settle(with_revisits(pages).mapInArrow(_write(folder, ARCHIVE_BYTES), "archive string"))
+    return settle(with_revisits(pages).mapInArrow(_write(folder, ARCHIVE_BYTES), "archive string"))
 
 
 def capture_index(archives: DataFrame, folder: str) -> DataFrame:
     """The records of the archives in global order of (url_key, captured, page_id)."""
     n = max(1, archives.count())  # a number of partitions that is not joined up again: one archive is a task's work
-    runs = X.settle(archives.repartitionByRange(n, "archive").mapInArrow(_runs(folder, RUN_ROWS), _RUN))
+    runs = settle(archives.repartitionByRange(n, "archive").mapInArrow(_runs(folder, RUN_ROWS), _RUN))
     ranges = max(1, -(-runs.count() // RANGE_ROWS))
     dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "record_offset")
     return dealt.sortWithinPartitions("archive", "run", "number").mapInArrow(_merge, _RUN)
@@ -291,7 +292,7 @@ def capture_index(archives: DataFrame, folder: str) -> DataFrame:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write pages to WARC archives in the shared folder, read them back and return their index, one row a page."""
     X.small_batches(pages.sparkSession)
-    folder = f"{X.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     index = capture_index(write_archives(pages, folder), folder)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "record_offset")
 
