@@ -55,12 +55,124 @@ def test_language_model_is_a_distribution():
         assert 0.9 < total <= 1.0001
 
 
+def plain_probability(text, languages, order=4):
+    """P(symbol | context) of one language's text by the textbook recursion over dictionaries."""
+    from wordloom.llm import language_id as L
+
+    own = L.symbols(text).tolist()
+    vocabulary = len({s for t in languages for s in L.symbols(t).tolist()}) + 1
+    counts = {order: {}}
+    for i in range(len(own) - order + 1):
+        gram = tuple(own[i : i + order])
+        counts[order][gram] = counts[order].get(gram, 0) + 1
+    for n in range(order - 1, 0, -1):
+        above = {tuple(own[i : i + n + 1]) for i in range(len(own) - n)}
+        grams = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
+        counts[n] = {g: sum(a[1:] == g for a in above) or 1 for g in grams}
+
+    def discount(n):
+        once, twice = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    def probability(symbol, context):
+        n = len(context) + 1
+        lower = probability(symbol, context[1:]) if context else 1 / vocabulary
+        seen = [c for g, c in counts[n].items() if g[:-1] == context]
+        if not seen:
+            return lower
+        d, total = discount(n), sum(seen)
+        return max(counts[n].get((*context, symbol), 0) - d, 0) / total + d * len(seen) / total * lower
+
+    return probability
+
+
+def test_language_model_is_the_textbook_one():
+    from wordloom.llm import language_id as L
+
+    texts = {"aa": "the theory of the other thing then", "bb": "der dieb und die diebin die der"}
+    model = train({k: [t] for k, t in texts.items()})
+    probe = L.symbols("other die thx und 5 zq")
+    logs = L._log_probs(model, probe, np.array([0, len(probe)]))
+    for column, name in enumerate(model.languages):
+        probability = plain_probability(texts[name], texts.values())
+        expected = [np.log(probability(int(s), tuple(probe[max(0, i - 3) : i].tolist()))) for i, s in enumerate(probe.tolist())]
+        assert logs[:, column] == pytest.approx(expected, abs=1e-4)
+
+
+def test_every_language_is_learned(make):
+    """1,200 languages: each has its sample, smaller than that of a few."""
+    from wordloom.llm import language_id as L
+
+    rows = [(i, f"word{i % 1200} of language {i % 1200} and more", f"l{i % 1200}") for i in range(36_000)]
+    texts, hold = L.training_texts(make(rows))
+    assert len(set(texts) | set(hold)) == 1200
+    assert L.sample_chars(1200) < L.sample_chars(40) < L.sample_chars(4) == L.TRAIN_CHARS
+    assert all(sum(map(len, t)) <= L.sample_chars(1200) * 2 for t in texts.values())
+
+
+def test_short_texts_may_be_rejected(make):
+    """No length exempts from rejection: foreign symbols go, short pieces of a language stay."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, "abcdefgh", 60), "xx") for i in range(90)]
+    probes = {1000: "bad cafe", 1001: "жщцчэю", 1002: "a", 1003: "жщцчэю " * 50}
+    got = {r["doc_id"]: r["rejected"] for r in identify(make(rows + [(i, t, None) for i, t in probes.items()])).collect()}
+    assert [got[i] for i in probes] == [False, True, False, True]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").select("lang", "lang_pred", "rejected").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.99
+    assert got.rejected.mean() < 0.01
+
+
+def test_pooling_against_plain_loops():
+    from wordloom.llm import toxicity as X
+
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 2, 3, 7, 0, 1, 30]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    steps = rng.normal(size=(bounds[-1], int(X._OFFSETS[-1]))).astype(np.float32)
+    best, places = X._pooled(steps, bounds, True)
+    for text, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        for i, width in enumerate(X.WIDTHS):
+            for f in range(X.FILTERS):
+                sums = [sum(steps[at + j, X._OFFSETS[i] + j * X.FILTERS + f] for j in range(width)) for at in range(a, b - width + 1)]
+                column = i * X.FILTERS + f
+                assert best[text, column] == pytest.approx(max(sums, default=-np.inf), abs=1e-5)
+                if sums:
+                    assert places[text, column] == a + int(np.argmax(sums))
+
+
+def test_scores_against_plain_convolution():
+    """The folded table gives what embeddings, filters, pooling and the output layer give one after the other."""
+    from wordloom.llm import toxicity as X
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(1 << X.BITS, X.DIMENSIONS))
+    filters = rng.normal(size=(X.DIMENSIONS, int(X._OFFSETS[-1])))
+    bias, out = rng.normal(size=len(X.WIDTHS) * X.FILTERS), rng.normal(size=len(X.WIDTHS) * X.FILTERS)
+    model = X.Classifier((vectors @ filters).astype(np.float32), bias, out, 0.3, np.zeros((1 << X.LANGUAGE_BITS, 1)), np.zeros(1), np.zeros(1))
+    own = rng.integers(0, 1 << X.BITS, size=(12, 3))
+    embedded = vectors[own].sum(axis=1)
+    hidden = []
+    for i, width in enumerate(X.WIDTHS):
+        for f in range(X.FILTERS):
+            sums = [sum(embedded[at + j] @ filters[:, X._OFFSETS[i] + j * X.FILTERS + f] for j in range(width)) for at in range(12 - width + 1)]
+            hidden.append(max(0, max(sums) + bias[i * X.FILTERS + f]))
+    assert X.logits(model, own, np.array([0, 12]))[0] == pytest.approx(float(np.array(hidden) @ out + 0.3), abs=1e-3)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = score_toxicity(docs, labels).toPandas().merge(labels.select("doc_id", "toxic").toPandas(), on="doc_id")
     held = got[got.held_out]
     assert (held.predicted == held.toxic).mean() > 0.93
+    hits = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert hits / (held.toxic == 1).sum() > 0.6
+    assert hits / (held.predicted == 1).sum() > 0.75
     assert ((got.score >= 0) & (got.score <= 1)).all()
 
 

@@ -135,6 +135,12 @@ def reduce_over_chunks(requests: DataFrame, chunks: int, how: str) -> DataFrame:
     return meet(requests, 0, steps[0])
 
 
+def in_batches(table: pa.Table, rows: int = 256) -> pa.Table:
+    """The table in batches of some rows, which go to Spark one by one; what Arrow keeps of earlier ones is given back."""
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_batches(table.to_batches(max_chunksize=rows), table.schema)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one pass that reads a single column."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])

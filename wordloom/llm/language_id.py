@@ -55,8 +55,8 @@ UNKNOWN = "und"
 ORDER = 4
 #: Bounds of the labelled sample: characters of a language at most and at least, and entries of the model.
 TRAIN_CHARS = 400_000
-LEAST_CHARS = 50
-MODEL_CELLS = 1 << 26
+LEAST_CHARS = 16
+MODEL_CELLS = 1 << 24
 #: One text in so many calibrates rejection; from each language, so many pieces of each length at most.
 CALIBRATE = 5
 PIECES = 200

@@ -97,15 +97,17 @@ class _Windows:
             ends.append(e + base)
             counts.append(c[1:] + words)
             words += len(s)
-        self.starts, self.ends, self.counts = np.concatenate(starts), np.concatenate(ends), np.concatenate(counts)
-        self.begins, self.coordinate, hashes = np.concatenate(begins), np.concatenate(coordinates), np.concatenate(edges)
+        small = np.int32 if len(self.data) < 1 << 31 else np.int64
+        self.starts, self.ends, self.counts = np.concatenate(starts).astype(small), np.concatenate(ends).astype(small), np.concatenate(counts)
+        self.begins, self.coordinate, hashes = np.concatenate(begins).astype(small), np.concatenate(coordinates), np.concatenate(edges)
+        del starts, ends, begins, coordinates, edges
         order = np.lexsort((self.coordinate, hashes))
         ordered = hashes[order]
         new = np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))
         self.distinct, self.hashes = ordered[new], hashes
-        self.place = np.empty(len(hashes), np.int64)
+        self.place = np.empty(len(hashes), small)
         self.place[order] = np.cumsum(new) - 1
-        self.source = order[new]
+        self.source = order[new].astype(small)
 
     def text_of(self, words: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.counts, words, side="right") - 1
@@ -216,7 +218,7 @@ def _compacted(k: int, carry: bool):
         chunk = key[0].as_py()
         rows, own = _windows(docs, k)
         told = X.replied(replies)
-        source = (told >> 1)[own.place]
+        source = (told >> 1).astype(np.int32)[own.place]
         off = own.coordinate > own.coordinate[own.source[own.place]]
         here = np.flatnonzero((source == chunk) & off)
         gone = source < chunk
@@ -244,7 +246,8 @@ def _compacted(k: int, carry: bool):
         for begin, count in zip(own.begins[same[first]].tolist(), n.tolist(), strict=True):
             text = int(own.text_of(np.array([begin]))[0])
             spans[text].append({"source": chunk, "digest": None, "begin": begin - int(own.counts[text]), "n": count, "text": None})
-        return pa.table(_outcomes(rows, own, gone, carry) | {"chunk": pa.array([chunk] * rows.num_rows, pa.int64()), "place": pa.array(range(rows.num_rows), pa.int64()), "spans": pa.array(spans, _SPANS), "regions": pa.array(regions, _REGIONS)})
+        out = pa.table(_outcomes(rows, own, gone, carry) | {"chunk": pa.array([chunk] * rows.num_rows, pa.int64()), "place": pa.array(range(rows.num_rows), pa.int64()), "spans": pa.array(spans, _SPANS), "regions": pa.array(regions, _REGIONS)})
+        return X.in_batches(out)
 
     return run
 
