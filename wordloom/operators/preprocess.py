@@ -33,7 +33,8 @@ def active_lines(split: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def checked_lines(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, line, value): the lines to check. Only documents with a directive are sorted for its window."""
     source = blank_markdown(docs) if markdown else docs
-    has = F.coalesce(F.col("text").rlike(T.DIRECTIVE), F.lit(False))
+    # texts without the word, which a plain search tells, skip the pattern
+    has = F.coalesce(F.lower("text").contains("spellcheck:") & F.col("text").rlike(T.DIRECTIVE), F.lit(False))
     return lines(source.where(~has), keep).unionByName(active_lines(lines(source.where(has), keep), keep))
 
 
