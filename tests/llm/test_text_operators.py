@@ -272,6 +272,19 @@ def test_packing(make, tokenizer):
         assert one.length.sum() <= packing.SEQUENCE
 
 
+def test_packing_leaves_little_padding():
+    """Over a long-tailed histogram, what the sequences hold beyond the pieces is below 1 % of them."""
+    rng = np.random.default_rng(1)
+    for lengths in (np.minimum(rng.lognormal(5, 1.2, 20_000).astype(int) + 1, 2048), rng.integers(1, 2049, 20_000), np.full(5000, 683), rng.integers(1, 40, 50_000)):
+        counts = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+        patterns = packing.pack_histogram(counts, 2048)
+        assert sum(n * len(own) for n, own in patterns) == len(lengths)
+        assert all(sum(own) <= 2048 for _, own in patterns)
+        sequences = sum(n for n, _ in patterns)
+        least = -(-int(lengths.sum()) // 2048) if len(counts) > 1 else -(-len(lengths) // (2048 // lengths[0]))
+        assert sequences <= least * 1.01 + 1
+
+
 @pytest.fixture(scope="module")
 def unmodified():
     from tokenizers import Tokenizer
