@@ -3,7 +3,7 @@
 Each query runs over its whole tables. Inputs that the tables lack (typos,
 directives, Markdown, manifests) are derived from them, or are small fixtures,
 in the same way on both sides. q05, q21, q24 and q26 hold mainly fixtures against
-literal rows; q33 and q34 do the work of q26 and q05 on all documents, without SQL.
+literal rows; q33 and q34 do the work of q26 and q05 on all documents, q34 without SQL.
 """
 
 from __future__ import annotations

@@ -189,6 +189,21 @@ task AS (
   UNION ALL
   SELECT doc_id, 2, list_min(lines), '[review] consistency line ' || list_min(lines) || ': ' || CASE WHEN kind = 'casing' THEN '''' || forms[1] || ''' should be ''' || recommendation || '''' ELSE {QUOTED} || ' — prefer ''' || recommendation || '''' END, 1, place, 0, 0 FROM findings)"""
 
+CASED = "CASE WHEN length(v) > 1 AND v = upper(v) THEN upper({r}) WHEN left(v, 1) = upper(left(v, 1)) THEN upper(left({r}, 1)) || substr({r}, 2) ELSE {r} END"
+#: CTEs ending in fixed(doc_id, line, old, value): the words of a line replaced one after the other, each in the case in which it is found.
+FIXED = rf"""WITH RECURSIVE typed AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '(?m)^([^ \n]+ [^ \n]+ [A-Za-z])([a-z])([a-z])([a-z]+ )', '\1\3\2\4', 'g') AS text FROM documents),
+clean AS MATERIALIZED {_tok('documents')}, tok AS MATERIALIZED {_tok('typed')}, {LEX.format(tok='clean')}, {_bad('tok', VALID)}, {OCC}, {_suggest('occ')}, {SUGGESTED},
+each AS (SELECT doc_id, line, lower(word) AS word, arg_min(suggestions[1], struct_pack(pos, part_pos)) AS replacement, min(struct_pack(pos, part_pos)) AS first
+  FROM occ JOIN sug USING (word) WHERE len(suggestions) > 0 GROUP BY doc_id, line, lower(word)),
+fixes AS (SELECT doc_id, line, list(struct_pack(word, replacement) ORDER BY first, word) AS fixes FROM each GROUP BY doc_id, line),
+step AS (
+  SELECT doc_id, line, 1 AS k, value AS old, value, fixes FROM {_lines('typed')} JOIN fixes USING (doc_id, line)
+  UNION ALL
+  SELECT doc_id, line, k + 1, old, list_reduce(list_concat([value], list_distinct(regexp_extract_all(value, '(?i)\b' || fixes[k].word || '\b'))),
+    lambda acc, v: regexp_replace(acc, '\b' || v || '\b', {CASED.format(r="fixes[k].replacement")}, 'g')), fixes FROM step WHERE k <= len(fixes)
+),
+fixed AS (SELECT doc_id, line, old, value FROM step WHERE k > len(fixes) AND value <> old)"""
+
 SQL = {
     "q01_misspelled_words": f"WITH {CHECK} SELECT doc_id, word, count(*) AS n, count(DISTINCT line) AS n_lines, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM occ GROUP BY doc_id, word",
     "q02_token_stats_by_lang": f"WITH {TOK} SELECT lang, count(*) AS n_tokens, CAST(sum(length({CLEAN.format('token')})) AS BIGINT) AS clean_chars, count(DISTINCT {CLEAN.format('token')}) AS distinct_clean, CAST(sum(line) AS BIGINT) AS line_sum FROM tok JOIN documents USING (doc_id) GROUP BY lang",
@@ -223,6 +238,7 @@ every AS (SELECT word FROM counted UNION SELECT word FROM {_words(MANIFEST_WORDS
 SELECT (SELECT count(*) FROM every) AS words, (SELECT CAST(sum(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT)) AS BIGINT) FROM every) AS words_digest, CAST({len(MANIFEST_WORDS)} AS BIGINT) AS manifest_words, (SELECT count(*) FROM counted) AS counted_words, (SELECT count(*) FROM classified) AS files_scanned""",
     "q23_wordlist_load_append": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT unnest(['ALPHA', 'beta', 'alpha'])) WHERE lower(word) NOT IN ('alpha', 'beta', 'blush') GROUP BY word",
     "q24_corrections_append": f"SELECT typo, fix FROM (SELECT lower(n_name) AS typo, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS fix FROM nation UNION ALL SELECT * FROM {_values(fixtures.NEW_PAIRS)} AS t(typo, fix)) WHERE (lower(typo), fix) NOT IN (('teh', 'The'), ('wrod', 'word'), ('japan', 'Japan'))",
+    "q25_fix_lines": f"{FIXED} SELECT doc_id, CAST(line AS BIGINT) AS line, md5(old) AS old_md5, md5(value) AS new_md5 FROM fixed",
     "q26_diff": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(line AS BIGINT) AS line, hunk FROM " + _values(DIFF_ROWS) + " AS t(doc_id, line, hunk)",
     "q27_learned_pairs": f"{FULL} SELECT lower(word) AS typo, arg_max(suggestions[1], struct_pack(doc_id, line, pos, part_pos)) AS fix FROM occ JOIN sug USING (word) WHERE len(suggestions) > 0 GROUP BY 1",
     "q28_unfixable": f"{FULL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS place, word FROM mis WHERE len(suggestions) = 0",
@@ -234,6 +250,7 @@ UNION ALL SELECT doc_id, 1, place, doc_id || ': terminology: ' || {QUOTED} || '
 UNION ALL SELECT doc_id, 2, 1, 'No errors, everything is good' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM mis UNION SELECT doc_id FROM findings)""",
     "q31_generate_dict": f"WITH {CHECK} SELECT DISTINCT word FROM occ WHERE lower(word) NOT IN ('alpha', 'beta', 'blush')",
     "q32_path_filters": rf"WITH {PATHS} SELECT path, extension, role, regexp_matches(path, '(?i)\.(md|markdown|mdx)$') AS markdown FROM classified",
+    "q33_diff_documents": f"{FIXED} SELECT doc_id, CAST(line AS BIGINT) AS line, '@@ line ' || line || chr(10) || '-' || old || chr(10) || '+' || value AS hunk FROM fixed",
     "q35_json_report": f"""{FULL}, {_lint('tok')},
 m AS (SELECT doc_id, count(*) AS n, string_agg('{{"word":"' || word || '","lines":[' || array_to_string(lines, ',') || '],"suggestions":[' || array_to_string(list_transform(suggestions, lambda s: '"' || s || '"'), ',') || ']' || coalesce(',"topDistance":' || top_distance, '') || '}}', ',' ORDER BY first) AS words FROM mis GROUP BY doc_id),
 c AS (SELECT doc_id, string_agg('{{"kind":"' || kind || '","recommendation":"' || recommendation || '","forms":[' || detail || '],"lines":[' || array_to_string(lines, ',') || ']}}', ',' ORDER BY place) AS terms FROM findings GROUP BY doc_id)
