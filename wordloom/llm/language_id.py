@@ -290,10 +290,10 @@ def training_texts(docs: DataFrame) -> tuple[dict[str, list[str]], dict[str, lis
     if not counts:
         return {}, {}
     most = sample_chars(len(counts))
-    # documents enough for the sample twice over and twenty more, so that no language is sorted whole
+    # a row a language, fewer than the model's columns hold entries, so texts need no shuffle; documents enough for the sample twice over and twenty more, so that no language is sorted whole
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * most / r["chars"] + 20 / r["docs"])) for r in counts], "lang string, share double")
     turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    some = labelled.withColumn("turn", turn).join(shares, "lang").where(F.col("turn") < F.col("share"))
+    some = labelled.withColumn("turn", turn).join(F.broadcast(shares), "lang").where(F.col("turn") < F.col("share"))
     order = Window.partitionBy("lang").orderBy(F.length("text") > most, "turn", "doc_id", "text")
     before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     some = some.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("nth", F.row_number().over(order)).where(F.col("before") < most)

@@ -71,16 +71,19 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, first_position, second_position; with `carry`, also those columns as the struct `carried`."""
     # rows that share an id, or have none, go by their text, so that no id is one window
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).cast("binary"))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *([X.packed(docs, carry).alias("carried")] if carry is not None else []))
-    sized = settle(sized)
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")
-    targets = source_targets(buckets).withColumnRenamed("source", "of")
-    offsets = buckets.withColumn("before", before).join(targets, F.col("source").eqNullSafe(F.col("of")))
-    offsets = offsets.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "before", "source_size", "target", "goal", "slope")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("through", F.sum("size").over(inside))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
+    # a source's name in a form that is never null, so that windows and the join have the same keys and rows are dealt once
+    source = F.col("source").cast("string")
+    of = F.concat(F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit("")))
+    sized = docs.select("doc_id", source.alias("source"), of.alias("of"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *([X.packed(docs, carry).alias("carried")] if carry is not None else []))
+    if carry is None:
+        sized = settle(sized)
+    buckets = settle(sized.groupBy("of", "source", "bucket").agg(F.sum("size").alias("size")))
+    before = F.sum("size").over(Window.partitionBy("of").orderBy("bucket")) - F.col("size")
+    targets = source_targets(buckets).withColumnRenamed("source", "named")
+    offsets = buckets.withColumn("before", before).join(targets, F.col("source").eqNullSafe(F.col("named")))
+    offsets = offsets.select("of", "bucket", "before", "source_size", "target", "goal", "slope")
+    inside = Window.partitionBy("of", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.withColumn("through", F.sum("size").over(inside)).join(offsets, ["of", "bucket"])
     at = F.col("before") + F.col("through") - F.col("size")
     again = at + F.col("source_size")
     part = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - start))
@@ -102,18 +105,16 @@ def by_position(mixed: DataFrame) -> DataFrame:
 def training_order(docs: DataFrame) -> DataFrame:
     """A row of docs for each copy that the mix takes, range-sorted by training position; a copy taken in part keeps its first words, joined by spaces.
 
-    Positions are found without the texts, which are joined to them once.
+    Whole rows are dealt twice: by source and bucket, and by position.
     """
     own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), F.col("source").alias("source"), X.packed(docs, own).alias("carried")))
-    mixed = mix(rows.select("row", "doc_id", "text", "source"), ["row"]).where(F.col("first_position").isNotNull())
+    mixed = mix(docs, [*own, "text"])
     first = F.least("size", "taken")
     copies = F.array(F.struct(F.col("first_position").alias("position"), first.alias("words")), F.struct(F.col("second_position").alias("position"), (F.col("taken") - first).alias("words")))
-    mixed = settle(mixed.select(F.col("carried")["c0"].alias("row"), "size", F.filter(copies, lambda c: c["position"].isNotNull()).alias("copies")))
-    each = rows.drop("source").join(mixed, "row").select("doc_id", "text", "carried", "size", F.explode("copies").alias("copy"))
+    each = mixed.select("doc_id", F.col("carried")[f"c{len(own)}"].cast("string").alias("text"), "carried", "size", F.explode(F.filter(copies, lambda c: c["position"].isNotNull())).alias("copy"))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int"))
     text = F.when(F.col("copy.words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
-    each = each.select("doc_id", text.alias("text"), F.col("copy.position").alias("position"), "carried")
+    each = each.select("doc_id", text.alias("text"), F.col("copy.position").alias("position"), F.struct(F.lit(True).alias("row"), *(F.col("carried")[f"c{i}"].alias(f"c{i}") for i in range(len(own)))).alias("carried"))
     each = each.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
     size = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
     return each.select("doc_id", "text", *size, *X.unpacked(own)).select(*(F.col(f"`{c}`") for c in docs.columns))
