@@ -101,9 +101,14 @@ def _packed(width: int):
 
 
 def _squares(packed: DataFrame, tiles: int) -> DataFrame:
-    """(low, high, column, tile, ...): each tile as a row and as a column of every square on or above the diagonal that it is part of."""
-    sides = -(-tiles // SQUARE)
-    own = F.floor(F.col("tile") / SQUARE).cast("int")
+    """(low, high, column, tile, ...): each tile as a row and as a column of every square on or above the diagonal that it is part of.
+
+    Of few tiles squares are smaller, so that there are as many as keep the cores busy.
+    """
+    cores = packed.sparkSession.sparkContext.defaultParallelism
+    side = max(1, min(SQUARE, int(tiles / np.sqrt(4 * cores))))
+    sides = -(-tiles // side)
+    own = F.floor(F.col("tile") / side).cast("int")
     as_row = packed.withColumn("low", own).withColumn("column", F.lit(False)).withColumn("high", F.explode(F.sequence(own, F.lit(sides - 1))))
     as_column = packed.withColumn("high", own).withColumn("column", F.lit(True)).withColumn("low", F.explode(F.sequence(F.lit(0), own)))
     both = as_row.unionByName(as_column)

@@ -46,6 +46,8 @@ SCALE = 64
 SHARD_ROWS = 16_384
 GROUP_SHARDS = 8
 BLOCK_QUERIES = 8192
+#: Fewer queries are not dealt over more tasks, however many cores there are.
+LEAST_QUERIES = 64
 FIRST_DEPTH = 16
 
 _FOUND = "query_id long, vec_id long, score long"
@@ -179,16 +181,19 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     rows, width = shape(vectors)
     shards = max(1, -(-rows // SHARD_ROWS))
     groups = -(-shards // GROUP_SHARDS)
-    blocks = max(1, -(-rows // (every * BLOCK_QUERIES)))
+    # blocks of bounded size, and of a small table as many as keep the cores busy
+    asked = max(1, rows // every)
+    cores = embeddings.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-asked // BLOCK_QUERIES), min(-(-asked // LEAST_QUERIES), -(-4 * cores // groups)))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     schema = "part int, ids binary, data binary"
     data = settle(vectors.withColumn("part", part(shards)).groupBy("part").applyInArrow(_packed(width), schema))
     queries = settle(vectors.where(F.col("vec_id") % every == 0).withColumn("part", part(blocks)).groupBy("part").applyInArrow(_packed(width), schema))
     # each block of queries meets each group of shards in a partition of its own
-    asked = queries.select((F.col("part") * groups).alias("base"), F.lit(False).alias("shard"), F.lit(0).alias("part"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    met_by = queries.select((F.col("part") * groups).alias("base"), F.lit(False).alias("shard"), F.lit(0).alias("part"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     met = data.select(F.floor(F.col("part") / GROUP_SHARDS).cast("int").alias("group"), F.lit(True).alias("shard"), "part", "ids", "data")
     met = met.withColumn("base", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) * groups), F.lit(max(1, groups)))))
-    pairs = asked.unionByName(met).withColumn("meeting", F.col("base") + F.col("group"))
+    pairs = met_by.unionByName(met).withColumn("meeting", F.col("base") + F.col("group"))
     pairs = pairs.repartitionById(blocks * groups, "meeting").sortWithinPartitions("meeting", "shard", "part")
     found = pairs.mapInArrow(_search(width, k), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
