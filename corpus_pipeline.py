@@ -41,13 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from wordloom.llm.jaccard_join import jaccard_components
     from wordloom.storage import settle
 
-    groups = settle(jaccard_components(docs))
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    groups = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id")
+    verdicts = groups.agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("repeated"))
+    verdicts = settle(verdicts.where("gone or repeated"))  # its size is known before the texts are joined, once
     own = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.select("doc_id", packed(docs, own).alias("carried")).join(dropped, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    stay = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    kept = docs.select("doc_id", packed(docs, own).alias("carried")).join(verdicts, "doc_id", "left").where("not coalesce(gone, false)")
+    once = kept.where("repeated").dropDuplicates(["doc_id"])
+    stay = kept.where("repeated is null").unionByName(once)
     return stay.select("doc_id", *unpacked(own)).select(*_names(docs))
 
 
