@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import embedding_dedup, html_text, jaccard_join, language_id, mixing, packing, substring_dedup, topk_search, toxicity, warc
+from wordloom.llm import embedding_dedup, filter_audit, html_text, jaccard_join, language_id, mixing, packing, substring_dedup, topk_search, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_warc": op10_warc,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -78,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.SQL,
         "op9_embedding_dedup": embedding_dedup.SQL,
         "op10_warc": warc.SQL,
+        "op13_filter_audit": filter_audit.SQL,
     }
