@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import credential_links, embedding_dedup, filter_audit, html_text, jaccard_join, language_id, mixing, packing, substring_dedup, topk_search, toxicity, warc
+from wordloom.llm import credential_links, embedding_dedup, filter_audit, html_text, jaccard_join, language_id, mixing, packing, substring_dedup, tandem_runs, topk_search, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def op12_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_links.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_warc": op10_warc,
+        "op11_tandem_runs": op11_tandem_runs,
         "op12_credential_links": op12_credential_links,
         "op13_filter_audit": op13_filter_audit,
     }
@@ -88,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.SQL,
         "op9_embedding_dedup": embedding_dedup.SQL,
         "op10_warc": warc.SQL,
+        "op11_tandem_runs": tandem_runs.SQL,
         "op12_credential_links": credential_links.SQL,
         "op13_filter_audit": filter_audit.SQL,
     }
