@@ -118,7 +118,7 @@ def test_words_with_one_hash_are_told_apart(monkeypatch):
 
     from wordloom.llm import textblocks as T
 
-    monkeypatch.setattr(T, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    monkeypatch.setattr(T, "span_hashes", lambda data, starts, ends, secret=0: (ends - starts).astype(np.uint64))
     texts = ["aa bb " * 6, "aa bb cc dd " * 5, "aa bb cc aa dd bb cc aa bb"]
     got = R.batch_runs([None] * 3, pa.array(texts))
     assert got == [expected(None, t) for t in texts]

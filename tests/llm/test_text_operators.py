@@ -119,8 +119,37 @@ def test_words_that_collide_under_polynomials(make):
     assert [list(ids) for ids in own.batch(pa.array(texts))] == [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def unsalted_collision(seed=1):
+    """Two printable words of 16 bytes with one hash, were there no secret: of any two first halves, the second half of the other follows from the scrambling."""
+    rng = np.random.default_rng(seed)
+    start = textblocks.mix(np.array([16], np.uint64) * textblocks.LENGTH_BASE)
+    while True:
+        first, other = (rng.integers(97, 123, (200_000, 8), np.uint8).view(np.uint64).ravel() for _ in range(2))
+        second = rng.integers(97, 123, (200_000, 8), np.uint8).view(np.uint64).ravel()
+        needed = second ^ textblocks.mix(start ^ first) ^ textblocks.mix(start ^ other)
+        shown = needed.view(np.uint8).reshape(-1, 8)
+        for i in np.flatnonzero(((shown > 32) & (shown < 127)).all(axis=1)):
+            a, b = (np.array(h, np.uint64).tobytes() for h in ((first[i], second[i]), (other[i], needed[i])))
+            if b == b.lower():  # as op1 reads it
+                return a.decode(), b.decode()
+
+
+def test_words_made_to_collide(make):
+    """No two words can be made alike, as each run has a secret of its own."""
+    one, other = unsalted_collision()
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    plain = textblocks.span_hashes(data, np.array([0, 16]), np.array([16, 32]))
+    assert plain[0] == plain[1]
+    salted = textblocks.span_hashes(data, np.array([0, 16]), np.array([16, 32]), textblocks.new_secret())
+    assert salted[0] != salted[1]
+    assert sorted_rows(jaccard_components(make([(1, one + " p q r s"), (2, other + " p q r s")])).select("doc_id", "component_id")) == [(1, 1), (2, 2)]
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{other} {tail}")]
+    assert sorted_rows(dedup_substrings(make(rows)).select("doc_id", "n_removed")) == [(1, 0), (2, 0), (3, 20)]
+
+
 def weak_hash(monkeypatch):
-    monkeypatch.setattr(textblocks, "span_hashes", lambda data, starts, ends: (data[starts] & 1).astype(np.uint64))
+    monkeypatch.setattr(textblocks, "span_hashes", lambda data, starts, ends, secret=0: (data[starts] & 1).astype(np.uint64))
 
 
 def test_equal_hashes_of_unequal_words(monkeypatch):
@@ -144,8 +173,8 @@ def test_documents_cut_anew(make, monkeypatch):
 
     real = S._verified
 
-    def refuting(k):
-        run = real(k)
+    def refuting(k, *secret):
+        run = real(k, *secret)
 
         def all_bad(key, asked, regions):
             run(key, asked, regions)

@@ -30,7 +30,8 @@ Method: set-relation skipping over prefix index lists.
    before its partners', in parts by their summed size.
 
 Sets are compared by 64-bit hashes of their shingles, which scramble word by
-word (`textblocks`), so that no text that is not made for it has two alike.
+word (`textblocks`) under a secret drawn for each run, so that no text can be
+made to have two alike.
 
 Defined results: a null text, or one without words, has an empty set, links
 with nothing and is its own component. A text with fewer words than a shingle
@@ -68,14 +69,14 @@ UNIT_SHINGLES = 1 << 21
 _CHUNK_SCHEMA = "doc_id long, n_shingles long, local_rep long, f1 long, f2 long, tokens array<long>, places array<int>, bits array<long>, shingles binary"
 
 
-def _document_sets(table: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _document_sets(table: pa.Table, k: int, secret: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct doc_ids of a chunk, ascending, and the sorted distinct shingle hashes of each."""
     ids, sets = np.zeros(0, np.int64), []
     table = table.combine_chunks()
     if not table.num_rows:
         return ids, sets
     rows: list[np.ndarray] = []
-    for first, last, words, counts in T.text_words(table.column("text").chunk(0), lower=True):
+    for first, last, words, counts in T.text_words(table.column("text").chunk(0), True, secret):
         windows = T.window_hashes(words, k)
         for i in range(last - first):
             a, b = counts[i], counts[i + 1]
@@ -99,11 +100,11 @@ def _leading(size: int) -> np.uint64:
     return np.uint64((1 << 64) - (1 << 64 - bits))
 
 
-def _request(chunks: int, k: int, mask: np.uint64):
+def _request(chunks: int, k: int, mask: np.uint64, secret: int):
     bits = X.levels(chunks)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, sets = _document_sets(table, k)
+        _, sets = _document_sets(table, k, secret)
         hashes, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & mask, return_counts=True)
         return X.messages(key[0].as_py(), hashes, counts, bits[0], last=len(bits) == 1)
 
@@ -114,9 +115,9 @@ def _prefix_length(n: int, t: Fraction) -> int:
     return n + t.numerator * -n // t.denominator + 1  # n - ceil(t * n) + 1
 
 
-def _indexed(k: int, t: Fraction, mask: np.uint64):
+def _indexed(k: int, t: Fraction, mask: np.uint64, secret: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, sets = _document_sets(docs, k)
+        ids, sets = _document_sets(docs, k, secret)
         classes = np.ceil(np.log2(np.maximum(X.replied(replies), 1))).astype(np.uint8)  # 0 is one document, then powers of two
         lengths = np.array([len(s) for s in sets], dtype=np.int64)
         place = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & mask, return_inverse=True)[1]
@@ -259,14 +260,14 @@ def _links(compared: DataFrame, t: Fraction) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
-    t, k = Fraction(threshold), shingle_words
+    t, k, secret = Fraction(threshold), shingle_words, T.new_secret()
     X.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = X.text_bytes(docs)
     chunks, mask = X.chunk_count(size), _leading(size)
     dealt = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    replies = X.reduce_over_chunks(dealt.groupBy("chunk").applyInArrow(_request(chunks, k, mask), X.MESSAGE), chunks, "sum")
-    rows = settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_indexed(k, t, mask), _CHUNK_SCHEMA))
+    replies = X.reduce_over_chunks(dealt.groupBy("chunk").applyInArrow(_request(chunks, k, mask, secret), X.MESSAGE), chunks, "sum")
+    rows = settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_indexed(k, t, mask, secret), _CHUNK_SCHEMA))
 
     # One set for each fingerprint over all chunks: at most one row a chunk has the same one.
     local = rows.where("f1 is not null").select("local_rep", "n_shingles", "f1", "f2")

@@ -18,6 +18,8 @@ Bruijn graph, from its first k-1 words to its last k-1.
    chunk to which very many paths lead is met in parts by size.
 4. Where a comparison fails, which takes two windows with the same 64-bit hash,
    the edge is taken out of its path and the documents concerned are cut anew.
+   Hashes have a secret of the run, so that no text is made to bring this about:
+   among n distinct windows it befalls one by chance with a probability of n / 2**64.
 
 Defined results: a null or empty text has no words and keeps none; its digest
 is that of the empty string. A text with fewer words than a window is never
@@ -75,7 +77,7 @@ class _Windows:
     as one number; source: the window at the smallest coordinate of each edge. Words are numbered over all texts.
     """
 
-    def __init__(self, texts: pa.Array, rank: np.ndarray, k: int) -> None:
+    def __init__(self, texts: pa.Array, rank: np.ndarray, k: int, secret: int = 0) -> None:
         self.data, self.offsets = T.buffers(texts)
         self.k = k
         starts, ends, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
@@ -85,7 +87,7 @@ class _Windows:
             base = self.offsets[first]
             data = self.data[base : self.offsets[last]]
             s, e, c = T.word_bounds(data, self.offsets[first : last + 1] - base)
-            own = T.window_hashes(T.span_hashes(data, s, e), k)
+            own = T.window_hashes(T.span_hashes(data, s, e, secret), k)
             at = np.arange(len(own))
             text = np.repeat(np.arange(last - first), np.diff(c))[: len(own)]
             whole = at + k <= c[text + 1]  # the window ends in the text in which it starts
@@ -160,16 +162,16 @@ def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table.take(pa.array(order)), np.concatenate((np.zeros(min(1, len(ids)), np.int64), np.cumsum(new)))
 
 
-def _windows(table: pa.Table, k: int) -> tuple[pa.Table, _Windows]:
+def _windows(table: pa.Table, k: int, secret: int) -> tuple[pa.Table, _Windows]:
     rows, rank = _ordered(table)
-    return rows, _Windows(rows.column("text").combine_chunks(), rank, k)
+    return rows, _Windows(rows.column("text").combine_chunks(), rank, k, secret)
 
 
-def _request(chunks: int, k: int):
+def _request(chunks: int, k: int, secret: int):
     bits = X.levels(chunks)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        edges = _windows(table, k)[1].distinct
+        edges = _windows(table, k, secret)[1].distinct
         return X.messages(key[0].as_py(), edges, np.full(len(edges), 2 * key[0].as_py()), bits[0], last=len(bits) == 1)
 
     return run
@@ -213,10 +215,10 @@ def _outcomes(rows: pa.Table, own: _Windows, gone: np.ndarray, carry: bool) -> d
     return out | ({"text": pa.array(texts, pa.string()), "carried": rows.column("carried")} if carry else {})
 
 
-def _compacted(k: int, carry: bool):
+def _compacted(k: int, carry: bool, secret: int):
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        rows, own = _windows(docs, k)
+        rows, own = _windows(docs, k, secret)
         told = X.replied(replies)
         source = (told >> 1).astype(np.int32)[own.place]
         off = own.coordinate > own.coordinate[own.source[own.place]]
@@ -252,12 +254,12 @@ def _compacted(k: int, carry: bool):
     return run
 
 
-def _verified(k: int):
+def _verified(k: int, secret: int = 0):
     """The paths sent to a source chunk of which some edge's words are not those at its source, and which edges are good."""
 
     def run(key: tuple, asked: pa.Table, regions: pa.Table) -> pa.Table:
-        here = _Windows(regions.column("text").combine_chunks(), np.arange(regions.num_rows), k)
-        paths = _Windows(asked.column("text").combine_chunks(), np.arange(asked.num_rows), k)
+        here = _Windows(regions.column("text").combine_chunks(), np.arange(regions.num_rows), k, secret)
+        paths = _Windows(asked.column("text").combine_chunks(), np.arange(asked.num_rows), k, secret)
         at = np.searchsorted(here.distinct, paths.hashes)
         at[at == len(here.distinct)] = 0
         found = np.flatnonzero(here.distinct[at] == paths.hashes) if len(here.distinct) else np.zeros(0, np.int64)
@@ -275,9 +277,9 @@ def _verified(k: int):
     return run
 
 
-def _cut_anew(k: int, carry: bool):
+def _cut_anew(k: int, carry: bool, secret: int):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        rows, own = _windows(docs, k)
+        rows, own = _windows(docs, k, secret)
         gone = np.zeros(len(own.begins), bool)
         for place, begin, n, good in zip(*(spans.column(c).to_pylist() for c in ("place", "begin", "n", "good")), strict=True):
             at = np.searchsorted(own.begins, own.counts[place] + begin)
@@ -289,7 +291,7 @@ def _cut_anew(k: int, carry: bool):
 
 def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text); with `carry`, also the kept text and those columns as the struct `carried`."""
-    k, kept = window_words, carry is not None
+    k, kept, secret = window_words, carry is not None, T.new_secret()
     X.small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), *([X.packed(docs, carry).alias("carried")] if kept else []))
@@ -297,11 +299,11 @@ def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, carry: l
     size, nameless = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.when(null, F.octet_length("text"))), F.lit(0))).first()
     chunks, parts = X.chunk_count(size), max(1, nameless // X.CHUNK_BYTES)
     dealt = docs.withColumn("chunk", range_chunk(docs, chunks, parts))
-    replies = X.reduce_over_chunks(dealt.groupBy("chunk").applyInArrow(_request(chunks, k), X.MESSAGE), chunks, "first")
+    replies = X.reduce_over_chunks(dealt.groupBy("chunk").applyInArrow(_request(chunks, k, secret), X.MESSAGE), chunks, "first")
     outcome = StructType.fromDDL(_OUTCOME)
     if kept:
         outcome = outcome.add("text", "string").add("carried", X.loose(docs.schema["carried"].dataType))
-    rows = settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_compacted(k, kept), StructType([*outcome, *StructType.fromDDL(_PATHS)])))
+    rows = settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_compacted(k, kept, secret), StructType([*outcome, *StructType.fromDDL(_PATHS)])))
 
     spans = rows.select("chunk", "place", F.explode("spans").alias("s")).select("chunk", "place", "s.*")
     asked = spans.where("text is not null").groupBy("source", "digest").agg(F.min("text").alias("text"))
@@ -310,12 +312,12 @@ def dedup_substrings(docs: DataFrame, window_words: int = WINDOW_WORDS, carry: l
     unit = F.pmod(F.xxhash64("digest"), F.col("units"))
     asked = asked.join(units, "source").select("source", unit.alias("unit"), "digest", "text")
     regions = rows.select(F.col("chunk").alias("source"), F.explode("regions").alias("text")).join(units, "source").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("unit"), "text")
-    bad = settle(asked.groupBy("source", "unit").cogroup(regions.groupBy("source", "unit")).applyInArrow(_verified(k), "source long, digest binary, good binary"))
+    bad = settle(asked.groupBy("source", "unit").cogroup(regions.groupBy("source", "unit")).applyInArrow(_verified(k, secret), "source long, digest binary, good binary"))
 
     # chunks with an edge that is not what its hash says: seldom any
     wrong = settle(spans.join(bad, ["source", "digest"], "left_semi").select("chunk").distinct())
     again = spans.join(wrong, "chunk", "left_semi").join(bad, ["source", "digest"], "left").select("chunk", "place", "begin", "n", "good")
-    anew = dealt.join(wrong, "chunk", "left_semi").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_cut_anew(k, kept), outcome)
+    anew = dealt.join(wrong, "chunk", "left_semi").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_cut_anew(k, kept, secret), outcome)
     return rows.join(wrong, "chunk", "left_anti").select(*anew.columns).unionByName(anew)
 
 

@@ -6,12 +6,15 @@ that range, splitting bytes equals splitting characters. A word hash takes the
 word's bytes eight at a time, each time scrambling all that came before, so that
 no polynomial identity makes different words alike; a longer word than
 LANE_BYTES has a BLAKE2 digest. A window hash joins the hashes of halves in the
-same way. Hashes find candidates; where equality decides, `same_bytes` compares.
+same way. Hashes find candidates; where equality decides, `same_bytes` compares,
+or words are hashed under a secret that is drawn anew for each run, so that no
+text can be made to collide.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,21 +87,27 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
+def new_secret() -> int:
+    """A secret for the hashes of one run. It goes to tasks with their code, so that one that is run again hashes alike."""
+    return secrets.randbits(63) | 1 << 63
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span. The secret multiplies what is scrambled at each step, so that differences of bytes lead nowhere that is known."""
+    odd, key = np.uint64(secret | 1), secret.to_bytes(8, "little")
     sizes = ends - starts
     if not len(sizes):
         return np.zeros(0, np.uint64)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    out = mix(mix(sizes.astype(np.uint64) * LENGTH_BASE) ^ (eight[starts] & _MASKS[np.minimum(sizes, 8)]))
+    out = mix((mix(sizes.astype(np.uint64) * LENGTH_BASE ^ np.uint64(secret)) ^ (eight[starts] & _MASKS[np.minimum(sizes, 8)])) * odd)
     some, at = np.flatnonzero(sizes > 8), 8
     while len(some) and at < LANE_BYTES:
-        out[some] = mix(out[some] ^ (eight[starts[some] + at] & _MASKS[np.minimum(sizes[some] - at, 8)]))
+        out[some] = mix((out[some] ^ (eight[starts[some] + at] & _MASKS[np.minimum(sizes[some] - at, 8)])) * odd)
         at += 8
         some = some[sizes[some] > at]
     for i in np.flatnonzero(sizes > LANE_BYTES):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
     return out
 
 
@@ -135,11 +144,11 @@ def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.
     return counts[before + sizes] == counts[before]
 
 
-def text_words(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_words(texts: pa.Array, lower: bool, secret: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each slice of texts: its first and last text, all word hashes, and the word count before each text."""
     data, offsets = buffers(texts)
     for first, last in slices(offsets):
         own = data[offsets[first] : offsets[last]]
         own = lower_ascii(own) if lower else own
         starts, ends, counts = word_bounds(own, offsets[first : last + 1] - offsets[first])
-        yield first, last, span_hashes(own, starts, ends), counts
+        yield first, last, span_hashes(own, starts, ends, secret), counts
