@@ -2,13 +2,15 @@
 
 import pandas as pd
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.functions.distance import alignment_distances
-from wordloom.operators.markdown import blanked
+from tests.plain import markdown_kept
+from tests.plain import rewritten as plain_rewritten
+from wordloom.operators import markdown
 from wordloom.operators.rewrite import rewritten
 
 
@@ -73,18 +75,65 @@ def test_deletions(spark, depth):
     assert all(len(set(g)) == len(g) for g in got)
 
 
-def test_markdown_blocks():
-    assert blanked("---\na\n---\nb") == "\n\n\nb"
-    assert blanked("a\n---\nb") == "a\n---\nb"
-    assert blanked("---\nnever closed") == "\n"
-    assert blanked("~~~~\nx\n~~~\ny\n~~~~~\nz") == "\n\n\n\n\nz"
-    assert blanked("```\nx\n~~~\n```") == "\n\n\n"
-    assert blanked("<!-- a\nb --> c\nd") == "\n\nd"
-    assert blanked("x <!-- a\nb") == "x <!-- a\nb"
-    assert blanked("") == ""
+def blanked(spark, *texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r["text"] for r in markdown.blank_markdown(docs).orderBy("doc_id").collect()]
 
 
-def test_rewritten():
-    assert rewritten("Teh TEH teh x-teh tehs", [("teh", "the")]) == "The THE the x-the tehs"
-    assert rewritten("a$b cat", [("cat", r"\1$0")]) == r"a$b \1$0"
-    assert rewritten("teh", [("teh", "wrod"), ("wrod", "word")]) == "word"
+MARKDOWN = {
+    "---\na\n---\nb": "\n\n\nb",
+    "a\n---\nb": "a\n---\nb",
+    "---\nnever closed": "\n",
+    "~~~~\nx\n~~~\ny\n~~~~~\nz": "\n\n\n\n\nz",
+    "```\nx\n~~~\n```": "\n\n\n",
+    "<!-- a\nb --> c\nd": "\n\nd",
+    "x <!-- a\nb": "x <!-- a\nb",
+    "": "",
+}
+
+
+def test_markdown_blocks(spark):
+    assert blanked(spark, *MARKDOWN) == list(MARKDOWN.values())
+    assert blanked(spark, None) == [None]
+
+
+def test_columns_stay(spark):
+    assert blanked(spark, "a <!-- b --> `c` d", "`one\ntwo` `x`") == ["a" + " " * 16 + "d", "`one\ntwo   x`"]
+
+
+PIECES = ["---", "--- ", "```", "````", "~~~", "  ~~~~", "```js", "<!--", " <!-- x", "-->", "y --> z", "<!-- a --> b", "prose", "", "`code` <!-- c --> x", "--> <!--", "\u00a0```", "---x", "`` ` ``", "- -->"]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(PIECES), min_size=1, max_size=25), min_size=20, max_size=40), st.sampled_from([1, 2, 3, 256]))
+def test_markdown_against_a_walk(spark, texts, group):
+    whole = ["\n".join(t) for t in texts]
+    before, markdown.GROUP = markdown.GROUP, group  # groups of any size give the same
+    try:
+        assert blanked(spark, *whole) == ["\n".join(markdown_kept(t)) for t in whole]
+    finally:
+        markdown.GROUP = before
+
+
+def test_markdown_of_many_events(spark):
+    text = "\n".join(PIECES[i * i % len(PIECES)] for i in range(20_000))
+    assert blanked(spark, text) == ["\n".join(markdown_kept(text))]
+
+
+def rewrites(spark, *cases):
+    rows = [(i, line, [{"word": w, "replacement": r} for w, r in fixes]) for i, (line, fixes) in enumerate(cases)]
+    table = spark.createDataFrame(rows, "i int, line string, fixes array<struct<word:string,replacement:string>>")
+    return [r["new"] for r in table.select("i", rewritten(F.col("line"), F.col("fixes")).alias("new")).orderBy("i").collect()]
+
+
+def test_rewritten(spark):
+    cases = [("Teh TEH teh x-teh tehs", [("teh", "the")]), ("a$b cat", [("cat", r"\1$0")]), ("teh", [("teh", "wrod"), ("wrod", "word")])]
+    expected = ["The THE the x-the tehs", r"a$b \1$0", "word"]
+    assert [plain_rewritten(*c) for c in cases] == expected
+    assert rewrites(spark, *cases) == expected
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.text("ab'_ -éſK.A", max_size=14), st.lists(st.tuples(st.text("ab'_", min_size=1, max_size=3), st.text("ab'$\\", min_size=1, max_size=3)), max_size=4)), min_size=20, max_size=40))
+def test_rewritten_against_a_walk(spark, cases):
+    assert rewrites(spark, *cases) == [plain_rewritten(*c) for c in cases]

@@ -41,7 +41,7 @@ def test_fixed_lines(spark):
     import hashlib
 
     from wordloom.catalogue import _typed, q25_fix_lines
-    from wordloom.operators.rewrite import rewritten
+    from tests.plain import rewritten
 
     docs, found = _typed(spark, SF)
     text = {r["doc_id"]: r["text"].split("\n") for r in docs.collect()}
@@ -63,7 +63,7 @@ def test_fixed_lines(spark):
 def test_diff_of_all_documents(spark):
     """q33 has no SQL: its hunks are those of a plain rewrite of the same words, over all documents."""
     from wordloom.catalogue import _typed, q33_diff_documents
-    from wordloom.operators.rewrite import rewritten
+    from tests.plain import rewritten
 
     docs, found = _typed(spark, SF)
     text = {r["doc_id"]: r["text"].split("\n") for r in docs.collect()}
@@ -82,32 +82,15 @@ def test_diff_of_all_documents(spark):
     assert len({doc_id for doc_id, *_ in got}) > 100
 
 
-def plain_kept(text: str) -> list[str]:
-    """Markdown blanked by a plain walk over the lines."""
+def test_markdown_of_all_documents(spark):
+    """q34's lines are those of a plain walk, over all documents and the fixtures."""
     import re
 
-    out, until = [], None
-    for i, line in enumerate(text.split("\n")):
-        bare = line.strip()
-        mark = re.match("`{3,}|~{3,}", bare)
-        if until:
-            ended = bare.startswith(until) if until[0] in "`~" else until in line if until == "-->" else line.rstrip() == until
-            out.append("")
-            until = None if ended else until
-        elif (i == 0 and bare == "---") or mark or (bare.startswith("<!--") and "-->" not in line):
-            out.append("")
-            until = mark[0] if mark else "-->" if bare.startswith("<!--") else "---"
-        else:
-            out.append(re.sub(" +", " ", re.sub("`[^`]*`", " ", re.sub("<!--.*?-->", " ", line)).strip()))
-    return out
-
-
-def test_markdown_of_all_documents(spark):
-    """q34 has no SQL: its lines are those of a plain walk, over all documents and the fixtures."""
+    from tests.plain import markdown_kept
     from wordloom.catalogue import _with_markdown, q34_markdown_documents
 
     texts = {r["doc_id"]: r["text"] for r in _with_markdown(spark, SF).collect()}
-    expected = [(i, n, kept) for i, text in texts.items() for n, kept in enumerate(plain_kept(text), 1)]
+    expected = [(i, n, kept) for i, text in texts.items() for n, kept in enumerate((re.sub(" +", " ", line.strip()) for line in markdown_kept(text)), 1)]
     got = [(r["doc_id"], r["line"], r["kept"]) for r in q34_markdown_documents(spark, SF).collect()]
     assert sorted(got) == sorted(expected)
     assert min(texts) == -7

@@ -20,9 +20,10 @@ from wordloom.lists import COMMON_WORDS, words_table
 from wordloom.operators import check as C
 from wordloom.operators import lint, preprocess, report, rewrite, vocab
 from wordloom.operators import suggest as S
-from wordloom.operators.markdown import blanked, strip_inline
+from wordloom.operators.compounds import Compounds
+from wordloom.operators.markdown import blank_markdown, strip_inline
 from wordloom.plans.check import Checked, Options, check, frequent_words
-from wordloom.sources import wordlists
+from wordloom.sources import dictionary, wordlists
 from wordloom.sql import SQL
 from wordloom.storage import settle
 
@@ -96,8 +97,6 @@ def q04_directive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q05_markdown_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.operators.markdown import blank_markdown
-
     docs = blank_markdown(spark.createDataFrame(fixtures.MARKDOWN, "doc_id long, text string"))
     return preprocess.lines(docs).select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
 
@@ -331,8 +330,6 @@ def _with_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q34_markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.operators.markdown import blank_markdown
-
     kept = preprocess.lines(blank_markdown(_with_markdown(spark, sf_dir)))
     return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
 
@@ -349,6 +346,53 @@ def q36_task_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.task_lists(_docs(spark, sf_dir), report.tasks(found.misspelt, found.findings))
 
 
+def _dictionary_lines(lexicon: DataFrame) -> DataFrame:
+    """(value): dictionary entries of the lexicon's words, with flags by a number of each word and its length; some are names."""
+    word = F.col("word")
+    number = F.length(word) * 7 + F.ascii(word) * 3 + F.ascii(F.substring(word, -1, 1))
+    flags = [F.when(number % by == 0, flag) for flag, by in fixtures.STEM_FLAGS.items()]
+    flags += [F.when(F.length(word).between(*size), flag) for flag, size in fixtures.PART_FLAGS.items()]
+    entry = F.when(number % fixtures.NAMES == 1, F.concat(F.upper(F.substring(word, 1, 1)), F.expr("substring(word, 2)"))).otherwise(word)
+    marks = F.concat_ws("", *flags)
+    return lexicon.select(F.concat(entry, F.when(marks == "", "").otherwise(F.concat(F.lit("/"), marks))).alias("value"))
+
+
+def _dictionary(lexicon: DataFrame) -> tuple[DataFrame, Compounds]:
+    """The words of the corpus's dictionary, and its compounds."""
+    rules, lines = dictionary.affixes(fixtures.AFFIXES), settle(_dictionary_lines(lexicon))
+    return dictionary.dictionary(lines, rules), dictionary.components(lines, rules)
+
+
+def q37_dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words that stems from the corpus and chained affixes give."""
+    return _dictionary(_lexicon(spark, sf_dir))[0].select("word", "keep_case")
+
+
+def q38_accepted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the documents' words that dictionary accepts, by case and as compounds."""
+    tokens = _tokens(spark, sf_dir)
+    words, compounds = _dictionary(_lexicon(spark, sf_dir, tokens))
+    own = tokens.select(T.clean_word(F.col("token")).alias("word")).where("word <> ''").distinct()
+    return dictionary.accepted(own, settle(words), compounds)
+
+
+def _mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a quarter in capitals and a quarter in small letters."""
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    turn = F.pmod("doc_id", F.lit(4))
+    text = F.when(turn == 1, F.translate("text", small, large)).when(turn == 3, F.translate("text", large, small)).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
+def q39_misspelled_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in several cases that the corpus's dictionary does not accept."""
+    tokens = settle(preprocess.tokens(_mixed_case(spark, sf_dir)))
+    words, compounds = _dictionary(_lexicon(spark, sf_dir))
+    bad = C.invalid_parts(tokens.select("token").distinct(), C.valid_words(None, words_table(spark, COMMON_WORDS)), 1, settle(words), compounds)
+    found = C.misspellings(C.placed(tokens, bad))
+    return found.select("doc_id", "word", F.col("n").cast("long").alias("n"), F.size("lines").cast("long").alias("n_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
@@ -356,5 +400,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
-
-__all__ = ["blanked", "oracle_sql", "queries"]

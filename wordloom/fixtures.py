@@ -44,3 +44,34 @@ NEW_PAIRS = [("TEH", "The"), ("teh", "the"), ("wrod", "word"), ("WROD", "world")
 
 LEXICON = "the word cat receive was here and everything is fine world but not".split()
 FIXABLE = [(1, "teh wrod"), (2, "Teh Cat"), (3, "TEH `teh` x-teh\nfine"), (4, "xyzzyq"), (5, "recieve\nok recieve")]
+
+#: Rules that continue with others, up to three deep, and compounds.
+AFFIXES = """
+KEEPCASE K
+NEEDAFFIX N
+ONLYINCOMPOUND O
+COMPOUNDMIN 4
+COMPOUNDRULE 2
+COMPOUNDRULE VW*T
+COMPOUNDRULE OT?
+PFX P Y 2
+PFX P 0 re/Q .
+PFX P 0 un [aeiou]
+PFX Q N 1
+PFX Q 0 pre .
+SFX A Y 3
+SFX A 0 s/C [^sy]
+SFX A y ies/C [^aeiou]y
+SFX A e ing/D e
+SFX B Y 1
+SFX B 0 er/A .
+SFX C N 1
+SFX C 0 like .
+SFX D N 1
+SFX D 0 ly .
+""".strip().split("\n")
+#: The flags of a stem: each if its number divides the stem's, or by the stem's length.
+STEM_FLAGS = {"A": 2, "B": 3, "P": 5, "K": 7, "N": 11, "O": 13}
+PART_FLAGS = {"V": (1, 3), "W": (4, 4), "T": (3, 6)}
+#: Stems whose number leaves 1 after division by this are names.
+NAMES = 6

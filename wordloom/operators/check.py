@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.lists import TECH_WORDS, words_table
+from wordloom.operators.compounds import Compounds
+from wordloom.sources.dictionary import accepted
 
 
-def valid_words(lexicon: DataFrame, extra: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
-    """(key): lower-cased words that are never flagged: lexicon, technical words, extra and ignored words."""
-    known = lexicon.select("word").union(words_table(lexicon.sparkSession, TECH_WORDS))
-    for more in (extra, ignored):
-        if more is not None:
-            known = known.union(more.select("word"))
+def valid_words(lexicon: DataFrame | None, extra: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
+    """(key): lower-cased words that are never flagged, whatever their case: lexicon, technical words, extra and ignored words.
+
+    A dictionary that minds the case is none of them: it goes to `invalid_parts` itself.
+    """
+    given = [w for w in (lexicon, extra, ignored) if w is not None]
+    spark = given[0].sparkSession if given else SparkSession.active()
+    known = words_table(spark, TECH_WORDS).select("word")
+    for more in given:
+        known = known.union(more.select("word"))
     return known.select(F.lower("word").alias("key")).distinct()
 
 
-def invalid_parts(distinct_tokens: DataFrame, valid: DataFrame, min_length: int = 1) -> DataFrame:
+def invalid_parts(distinct_tokens: DataFrame, valid: DataFrame, min_length: int = 1, dictionary: DataFrame | None = None, compounds: Compounds | None = None) -> DataFrame:
     """(token, part_pos, word): the sub-words to flag of each distinct token.
 
     A token with dots passes if all its segments are valid; any token passes if
     its cleaned whole is valid and long enough; else its identifier parts are
-    tested one by one. Case is ignored. One join tests all of a token's words.
+    tested one by one. One join tests all of a token's words, whatever their case.
+    With a dictionary(word, keep_case), a word is also valid where the dictionary
+    or its compounds accept it in its case; segments are tested in small letters.
     """
     token = F.col("token")
     whole = T.clean_word(token)
@@ -31,7 +39,12 @@ def invalid_parts(distinct_tokens: DataFrame, valid: DataFrame, min_length: int
     segments = F.when(token.contains("."), F.transform(F.split(token, r"\."), lambda s, i: candidate("segment", i, T.clean_word(s)))).otherwise(F.array().cast("array<struct<kind:string,pos:int,word:string>>"))
     parts = F.transform(T.split_identifiers(token), lambda p, i: candidate("part", i, T.clean_word(p)))
     tested = distinct_tokens.where(whole != "").select("token", F.explode(F.concat(F.array(candidate("whole", F.lit(0), whole)), segments, parts)).alias("w")).select("token", "w.*")
-    tested = tested.withColumn("key", F.lower("word")).join(valid.withColumn("valid", F.lit(True)), "key", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    tested = tested.withColumn("key", F.lower("word")).join(valid.withColumn("blind", F.lit(True)), "key", "left").withColumn("valid", F.coalesce("blind", F.lit(False)))
+    if dictionary is not None:
+        tested = tested.withColumn("form", F.when(F.col("kind") == "segment", F.col("key")).otherwise(F.col("word")))
+        cased = accepted(tested.where(~F.col("valid") & (F.col("form") != "")).select(F.col("form").alias("word")), dictionary, compounds)
+        cased = cased.where("valid").select(F.col("word").alias("form"), F.lit(True).alias("cased"))
+        tested = tested.join(cased, "form", "left").withColumn("valid", F.col("valid") | F.coalesce("cased", F.lit(False)))
     flagged = (F.col("kind") == "part") & ~F.col("valid") & (F.length("word") >= min_length) & (F.col("word") != "") & ~F.col("word").rlike("^[0-9]")
     judged = tested.groupBy("token").agg(
         F.bool_or((F.col("kind") == "whole") & F.col("valid") & (F.length("word") >= min_length)).alias("whole_valid"),

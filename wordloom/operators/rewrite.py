@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions import text as T
 from wordloom.operators.preprocess import lines
 
+_INK, _BEFORE = "[A-Za-z0-9_]", "(?<=[A-Za-z0-9_])"
+#: Where a word character of ASCII meets another character, or the line's end.
+EDGE = f"(?:{_BEFORE}(?!{_INK})|{T.BEFORE}(?={_INK}))"
+
 
-def _cased(replacement: str, original: str) -> str:
-    if len(original) > 1 and original == original.upper():
-        return replacement.upper()
-    return replacement[:1].upper() + replacement[1:] if original[:1] == original[:1].upper() else replacement
+def whole_word(word: Column) -> Column:
+    """A pattern for a word between edges, in any ASCII case."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.concat(F.lit(f"(?i){EDGE}"), quoted, F.lit(EDGE))
 
 
-def rewritten(line: str, fixes: list[tuple[str, str]]) -> str:
-    """Each (word, replacement) in turn, on whole words in any case; a later word may match what an earlier one put in."""
-    for word, replacement in fixes:
-        line = re.sub(rf"\b{re.escape(word)}\b", lambda m, r=replacement: _cased(r, m[0]), line, flags=re.IGNORECASE | re.ASCII)
-    return line
+def replaced(line: Column, word: Column, replacement: Column) -> Column:
+    """A line with each match of a whole word replaced, in the match's case: the pieces between matches, and what comes for each match, in turn."""
+    pattern = whole_word(word)
+    new = F.transform(F.regexp_extract_all(line, pattern, F.lit(0)), lambda m: T.match_case(replacement, m))
+    return F.array_join(F.zip_with(F.split(line, pattern, -1), new, lambda piece, n: F.concat(piece, F.coalesce(n, F.lit("")))), "")
 
 
-def _rewrite(values: pd.Series, words: pd.Series, replacements: pd.Series) -> pd.Series:
-    return pd.Series([rewritten(v, list(zip(w, r, strict=True))) for v, w, r in zip(values, words, replacements, strict=True)], dtype="object")
+def rewritten(line: Column, fixes: Column) -> Column:
+    """A line after an array of (word, replacement), each in turn; a later word may match what an earlier one put in."""
+    return F.aggregate(fixes, line, lambda now, f: replaced(now, f["word"], f["replacement"]))
 
 
 def fixes(docs: DataFrame, found: DataFrame, suggested: DataFrame) -> DataFrame:
@@ -34,7 +37,8 @@ def fixes(docs: DataFrame, found: DataFrame, suggested: DataFrame) -> DataFrame:
     each = found.join(top, "word").groupBy("doc_id", "line", F.lower("word").alias("word")).agg(F.min(F.struct("pos", "part_pos", "replacement")).alias("first"))
     per_line = each.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("f"))
     changed = lines(docs).join(per_line, ["doc_id", "line"])
-    changed = changed.withColumn("new_line", F.pandas_udf(_rewrite, "string")("value", F.transform("f", lambda x: x["word"]), F.transform("f", lambda x: x["first"]["replacement"])))
+    each_fix = F.transform("f", lambda x: F.struct(x["word"].alias("word"), x["first"]["replacement"].alias("replacement")))
+    changed = changed.withColumn("new_line", rewritten(F.col("value"), each_fix))
     return changed.where(F.col("new_line") != F.col("value")).select("doc_id", "line", F.col("value").alias("old_line"), "new_line")
 
 

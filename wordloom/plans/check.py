@@ -11,12 +11,17 @@ from wordloom.lists import COMMON_WORDS, words_table
 from wordloom.operators import check as C
 from wordloom.operators import lint, preprocess
 from wordloom.operators import suggest as S
+from wordloom.operators.compounds import Compounds
 from wordloom.storage import settle
 
 
 @dataclass
 class Options:
-    """lexicon(word) is the base dictionary; extra(word), ignored(word) and corrections(typo, fix) may be left out."""
+    """lexicon(word) is the base dictionary; extra(word), ignored(word) and corrections(typo, fix) may be left out.
+
+    With by_case the lexicon is (word, keep_case), as `sources.dictionary` reads it, and accepts words by their case;
+    its compounds may be given beside it. Extra and ignored words are accepted in any case.
+    """
 
     lexicon: DataFrame
     extra: DataFrame | None = None
@@ -24,6 +29,8 @@ class Options:
     corrections: DataFrame | None = None
     min_length: int = 1
     markdown: bool = False
+    by_case: bool = False
+    compounds: Compounds | None = None
 
 
 @dataclass
@@ -44,7 +51,9 @@ def check(docs: DataFrame, options: Options, tokens: DataFrame | None = None) ->
     """
     spark = docs.sparkSession
     own = settle(preprocess.tokens(docs, options.markdown)) if tokens is None else tokens
-    bad = settle(C.invalid_parts(own.select("token").distinct(), C.valid_words(options.lexicon, options.extra, options.ignored), options.min_length))
+    valid = C.valid_words(None if options.by_case else options.lexicon, options.extra, options.ignored)
+    cased = (options.lexicon, options.compounds) if options.by_case else ()
+    bad = settle(C.invalid_parts(own.select("token").distinct(), valid, options.min_length, *cased))
     found = settle(C.placed(own, bad))
     vocabulary = options.lexicon.select("word") if options.extra is None else options.lexicon.select("word").union(options.extra.select("word"))
     words = bad.select("word").distinct()

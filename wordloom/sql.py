@@ -204,6 +204,82 @@ step AS (
 ),
 fixed AS (SELECT doc_id, line, old, value FROM step WHERE k > len(fixes) AND value <> old)"""
 
+#: The affix rules of the fixtures, written out: flag, suffix, combines, strip, added, condition, flags that follow.
+RULES = """(VALUES ('P', false, true, '', 're', '', 'Q'), ('P', false, true, '', 'un', '[aeiou]', ''), ('Q', false, false, '', 'pre', '', ''),
+  ('A', true, true, '', 's', '[^sy]', 'C'), ('A', true, true, 'y', 'ies', '[^aeiou]y', 'C'), ('A', true, true, 'e', 'ing', 'e', 'D'),
+  ('B', true, true, '', 'er', '', 'A'), ('C', true, false, '', 'like', '', ''), ('D', true, false, '', 'ly', '', '')) AS r(flag, suffix, combines, strip, added, cond, following)"""
+_HOLDS = "length(word) > length(strip) AND CASE WHEN suffix THEN ends_with(word, strip) AND regexp_matches(word, cond || '$') ELSE starts_with(word, strip) AND regexp_matches(word, '^' || cond) END"
+_MADE = "CASE WHEN suffix THEN left(word, length(word) - length(strip)) || added ELSE added || substr(word, length(strip) + 1) END"
+_FLAG = "CASE WHEN {} THEN '{}' ELSE '' END"
+_MARKS = " || ".join([*(_FLAG.format(f"h % {by} = 0", flag) for flag, by in fixtures.STEM_FLAGS.items()), *(_FLAG.format(f"length(word) BETWEEN {low} AND {high}", flag) for flag, (low, high) in fixtures.PART_FLAGS.items())])
+#: CTEs from lex(word) to stem(word, flags) and dict(word, keep_case).
+DICT = f"""rule AS (SELECT * FROM {RULES}),
+stem AS MATERIALIZED (SELECT CASE WHEN h % {fixtures.NAMES} = 1 THEN upper(left(word, 1)) || substr(word, 2) ELSE word END AS word, {_MARKS} AS flags FROM (SELECT word, length(word) * 7 + ascii(word) * 3 + ascii(right(word, 1)) AS h FROM lex)),
+alone AS (SELECT word, flags, contains(flags, 'K') AS keep FROM stem WHERE NOT contains(flags, 'O')),
+grown AS (
+  SELECT {_MADE} AS word, flags, keep, following, suffix AND combines AS prefixable FROM alone JOIN rule ON contains(flags, flag) WHERE {_HOLDS}
+  UNION SELECT {_MADE}, flags, keep, r.following, prefixable FROM grown g JOIN rule r ON contains(g.following, r.flag) WHERE {_HOLDS}),
+prefixed AS (
+  SELECT {_MADE} AS word, flags, keep, r.following FROM grown g JOIN rule r ON contains(flags, flag) AND prefixable AND combines AND NOT suffix WHERE {_HOLDS}
+  UNION SELECT {_MADE}, flags, keep, r.following FROM prefixed g JOIN rule r ON contains(g.following, r.flag) WHERE {_HOLDS}),
+dict AS MATERIALIZED (SELECT word, bool_and(keep) AS keep_case FROM (
+  SELECT word, keep FROM alone WHERE NOT contains(flags, 'N') UNION ALL SELECT word, keep FROM grown UNION ALL SELECT word, keep FROM prefixed) GROUP BY word)"""
+
+
+def _accepted(words: str) -> str:
+    """CTEs from dict and stem to fits(word): which of words(word) are accepted by case or as compounds, VW*T or OT?, of four letters and more."""
+    return f"""forms AS MATERIALIZED (SELECT word, unnest([word, CASE WHEN word = upper(word) AND word <> lower(word) THEN left(word, 1) || lower(substr(word, 2)) END, CASE WHEN word = upper(word) AND word <> lower(word) THEN lower(word) END,
+  CASE WHEN left(word, 1) <> lower(left(word, 1)) THEN lower(left(word, 1)) || substr(word, 2) END]) AS form, unnest([false, true, true, true]) AS changed FROM (SELECT DISTINCT word FROM {words} WHERE word <> '')),
+looked AS MATERIALIZED (SELECT f.word, form, changed, keep_case FROM forms f LEFT JOIN dict d ON d.word = form WHERE form IS NOT NULL),
+piece AS MATERIALIZED (SELECT DISTINCT lower(word) AS piece, unnest(list_filter(string_split(flags, ''), lambda f: f IN ('V', 'W', 'T', 'O'))) AS flag FROM stem),
+lengths AS (SELECT unnest(range(1, (SELECT max(length(piece)) FROM piece) + 1)) AS size),
+cuts AS (SELECT DISTINCT lower(form) AS small, 0 AS pos, '' AS path FROM looked WHERE keep_case IS NULL AND length(form) >= 4
+  UNION SELECT small, pos + size, path || flag FROM cuts JOIN lengths ON pos + size <= length(small) JOIN piece ON piece = substr(small, pos + 1, size) WHERE regexp_matches(path || flag, '^(VW*|VW*T|O|OT)$')),
+compound AS MATERIALIZED (SELECT DISTINCT small FROM cuts WHERE pos = length(small) AND regexp_matches(path, '^(VW*T|OT?)$')),
+fits AS MATERIALIZED (SELECT DISTINCT word FROM looked WHERE (keep_case IS NOT NULL AND NOT (changed AND keep_case)) OR (keep_case IS NULL AND lower(form) IN (SELECT small FROM compound)))"""
+
+
+_LOW, _HIGH = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MIXED = f"mixed AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN translate(text, '{_LOW}', '{_HIGH}') WHEN 3 THEN translate(text, '{_HIGH}', '{_LOW}') ELSE text END AS text FROM documents)"
+
+
+def _bad_by_case(source: str, blind: str) -> str:
+    """CTEs from dict and stem to bad(token, part_pos, word), where the words of `blind` are valid in any case."""
+    clean = CLEAN.format
+    fine = lambda x: f"(lower({x}) IN (SELECT key FROM blind) OR {x} IN (SELECT word FROM fits))"
+    return f"""blind AS MATERIALIZED ({blind}),
+dtok AS MATERIALIZED (SELECT token, {clean("token")} AS whole FROM (SELECT DISTINCT token FROM {source}) WHERE {clean("token")} <> ''),
+seg AS MATERIALIZED (SELECT token, lower({clean("s")}) AS word FROM (SELECT token, unnest(string_split(token, '.')) AS s FROM dtok WHERE contains(token, '.'))),
+part AS MATERIALIZED (SELECT token, unnest(range(0, len(a))) AS part_pos, {clean("unnest(a)")} AS word FROM (SELECT token, {PARTS.format("token")} AS a FROM dtok)),
+asked AS (SELECT whole AS word FROM dtok UNION SELECT word FROM seg UNION SELECT word FROM part),
+{_accepted("asked")},
+dotted AS (SELECT token FROM seg GROUP BY token HAVING bool_and(word <> '' AND {fine("word")})),
+bad AS MATERIALIZED (SELECT token, part_pos, word FROM part JOIN dtok USING (token) WHERE NOT {fine("whole")} AND token NOT IN (SELECT token FROM dotted) AND word <> '' AND NOT regexp_matches(word, '^[0-9]') AND NOT {fine("word")})"""
+
+
+_MARKED = """CASE doc_id % 4
+  WHEN 1 THEN CASE (i - 1) % 5 WHEN 1 THEN '```js' || chr(10) || v WHEN 3 THEN v || chr(10) || '```' ELSE v END
+  WHEN 2 THEN CASE (i - 1) % 5 WHEN 1 THEN '<!-- open' || chr(10) || v WHEN 3 THEN v || chr(10) || 'close --> gone' ELSE v END
+  WHEN 3 THEN v || ' `code` <!-- note --> end' ELSE v END"""
+#: A walk over the lines of all documents at once: `state` is what ends the open block, as text, or empty.
+MARKDOWN = rf"""WITH RECURSIVE marked AS (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) ELSE '' END
+    || array_to_string(list_transform(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), lambda v, i: {_MARKED}), chr(10)) AS text FROM documents
+  UNION ALL SELECT doc_id, text FROM {_values([(-i, t) for i, t in fixtures.MARKDOWN])} AS t(doc_id, text)),
+md AS MATERIALIZED (SELECT doc_id, line, value, {_trim('value')} AS bare, regexp_extract(value, '^{SP}*(`{{3,}}|~{{3,}})', 1) AS mark, contains(value, '-->') AS closes FROM {_lines('marked')}),
+walk AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS line, '' AS state, false AS hidden FROM md
+  UNION ALL
+  SELECT doc_id, line, following, state <> '' OR following <> '' FROM (
+    SELECT m.doc_id, m.line, state, CASE
+      WHEN state = '' THEN CASE WHEN m.line = 1 AND bare = '---' THEN '---' WHEN mark <> '' THEN mark WHEN starts_with(bare, '<!--') AND NOT closes THEN '-->' ELSE '' END
+      WHEN state = '---' THEN CASE WHEN regexp_matches(value, '^---{SP}*$') THEN '' ELSE state END
+      WHEN state = '-->' THEN CASE WHEN closes THEN '' ELSE state END
+      WHEN mark <> '' AND starts_with(bare, state) THEN '' ELSE state END AS following
+    FROM walk w JOIN md m ON m.doc_id = w.doc_id AND m.line = w.line + 1))
+SELECT doc_id, line, CASE WHEN hidden THEN '' ELSE regexp_replace({_trim("regexp_replace(regexp_replace(value, '<!--.*?-->', ' ', 'g'), '`[^`]*`', ' ', 'g')")}, ' +', ' ', 'g') END AS kept FROM walk JOIN md USING (doc_id, line)"""
+
+
 SQL = {
     "q01_misspelled_words": f"WITH {CHECK} SELECT doc_id, word, count(*) AS n, count(DISTINCT line) AS n_lines, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM occ GROUP BY doc_id, word",
     "q02_token_stats_by_lang": f"WITH {TOK} SELECT lang, count(*) AS n_tokens, CAST(sum(length({CLEAN.format('token')})) AS BIGINT) AS clean_chars, count(DISTINCT {CLEAN.format('token')}) AS distinct_clean, CAST(sum(line) AS BIGINT) AS line_sum FROM tok JOIN documents USING (doc_id) GROUP BY lang",
@@ -251,6 +327,7 @@ UNION ALL SELECT doc_id, 2, 1, 'No errors, everything is good' FROM documents WH
     "q31_generate_dict": f"WITH {CHECK} SELECT DISTINCT word FROM occ WHERE lower(word) NOT IN ('alpha', 'beta', 'blush')",
     "q32_path_filters": rf"WITH {PATHS} SELECT path, extension, role, regexp_matches(path, '(?i)\.(md|markdown|mdx)$') AS markdown FROM classified",
     "q33_diff_documents": f"{FIXED} SELECT doc_id, CAST(line AS BIGINT) AS line, '@@ line ' || line || chr(10) || '-' || old || chr(10) || '+' || value AS hunk FROM fixed",
+    "q34_markdown_documents": MARKDOWN,
     "q35_json_report": f"""{FULL}, {_lint('tok')},
 m AS (SELECT doc_id, count(*) AS n, string_agg('{{"word":"' || word || '","lines":[' || array_to_string(lines, ',') || '],"suggestions":[' || array_to_string(list_transform(suggestions, lambda s: '"' || s || '"'), ',') || ']' || coalesce(',"topDistance":' || top_distance, '') || '}}', ',' ORDER BY first) AS words FROM mis GROUP BY doc_id),
 c AS (SELECT doc_id, string_agg('{{"kind":"' || kind || '","recommendation":"' || recommendation || '","forms":[' || detail || '],"lines":[' || array_to_string(lines, ',') || ']}}', ',' ORDER BY place) AS terms FROM findings GROUP BY doc_id)
@@ -262,4 +339,10 @@ listed AS (SELECT doc_id, count(*) AS issues, count(*) FILTER (confidence <> 2)
 SELECT doc_id, '# SPELLCHECK TASK LIST' || chr(10) || '# file: ' || doc_id || chr(10) || CASE WHEN issues IS NULL THEN '# NO ISSUES'
   ELSE '# issues: ' || issues || ' (' || fixable || ' fixable, ' || (issues - fixable) || ' review)' || chr(10) || '# self-service: wordloom --fix ' || doc_id || chr(10) || lines END AS text
 FROM documents LEFT JOIN listed USING (doc_id)""",
+    "q37_dictionary_words": f"WITH RECURSIVE {TOK}, {LEX.format(tok='tok')}, {DICT} SELECT word, keep_case FROM dict",
+    "q38_accepted_words": f"""WITH RECURSIVE {TOK}, {LEX.format(tok='tok')}, {DICT}, own AS (SELECT DISTINCT {CLEAN.format("token")} AS word FROM tok), {_accepted("own")}
+SELECT word, word IN (SELECT word FROM fits) AS valid FROM own WHERE word <> ''""",
+    "q39_misspelled_by_case": f"""WITH RECURSIVE {TOK}, {LEX.format(tok='tok')}, {DICT}, {MIXED}, mtok AS MATERIALIZED {_tok("mixed")},
+{_bad_by_case("mtok", f"SELECT word AS key FROM {_words(TECH_WORDS)} UNION SELECT word FROM {_words(COMMON_WORDS)}")}
+SELECT doc_id, word, count(*) AS n, count(DISTINCT line) AS n_lines FROM mtok JOIN bad USING (token) GROUP BY doc_id, word""",
 }
