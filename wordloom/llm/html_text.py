@@ -11,7 +11,9 @@ Method:
    number of open elements.
 2. Paths through an element whose name or attributes mark it as menu, header,
    footer, sidebar, notice, advert, form or comment are out, whatever their ratio.
-   Within an article or main element only containers are told by such words: a
+   Words that articles use too, as in related-studies, tell a part only where its
+   name has no other word. Within an article or main element only containers and
+   further articles, which are comments or teasers, are told by such words: a
    paragraph, heading or item stays whatever its class, and so does a header
    element, which is the article's own.
 3. For each other path of every page: the sum of its texts' lengths and
@@ -49,8 +51,8 @@ from wordloom.llm.exchange import small_batches
 
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title annotation annotation-xml iframe object select option canvas audio video head".split())
+INLINE = frozenset("math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mfenced semantics annotation annotation-xml svg g text tspan textpath a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OUTSIDE = frozenset("nav header footer aside form button menu dialog fieldset".split())
 CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
@@ -63,9 +65,15 @@ CLOSE_P = frozenset("address article aside blockquote details div dl fieldset fi
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "subscription signup login nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar toolbar footer footnav bottombar sidebar aside rail widget related recommended "
-    "recommendations trending share sharing social comment comments commentlist reply replies discussion disqus respond reviews pagination pager search searchbox copyright legal "
+    "recommendations trending share sharing social comment comments commentlist reply replies disqus respond reviews pagination pager search searchbox copyright legal "
     "disclaimer skip hidden complementary contentinfo".split()
 )
+# Of those, words that articles use too, which tell only where a name holds no others than these and words of layout.
+AMBIGUOUS = frozenset("related reviews reply replies notice alert header share social legal banner menu search".split())
+LAYOUT = frozenset(
+    "area articles bar block body bottom box button buttons column container content footer inner items item left link links list main news outer page panel post posts right section "
+    "card child depth even odd parent site stories story text thread top unit wrap wrapper".split()
+)
 CONTENT = frozenset(["article", "main"])
 #: Containers, which alone are told by class words within an article or main element.
 BOXES = frozenset("div section ul ol dl table figure details center".split())
@@ -74,7 +82,8 @@ CONTENT_WEIGHT = 2
 PAGE = frozenset(["", "html", "body"])
 CONTAINERS = PAGE | CONTENT | frozenset(["div", "section", "center"])
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
+# a quote opens a value only right after an equals sign; anywhere else it is a character like others
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$|[\"'])", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -83,6 +92,16 @@ _MARKS = re.compile(r"[.,;:!?…、。，！？]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 
 
+def _boilerplate(value: str, name: str) -> bool:
+    """Whether the names in an attribute tell a part other than the article. An article element is one only by a name with no other word, such as that of a comment."""
+    for token in value.split():
+        words = set(_WORDS.findall(token))
+        told = words & BOILERPLATE
+        if told and (words <= BOILERPLATE | LAYOUT or (name != "article" and told - AMBIGUOUS)):
+            return True
+    return False
+
+
 def _excluded(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
     """Whether an element, inside a content element or not, is a part other than the article, and its label in a tag path."""
     if name in OUTSIDE and not (inside and name == "header"):
@@ -97,8 +116,8 @@ def _excluded(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
                 out |= "display:none" in value.replace(" ", "")
             elif value:
                 label += f".{_DIGITS.sub('', value)}"
-                told = name in BOXES if inside else name not in ("body", "html", *CONTENT)
-                out |= told and not BOILERPLATE.isdisjoint(_WORDS.findall(value))
+                told = name in BOXES or name == "article" if inside else name not in ("body", "html", "main")
+                out |= told and _boilerplate(value, name)
     return out, label
 
 
