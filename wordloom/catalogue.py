@@ -393,6 +393,24 @@ def q39_misspelled_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "word", F.col("n").cast("long").alias("n"), F.size("lines").cast("long").alias("n_lines"))
 
 
+def _made_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a JSON manifest for each event, with names, keywords and dependencies of every type, good and bad."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    pick = lambda by, *of: F.element_at(F.array(*of), (F.pmod("event_id", F.lit(by)) + 1).cast("int"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    name = pick(5, text('"kit-', kind, '"'), F.lit("7"), F.lit('{"inner": "nope"}'), F.lit("null"), F.lit('["listed"]'))
+    keywords = pick(3, text('["', kind, '", {"hidden": "object"}, true, null, 3.5, ["', kind, '"], "word-', number, '"]'), F.lit('{"key": "value"}'), text('"', kind, '"'))
+    needs = pick(4, text('{"dep-', kind, '": 1, "@scope/', kind, '": null, "deep": {"inside": "no"}}'), F.lit('["listed"]'), F.lit('"text"'), F.lit("null"))
+    ends = pick(7, *[F.lit("}")] * 6, F.lit(""))  # some are cut off
+    content = text('{"name": ', name, ', "keywords": ', keywords, ', "dependencies": ', needs, ', "props": ', F.col("props"), ends)
+    return _table(spark, sf_dir, "events").select(text("e", number, "/package.json").alias("path"), content.alias("content"))
+
+
+def q40_json_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of manifests whose members have all types of JSON."""
+    return vocab.package_json_phrases(_made_manifests(spark, sf_dir)).groupBy("phrase").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 

@@ -31,8 +31,8 @@ def strip_noise(line: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """The non-empty tokens between white space."""
-    found = lambda ink: F.regexp_extract_all(line, F.lit(ink), F.lit(0))
-    return F.when(line.rlike(ODD_SPACE), found(f"{INK}+")).otherwise(found(r"\S+"))
+    cut = lambda spaces: F.array_remove(F.split(line, f"[{spaces}]+", -1), "")
+    return F.when(line.rlike(ODD_SPACE), cut(SPACES)).otherwise(cut(r" \t\n\x0B\f\r"))
 
 
 def clean_word(token: Column) -> Column:

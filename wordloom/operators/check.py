@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.lists import TECH_WORDS, words_table
+from wordloom.operators import heavy
 from wordloom.operators.compounds import Compounds
 from wordloom.sources.dictionary import accepted
 
@@ -62,9 +63,9 @@ def occurrences(tokens: DataFrame, valid: DataFrame, min_length: int = 1) -> Dat
     return placed(tokens, invalid_parts(tokens.select("token").distinct(), valid, min_length))
 
 
-def placed(tokens: DataFrame, bad: DataFrame) -> DataFrame:
-    """(doc_id, line, pos, part_pos, word): the places of bad(token, part_pos, word)."""
-    return tokens.join(bad, "token").select("doc_id", "line", "pos", "part_pos", "word")
+def placed(tokens: DataFrame, bad: DataFrame, frequent: list[str] | None = None) -> DataFrame:
+    """(doc_id, line, pos, part_pos, word): the places of bad(token, part_pos, word). Frequent tokens, if known, are met apart from the others."""
+    return heavy.joined(tokens, bad, "token", frequent or []).select("doc_id", "line", "pos", "part_pos", "word")
 
 
 def misspellings(found: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from wordloom.functions import text as T
 from wordloom.operators.markdown import blank_markdown
 
+#: Bytes of a core's share below which a table is dealt anew.
+DEALT_BYTES = 32 << 20
+
 
 def lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, line, value): split at line feeds, numbered from 1, trailing empty lines kept."""
@@ -38,8 +41,15 @@ def checked_lines(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...]
     return lines(source.where(~has), keep).unionByName(active_lines(lines(source.where(has), keep), keep))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs over as many tasks as there are cores, if they are too small a table to fill them: one row group is one task. Larger tables are not shuffled."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * DEALT_BYTES else docs
+
+
 def tokens(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, line, pos, token) of docs(doc_id, text)."""
-    kept = checked_lines(docs.select("doc_id", "text", *keep), markdown, keep)
+    kept = checked_lines(dealt(docs.select("doc_id", "text", *keep)), markdown, keep)
     stripped = kept.withColumn("value", T.strip_noise(F.col("value"))).withColumn("found", T.tokens(F.col("value")))
     return stripped.select("doc_id", *keep, "line", F.posexplode("found").alias("pos", "token"))

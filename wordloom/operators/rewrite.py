@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
+from wordloom.operators import heavy
 from wordloom.operators.preprocess import lines
 
 _INK, _BEFORE = "[A-Za-z0-9_]", "(?<=[A-Za-z0-9_])"
@@ -34,7 +35,7 @@ def rewritten(line: Column, fixes: Column) -> Column:
 def fixes(docs: DataFrame, found: DataFrame, suggested: DataFrame) -> DataFrame:
     """(doc_id, line, old_line, new_line): changed lines of docs, by occurrences and (word, suggestions)."""
     top = suggested.where(F.size("suggestions") > 0).select("word", F.element_at("suggestions", 1).alias("replacement"))
-    each = found.join(top, "word").groupBy("doc_id", "line", F.lower("word").alias("word")).agg(F.min(F.struct("pos", "part_pos", "replacement")).alias("first"))
+    each = heavy.joined_by(found, top, "word").groupBy("doc_id", "line", F.lower("word").alias("word")).agg(F.min(F.struct("pos", "part_pos", "replacement")).alias("first"))
     per_line = each.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("f"))
     changed = lines(docs).join(per_line, ["doc_id", "line"])
     each_fix = F.transform("f", lambda x: F.struct(x["word"].alias("word"), x["first"]["replacement"].alias("replacement")))
@@ -62,7 +63,7 @@ def diff(fixed: DataFrame) -> DataFrame:
 def learned_pairs(found: DataFrame, suggested: DataFrame) -> DataFrame:
     """(typo, fix): the top suggestion of each lower-cased fixable word, of its last occurrence."""
     top = suggested.where(F.size("suggestions") > 0).select("word", F.element_at("suggestions", 1).alias("fix"))
-    return found.join(top, "word").groupBy(F.lower("word").alias("typo")).agg(F.max_by("fix", F.struct("doc_id", "line", "pos", "part_pos")).alias("fix"))
+    return heavy.joined_by(found, top, "word").groupBy(F.lower("word").alias("typo")).agg(F.max_by("fix", F.struct("doc_id", "line", "pos", "part_pos")).alias("fix"))
 
 
 def unfixable(found: DataFrame, suggested: DataFrame) -> DataFrame:
@@ -70,5 +71,5 @@ def unfixable(found: DataFrame, suggested: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     none = suggested.where(F.size("suggestions") == 0).select("word")
-    first = found.join(none, "word").groupBy("doc_id", "word").agg(F.min(F.struct("line", "pos", "part_pos")).alias("first"))
+    first = heavy.joined_by(found, none, "word").groupBy("doc_id", "word").agg(F.min(F.struct("line", "pos", "part_pos")).alias("first"))
     return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("place"), "word")

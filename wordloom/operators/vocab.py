@@ -59,12 +59,21 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("at", "raw")).select("path", "at", T.trim(F.col("raw")).alias("line"))
 
 
+def _string(value: Column) -> Column:
+    """The text of a variant that is a JSON string; null for any other."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def package_json_phrases(files: DataFrame) -> DataFrame:
-    """(path, phrase): name, keywords and dependency names. Text that is no JSON object gives nothing."""
-    schema = "name string, keywords array<string>, " + ", ".join(f"{k} map<string,string>" for k in DEPENDENCY_KINDS)
-    read = files.select("path", F.from_json("content", schema).alias("j"))
+    """(path, phrase): name, keywords and dependency names. Text that is no JSON object gives nothing, nor does what has another type than it should.
+
+    A name or keyword counts only as a JSON string, keywords only in an array, dependencies only as the keys of an object, whatever their values.
+    """
+    read = files.select("path", F.try_parse_json("content").alias("j"))
+    part = lambda name, kind: F.try_variant_get("j", f"$.{name}", kind)
+    read = read.select("path", part("name", "variant").alias("name"), part("keywords", "array<variant>").alias("keywords"), *(F.map_keys(part(k, "map<string,variant>")).alias(k) for k in DEPENDENCY_KINDS))
     empty = F.array().cast("array<string>")
-    named = [F.array("j.name"), F.coalesce("j.keywords", empty), *(F.coalesce(F.map_keys(f"j.{k}"), empty) for k in DEPENDENCY_KINDS)]
+    named = [F.array(_string(F.col("name"))), F.coalesce(F.transform("keywords", _string), empty), *(F.coalesce(k, empty) for k in DEPENDENCY_KINDS)]
     return read.select("path", F.explode(F.concat(*named)).alias("phrase")).where("phrase is not null")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.lists import COMMON_WORDS, words_table
 from wordloom.operators import check as C
-from wordloom.operators import lint, preprocess
+from wordloom.operators import heavy, lint, preprocess
 from wordloom.operators import suggest as S
 from wordloom.operators.compounds import Compounds
 from wordloom.storage import settle
@@ -53,14 +53,15 @@ def check(docs: DataFrame, options: Options, tokens: DataFrame | None = None) ->
     own = settle(preprocess.tokens(docs, options.markdown)) if tokens is None else tokens
     valid = C.valid_words(None if options.by_case else options.lexicon, options.extra, options.ignored)
     cased = (options.lexicon, options.compounds) if options.by_case else ()
-    bad = settle(C.invalid_parts(own.select("token").distinct(), valid, options.min_length, *cased))
-    found = settle(C.placed(own, bad))
+    counts = settle(own.groupBy("token").agg(F.count("*").alias("n")))
+    bad = settle(C.invalid_parts(counts.select("token"), valid, options.min_length, *cased))
+    found = settle(C.placed(own, bad, heavy.frequent(counts, "token")))
     vocabulary = options.lexicon.select("word") if options.extra is None else options.lexicon.select("word").union(options.extra.select("word"))
     words = bad.select("word").distinct()
     best = S.suggestions(words, vocabulary, words_table(spark, COMMON_WORDS), vocabulary)
     corrections = options.corrections if options.corrections is not None else spark.createDataFrame([], "typo string, fix string")
     suggested = settle(S.with_learned(words, best, corrections))
-    misspelt = C.misspellings(found).join(suggested, "word").select("doc_id", "word", "n", "lines", "first", "suggestions", "top_distance")
+    misspelt = heavy.joined_by(C.misspellings(found), suggested, "word").select("doc_id", "word", "n", "lines", "first", "suggestions", "top_distance")
     return Checked(own, found, suggested, misspelt, lint.findings(own))
 
 

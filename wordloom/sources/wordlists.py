@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
+from wordloom.sources import commits
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,30 +46,30 @@ def new_corrections(pairs: DataFrame, existing: DataFrame) -> DataFrame:
     return pairs.withColumn("key", F.lower("typo")).join(known, ["key", "fix"], "left_anti").select("typo", "fix")
 
 
-def append_words(words: DataFrame, existing: DataFrame, path: str) -> int:
-    """Append the new words to the word list at a path; their number."""
-    fresh = new_words(words, existing).select("word").persist()
-    try:
-        n = fresh.count()
-        if n:
-            fresh.coalesce(1).write.mode("append").text(path)
-        return n
-    finally:
-        fresh.unpersist()
+def append_words(words: DataFrame, existing: DataFrame, path: str, key: str | None = None) -> int:
+    """Append the words that neither existing(word) nor the word list at a path holds in any case; their number.
+
+    The key names the batch: one that is tried again, by a writer that does not know how far it came, appends nothing twice.
+    """
+    known = lambda lines: wordlist(lines).union(existing.select("word"))
+    return commits.append(words.sparkSession, path, key or uuid4().hex, lambda lines: new_words(words, known(lines)).select(F.col("word").alias("value")))
 
 
-def add_word(spark: SparkSession, word: str, existing: DataFrame, path: str) -> int:
+def add_word(spark: SparkSession, word: str, existing: DataFrame, path: str, key: str | None = None) -> int:
     """Append one word, unless it is there in any case; how many were appended."""
-    return append_words(spark.createDataFrame([(word,)], "word string"), existing, path)
-
-
-def append_corrections(pairs: DataFrame, existing: DataFrame, path: str) -> int:
-    """Append the new pairs as typo=fix lines; their number."""
-    fresh = new_corrections(pairs, existing).select(F.concat_ws("=", "typo", "fix").alias("value")).persist()
-    try:
-        n = fresh.count()
-        if n:
-            fresh.coalesce(1).write.mode("append").text(path)
-        return n
-    finally:
-        fresh.unpersist()
+    return append_words(spark.createDataFrame([(word,)], "word string"), existing, path, key)
+
+
+def append_corrections(pairs: DataFrame, existing: DataFrame, path: str, key: str | None = None) -> int:
+    """Append the pairs that neither existing(typo, fix) nor the corrections at a path hold, as typo=fix lines; their number. The key is that of `append_words`."""
+
+    def fresh(lines: DataFrame) -> DataFrame:
+        known = read_corrections(lines).union(existing.select("typo", "fix"))
+        return new_corrections(pairs, known).select(F.concat_ws("=", "typo", "fix").alias("value"))
+
+    return commits.append(pairs.sparkSession, path, key or uuid4().hex, fresh)
+
+
+def read_corrections(lines: DataFrame) -> DataFrame:
+    """(typo, fix) of the lines of `commits.read_batches`: that of the latest batch wins."""
+    return corrections(lines.withColumn("line_no", F.struct("batch", "value")))

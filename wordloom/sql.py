@@ -339,6 +339,15 @@ listed AS (SELECT doc_id, count(*) AS issues, count(*) FILTER (confidence <> 2)
 SELECT doc_id, '# SPELLCHECK TASK LIST' || chr(10) || '# file: ' || doc_id || chr(10) || CASE WHEN issues IS NULL THEN '# NO ISSUES'
   ELSE '# issues: ' || issues || ' (' || fixable || ' fixable, ' || (issues - fixable) || ' review)' || chr(10) || '# self-service: wordloom --fix ' || doc_id || chr(10) || lines END AS text
 FROM documents LEFT JOIN listed USING (doc_id)""",
+    "q40_json_manifests": """WITH made AS (SELECT '{"name": ' || (['"kit-' || event_type || '"', '7', '{"inner": "nope"}', 'null', '["listed"]'])[event_id % 5 + 1]
+  || ', "keywords": ' || (['["' || event_type || '", {"hidden": "object"}, true, null, 3.5, ["' || event_type || '"], "word-' || event_id || '"]', '{"key": "value"}', '"' || event_type || '"'])[event_id % 3 + 1]
+  || ', "dependencies": ' || (['{"dep-' || event_type || '": 1, "@scope/' || event_type || '": null, "deep": {"inside": "no"}}', '["listed"]', '"text"', 'null'])[event_id % 4 + 1]
+  || ', "props": ' || props || CASE WHEN event_id % 7 = 6 THEN '' ELSE '}' END AS content FROM events),
+parsed AS MATERIALIZED (SELECT CAST(content AS JSON) AS j FROM made WHERE json_valid(content)),
+phrases AS (SELECT j->>'$.name' AS phrase FROM parsed WHERE json_type(j, '$.name') = 'VARCHAR'
+  UNION ALL SELECT k->>'$' FROM (SELECT unnest(json_extract(j, '$.keywords[*]')) AS k FROM parsed WHERE json_type(j, '$.keywords') = 'ARRAY') WHERE json_type(k) = 'VARCHAR'
+  UNION ALL SELECT unnest(json_keys(j, '$.dependencies')) FROM parsed WHERE json_type(j, '$.dependencies') = 'OBJECT')
+SELECT phrase, count(*) AS n FROM phrases GROUP BY phrase""",
     "q37_dictionary_words": f"WITH RECURSIVE {TOK}, {LEX.format(tok='tok')}, {DICT} SELECT word, keep_case FROM dict",
     "q38_accepted_words": f"""WITH RECURSIVE {TOK}, {LEX.format(tok='tok')}, {DICT}, own AS (SELECT DISTINCT {CLEAN.format("token")} AS word FROM tok), {_accepted("own")}
 SELECT word, word IN (SELECT word FROM fits) AS valid FROM own WHERE word <> ''""",
