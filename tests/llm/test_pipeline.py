@@ -59,3 +59,30 @@ def test_stages_on_empty_tables(spark, make):
         assert out.count() == 0
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
+
+
+def test_unlike_texts_of_one_id_stay(spark, make):
+    docs = make([(1, "a b c d e f", "en"), (1, "a b c d e f", "fr"), (1, "another text that is unlike it", "en"), (2, "q r s t u v", "en")])
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out.collect()) == [(1, "a b c d e f", "fr"), (1, "another text that is unlike it", "en"), (2, "q r s t u v", "en")]
+
+
+def test_stages_remove_what_they_settled(spark, make, tmp_path):
+    """Of stages whose results are written, only the last one's tables are left; an unwritten result keeps what it reads."""
+    from pathlib import Path
+
+    from wordloom.storage import shared_dir
+
+    def held():
+        return {p for p in Path(shared_dir(spark).removeprefix("file:")).glob("table-*") if any(p.iterdir())}
+
+    docs = make([(i, f"a text of a few words number {i} and then some", "en") for i in range(9)], clash=False)
+    first = held()
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    last = held() - first
+    corpus_pipeline.mixture(spark, docs, "").collect()
+    assert not held() & last
+    lazy = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert corpus_pipeline.repeated_passages(spark, lazy, "").count() == docs.select("doc_id", "text").distinct().count()
