@@ -36,8 +36,8 @@ def tokens(line: Column) -> Column:
 
 
 def clean_word(token: Column) -> Column:
-    """ASCII word characters and apostrophes only."""
-    return F.regexp_replace(token, "[^A-Za-z0-9_']", "")
+    """ASCII word characters and apostrophes only. Most tokens have no others and are not made anew."""
+    return F.when(token.rlike("[^A-Za-z0-9_']"), F.regexp_replace(token, "[^A-Za-z0-9_']+", "")).otherwise(token)
 
 
 def split_identifiers(token: Column) -> Column:

@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.storage import settle
+
 #: The reciprocal of the share of rows from which a value counts as frequent, and so the most frequent values.
 SHARE = 200
 #: Rows below which no value is worth a second look.
 LEAST_ROWS = 1 << 20
+#: Rows up to which a settled side is broadcast.
+SMALL = 100_000
 #: Rows of the other side that one frequent value may meet and still be broadcast.
 MOST_MET = 1 << 10
 
@@ -42,6 +46,12 @@ def joined(rows: DataFrame, few: DataFrame, key: str, values: list[str]) -> Data
     return rest.unionByName(rows.where(heavy).join(F.broadcast(few.where(heavy)), key))
 
 
+def met(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows with few by the key, where few is expected to be small: it is settled and counted, and broadcast up to SMALL rows. Beyond that its keys are joined as `joined_by` does."""
+    few = settle(few)
+    return rows.join(F.broadcast(few), key) if few.count() <= SMALL else joined_by(rows, few, key)
+
+
 def joined_by(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """The inner join of settled rows and few by the key, whose frequent values are looked for first."""
     return joined(rows, few, key, frequent(rows.groupBy(key).agg(F.count("*").alias("n")), key))

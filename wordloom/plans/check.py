@@ -51,7 +51,7 @@ def check(docs: DataFrame, options: Options, tokens: DataFrame | None = None) ->
     """
     spark = docs.sparkSession
     own = settle(preprocess.tokens(docs, options.markdown)) if tokens is None else tokens
-    valid = C.valid_words(None if options.by_case else options.lexicon, options.extra, options.ignored)
+    valid = settle(C.valid_words(None if options.by_case else options.lexicon, options.extra, options.ignored))
     cased = (options.lexicon, options.compounds) if options.by_case else ()
     counts = settle(own.groupBy("token").agg(F.count("*").alias("n")))
     bad = settle(C.invalid_parts(counts.select("token"), valid, options.min_length, *cased))
@@ -81,7 +81,8 @@ def frequent_words(tokens: DataFrame, documents: DataFrame, share: int = 100, le
     from wordloom.lists import TECH_WORDS
 
     spark = tokens.sparkSession
-    words = tokens.select("doc_id", F.lower(T.clean_word(F.col("token"))).alias("word")).where(T.is_suggestable(F.col("word"))).distinct()
+    words = tokens.select("doc_id", F.lower(T.clean_word(F.col("token"))).alias("word")).distinct()
     limit = max(least, documents.count() // share)
-    common = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("word")
+    # words are judged when they are counted, not at each of their places
+    common = words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= limit) & T.is_suggestable(F.col("word"))).select("word")
     return common.union(words_table(spark, TECH_WORDS)).union(words_table(spark, COMMON_WORDS)).distinct()

@@ -6,12 +6,39 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_settled: list[str] = []
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """The tables that are settled while it is entered, by this thread; they can be removed together."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scope:
+        self._outer = _scope.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scope.reset(self._outer)
+
+    def feeds(self, df: DataFrame) -> bool:
+        """Whether a DataFrame that is still to be computed reads one of the tables."""
+        read = df.inputFiles() if self.paths else []
+        return any(path.rsplit("/", 1)[1] in file for path in self.paths for file in read)
+
+    def remove(self, spark: SparkSession) -> None:
+        """Delete the tables; no result that is still to be computed may need them."""
+        for path in self.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.clear()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,17 +72,6 @@ def settle(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    _settled.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_settled(spark: SparkSession, first: int, last: int) -> None:
-    """Delete this process's settled tables from the first-th up to the last-th; no result that is still to be computed may need them."""
-    for path in _settled[first:last]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _settled[first:last]
-
-
-def settled_count() -> int:
-    return len(_settled)

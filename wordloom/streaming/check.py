@@ -18,9 +18,9 @@ def check_stream(docs: DataFrame, options: Options, path: str, checkpoint: str)
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        before = storage.settled_count()
-        rows = check(batch, options).misspelt.drop("first")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        storage.remove_settled(batch.sparkSession, before, storage.settled_count())
+        with storage.Scope() as own:
+            rows = check(batch, options).misspelt.drop("first")
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own.remove(batch.sparkSession)
 
     return docs.select("doc_id", F.col("text")).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
