@@ -4,6 +4,7 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom import catalogue
 
@@ -87,12 +88,45 @@ def test_markdown_of_all_documents(spark):
     import re
 
     from tests.plain import markdown_kept
-    from wordloom.catalogue import _with_markdown, q34_markdown_documents
+    from wordloom.catalogue import _docs, _with_markdown, q34_markdown_documents
 
-    texts = {r["doc_id"]: r["text"] for r in _with_markdown(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in _with_markdown(_docs(spark, SF)).collect()}
     expected = [(i, n, kept) for i, text in texts.items() for n, kept in enumerate((re.sub(" +", " ", line.strip()) for line in markdown_kept(text)), 1)]
     got = [(r["doc_id"], r["line"], r["kept"]) for r in q34_markdown_documents(spark, SF).collect()]
     assert sorted(got) == sorted(expected)
     assert min(texts) == -7
     assert len(texts) == 7 + spark.read.parquet(f"{SF}/documents.parquet").count()
     assert sum(kept == "" for *_, kept in got) > 100
+
+
+MARKDOWN_KEPT = {
+    1: ["", "", "", "prose teh", "", "", "", "after end"],
+    2: ["", "", "", "", "", "text"],
+    3: ["before", "", "", "", "after two"],
+    4: ["", "", ""],
+    5: ["", "", "", "prose", "", "", ""],
+    6: ["a b", "tail", "b ` c"],
+    7: ["", "teh"],
+}
+DIFF_ROWS = [(1, 1, "@@ line 1\n-teh wrod\n+the word"), (2, 1, "@@ line 1\n-Teh Cat\n+The Cat"), (3, 1, "@@ line 1\n-TEH `teh` x-teh\n+THE `the` x-the"), (5, 1, "@@ line 1\n-recieve\n+receive"), (5, 2, "@@ line 2\n-ok recieve\n+ok receive")]
+
+
+def test_markdown_of_the_fixtures(spark):
+    from wordloom import fixtures
+    from wordloom.functions import text as T
+    from wordloom.operators import markdown, preprocess
+
+    docs = spark.createDataFrame(fixtures.MARKDOWN, "doc_id long, text string")
+    kept = preprocess.lines(markdown.blank_markdown(docs)).withColumn("kept", F.regexp_replace(T.trim(F.col("value")), " +", " "))
+    assert {(r["doc_id"], r["line"], r["kept"]) for r in kept.collect()} == {(i, n, v) for i, rows in MARKDOWN_KEPT.items() for n, v in enumerate(rows, 1)}
+
+
+def test_diff_of_the_fixtures(spark):
+    from wordloom import fixtures
+    from wordloom.operators import rewrite
+    from wordloom.plans.check import Options, check
+
+    docs = spark.createDataFrame(fixtures.FIXABLE, "doc_id long, text string")
+    found = check(docs, Options(spark.createDataFrame([(w,) for w in fixtures.LEXICON], "word string")))
+    hunks = rewrite.diff(rewrite.fixes(docs, found.occurrences, found.suggested))
+    assert {tuple(r) for r in hunks.collect()} == set(DIFF_ROWS)

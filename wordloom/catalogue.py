@@ -2,8 +2,8 @@
 
 Each query runs over its whole tables. Inputs that the tables lack (typos,
 directives, Markdown, manifests) are derived from them, or are small fixtures,
-in the same way on both sides. q05, q21, q24 and q26 hold mainly fixtures against
-literal rows; q33 and q34 do the work of q26 and q05 on all documents, q34 without SQL.
+in the same way on both sides. q05 and q26 do on all conversations what q34 and
+q33 do on all documents.
 """
 
 from __future__ import annotations
@@ -96,9 +96,19 @@ def q04_directive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.length("value").cast("long").alias("chars"))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a document for each turn of the conversations."""
+    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+def _kept_lines(docs: DataFrame) -> DataFrame:
+    kept = preprocess.lines(blank_markdown(_with_markdown(docs)))
+    return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
+
+
 def q05_markdown_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = blank_markdown(spark.createDataFrame(fixtures.MARKDOWN, "doc_id long, text string"))
-    return preprocess.lines(docs).select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
+    """The lines of all turns of conversations as Markdown, blanked."""
+    return _kept_lines(_turns(spark, sf_dir))
 
 
 def q06_html_comment_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,8 +234,24 @@ def q20_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.union(phrases)
 
 
+def _part_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a manifest for each part, of four kinds in turn, which names its words and has others where they do not count."""
+    word = lambda i: F.element_at(F.split("p_name", " "), i)
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    own = text(word(1), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij"))
+    kinds = [
+        ("Cargo.toml", text('[package]\nname = "', own, '"\n[dependencies]\n', word(2), ' = "1"\n[profile]\nzz', own, " = true\n")),
+        ("go.mod", text("module x.y/", own, "\n\nrequire (\n\tg.z/", word(2), " v1.0\n\t// zz", own, "\n)\n")),
+        ("pyproject.toml", text('[project]\nname = "', own, '"\ndependencies = [\n  "', word(2), '>=2",\n]\n[tool.other]\nzz', own, " = 1\n")),
+        ("requirements.txt", text("# zz", own, "\n-r zz", own, "\n", own, "==1\n", word(2), "[zz", own, "]>=2 ; zz", own, "\n")),
+    ]
+    turn = (F.pmod("p_partkey", F.lit(len(kinds))) + 1).cast("int")
+    name, content = (F.element_at(F.array(*values), turn) for values in ([F.lit(k) for k, _ in kinds], [c for _, c in kinds]))
+    return _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("path"), content.alias("content"))
+
+
 def q21_toml_gomod_reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(fixtures.FILES, "path string, content string")
+    files = spark.createDataFrame(fixtures.FILES, "path string, content string").union(_part_manifests(spark, sf_dir))
     return vocab.manifest_words(files)
 
 
@@ -252,10 +278,10 @@ def q24_corrections_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordlists.new_corrections(pairs, existing)
 
 
-def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Checked]:
-    """Documents whose third word of each line has a typo, checked against the untouched documents' lexicon."""
+def _typed(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> tuple[DataFrame, Checked]:
+    """All documents, or other texts, with a typo in the third word of each line, checked against the untouched documents' lexicon."""
     spoil = F.regexp_replace("text", r"(?m)^([^ \n]+ [^ \n]+ [A-Za-z])([a-z])([a-z])([a-z]+ )", "$1$3$2$4")
-    docs = settle(_docs(spark, sf_dir).select("doc_id", spoil.alias("text")))
+    docs = settle((_docs(spark, sf_dir) if own is None else own).select("doc_id", spoil.alias("text")))
     return docs, check(docs, Options(_lexicon(spark, sf_dir)))
 
 
@@ -265,14 +291,16 @@ def q25_fix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("doc_id", F.col("line").cast("long").alias("line"), F.md5(F.col("old_line").cast("binary")).alias("old_md5"), F.md5(F.col("new_line").cast("binary")).alias("new_md5"))
 
 
-def q26_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame(fixtures.FIXABLE, "doc_id long, text string")
-    lexicon = spark.createDataFrame([(w,) for w in fixtures.LEXICON], "word string")
-    found = check(docs, Options(lexicon))
+def _hunks(docs: DataFrame, found: Checked) -> DataFrame:
     hunks = rewrite.diff(rewrite.fixes(docs, found.occurrences, found.suggested))
     return hunks.select("doc_id", F.col("line").cast("long").alias("line"), "hunk")
 
 
+def q26_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hunks of the fixes of all turns of conversations."""
+    return _hunks(*_typed(spark, sf_dir, _turns(spark, sf_dir)))
+
+
 def q27_learned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _checked(spark, sf_dir)
     return rewrite.learned_pairs(found.occurrences, found.suggested)
@@ -308,13 +336,11 @@ def q32_path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q33_diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hunks of all documents' fixes, those of q25."""
-    docs, found = _typed(spark, sf_dir)
-    hunks = rewrite.diff(rewrite.fixes(docs, found.occurrences, found.suggested))
-    return hunks.select("doc_id", F.col("line").cast("long").alias("line"), "hunk")
+    return _hunks(*_typed(spark, sf_dir))
 
 
-def _with_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, a sentence a line, with front matter, fences, comments or inline marks by doc_id; and the fixtures, whose ids are below zero."""
+def _with_markdown(docs: DataFrame) -> DataFrame:
+    """All of docs(doc_id, text), a sentence a line, with front matter, fences, comments or inline marks by doc_id; and the fixtures, whose ids are below zero."""
     kind = F.pmod("doc_id", F.lit(4))
     value = F.split(F.regexp_replace("text", r"\. ", ".\n"), "\n", -1)
 
@@ -325,13 +351,12 @@ def _with_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(kind == 1, fenced).when(kind == 2, commented).when(kind == 3, F.concat(v, F.lit(" `code` <!-- note --> end"))).otherwise(v)
 
     text = F.concat(F.when(kind == 0, "---\ntitle: x\n---\n").otherwise(""), F.array_join(F.transform(value, marked), "\n"))
-    fixed = spark.createDataFrame([(-i, t) for i, t in fixtures.MARKDOWN], "doc_id long, text string")
-    return _docs(spark, sf_dir).select("doc_id", text.alias("text")).union(fixed)
+    fixed = docs.sparkSession.createDataFrame([(-i, t) for i, t in fixtures.MARKDOWN], "doc_id long, text string")
+    return docs.select("doc_id", text.alias("text")).union(fixed)
 
 
 def q34_markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = preprocess.lines(blank_markdown(_with_markdown(spark, sf_dir)))
-    return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
+    return _kept_lines(_docs(spark, sf_dir))
 
 
 def q35_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,16 +165,6 @@ MANIFEST_WORDS = sorted(
 )
 JSON_PHRASES = ["kubernets-kit", "spellcheck", "typo", "@scope/leftpad", "vitest"]
 
-MARKDOWN_KEPT = {
-    1: ["", "", "", "prose teh", "", "", "", "after end"],
-    2: ["", "", "", "", "", "text"],
-    3: ["before", "", "", "", "after two"],
-    4: ["", "", ""],
-    5: ["", "", "", "prose", "", "", ""],
-    6: ["a b", "tail", "b ` c"],
-    7: ["", "teh"],
-}
-DIFF_ROWS = [(1, 1, "@@ line 1\n-teh wrod\n+the word"), (2, 1, "@@ line 1\n-Teh Cat\n+The Cat"), (3, 1, "@@ line 1\n-TEH `teh` x-teh\n+THE `the` x-the"), (5, 1, "@@ line 1\n-recieve\n+receive"), (5, 2, "@@ line 2\n-ok recieve\n+ok receive")]
 DIRECTIVES = "string_split(text, chr(10)) AS a"
 
 TASKS = f"""{FULL}, {_lint('tok')},
@@ -190,8 +180,12 @@ task AS (
   SELECT doc_id, 2, list_min(lines), '[review] consistency line ' || list_min(lines) || ': ' || CASE WHEN kind = 'casing' THEN '''' || forms[1] || ''' should be ''' || recommendation || '''' ELSE {QUOTED} || ' — prefer ''' || recommendation || '''' END, 1, place, 0, 0 FROM findings)"""
 
 CASED = "CASE WHEN length(v) > 1 AND v = upper(v) THEN upper({r}) WHEN left(v, 1) = upper(left(v, 1)) THEN upper(left({r}, 1)) || substr({r}, 2) ELSE {r} END"
-#: CTEs ending in fixed(doc_id, line, old, value): the words of a line replaced one after the other, each in the case in which it is found.
-FIXED = rf"""WITH RECURSIVE typed AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '(?m)^([^ \n]+ [^ \n]+ [A-Za-z])([a-z])([a-z])([a-z]+ )', '\1\3\2\4', 'g') AS text FROM documents),
+TURNS = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+
+
+def _fixed(source: str) -> str:
+    """CTEs ending in fixed(doc_id, line, old, value) of source(doc_id, text): the words of a line replaced one after the other, each in the case in which it is found."""
+    return rf"""WITH RECURSIVE typed AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '(?m)^([^ \n]+ [^ \n]+ [A-Za-z])([a-z])([a-z])([a-z]+ )', '\1\3\2\4', 'g') AS text FROM {source}),
 clean AS MATERIALIZED {_tok('documents')}, tok AS MATERIALIZED {_tok('typed')}, {LEX.format(tok='clean')}, {_bad('tok', VALID)}, {OCC}, {_suggest('occ')}, {SUGGESTED},
 each AS (SELECT doc_id, line, lower(word) AS word, arg_min(suggestions[1], struct_pack(pos, part_pos)) AS replacement, min(struct_pack(pos, part_pos)) AS first
   FROM occ JOIN sug USING (word) WHERE len(suggestions) > 0 GROUP BY doc_id, line, lower(word)),
@@ -204,6 +198,7 @@ step AS (
 ),
 fixed AS (SELECT doc_id, line, old, value FROM step WHERE k > len(fixes) AND value <> old)"""
 
+
 #: The affix rules of the fixtures, written out: flag, suffix, combines, strip, added, condition, flags that follow.
 RULES = """(VALUES ('P', false, true, '', 're', '', 'Q'), ('P', false, true, '', 'un', '[aeiou]', ''), ('Q', false, false, '', 'pre', '', ''),
   ('A', true, true, '', 's', '[^sy]', 'C'), ('A', true, true, 'y', 'ies', '[^aeiou]y', 'C'), ('A', true, true, 'e', 'ing', 'e', 'D'),
@@ -261,10 +256,13 @@ _MARKED = """CASE doc_id % 4
   WHEN 1 THEN CASE (i - 1) % 5 WHEN 1 THEN '```js' || chr(10) || v WHEN 3 THEN v || chr(10) || '```' ELSE v END
   WHEN 2 THEN CASE (i - 1) % 5 WHEN 1 THEN '<!-- open' || chr(10) || v WHEN 3 THEN v || chr(10) || 'close --> gone' ELSE v END
   WHEN 3 THEN v || ' `code` <!-- note --> end' ELSE v END"""
-#: A walk over the lines of all documents at once: `state` is what ends the open block, as text, or empty.
-MARKDOWN = rf"""WITH RECURSIVE marked AS (
+
+
+def _markdown(source: str) -> str:
+    """A walk over the lines of all of source(doc_id, text) and of the fixtures at once: `state` is what ends the open block, as text, or empty."""
+    return rf"""WITH RECURSIVE marked AS (
   SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) ELSE '' END
-    || array_to_string(list_transform(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), lambda v, i: {_MARKED}), chr(10)) AS text FROM documents
+    || array_to_string(list_transform(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), lambda v, i: {_MARKED}), chr(10)) AS text FROM {source}
   UNION ALL SELECT doc_id, text FROM {_values([(-i, t) for i, t in fixtures.MARKDOWN])} AS t(doc_id, text)),
 md AS MATERIALIZED (SELECT doc_id, line, value, {_trim('value')} AS bare, regexp_extract(value, '^{SP}*(`{{3,}}|~{{3,}})', 1) AS mark, contains(value, '-->') AS closes FROM {_lines('marked')}),
 walk AS (
@@ -290,7 +288,7 @@ SELECT kind, id, line, kept FROM s WHERE kept <> plain""",
 s AS (SELECT *, last_value(CASE WHEN kind IN ('off', 'on') THEN kind END IGNORE NULLS) OVER w AS state, sum(CASE WHEN kind = 'disable-next-line' THEN 1 ELSE 0 END) OVER w AS armed FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 c AS (SELECT doc_id, line, value, armed, lag(armed, 1, 0) OVER (PARTITION BY doc_id ORDER BY line) AS used FROM s WHERE kind IS NULL AND coalesce(state, 'on') = 'on')
 SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(length(value) AS BIGINT) AS chars FROM c WHERE armed = used""",
-    "q05_markdown_blank": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(line AS BIGINT) AS line, kept FROM " + _values([(d, i + 1, v) for d, rows in MARKDOWN_KEPT.items() for i, v in enumerate(rows)]) + " AS t(doc_id, line, kept)",
+    "q05_markdown_blank": _markdown(TURNS),
     "q06_html_comment_blank": "SELECT page_id, CAST(line AS BIGINT) AS line, md5(regexp_replace(regexp_replace(value, '<!--.*?-->', ' ', 'g'), '`[^`]*`', ' ', 'g')) AS kept_md5 FROM (SELECT page_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS value FROM (SELECT page_id, string_split(html, chr(10)) AS a FROM pages))",
     "q07_identifier_split": f"WITH {COMPOUNDS} SELECT token, array_to_string({PARTS.format('token')}, ' ') AS parts FROM compound",
     "q08_dotted_tokens": f"WITH {COMPOUNDS}, {LEX.format(tok='tok')}, {_bad('compound', VALID)} SELECT token, CAST(part_pos AS BIGINT) AS part_pos, word FROM bad",
@@ -308,14 +306,14 @@ SELECT word, array_to_string(CASE WHEN length(word) % 2 = 0 THEN list_concat(['F
     "q18_identifier_vocab": f"SELECT word, count(*) AS n FROM (SELECT lower(unnest({PARTS.format('name')})) AS word FROM (SELECT unnest({IDENTIFIERS}) AS name FROM (SELECT text AS content FROM documents UNION ALL SELECT text FROM conversations))) WHERE {VOCAB} GROUP BY word HAVING count(*) >= 3",
     "q19_filename_vocab": f"WITH {PATHS}, {COUNTED.format(source='classified')} SELECT word, count(*) AS n FROM stem_words WHERE {VOCAB} GROUP BY word",
     "q20_json_keys": "SELECT json_key, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS event_id_sum FROM (SELECT event_id, unnest(json_keys(CAST(props AS JSON))) AS json_key FROM events) GROUP BY json_key UNION ALL SELECT 'app/package.json:' || phrase, 1, 0 FROM " + _values([(p,) for p in JSON_PHRASES]) + " AS t(phrase)",
-    "q21_toml_gomod_reqs": "SELECT word FROM " + _words(MANIFEST_WORDS),
+    "q21_toml_gomod_reqs": f"""SELECT word FROM {_words(MANIFEST_WORDS)} UNION SELECT unnest([split_part(p_name, ' ', 1) || translate(CAST(p_partkey AS VARCHAR), '0123456789', 'abcdefghij'), split_part(p_name, ' ', 2)]) FROM part""",
     "q22_vocab_union_stats": f"""WITH {PATHS}, {COUNTED.format(source="(SELECT content FROM classified WHERE role = 'source')")}, counted AS (SELECT word FROM (SELECT word FROM ident UNION ALL SELECT word FROM stem_words) WHERE {VOCAB} GROUP BY word HAVING count(*) >= 3),
 every AS (SELECT word FROM counted UNION SELECT word FROM {_words(MANIFEST_WORDS)})
 SELECT (SELECT count(*) FROM every) AS words, (SELECT CAST(sum(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT)) AS BIGINT) FROM every) AS words_digest, CAST({len(MANIFEST_WORDS)} AS BIGINT) AS manifest_words, (SELECT count(*) FROM counted) AS counted_words, (SELECT count(*) FROM classified) AS files_scanned""",
     "q23_wordlist_load_append": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT unnest(['ALPHA', 'beta', 'alpha'])) WHERE lower(word) NOT IN ('alpha', 'beta', 'blush') GROUP BY word",
     "q24_corrections_append": f"SELECT typo, fix FROM (SELECT lower(n_name) AS typo, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS fix FROM nation UNION ALL SELECT * FROM {_values(fixtures.NEW_PAIRS)} AS t(typo, fix)) WHERE (lower(typo), fix) NOT IN (('teh', 'The'), ('wrod', 'word'), ('japan', 'Japan'))",
-    "q25_fix_lines": f"{FIXED} SELECT doc_id, CAST(line AS BIGINT) AS line, md5(old) AS old_md5, md5(value) AS new_md5 FROM fixed",
-    "q26_diff": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(line AS BIGINT) AS line, hunk FROM " + _values(DIFF_ROWS) + " AS t(doc_id, line, hunk)",
+    "q25_fix_lines": f"{_fixed("documents")} SELECT doc_id, CAST(line AS BIGINT) AS line, md5(old) AS old_md5, md5(value) AS new_md5 FROM fixed",
+    "q26_diff": f"{_fixed(TURNS)} SELECT doc_id, CAST(line AS BIGINT) AS line, '@@ line ' || line || chr(10) || '-' || old || chr(10) || '+' || value AS hunk FROM fixed",
     "q27_learned_pairs": f"{FULL} SELECT lower(word) AS typo, arg_max(suggestions[1], struct_pack(doc_id, line, pos, part_pos)) AS fix FROM occ JOIN sug USING (word) WHERE len(suggestions) > 0 GROUP BY 1",
     "q28_unfixable": f"{FULL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS place, word FROM mis WHERE len(suggestions) = 0",
     "q29_agent_tasks": f"""{TASKS}
@@ -326,8 +324,8 @@ UNION ALL SELECT doc_id, 1, place, doc_id || ': terminology: ' || {QUOTED} || '
 UNION ALL SELECT doc_id, 2, 1, 'No errors, everything is good' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM mis UNION SELECT doc_id FROM findings)""",
     "q31_generate_dict": f"WITH {CHECK} SELECT DISTINCT word FROM occ WHERE lower(word) NOT IN ('alpha', 'beta', 'blush')",
     "q32_path_filters": rf"WITH {PATHS} SELECT path, extension, role, regexp_matches(path, '(?i)\.(md|markdown|mdx)$') AS markdown FROM classified",
-    "q33_diff_documents": f"{FIXED} SELECT doc_id, CAST(line AS BIGINT) AS line, '@@ line ' || line || chr(10) || '-' || old || chr(10) || '+' || value AS hunk FROM fixed",
-    "q34_markdown_documents": MARKDOWN,
+    "q33_diff_documents": f"{_fixed("documents")} SELECT doc_id, CAST(line AS BIGINT) AS line, '@@ line ' || line || chr(10) || '-' || old || chr(10) || '+' || value AS hunk FROM fixed",
+    "q34_markdown_documents": _markdown("documents"),
     "q35_json_report": f"""{FULL}, {_lint('tok')},
 m AS (SELECT doc_id, count(*) AS n, string_agg('{{"word":"' || word || '","lines":[' || array_to_string(lines, ',') || '],"suggestions":[' || array_to_string(list_transform(suggestions, lambda s: '"' || s || '"'), ',') || ']' || coalesce(',"topDistance":' || top_distance, '') || '}}', ',' ORDER BY first) AS words FROM mis GROUP BY doc_id),
 c AS (SELECT doc_id, string_agg('{{"kind":"' || kind || '","recommendation":"' || recommendation || '","forms":[' || detail || '],"lines":[' || array_to_string(lines, ',') || ']}}', ',' ORDER BY place) AS terms FROM findings GROUP BY doc_id)
