@@ -123,3 +123,15 @@ def test_near_duplicate_edges(spark):
     assert embedding_dedup.near_duplicates(table(spark, [])).count() == 0
     rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [2.0]), (4, [-0.0, 1.0]), (6, [0.0, 1.0]), (None, [1.0, 0.0]), (None, None)]
     assert sorted_rows(embedding_dedup.near_duplicates(table(spark, rows))) == sorted([(5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (4, 1, 4, True), (6, 1, 4, False), (None, 0, None, False), (None, 0, None, False)], key=repr)
+
+
+@pytest.mark.parametrize(("value", "size"), [(0, 1), (127, 1), (-128, 1), (128, 2), (-129, 2), (1 << 15, 4), (-(1 << 31), 4), (1 << 31, 8), (-(1 << 62), 8)])
+def test_rows_travel_in_the_narrowest_type(value, size):
+    rows = np.array([[0, value], [1, -1]], np.int64)
+    data = topk_search.narrow(rows)
+    assert len(data) == 1 + 4 * size
+    assert (topk_search.widened(data, 2) == rows).all()
+
+
+def test_no_rows_travel():
+    assert topk_search.widened(topk_search.narrow(np.zeros((0, 3), np.int64)), 3).shape == (0, 3)

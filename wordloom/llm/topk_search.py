@@ -53,12 +53,23 @@ FIRST_DEPTH = 16
 _FOUND = "query_id long, vec_id long, score long"
 
 
+def narrow(rows: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them all, after a byte with its size."""
+    low, high = int(rows.min(initial=0)), int(rows.max(initial=0))
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + rows.astype(kind).tobytes()
+
+
+def widened(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(-1, width)
+
+
 def _packed(width: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         own = np.floor(SCALE * matrix(table.column("v"), width)).astype(np.int64)[order]
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([own.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([narrow(own)], pa.binary())})
 
     return run
 
@@ -153,7 +164,7 @@ def _search(width: int, k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                rows = np.frombuffer(batch.column("data")[i].as_py(), np.int64).reshape(-1, width)
+                rows = widened(batch.column("data")[i].as_py(), width)
                 if not batch.column("shard")[i].as_py():  # the queries precede the shards that they meet
                     if queries is not None:
                         yield found()
