@@ -372,3 +372,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in exchange.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == components({x for e in edges for x in e}, edges)
     assert exchange.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_outsider_of_a_long_list(make, monkeypatch, spark):
+    """The rows of a list's units grow with its members and outsiders, not with their parts' product."""
+    from wordloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "LIST_ROWS", 8)
+    rows, real = [], J._meeting
+
+    def counted(frame, left):
+        out = real(frame, left)
+        rows.append((left, out.count(), out.select("token").distinct().count()))
+        return out
+
+    monkeypatch.setattr(J, "_meeting", counted)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base), *(" ".join(f"v{i}" if j == i % 60 else w for j, w in enumerate(base)) for i in range(240))]  # all linked with the first
+    outsider = " ".join("other" if j in (10, 40) else w for j, w in enumerate(base))  # two words from the first, which is too far
+    texts = list(enumerate([*near, outsider]))
+    expected = expected_components(texts)
+    assert sorted_rows(jaccard_components(make(texts)).select("doc_id", "n_shingles", "component_id")) == sorted(((i, *expected[i]) for i, _ in texts), key=repr)
+    (_, x_rows, x_tokens), (_, y_rows, y_tokens) = rows
+    members, parts = len(texts), -(-len(texts) // 8)
+    assert 0 < x_rows <= x_tokens * 4 * parts
+    assert 0 < y_rows <= y_tokens * 4 * members  # and not members * parts

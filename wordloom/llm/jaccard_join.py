@@ -254,6 +254,11 @@ def _open(x: dict, y: dict, i: np.ndarray, j: np.ndarray, t: Fraction, up: int,
     return at[unlike * down <= (n + m)[at] * up]
 
 
+def _meeting(rows: DataFrame, left: bool) -> DataFrame:
+    """Members of a list's parts on one side of the units (token, x, y) in which they meet those of another part."""
+    return rows.drop("parts").withColumn("left", F.lit(left))
+
+
 def _links(compared: DataFrame, t: Fraction) -> DataFrame:
     return compared.where(F.col("shared") * t.denominator >= (F.col("na") + F.col("nb") - F.col("shared")) * t.numerator).select("a", "b")
 
@@ -294,14 +299,18 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     mixed = named.join(main, "token").join(hubs, ["token", "block"]).join(distance, ["doc_id", "hub"], "left").withColumn("far", F.when(F.col("doc_id") == F.col("hub"), 0.0).otherwise(F.col("far")))
     mixed = mixed.join(sets.select("doc_id", *(F.element_at("bits", i + 1).alias(c) for i, c in enumerate(PARITY))), "doc_id")
     mixed = settle(mixed.select("token", "main", "doc_id", "n", "block", "place", "component", "hub", "far", *PARITY))
-    parts = mixed.groupBy("token").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / LIST_ROWS).cast("int"))
-    units = parts.agg(F.coalesce(F.sum(F.col("members") * F.col("parts")), F.lit(0))).first()[0]
-    parts = parts.drop("members")
-    bucket = F.pmod(F.xxhash64("token", "x", "y"), F.lit(max(1, -(-2 * units // BUCKET_ROWS))))
-    mixed = mixed.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    x = mixed.where("component <> main").withColumn("left", F.lit(True)).withColumnsRenamed({"part": "x", "other": "y"})
-    y = mixed.withColumn("left", F.lit(False)).withColumnsRenamed({"part": "y", "other": "x"})
-    rest = x.unionByName(y).drop("parts").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_near(t), "a long, b long").distinct()
+    outside = F.col("component") != F.col("main")
+    parts = mixed.groupBy("token").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
+    mixed = mixed.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # a part meets only parts that have a member outside the main component: rows grow with the list and with its outsiders, not with their product
+    asking = mixed.where(outside).groupBy("token", F.col("part").alias("x")).agg(F.count("*").alias("outsiders"))
+    asking = settle(asking)
+    x = _meeting(mixed.where(outside).withColumnRenamed("part", "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), True)
+    y = _meeting(mixed.withColumnRenamed("part", "y").join(asking.select("token", "x"), "token"), False)
+    asked = asking.groupBy("token").agg(F.count("*").alias("x_parts"), F.sum("outsiders").alias("outsiders")).join(parts, "token")
+    units = asked.agg(F.coalesce(F.sum(F.col("parts") * (F.col("x_parts") * LIST_ROWS + F.col("outsiders"))), F.lit(0))).first()[0]
+    bucket = F.pmod(F.xxhash64("token", "x", "y"), F.lit(max(1, -(-units // BUCKET_ROWS))))
+    rest = x.unionByName(y).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_near(t), "a long, b long").distinct()
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.join(first, ["a", "b"], "left_anti")
     rest = _compared(rest, sets)
