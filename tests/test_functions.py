@@ -137,3 +137,10 @@ def test_rewritten(spark):
 @given(st.lists(st.tuples(st.text("ab'_ -éſK.A", max_size=14), st.lists(st.tuples(st.text("ab'_", min_size=1, max_size=3), st.text("ab'$\\", min_size=1, max_size=3)), max_size=4)), min_size=20, max_size=40))
 def test_rewritten_against_a_walk(spark, cases):
     assert rewrites(spark, *cases) == [plain_rewritten(*c) for c in cases]
+
+
+def test_trim(spark):
+    import re
+
+    values = ["", " ", "a", "\u00a0 a b \ufeff", "\u2003\u200b\u2003", "\n\x0b\x0cx\r", "\u3000é\u1680", "\x1cx\x85", *T.WHITE]
+    assert column(spark, T.trim, *values) == [re.sub(r"^[\s\ufeff]+|[\s\ufeff]+\Z", "", v) if not set(v) & set("\x1c\x85") else v for v in values]

@@ -103,7 +103,8 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kept_lines(docs: DataFrame) -> DataFrame:
     kept = preprocess.lines(blank_markdown(_with_markdown(docs)))
-    return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_replace(T.trim(F.col("value")), " +", " ").alias("kept"))
+    value = T.trim(F.col("value"))
+    return kept.select("doc_id", F.col("line").cast("long").alias("line"), F.when(value.contains("  "), F.regexp_replace(value, " +", " ")).otherwise(value).alias("kept"))
 
 
 def q05_markdown_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +343,7 @@ def q33_diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _with_markdown(docs: DataFrame) -> DataFrame:
     """All of docs(doc_id, text), a sentence a line, with front matter, fences, comments or inline marks by doc_id; and the fixtures, whose ids are below zero."""
     kind = F.pmod("doc_id", F.lit(4))
-    value = F.split(F.regexp_replace("text", r"\. ", ".\n"), "\n", -1)
+    value = F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n", -1)
 
     def marked(v: Column, i: Column) -> Column:
         opens, closes = i % 5 == 1, i % 5 == 3

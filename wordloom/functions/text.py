@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: White space as web scripting languages define it; Java's \s lacks the Unicode spaces.
 SPACES = r"\s\x0B\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE, INK = f"[{SPACES}]", f"[^{SPACES}]"
+#: The same as characters.
+WHITE = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: An ASCII word boundary, which Java's \b is not.
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: An address starts where its token does: any other start would find no more, and cost a token the square of its length.
@@ -19,7 +21,8 @@ DIRECTIVE = rf"(?i){BEFORE}spellcheck:(off|on|disable-line|disable-next-line){AF
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def strip_noise(line: Column) -> Column:
