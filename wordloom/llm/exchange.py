@@ -13,6 +13,8 @@ cuts what is left finer.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -135,9 +137,18 @@ def reduce_over_chunks(requests: DataFrame, chunks: int, how: str) -> DataFrame:
     return meet(requests, 0, steps[0])
 
 
-def in_batches(table: pa.Table, rows: int = 256) -> pa.Table:
-    """The table in batches of some rows, which go to Spark one by one; what Arrow keeps of earlier ones is given back."""
+def give_back() -> None:
+    """Return memory that is free to the system, where the C library can; a worker that has done with a chunk then keeps little of it for the next."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
+def in_batches(table: pa.Table, rows: int = 256) -> pa.Table:
+    """The table in batches of some rows, which go to Spark one by one; memory that the making of it has freed is given back."""
+    give_back()
     return pa.Table.from_batches(table.to_batches(max_chunksize=rows), table.schema)
 
 

@@ -106,6 +106,8 @@ def _request(chunks: int, k: int, mask: np.uint64, secret: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, sets = _document_sets(table, k, secret)
         hashes, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & mask, return_counts=True)
+        del sets
+        X.give_back()
         return X.messages(key[0].as_py(), hashes, counts, bits[0], last=len(bits) == 1)
 
     return run
@@ -145,6 +147,8 @@ def _indexed(k: int, t: Fraction, mask: np.uint64, secret: int):
             columns["places"].append(places)
             columns["bits"].append(bits)
             columns["shingles"].append(blob)
+        del sets, place, classes
+        X.give_back()
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()),
             "n_shingles": pa.array(lengths, pa.int64()),

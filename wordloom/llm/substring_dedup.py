@@ -172,6 +172,7 @@ def _request(chunks: int, k: int, secret: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         edges = _windows(table, k, secret)[1].distinct
+        X.give_back()
         return X.messages(key[0].as_py(), edges, np.full(len(edges), 2 * key[0].as_py()), bits[0], last=len(bits) == 1)
 
     return run
