@@ -414,7 +414,7 @@ def q39_misspelled_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents in several cases that the corpus's dictionary does not accept."""
     tokens = settle(preprocess.tokens(_mixed_case(spark, sf_dir)))
     words, compounds = _dictionary(_lexicon(spark, sf_dir))
-    bad = C.invalid_parts(tokens.select("token").distinct(), C.valid_words(None, words_table(spark, COMMON_WORDS)), 1, settle(words), compounds)
+    bad = settle(C.invalid_parts(settle(tokens.select("token").distinct()), C.valid_words(None, words_table(spark, COMMON_WORDS)), 1, settle(words), compounds))
     found = C.misspellings(C.placed(tokens, bad))
     return found.select("doc_id", "word", F.col("n").cast("long").alias("n"), F.size("lines").cast("long").alias("n_lines"))
 

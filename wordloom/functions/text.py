@@ -40,7 +40,7 @@ def tokens(line: Column) -> Column:
 
 def clean_word(token: Column) -> Column:
     """ASCII word characters and apostrophes only. Most tokens have no others and are not made anew."""
-    return F.when(token.rlike("[^A-Za-z0-9_']"), F.regexp_replace(token, "[^A-Za-z0-9_']+", "")).otherwise(token)
+    return F.when(token.rlike(r"\A[A-Za-z0-9_']*\z"), token).otherwise(F.regexp_replace(token, "[^A-Za-z0-9_']+", ""))
 
 
 def split_identifiers(token: Column) -> Column:

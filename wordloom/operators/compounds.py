@@ -15,6 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators.heavy import SMALL
+from wordloom.storage import settle
+
 
 def automaton(rules: list[list[tuple[str, str]]]) -> tuple[list[int], list[tuple[int, str, int]], list[int]]:
     """The start states, the moves (state, flag, state), and the final states of rules of (flag, quantifier), which is "", "*" or "?".
@@ -60,7 +63,9 @@ class Compounds:
         cut = at.select("word", "at", F.explode(F.expr(f"sequence(1, least({longest}, length(word) - at))")).alias("size"))
         pieces = cut.select("word", "at", (F.col("at") + F.col("size")).alias("end"), F.lower(F.expr("substring(word, at + 1, size)")).alias("piece"))
         step = spark.createDataFrame(moves, "source int, flag string, target int")  # of a rule file
-        known = self.parts.select(F.col("word").alias("piece"), "flag").distinct()
+        known = settle(self.parts.select(F.col("word").alias("piece"), "flag").distinct())
+        # a word has very many pieces: they are not shuffled where the parts are few
+        known = F.broadcast(known) if known.count() <= SMALL else known
         edges = pieces.join(known, "piece").join(F.broadcast(step), "flag")
         place = lambda where, state: F.col(where).cast("long") * states + F.col(state)
         edges = edges.select("word", F.struct("at", place("at", "source").alias("source"), place("end", "target").alias("target")).alias("edge"))
