@@ -14,8 +14,8 @@ WHITE = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: An address starts where its token does: any other start would find no more, and cost a token the square of its length.
 NOISE = rf"https?://{INK}+|www\.{INK}+|(?<!{INK}){INK}+@{INK}+|0[xX][0-9a-fA-F]+"
-#: Spaces that Java's \s lacks. Lines without any take the plain classes, which are much faster.
-ODD_SPACE = r"[\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space but for spaces and line feeds. Texts without any are cut at a character, which is much faster than a pattern.
+ODD_SPACE = r"[\t\x0B\f\r\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 HEX_RUN = rf"{BEFORE}[0-9a-fA-F]{{8,}}{AFTER}"
 DIRECTIVE = rf"(?i){BEFORE}spellcheck:(off|on|disable-line|disable-next-line){AFTER}"
 
@@ -34,19 +34,18 @@ def strip_noise(line: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """The non-empty tokens between white space."""
-    cut = lambda spaces: F.array_remove(F.split(line, f"[{spaces}]+", -1), "")
-    return F.when(line.rlike(ODD_SPACE), cut(SPACES)).otherwise(cut(r" \t\n\x0B\f\r"))
+    cut = lambda value, pattern: F.array_remove(F.split(value, pattern, -1), "")
+    return F.when(line.rlike(ODD_SPACE), cut(line, f"[{SPACES}]+")).otherwise(cut(F.replace(line, F.lit("\n"), F.lit(" ")), " "))
 
 
 def clean_word(token: Column) -> Column:
-    """ASCII word characters and apostrophes only. Most tokens have no others and are not made anew."""
-    return F.when(token.rlike(r"\A[A-Za-z0-9_']*\z"), token).otherwise(F.regexp_replace(token, "[^A-Za-z0-9_']+", ""))
+    """ASCII word characters and apostrophes only. Most tokens have no others and are not made anew. Java's \\w is of ASCII, and one look into a table."""
+    return F.when(token.rlike(r"\A[\w']*\z"), token).otherwise(F.regexp_replace(token, r"[^\w']+", ""))
 
 
 def split_identifiers(token: Column) -> Column:
     """Sub-words at separators and at case changes."""
-    parts = F.split(token, r"[_\-/.]+")
-    return F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"))), lambda p: p != "")
+    return F.array_remove(F.split(token, r"[_\-/.]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"), "")
 
 
 def word_form(token: Column) -> Column:

@@ -46,6 +46,11 @@ def joined(rows: DataFrame, few: DataFrame, key: str, values: list[str]) -> Data
     return rest.unionByName(rows.where(heavy).join(F.broadcast(few.where(heavy)), key))
 
 
+def small(few: DataFrame) -> DataFrame:
+    """A side that is cheap to compute, marked for broadcast if it has SMALL rows at most."""
+    return F.broadcast(few) if few.limit(SMALL + 1).count() <= SMALL else few
+
+
 def met(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """The inner join of rows with few by the key, where few is expected to be small: it is settled and counted, and broadcast up to SMALL rows. Beyond that its keys are joined as `joined_by` does."""
     few = settle(few)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,11 +33,15 @@ def active_lines(split: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return counted.withColumn("used", used).where(F.col("armed") == F.col("used")).select("doc_id", *keep, "line", "value")
 
 
+def _has_directive() -> Column:
+    """Texts without the word, which a plain search tells, skip the pattern."""
+    return F.coalesce(F.lower("text").contains("spellcheck:") & F.col("text").rlike(T.DIRECTIVE), F.lit(False))
+
+
 def checked_lines(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, line, value): the lines to check. Only documents with a directive are sorted for its window."""
     source = blank_markdown(docs) if markdown else docs
-    # texts without the word, which a plain search tells, skip the pattern
-    has = F.coalesce(F.lower("text").contains("spellcheck:") & F.col("text").rlike(T.DIRECTIVE), F.lit(False))
+    has = _has_directive()
     return lines(source.where(~has), keep).unionByName(active_lines(lines(source.where(has), keep), keep))
 
 
@@ -48,8 +52,22 @@ def dealt(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if size < cores * DEALT_BYTES else docs
 
 
+def token_lines(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, line, found): the tokens of each line of docs(doc_id, text) as an array."""
+    kept = checked_lines(dealt(docs.select("doc_id", "text", *keep)), markdown, keep)
+    return kept.select("doc_id", *keep, "line", T.tokens(T.strip_noise(F.col("value"))).alias("found"))
+
+
 def tokens(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, line, pos, token) of docs(doc_id, text)."""
-    kept = checked_lines(dealt(docs.select("doc_id", "text", *keep)), markdown, keep)
-    stripped = kept.withColumn("value", T.strip_noise(F.col("value"))).withColumn("found", T.tokens(F.col("value")))
-    return stripped.select("doc_id", *keep, "line", F.posexplode("found").alias("pos", "token"))
+    # the outer form, as the inner one is planned with a filter on the array's size, which finds all tokens once more
+    return token_lines(docs, markdown, keep).select("doc_id", *keep, "line", F.posexplode_outer("found").alias("pos", "token")).where(F.col("token").isNotNull())
+
+
+def document_tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, found): the distinct tokens of each row of docs(doc_id, text), those of `tokens`. No noise or token reaches over a line's end, so texts without a directive are not cut into lines."""
+    own = dealt(docs.select("doc_id", "text"))
+    has = _has_directive()
+    return own.where(~has).select("doc_id", T.tokens(T.strip_noise(F.col("text"))).alias("found")).unionByName(
+        active_lines(lines(own.where(has))).groupBy("doc_id").agg(F.flatten(F.collect_set(T.tokens(T.strip_noise(F.col("value"))))).alias("found"))
+    )

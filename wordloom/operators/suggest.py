@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wordloom.functions import text as T
 from wordloom.functions.distance import alignment_distance
+from wordloom.operators import heavy
 
 MOST_EDITS = 2
 INDEX_EDITS = 1
@@ -21,8 +22,13 @@ def deletion_index(vocabulary: DataFrame, depth: int = INDEX_EDITS) -> DataFrame
 
 
 def candidates(queries: DataFrame, index: DataFrame, most: int = MOST_EDITS) -> DataFrame:
-    """(query, candidate): distinct pairs that share a deletion string. The length test precedes the shuffle of pairs."""
-    words = queries.select(F.lower("word").alias("query")).where(F.length("query") >= 2).distinct()
+    """(query, candidate): distinct pairs that share a deletion string.
+
+    A small index is broadcast; then neither deletions nor pairs are shuffled, as they stay where their query is.
+    """
+    index = heavy.small(index)
+    longest = index.agg(F.max(F.length("candidate"))).first()[0] or 0
+    words = queries.select(F.lower("word").alias("query")).where(F.length("query").between(2, longest + most)).distinct()
     deleted = words.select("query", F.explode(T.deletions(F.col("query"), most)).alias("deletion"))
     pairs = deleted.join(index, "deletion").where((F.col("query") != F.col("candidate")) & (F.abs(F.length("query") - F.length("candidate")) <= most))
     return pairs.select("query", "candidate").distinct()
@@ -31,13 +37,13 @@ def candidates(queries: DataFrame, index: DataFrame, most: int = MOST_EDITS) ->
 def scored(pairs: DataFrame, valid: DataFrame | None = None, most: int = MOST_EDITS) -> DataFrame:
     """(query, candidate, distance) within `most` edits; candidates outside valid(word), if given, are dropped."""
     if valid is not None:
-        pairs = pairs.join(valid.select(F.col("word").alias("candidate")).distinct(), "candidate", "left_semi")
+        pairs = pairs.join(heavy.small(valid.select(F.col("word").alias("candidate")).distinct()), "candidate", "left_semi")
     return pairs.withColumn("distance", alignment_distance(F.col("query"), F.col("candidate"), most)).where(F.col("distance") <= most)
 
 
 def ranked(found: DataFrame, common: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
     """(query, rank, candidate, distance): nearest first, then common words, like lengths, and collation order."""
-    marked = found.join(common.select(F.col("word").alias("candidate"), F.lit(1).alias("common")), "candidate", "left")
+    marked = found.join(heavy.small(common.select(F.col("word").alias("candidate"), F.lit(1).alias("common"))), "candidate", "left")
     order = Window.partitionBy("query").orderBy("distance", F.coalesce("common", F.lit(0)).desc(), F.abs(F.length("candidate") - F.length("query")), F.collate("candidate", "UNICODE"))
     return marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "rank", "candidate", "distance")
 
