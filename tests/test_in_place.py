@@ -1,10 +1,10 @@
-"""Few valid words are looked up where a token stands, with the results of joins."""
+"""Few valid words are looked up where a token stands, and fixes that are independent are made in one pass: with the results of joins and folds."""
 
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import check as C
-from wordloom.operators import preprocess
+from wordloom.operators import preprocess, rewrite
 from wordloom.operators import suggest as S
 from wordloom.plans.check import frequent_words
 
@@ -55,3 +55,11 @@ def test_lexicon_of_documents(spark):
     expected = {r["word"] for r in words.groupBy("word").count().where("count >= 2").where(T.is_suggestable(F.col("word"))).collect()}
     got = {r["word"] for r in frequent_words(texts).collect()}
     assert "qqonly" not in got and {"foo", "qux"} <= expected <= got
+
+
+def test_independent_fixes(spark):
+    rows = [(0, "Teh teh.TEH_ tehx TEH-cta 9teh", ["teh", "cta"], ["the", "cat"]), (1, "teh the", ["teh", "the"], ["the", "a"]), (2, "it's its", ["it's"], ["its"]), (3, "éteh teh", ["teh"], ["don't"]), (4, "", ["teh"], ["the"])]
+    table = spark.createDataFrame(rows, "i long, line string, w array<string>, r array<string>")
+    each = table.select("i", rewrite.independent(F.col("w"), F.col("r")).alias("one"), rewrite.rewritten_once(F.col("line"), F.col("w"), F.col("r")).alias("once"), rewrite.rewritten(F.col("line"), F.arrays_zip(F.col("w").alias("word"), F.col("r").alias("replacement"))).alias("fold")).orderBy("i").collect()
+    assert [r["one"] for r in each] == [True, False, False, False, True]
+    assert all(r["once"] == r["fold"] for r in each if r["one"]) and each[0]["once"].startswith("The the.")

@@ -32,14 +32,30 @@ def rewritten(line: Column, fixes: Column) -> Column:
     return F.aggregate(fixes, line, lambda now, f: replaced(now, f["word"], f["replacement"]))
 
 
+def independent(words: Column, replacements: Column) -> Column:
+    """Whether the order of fixes is of no account: all are runs of word characters, and no replacement is a word itself. Then each run of a line is replaced at most once."""
+    run = r"\A\w+\z"  # of ASCII, in Java
+    small = F.transform(words, F.lower)
+    return F.forall(words, lambda w: w.rlike(run)) & F.forall(replacements, lambda r: r.rlike(run)) & ~F.arrays_overlap(small, F.transform(replacements, F.lower)) & (F.size(F.array_distinct(small)) == F.size(words))
+
+
+def rewritten_once(line: Column, words: Column, replacements: Column) -> Column:
+    """A line after independent fixes of words in small letters, which should be columns of their own: it is cut once, into runs of word characters and what lies between."""
+    pieces = F.transform(F.regexp_extract_all(line, F.lit(r"\w+|\W+"), F.lit(0)), lambda p: F.struct(p.alias("piece"), F.array_position(words, F.lower(p)).cast("int").alias("at")))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p["at"] > 0, T.match_case(F.element_at(replacements, p["at"]), p["piece"])).otherwise(p["piece"])), "")
+
+
 def fixes(docs: DataFrame, found: DataFrame, suggested: DataFrame) -> DataFrame:
     """(doc_id, line, old_line, new_line): changed lines of docs, by occurrences and (word, suggestions)."""
     top = suggested.where(F.size("suggestions") > 0).select("word", F.element_at("suggestions", 1).alias("replacement"))
     each = heavy.joined_by(found, top, "word").groupBy("doc_id", "line", F.lower("word").alias("word")).agg(F.min(F.struct("pos", "part_pos", "replacement")).alias("first"))
     per_line = each.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("f"))
+    words, replacements = F.transform("f", lambda x: x["word"]), F.transform("f", lambda x: x["first"]["replacement"])
+    per_line = per_line.select("doc_id", "line", words.alias("words"), replacements.alias("replacements")).withColumn("independent", independent(F.col("words"), F.col("replacements")))
     changed = lines(docs).join(per_line, ["doc_id", "line"])
-    each_fix = F.transform("f", lambda x: F.struct(x["word"].alias("word"), x["first"]["replacement"].alias("replacement")))
-    changed = changed.withColumn("new_line", rewritten(F.col("value"), each_fix))
+    each_fix = F.arrays_zip(F.col("words").alias("word"), F.col("replacements").alias("replacement"))
+    new = F.when(F.col("independent"), rewritten_once(F.col("value"), F.col("words"), F.col("replacements"))).otherwise(rewritten(F.col("value"), each_fix))
+    changed = changed.withColumn("new_line", new)
     return changed.where(F.col("new_line") != F.col("value")).select("doc_id", "line", F.col("value").alias("old_line"), "new_line")
 
 
