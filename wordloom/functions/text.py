@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as web scripting languages define it; Java's \s lacks the Unicode spaces.
 SPACES = r"\s\x0B\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-SPACE, INK = f"[{SPACES}]", f"[^{SPACES}]"
+#: A class of many ranges is asked range by range, so most characters are told by one range of ASCII before.
+SPACE, INK = f"[[^!-~]&&[{SPACES}]]", f"[!-~[^{SPACES}]]"
 #: The same as characters.
 WHITE = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: An ASCII word boundary, which Java's \b is not.
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: An address starts where its token does: any other start would find no more, and cost a token the square of its length.
 NOISE = rf"https?://{INK}+|www\.{INK}+|(?<!{INK}){INK}+@{INK}+|0[xX][0-9a-fA-F]+"
-#: White space but for spaces and line feeds. Texts without any are cut at a character, which is much faster than a pattern.
-ODD_SPACE = r"[\t\x0B\f\r\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space that is not in ASCII, and one look at what may be some. A class of many ranges is asked range by range, which is slow.
+WIDE_SPACE, PERHAPS_WIDE = r"[\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"[\x{1680}-\x{FFFF}]"
 HEX_RUN = rf"{BEFORE}[0-9a-fA-F]{{8,}}{AFTER}"
 DIRECTIVE = rf"(?i){BEFORE}spellcheck:(off|on|disable-line|disable-next-line){AFTER}"
 
@@ -32,10 +35,17 @@ def strip_noise(line: Column) -> Column:
     return F.when(line.rlike("[0-9a-fA-F]{8}"), F.regexp_replace(plain, HEX_RUN, " ")).otherwise(plain)
 
 
+def odd_space(line: Column) -> Column:
+    """Whether a text has white space but for spaces and line feeds. Texts without any are cut at a character, which is much faster than a pattern."""
+    plain = reduce(Column.__or__, [line.contains(c) for c in "\t\x0b\f\r"])
+    wide = (line.contains("\u00a0") | line.rlike(PERHAPS_WIDE)) & line.rlike(WIDE_SPACE)
+    return plain | ((F.octet_length(line) > F.length(line)) & wide)
+
+
 def tokens(line: Column) -> Column:
     """The non-empty tokens between white space."""
     cut = lambda value, pattern: F.array_remove(F.split(value, pattern, -1), "")
-    return F.when(line.rlike(ODD_SPACE), cut(line, f"[{SPACES}]+")).otherwise(cut(F.replace(line, F.lit("\n"), F.lit(" ")), " "))
+    return F.when(odd_space(line), cut(line, f"{SPACE}+")).otherwise(cut(F.replace(line, F.lit("\n"), F.lit(" ")), " "))
 
 
 def clean_word(token: Column) -> Column:

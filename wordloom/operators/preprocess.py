@@ -55,7 +55,9 @@ def dealt(docs: DataFrame) -> DataFrame:
 def token_lines(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept columns, line, found): the tokens of each line of docs(doc_id, text) as an array."""
     kept = checked_lines(dealt(docs.select("doc_id", "text", *keep)), markdown, keep)
-    return kept.select("doc_id", *keep, "line", T.tokens(T.strip_noise(F.col("value"))).alias("found"))
+    # a step at a time, as each looks at its value more than once
+    kept = kept.withColumn("value", T.strip_noise(F.col("value")))
+    return kept.select("doc_id", *keep, "line", T.tokens(F.col("value")).alias("found"))
 
 
 def tokens(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -65,9 +67,9 @@ def tokens(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ())
 
 
 def document_tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): the distinct tokens of each row of docs(doc_id, text), those of `tokens`. No noise or token reaches over a line's end, so texts without a directive are not cut into lines."""
+    """(doc_id, found): the tokens of each row of docs(doc_id, text), those of `tokens`. No noise or token reaches over a line's end, so texts without a directive are not cut into lines."""
     own = dealt(docs.select("doc_id", "text"))
     has = _has_directive()
-    return own.where(~has).select("doc_id", T.tokens(T.strip_noise(F.col("text"))).alias("found")).unionByName(
-        active_lines(lines(own.where(has))).groupBy("doc_id").agg(F.flatten(F.collect_set(T.tokens(T.strip_noise(F.col("value"))))).alias("found"))
-    )
+    kept = active_lines(lines(own.where(has))).groupBy("doc_id").agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
+    texts = own.where(~has).unionByName(kept).withColumn("text", T.strip_noise(F.col("text")))
+    return texts.select("doc_id", T.tokens(F.col("text")).alias("found"))
