@@ -6,10 +6,10 @@ from wordloom.functions import text as T
 from wordloom.operators import check as C
 from wordloom.operators import preprocess, rewrite
 from wordloom.operators import suggest as S
-from wordloom.plans.check import frequent_words
+from wordloom.plans.check import Options, check, frequent_words
 
-ODD = ["fooBar", "foo.bar", "foo..bar", "foo.baz", "Foo", "FOO-baz", "it's", "'", "9lives", "don't.foo", "aéB", "HTTPServer", "a\\b", "foo_Baz9", ".", "x.", "bazfoo/qux", "Éfoo", "_", "fooé.bar"]
-VALID = ["foo", "bar", "it's", "a\\b", "server", "''"]
+ODD = ["word.", "foo,", "\"Qux", "\".qux", "qux.\"", "(bazé)", "\u212aelvin", "\u212a", "qux..", ".qux", "QUX", "barQux.", "9qux", "_qux_", "qux_.",  "fooBar", "foo.bar", "foo..bar", "foo.baz", "Foo", "FOO-baz", "it's", "'", "9lives", "don't.foo", "aéB", "HTTPServer", "a\\b", "foo_Baz9", ".", "x.", "bazfoo/qux", "Éfoo", "_", "fooé.bar"]
+VALID = ["k", "kelvin", "foo", "bar", "it's", "a\\b", "server", "''"]
 
 
 def _texts(spark):
@@ -63,3 +63,18 @@ def test_independent_fixes(spark):
     each = table.select("i", rewrite.independent(F.col("w"), F.col("r")).alias("one"), rewrite.rewritten_once(F.col("line"), F.col("w"), F.col("r")).alias("once"), rewrite.rewritten(F.col("line"), F.arrays_zip(F.col("w").alias("word"), F.col("r").alias("replacement"))).alias("fold")).orderBy("i").collect()
     assert [r["one"] for r in each] == [True, False, False, False, True]
     assert all(r["once"] == r["fold"] for r in each if r["one"]) and each[0]["once"].startswith("The the.")
+
+
+def test_words_of_a_document_are_shuffled_by_document_once(spark):
+    found = check(_texts(spark), Options(spark.createDataFrame([(w,) for w in VALID], "word string")))
+    per_line = found.misspelt.select("doc_id", "word", F.explode("lines").alias("line")).groupBy("doc_id", "line").agg(F.count("*"))
+    plan = per_line._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == 1
+    assert {(r["doc_id"], r["word"]) for r in found.misspelt.where("doc_id in (2, 6)").collect()} == {(2, "qux"), (2, "baz"), (6, "qux")}
+
+
+def test_odd_space(spark):
+    texts = {"a b\nc": False, "é b": False, "– b": False, "a\tb": True, "a\u00a0b": True, "a\u2003b": True, "a\u3000b": True, "\ufeffa": True, "": False}
+    for text, odd in texts.items():
+        row = spark.createDataFrame([(text,)], "v string").select(T.odd_space(F.col("v")), T.tokens(F.col("v"))).first()
+        assert row[0] == odd and row[1] == [t for t in text.replace("\ufeff", " ").split() if t]
