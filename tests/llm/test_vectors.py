@@ -94,6 +94,29 @@ def test_length_stops_before_the_lists():
     assert shard.scored < len(rows) / 2
 
 
+def test_searches_look_up_scores():
+    """The scores of a few queries are one product, and a search that has them touches no row."""
+    rows = np.random.default_rng(2).integers(-90, 90, size=(700, 6))
+    rows[3], rows[5, 2] = 0, 0
+    shard = topk_search.Shard(np.arange(700), rows)
+    product = shard.scores(rows[:8])
+    plain = [shard.top(q, rows[q], 20) for q in range(8)]
+    shard.rows = shard.floats = None
+    for q, (at, best) in enumerate(plain):
+        found = shard.top(q, rows[q], 20, -np.inf, product[q])
+        order = [i for i in np.lexsort((np.arange(700), -(rows @ rows[q]))) if i != q][:20]
+        assert sorted(found[0].tolist()) == sorted(at.tolist()) == sorted(order)
+        assert sorted(found[1].tolist()) == sorted(best.tolist()) == sorted((rows @ rows[q])[order].tolist())
+
+
+def test_scores_that_floats_do_not_hold_are_sums_of_whole_numbers():
+    rows = np.array([[1 << 30, 1], [1 << 30, 0], [-(1 << 30), 5]], np.int64)
+    shard = topk_search.Shard(np.arange(3), rows)
+    assert shard.scores(rows) is None
+    at, best = shard.top(0, rows[0], 2)
+    assert dict(zip(at.tolist(), best.tolist(), strict=True)) == {1: 1 << 60, 2: 5 - (1 << 60)}
+
+
 @pytest.mark.parametrize("tile", [8192, 40])
 def test_near_duplicates(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dedup, "TILE_ROWS", tile)

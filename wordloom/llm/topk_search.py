@@ -6,7 +6,8 @@ Method: Fagin's threshold algorithm over sorted per-dimension lists.
    bounded size by a hash of the id; each shard sorts one list per dimension.
 2. A query reads its dimensions' lists from the end that its component's sign
    prefers, to doubling depths, each list in proportion to the component's size;
-   rows seen for the first time are scored in full. The threshold is the highest
+   rows seen for the first time are scored in full
+   (a product of some queries with the shard has the scores that they look up). The threshold is the highest
    score of a row that stands at or behind the present depth of every list and is
    no longer than the shard's longest row: at each component the smaller of the
    list's value and a multiple of the query's component, with the multiple that
@@ -46,6 +47,8 @@ SCALE = 64
 SHARD_ROWS = 16_384
 GROUP_SHARDS = 8
 BLOCK_QUERIES = 8192
+#: Queries whose scores are computed at a time: looking scores up one by one gathers rows, which costs more than all of a product.
+SCORED_QUERIES = 32
 #: Fewer queries are not dealt over more tasks, however many cores there are.
 LEAST_QUERIES = 64
 FIRST_DEPTH = 16
@@ -98,41 +101,49 @@ def threshold(limits: np.ndarray, weights: np.ndarray, length: float) -> float:
 
 
 class Shard:
-    """The rows of a shard and, for each dimension, its row numbers in descending order of that component."""
+    """The rows of a shard and, for each dimension, the list of that component in descending order and each row's place in it."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows  # ids ascend
-        self.lists = np.argsort(-rows, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(rows, self.lists.T, axis=0).T.copy()
+        lists = np.argsort(-rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, lists, axis=0).T.copy()
+        # places below 2**24 are exact in single precision
+        places = np.empty(rows.shape, np.float32 if len(rows) < 1 << 22 else np.float64)
+        np.put_along_axis(places, lists, np.arange(len(rows), dtype=places.dtype)[:, None], axis=0)
+        self.places = places.T.copy()
         self.most = int(np.abs(rows).max(initial=0))
         self.length = float(np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1).max(initial=0))) * (1 + 1e-9)
         self.floats = rows.astype(np.float32 if self.most**2 * rows.shape[1] < 1 << 24 else np.float64)
         self.scored = 0
 
-    def top(self, query_id: int, query: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, scores) of the k best rows but the query's own; those below `least` may be left out."""
-        n = len(self.ids)
+    def scores(self, queries: np.ndarray) -> np.ndarray | None:
+        """(queries, rows): the scores that some queries' searches look up, in one product; None if its numbers would not be exact."""
         # integer sums below 2**24 are exact in single precision, below 2**53 in double
-        largest = self.most * int(np.abs(query).max(initial=0)) * len(query)
-        exact = largest < 1 << (24 if self.floats.dtype == np.float32 else 53)
-        as_float = query.astype(self.floats.dtype)
-        score = (lambda at: (self.floats[at] @ as_float).astype(np.int64)) if exact else (lambda at: self.rows[at] @ query)
+        largest = self.most * int(np.abs(queries).max(initial=0)) * queries.shape[1]
+        if largest >= 1 << (24 if self.floats.dtype == np.float32 else 53):
+            return None
+        return queries.astype(self.floats.dtype) @ self.floats.T
+
+    def top(self, query_id: int, query: np.ndarray, k: int, least: float = -np.inf, scores: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, scores) of the k best rows but the query's own; those below `least` may be left out. Its row of `scores` may be given."""
+        n = len(self.ids)
+        score = (lambda at: self.rows[at] @ query) if scores is None else (lambda at: scores[at].astype(np.int64))
         used = np.flatnonzero(query)
         rising = query[used] < 0
         weights = np.abs(query[used]).astype(np.float64)
-        seen = np.zeros(n, bool)
-        seen[np.searchsorted(self.ids, query_id) : np.searchsorted(self.ids, query_id, side="right")] = True
+        # the depth behind which each row is seen: a list is read in proportion to its weight
+        first, read = np.full(n, np.inf if len(used) else 0, self.places.dtype), np.empty(n, self.places.dtype)
+        for d, up, slower in zip(used.tolist(), rising.tolist(), (weights.max(initial=1) / weights).tolist(), strict=True):
+            np.multiply(np.subtract(n - 1, self.places[d], out=read) if up else self.places[d], slower, out=read)
+            np.minimum(first, read, out=first)
+        first[np.searchsorted(self.ids, query_id) : np.searchsorted(self.ids, query_id, side="right")] = np.inf
+        left = int(np.count_nonzero(np.isfinite(first)))
         at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        done, depth = np.zeros(len(used), np.int64), FIRST_DEPTH
-        while not seen.all():
-            fresh = np.zeros(n, bool)
+        done, depth = -1, FIRST_DEPTH
+        while left:
             to = np.minimum(n, np.ceil(depth * weights / weights.max(initial=1))).astype(np.int64)
-            for d, up, a, b in zip(used.tolist(), rising.tolist(), done.tolist(), to.tolist(), strict=True):
-                fresh[self.lists[d, n - b : n - a] if up else self.lists[d, a:b]] = True
-            if not len(used):
-                fresh[:] = True
-            new = np.flatnonzero(fresh & ~seen)
-            seen[new] = True
+            new = np.flatnonzero((first >= done) & (first < depth))
+            left -= len(new)
             self.scored += len(new)
             at, best = np.concatenate((at, new)), np.concatenate((best, score(new)))
             if len(at) > 4 * k:
@@ -147,7 +158,7 @@ class Shard:
             bound = threshold(here, weights, self.length)
             if bound + 1e-9 * (1 + abs(bound)) < least:
                 break
-            done, depth = to, depth * 2
+            done, depth = depth, depth * 2
         return at, best
 
 
@@ -175,8 +186,10 @@ def _search(width: int, k: int):
                     continue  # a block that no query fell into
                 shard = Shard(ids, rows)
                 for q, (query_id, query) in enumerate(zip(queries.tolist(), vectors, strict=True)):
+                    if q % SCORED_QUERIES == 0:
+                        product = shard.scores(vectors[q : q + SCORED_QUERIES])
                     have, scores = best[q]
-                    at, more = shard.top(query_id, query, k, float(scores.min()) if len(have) == k else -np.inf)
+                    at, more = shard.top(query_id, query, k, float(scores.min()) if len(have) == k else -np.inf, None if product is None else product[q % SCORED_QUERIES])
                     have, scores = np.concatenate((have, shard.ids[at])), np.concatenate((scores, more))
                     keep = np.lexsort((have, -scores))[:k]
                     best[q] = have[keep], scores[keep]
