@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import sorted_rows
-from wordloom.llm import html_text, warc
+from wordloom.llm import html_text, toxicity, warc
 from wordloom.llm.language_id import identify, train
 from wordloom.llm.toxicity import score_toxicity
 
@@ -349,3 +349,21 @@ def test_ratios_on_real_pages(spark):
         if found:
             assert [n.text for n in html_text._path_nodes(found)] == plain_paths(page)
         assert html_text.main_text(page) == html_text.main_text(page.replace("<article", "<div").replace("</article", "</div"))
+
+
+def test_toxicity_learns_all_labelled_rows(spark, monkeypatch):
+    """Rows beyond the bounds of the start, in number and length, are learned, and those of the held-out fold are not."""
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 5)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 100)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 1)
+    words = ["you are awful trash", "a quiet walk by the river"]
+    docs = spark.createDataFrame([(i, (words[i % 2] + " ") * (40 if i % 3 else 1), "en" if i % 5 else None) for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, toxic int")
+    sums, plain = [], toxicity._summed
+    monkeypatch.setattr(toxicity, "_summed", lambda parts: sums.append(plain(parts)) or sums[-1])
+    rows = toxicity.labelled(docs, labels)
+    assert rows.count() == docs.where(~toxicity.held_out(5, 0)).count() and rows.agg({"text": "max"}).first()[0]
+    seen = rows.where(rows["turn"] >= toxicity.CALIBRATION)
+    assert toxicity.train(docs, labels) is not None
+    assert len(sums) == toxicity.PASSES and all(s["n"][0] == s["texts"].sum() == seen.count() for s in sums)
+    assert sums[0]["words"].sum() == sum(len(r["text"].split()) for r in seen.collect())

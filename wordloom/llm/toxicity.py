@@ -8,13 +8,16 @@ Method: hashed word embeddings, convolutions of several widths, max pooling.
    response in the text, rectified, goes into a logistic output. As embedding and
    convolution are linear, the response of every feature to every filter is one
    table, and scoring is lookups, sums and a maximum over the whole text.
-3. Training in numpy on the driver, on a bounded sample of labelled rows outside
-   the held-out fold: at most TRAIN_DOCS of each label, of at most TRAIN_CHARS
-   characters. Gradients reach the largest responses only.
-4. Thresholds are calibrated per language on a part of the sample that training
-   does not see. The language is predicted from the text's words, by a naive
-   Bayes model over the same hashes. A score is the logistic of the logit above
-   its language's threshold, so that 0.5 is the threshold everywhere.
+3. Training starts in numpy on the driver, on a bounded part of the labelled rows
+   outside the held-out fold: at most TRAIN_DOCS of each label, of at most
+   TRAIN_CHARS characters. From there all of these rows are learned, whole: each
+   task descends over its rows, and the tasks' parameters are averaged by rows, in
+   PASSES passes. Gradients reach the largest responses only.
+4. Thresholds are calibrated per language on the quarter of the rows, by a hash of
+   the id, that training does not see, from counts of logits in bins of 1/BINS. The
+   language is predicted from the text's words, by a naive Bayes model over the same
+   hashes that all training rows are counted in. A score is the logistic of the
+   logit above its language's threshold, so that 0.5 is the threshold everywhere.
 
 Defined results: a null or empty text has no words and gets the score of no
 response at all. Rows whose label is missing are never learned from; without
@@ -35,12 +38,13 @@ from pyspark.sql import functions as F
 from wordloom.llm import textblocks as T
 from wordloom.llm.exchange import small_batches
 from wordloom.llm.language_id import held_out
+from wordloom.storage import settle
 
 BITS = 16
 DIMENSIONS = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
-#: Bounds of the labelled sample: documents of each label, and characters of one.
+#: Bounds of the start: documents of each label, and characters of one.
 TRAIN_DOCS = 3000
 TRAIN_CHARS = 20_000
 EPOCHS = 6
@@ -48,6 +52,11 @@ LEAST_STEPS = 600
 BATCH = 48
 LANGUAGE_BITS = 14
 SEED = 20
+#: Passes over all rows after the start, and the first pass's rate; the share of rows that calibrate thresholds; bins of logits for one.
+PASSES, RATE, CALIBRATION, BINS = 2, 0.3, 0.25, 256
+BROADCAST_LABELS = 1_000_000
+PIECE = 1 << 15
+_PARTS = "name string, piece int, data binary"
 
 _OFFSETS = np.concatenate(([0], np.cumsum([w * FILTERS for w in WIDTHS])))
 
@@ -140,43 +149,41 @@ def _threshold(values: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> fl
     return float(low + high) / 2
 
 
-def train(texts: list[str], toxic: np.ndarray, languages: list[str | None], weights: np.ndarray) -> Classifier:
-    """A classifier of some texts; weights: how many rows of the table each stands for."""
-    rng = np.random.default_rng(SEED)
-    docs: list[np.ndarray] = []
-    for own, bounds in text_features(pa.array(texts, pa.string())):
-        docs += [own[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    names = sorted({name or "" for name in languages})
-    named = np.array([names.index(name or "") for name in languages])
-    counts = np.full((1 << LANGUAGE_BITS, len(names)), 0.1)
-    for own, name in zip(docs, named, strict=True):
-        np.add.at(counts, (own[:, 0] >> (BITS - LANGUAGE_BITS), name), 1)
-    words = np.log(counts / counts.sum(axis=0))
-    priors = np.log(np.bincount(named, weights=weights, minlength=len(names)) / weights.sum())
-
-    order = rng.permutation(len(docs))
-    held, used = order[: len(docs) // 4], order[len(docs) // 4 :]
-    shape = (DIMENSIONS, int(_OFFSETS[-1]))
-    vectors = rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
-    seen = np.full((1 << BITS, 1), 1e-6, np.float32)
-    params = {"w": rng.normal(0, 0.4, shape).astype(np.float32), "b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "o": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "ob": np.full(1, -1, np.float32)}
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
+Params = dict[str, np.ndarray]  # v: embeddings, seen: their squared steps, w, b: filters, o, ob: output
+
+
+def _documents(texts: pa.Array) -> list[np.ndarray]:
+    return [own[a:b] for own, bounds in text_features(texts) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def begin() -> Params:
+    rng, shape = np.random.default_rng(SEED), (DIMENSIONS, int(_OFFSETS[-1]))
+    return {
+        "v": rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32), "seen": np.full((1 << BITS, 1), 1e-6, np.float32), "w": rng.normal(0, 0.4, shape).astype(np.float32),
+        "b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "o": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "ob": np.full(1, -1, np.float32),
+    }
+
+
+def descend(params: Params, docs: list[np.ndarray], toxic: np.ndarray, rounds: int, rate: float = 1.0, seed: int = SEED) -> None:
+    """Steps over all documents, some times, on params in place."""
+    rng, vectors, seen = np.random.default_rng(seed), params["v"], params["seen"]
+    moved = ("w", "b", "o", "ob")
+    moments = {k: (np.zeros_like(params[k]), np.zeros_like(params[k])) for k in moved}
     step = 0
-    batches = max(1, len(used) // BATCH)
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
-        for batch in np.array_split(rng.permutation(used), batches):
-            step += 1
-            own = np.concatenate([docs[i] for i in batch])
-            bounds = np.concatenate(([0], np.cumsum([len(docs[i]) for i in batch])))
+    for _ in range(rounds):
+        for batch in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
+            own = np.concatenate([docs[i] for i in batch] + [np.zeros((0, 3), np.int32)])
+            bounds = np.concatenate(([0], np.cumsum([len(docs[i]) for i in batch]))).astype(np.int64)
             if not len(own):
                 continue
+            step += 1
             embedded = vectors[own[:, 0]] + vectors[own[:, 1]] + vectors[own[:, 2]]
             best, places = _pooled(embedded @ params["w"], bounds, True)
             hidden = np.maximum(best + params["b"], 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ params["o"] + params["ob"], -30, 30)))
             d = ((p - toxic[batch]) / len(batch)).astype(np.float32)
             back = d[:, None] * params["o"] * (hidden > 0)
-            grads = {"w": np.zeros(shape, np.float32), "b": back.sum(axis=0), "o": hidden.T @ d + 1e-4 * params["o"], "ob": d.sum(keepdims=True)}
+            grads = {"w": np.zeros_like(params["w"]), "b": back.sum(axis=0), "o": hidden.T @ d + 1e-4 * params["o"], "ob": d.sum(keepdims=True)}
             rows, steps = [], []
             for i, width in enumerate(WIDTHS):
                 for f in range(FILTERS):
@@ -188,45 +195,113 @@ def train(texts: list[str], toxic: np.ndarray, languages: list[str | None], weig
                         grads["w"][:, to] = g @ embedded[at]
                         rows.append(own[at])
                         steps.append(g[:, None] * params["w"][:, to])
-            if rows:
-                rows, steps = np.concatenate(rows), np.concatenate(steps)
-                kinds, where = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(kinds), DIMENSIONS), np.float32)
-                np.add.at(total, where.ravel(), np.repeat(steps, 3, axis=0))
-                seen[kinds] += (total**2).mean(axis=1, keepdims=True)
-                vectors[kinds] -= 0.1 * total / np.sqrt(seen[kinds])
-            for k, g in grads.items():
+            rows, steps = np.concatenate(rows), np.concatenate(steps)
+            kinds, where = np.unique(rows, return_inverse=True)
+            total = np.zeros((len(kinds), DIMENSIONS), np.float32)
+            np.add.at(total, where.ravel(), np.repeat(steps, 3, axis=0))
+            seen[kinds] += (total**2).mean(axis=1, keepdims=True)
+            vectors[kinds] -= 0.1 * rate * total / np.sqrt(seen[kinds])
+            for k in moved:
                 first, second = moments[k]
-                first += 0.1 * (g - first)
-                second += 0.01 * (g**2 - second)
-                params[k] -= 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    model = Classifier((vectors @ params["w"]).astype(np.float32), params["b"], params["o"], float(params["ob"][0]), words, priors, np.zeros(len(names)))
-
-    own = np.concatenate([docs[i] for i in held] + [np.zeros((0, 3), np.int32)])
-    bounds = np.concatenate(([0], np.cumsum([len(docs[i]) for i in held]))).astype(np.int64)
-    values, guess = logits(model, own, bounds), _guess(words, priors, own, bounds)
-    every = _threshold(values, toxic[held] == 1, weights[held]) if len(held) else 0.0
-    for i in range(len(names)):
-        some = guess == i
-        enough = min((toxic[held][some] == 1).sum(), (toxic[held][some] == 0).sum()) >= 20
-        model.thresholds[i] = _threshold(values[some], toxic[held][some] == 1, weights[held][some]) if enough else every
-    return model
+                first += 0.1 * (grads[k] - first)
+                second += 0.01 * (grads[k] ** 2 - second)
+                params[k] -= 0.01 * rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+
+
+def _summed(parts: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of what tasks send as parts(name, piece, data): doubles in pieces of PIECE, as many as a model has, whatever the input's size."""
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("data"))
+        return pa.table({"name": [key[0].as_py()], "piece": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    pieces = sorted(((r["name"], r["piece"], bytes(r["data"])) for r in parts.groupBy("name", "piece").applyInArrow(add, _PARTS).collect()), key=lambda r: r[:2])
+    return {name: np.concatenate([np.frombuffer(x, np.float64) for n, _, x in pieces if n == name]) for name in {n for n, _, _ in pieces}}
+
+
+def _sent(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+    rows = [(name, i, flat[at : at + PIECE].tobytes()) for name, a in arrays.items() for flat in [a.astype(np.float64).ravel()] for i, at in enumerate(range(0, len(flat), PIECE))]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["name", "piece", "data"])
+
 
+def _learn(shared, names: list[str], rounds: int, rate: float):
+    """A task's own descent over its rows from the shared parameters, and its counts of words by language."""
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, list[str | None], np.ndarray]:
-    """A bounded sample of labelled texts outside the held-out fold, fixed by a hash of the id."""
-    labels = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(5, 0))
-    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params, n, words = {k: v.copy() for k, v in shared.value.items()}, 0, np.zeros((1 << LANGUAGE_BITS, len(names)))
+        texts = np.zeros(len(names))
+        for batch in batches:
+            docs = _documents(batch.column("text"))
+            for own, lang in zip(docs, batch.column("lang").to_pylist(), strict=True):
+                np.add.at(words, (own[:, 0] >> (BITS - LANGUAGE_BITS), names.index(lang)), 1)
+                texts[names.index(lang)] += 1
+            descend(params, docs, batch.column("toxic").to_numpy(), rounds, rate, SEED + n)
+            n += len(docs)
+        if n:
+            yield _sent({k: v * float(n) for k, v in params.items()} | {"words": words, "texts": texts, "n": np.array([n])})
+
+    return run
+
+
+def _cuts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Classifier = shared.value
+        for batch in batches:
+            toxic, at = batch.column("toxic").to_numpy(), 0
+            for own, bounds in text_features(batch.column("text")):
+                bins = np.floor(BINS * np.clip(logits(model, own, bounds), -60, 60)).astype(np.int32)
+                guess = _guess(model.languages, model.priors, own, bounds).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(guess), pa.array(bins), pa.array(toxic[at : at + len(bins)].astype(np.int32))], ["guess", "bin", "toxic"])
+                at += len(bins)
+
+    return run
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, lang, text, turn) of all labelled texts outside the held-out fold; turn, from 0 to 1, is fixed by the id."""
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(5, 0))
+    known = known.withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30))
+    # labels are a few bytes a row; up to this many are sent to the texts, which else are shuffled
+    known = F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    return own.where(F.length("text") >= 1).join(known, "doc_id").select("toxic", "lang", "text", "turn")
+
+
+def first_rows(rows: DataFrame) -> list:
+    """A bounded part of labelled rows, from which the descent over all of them starts."""
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = F.create_map(*(F.lit(x) for k in (0, 1) for x in (k, min(1.0, 1.2 * TRAIN_DOCS / counts.get(k, 1)))))
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    some = labels.withColumn("turn", turn).where(F.col("turn") < F.element_at(share, F.col("toxic")))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.length("text").between(1, TRAIN_CHARS))
-    some = F.broadcast(some.limit(4 * TRAIN_DOCS))  # the sample's bound; the texts need no shuffle
-    rows = own.join(some, "doc_id").select("toxic", "lang", "text", "turn").limit(3 * TRAIN_DOCS).collect()
-    rows = sorted(rows, key=lambda r: (r["turn"], r["text"]))
-    rows = [r for k in (0, 1) for r in [x for x in rows if x["toxic"] == k][:TRAIN_DOCS]]
-    taken = {k: sum(r["toxic"] == k for r in rows) for k in (0, 1)}
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang"] for r in rows], np.array([counts[r["toxic"]] / taken[r["toxic"]] for r in rows])
+    rank = (F.col("turn") - CALIBRATION) / (1 - CALIBRATION)
+    some = rows.where((rank < F.element_at(share, F.col("toxic"))) & (F.length("text") <= TRAIN_CHARS)).limit(4 * TRAIN_DOCS).collect()
+    some = sorted(some, key=lambda r: (r["turn"], r["text"]))
+    return [r for k in (0, 1) for r in [x for x in some if x["toxic"] == k][:TRAIN_DOCS]]
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
+    """A classifier learned from all labelled rows outside the held-out fold; none without both labels."""
+    spark = docs.sparkSession
+    every = settle(labelled(docs, labels))
+    rows, kept = every.where(F.col("turn") >= CALIBRATION), every.where(F.col("turn") < CALIBRATION)
+    if rows.select("toxic").distinct().count() < 2:
+        return None
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    first = first_rows(rows)
+    params, start = begin(), _documents(pa.array([r["text"] for r in first], pa.string()))
+    descend(params, start, np.array([r["toxic"] for r in first]), max(EPOCHS, -(-LEAST_STEPS // max(1, len(start) // BATCH))))
+    for step in range(PASSES):
+        found = _summed(rows.select("toxic", "lang", "text").mapInArrow(_learn(spark.sparkContext.broadcast(params), names, 1, RATE / (step + 1)), _PARTS))
+        params = {k: (found[k] / found["n"]).astype(np.float32).reshape(v.shape) for k, v in params.items()}
+    counts = found["words"].reshape(-1, len(names)) + 0.1
+    model = Classifier((params["v"] @ params["w"]).astype(np.float32), params["b"], params["o"], float(params["ob"][0]), np.log(counts / counts.sum(axis=0)), np.log(found["texts"] / found["texts"].sum()), np.zeros(len(names)))
+    bins = kept.select("toxic", "text").mapInArrow(_cuts(spark.sparkContext.broadcast(model)), "guess int, bin int, toxic int").groupBy("guess", "bin", "toxic").count().collect()
+    guess, at, toxic, n = (np.array([r[i] for r in bins]) for i in range(4)) if bins else (np.zeros(0),) * 4
+    values = (at + 0.5) / BINS
+    overall = _threshold(values, toxic == 1, n) if bins else 0.0
+    for i in range(len(names)):
+        some = guess == i
+        enough = min(n[some & (toxic == 1)].sum(), n[some & (toxic == 0)].sum()) >= 20
+        model.thresholds[i] = _threshold(values[some], toxic[some] == 1, n[some]) if enough else overall
+    return model
 
 
 def _score(shared):
@@ -247,8 +322,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Classifier | None
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); lang is read only to learn how to guess it."""
     small_batches(docs.sparkSession)
     if model is None:
-        texts, toxic, languages, weights = training_rows(docs, labels)
-        model = train(texts, toxic, languages, weights) if len(set(toxic.tolist())) == 2 else None
+        model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
