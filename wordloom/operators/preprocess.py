@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordloom.functions import counting
 from wordloom.functions import text as T
 from wordloom.operators.markdown import blank_markdown
 
@@ -66,10 +67,15 @@ def tokens(docs: DataFrame, markdown: bool = False, keep: tuple[str, ...] = ())
     return token_lines(docs, markdown, keep).select("doc_id", *keep, "line", F.posexplode_outer("found").alias("pos", "token")).where(F.col("token").isNotNull())
 
 
-def document_tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): the tokens of each row of docs(doc_id, text), those of `tokens`. No noise or token reaches over a line's end, so texts without a directive are not cut into lines."""
+def document_texts(docs: DataFrame, markdown: bool = False) -> DataFrame:
+    """(doc_id, text): each row's text of docs(doc_id, text) without the lines that are turned off. No noise or token reaches over a line's end, so texts without a directive are not cut into lines."""
     own = dealt(docs.select("doc_id", "text"))
+    own = blank_markdown(own) if markdown else own
     has = _has_directive()
     kept = active_lines(lines(own.where(has))).groupBy("doc_id").agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
-    texts = own.where(~has).unionByName(kept).withColumn("text", T.strip_noise(F.col("text")))
-    return texts.select("doc_id", T.tokens(F.col("text")).alias("found"))
+    return own.where(~has).select("doc_id", "text").unionByName(kept)
+
+
+def distinct_tokens(docs: DataFrame, markdown: bool = False) -> DataFrame:
+    """(token, n): the tokens of docs(doc_id, text), those of `tokens`, once each, and in how many texts they are. They are made distinct where the texts are read."""
+    return counting.counted(document_texts(docs, markdown), counting.tokens).withColumnRenamed("word", "token")
