@@ -54,3 +54,24 @@ def test_lexicon_cuts_no_token(spark):
     assert "MapInArrow" in plan and "array_distinct" not in plan
     got = {r["word"] for r in made.collect()}
     assert {"bar", "qux", "baz"} <= got and "foo" not in got
+
+
+def test_known_deletions(spark, monkeypatch):
+    """Deletions that an index has are those of the column expression; a large index is met in a join, with the same pairs."""
+    from wordloom.operators import heavy
+    from wordloom.operators import suggest as S
+
+    words = ["foo", "fooo", "barr", "b", "ab", "aabb", "\U0001f600ab", "it's", "banana"]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    known = frozenset(["", "foo", "fo", "oo", "br", "ab", "a", "aan", "anana", "banana", "its"])
+    for depth in (0, 1, 2):
+        for word, every in table.select("word", T.deletions(F.col("word"), depth)).collect():
+            assert sorted(S.known_deletions(word, depth, known)) == sorted(set(every) & known)
+    index = S.deletion_index(spark.createDataFrame([(w,) for w in ("foo", "bar", "bananas", "its")], "word string"))
+    few = S.candidates(table, index)
+    assert "ArrowEvalPython" in few._jdf.queryExecution().optimizedPlan().toString()
+    pairs = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(heavy, "SMALL", 1)
+    many = S.candidates(table, index)
+    assert "ArrowEvalPython" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs == sorted(map(tuple, many.collect())) and ("banana", "bananas") in pairs

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,15 +22,38 @@ def deletion_index(vocabulary: DataFrame, depth: int = INDEX_EDITS) -> DataFrame
     return words.select(F.explode(T.deletions(F.col("candidate"), depth)).alias("deletion"), "candidate")
 
 
+def known_deletions(word: str, depth: int, known: frozenset[str]) -> list[str]:
+    """Those of a word's deletions, as `text.deletions` has them, that are known."""
+    level, found = {word}, {word} & known
+    for left in range(depth - 1, -1, -1):
+        cut = (w[:i] + w[i + 1 :] for w in level for i in range(len(w)))
+        level = set(cut) if left else cut  # the last level is only looked up
+        found.update(level & known if left else known.intersection(level))
+    return list(found)
+
+
+def _known(word: Column, depth: int, deletions: list[str]) -> Column:
+    known = frozenset(deletions)
+
+    @F.pandas_udf("array<string>")
+    def of(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: known_deletions(w, depth, known))
+
+    return of(word)
+
+
 def candidates(queries: DataFrame, index: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     """(query, candidate): distinct pairs that share a deletion string.
 
     A small index is broadcast; then neither deletions nor pairs are shuffled, as they stay where their query is.
+    A query has some hundred deletions, of which an index has few: of a small one, each task holds the deletions, and only those are made rows.
     """
-    index = heavy.small(index)
+    held = [r[0] for r in index.select("deletion").limit(heavy.SMALL + 1).collect()]
+    index = F.broadcast(index) if len(held) <= heavy.SMALL else index
     longest = index.agg(F.max(F.length("candidate"))).first()[0] or 0
     words = queries.select(F.lower("word").alias("query")).where(F.length("query").between(2, longest + most)).distinct()
-    deleted = words.select("query", F.explode(T.deletions(F.col("query"), most)).alias("deletion"))
+    deletions = _known(F.col("query"), most, held) if len(held) <= heavy.SMALL else T.deletions(F.col("query"), most)
+    deleted = words.select("query", F.explode(deletions).alias("deletion"))
     pairs = deleted.join(index, "deletion").where((F.col("query") != F.col("candidate")) & (F.abs(F.length("query") - F.length("candidate")) <= most))
     return pairs.select("query", "candidate").distinct()
 
