@@ -75,3 +75,17 @@ def test_known_deletions(spark, monkeypatch):
     many = S.candidates(table, index)
     assert "ArrowEvalPython" not in many._jdf.queryExecution().optimizedPlan().toString()
     assert pairs == sorted(map(tuple, many.collect())) and ("banana", "bananas") in pairs
+
+
+def test_learned_fixes(spark):
+    """Pairs are those of the last occurrences, without asking for any; and occurrences are reduced before they are joined."""
+    from wordloom.operators import rewrite
+
+    found = spark.createDataFrame([(1, 1, 0, 0, "Teh"), (2, 1, 0, 0, "teh"), (1, 2, 3, 0, "wrod"), (1, 2, 4, 0, "zzz")], "doc_id long, line int, pos int, part_pos int, word string")
+    suggested = spark.createDataFrame([("Teh", ["the", "ten"]), ("teh", ["the", "ten"]), ("wrod", ["word"]), ("zzz", [])], "word string, suggestions array<string>")
+    expected = [("teh", "the"), ("wrod", "word")]
+    assert sorted(map(tuple, rewrite.learned_fixes(suggested).collect())) == expected
+    assert sorted(map(tuple, rewrite.learned_pairs(found, suggested).collect())) == expected
+    apart = suggested.withColumn("suggestions", F.when(F.col("word") == "Teh", F.array(F.lit("ten"))).otherwise(F.col("suggestions")))
+    assert sorted(map(tuple, rewrite.learned_pairs(found, apart).collect())) == expected  # the later one has the other suggestion
+    assert "Join" not in rewrite.learned_fixes(suggested)._jdf.queryExecution().optimizedPlan().toString()

@@ -77,9 +77,16 @@ def diff(fixed: DataFrame) -> DataFrame:
 
 
 def learned_pairs(found: DataFrame, suggested: DataFrame) -> DataFrame:
-    """(typo, fix): the top suggestion of each lower-cased fixable word, of its last occurrence."""
+    """(typo, fix): the top suggestion of each lower-cased fixable word, of its last occurrence. Occurrences are reduced to each word's last one before they meet the suggestions."""
     top = suggested.where(F.size("suggestions") > 0).select("word", F.element_at("suggestions", 1).alias("fix"))
-    return heavy.joined_by(found, top, "word").groupBy(F.lower("word").alias("typo")).agg(F.max_by("fix", F.struct("doc_id", "line", "pos", "part_pos")).alias("fix"))
+    last = found.groupBy("word").agg(F.max(F.struct("doc_id", "line", "pos", "part_pos")).alias("last"))
+    return last.join(top, "word").groupBy(F.lower("word").alias("typo")).agg(F.max_by("fix", "last").alias("fix"))
+
+
+def learned_fixes(suggested: DataFrame) -> DataFrame:
+    """(typo, fix): `learned_pairs` of (word, suggestions) that depend on the lower-cased word alone, as those of `suggest.with_learned` do: no occurrence is asked."""
+    top = suggested.where(F.size("suggestions") > 0).select(F.lower("word").alias("typo"), F.element_at("suggestions", 1).alias("fix"))
+    return top.groupBy("typo").agg(F.max("fix").alias("fix"))
 
 
 def unfixable(found: DataFrame, suggested: DataFrame) -> DataFrame:
