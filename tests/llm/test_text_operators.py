@@ -374,6 +374,26 @@ def test_components(spark):
     assert exchange.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("chunks", "tasks"), [(16, 16), (256, 64), (1024, 256)])
+def test_jaccard_tasks_grow_with_chunks(make, monkeypatch, chunks, tasks):
+    """Documents are dealt evenly and once, over tasks that grow with the chunks, whatever the number of shuffle partitions."""
+    from wordloom.llm import jaccard_join as J
+
+    class Seen(Exception):
+        pass
+
+    def first(df):
+        raise Seen(df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(J, "settle", first)
+    monkeypatch.setattr(J.X, "chunk_count", lambda size: chunks)
+    with pytest.raises(Seen) as seen:
+        jaccard_components(make([(i, f"w{i} a b c d e") for i in range(20)]))
+    found, plan = seen.value.args
+    assert found == tasks
+    assert not [x for x in plan.splitlines() if "hashpartitioning(chunk" in x or "hashpartitioning(id" in x]  # nothing is dealt again
+
+
 def test_one_outsider_of_a_long_list(make, monkeypatch, spark):
     """The rows of a list's units grow with its members and outsiders, not with their parts' product."""
     from wordloom.llm import jaccard_join as J

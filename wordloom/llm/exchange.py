@@ -28,6 +28,9 @@ from wordloom.storage import settle
 BATCH_ROWS = 1000
 #: Bytes of text in a chunk, on average; a chunk is one group of a grouped map.
 CHUNK_BYTES = 4 << 20
+#: Chunks that a task takes, and tasks that so few chunks are dealt over before any takes several.
+TASK_CHUNKS = 4
+LEAST_TASKS = 64
 #: Binary logarithm of the most messages that a chunk sends.
 FAN_BITS = 9
 
@@ -162,6 +165,11 @@ def chunk_count(size: int) -> int:
     return 1 << max(3, (size // CHUNK_BYTES).bit_length())
 
 
+def dealt(rows: DataFrame, chunks: int, key: str) -> DataFrame:
+    """The rows dealt over tasks by an int chunk id: all tasks get equally many chunks, at most TASK_CHUNKS if there are many, at any input size."""
+    return rows.repartitionById(max(min(chunks, LEAST_TASKS), chunks // TASK_CHUNKS), key)
+
+
 def loose(kind: S.DataType) -> S.DataType:
     """The type with nulls allowed everywhere, as Arrow functions return it."""
     if isinstance(kind, S.StructType):

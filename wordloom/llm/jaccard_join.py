@@ -274,8 +274,9 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, thre
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = X.text_bytes(docs)
     chunks, mask = X.chunk_count(size), _leading(size)
-    dealt = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    dealt = X.dealt(docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")), chunks, "chunk")
     replies = X.reduce_over_chunks(dealt.groupBy("chunk").applyInArrow(_request(chunks, k, mask, secret), X.MESSAGE), chunks, "sum")
+    replies = X.dealt(replies.withColumn("id", F.col("id").cast("int")), chunks, "id")
     rows = settle(dealt.groupBy("chunk").cogroup(replies.groupBy("id")).applyInArrow(_indexed(k, t, mask, secret), _CHUNK_SCHEMA))
 
     # One set for each fingerprint over all chunks: at most one row a chunk has the same one.
