@@ -1,13 +1,18 @@
 """What is decided on texts' bytes, against joins, folds and plain definitions."""
 
 import itertools
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tests.plain import rewritten
 from tests.test_in_place import ODD, VALID
 from wordloom import catalogue
-from wordloom.functions import judging
+from wordloom.functions import judging, rewriting
 from wordloom.operators import check as C
+from wordloom.operators import lint, preprocess
+from wordloom.plans.check import Options, check
 
 TEXTS = [(1, " ".join(ODD)), (2, "foo qux\nqux https://a.b/c deadbeef00 foo\tbaz bar\n\n qux"), (3, "spellcheck:off\nhid\nspellcheck:on\nseen qux foo\nqux seen"), (4, None), (5, ""), (6, "qux Qux\nFOO it's its its fooQux\nGithub github-x githubx")]
 
@@ -27,6 +32,15 @@ def test_quotes_after_a_separator_are_parts(spark, monkeypatch):
     assert got == [(1, 1, 0, 0, "qux"), (1, 1, 0, 1, "'"), (1, 1, 1, 0, "qux'")]
 
 
+@pytest.mark.parametrize("least", [1, 4])
+def test_occurrences_agree_with_joins(spark, monkeypatch, least):
+    valid = C.valid_words(_valid(spark))
+    got = sorted(map(tuple, judging.occurrences(preprocess.numbered_texts(_texts(spark)), C.listed(valid), least).collect()))
+    monkeypatch.setattr(C, "listed", lambda *_: None)
+    assert got == sorted(map(tuple, C.occurrences(preprocess.tokens(_texts(spark)), valid, least).collect()))
+    assert {r[0] for r in got} >= {1, 3, 6}
+
+
 def test_compounds_agree_with_tokens(spark):
     words = [w.encode() for w in ["foo", "Foo", "qux", "QUX", "it's", "a_b", "_x", "x_", "9q", "q9", "bar", "B", "b", "'", "k", "bA", "Bar", "foo9", "el", "vin", "ABc", "cD"]]
     for least in (1, 4):
@@ -43,3 +57,26 @@ def test_compounds_are_judged_as_pairs(spark, tmp_path):
     expected = C.invalid_parts(catalogue._compounds(spark, str(tmp_path)), C.valid_words(catalogue._lexicon(spark, str(tmp_path))))
     got = sorted(map(tuple, made.collect()))
     assert got == sorted(map(tuple, expected.collect())) and got
+
+
+def test_changed_lines():
+    chance = random.Random(7)
+    pieces = ["teh", "Teh", "TEH", "it's", "its", "é", "_", "-", " ", " ", "x", "'", ".", "cta", "the"]
+    for _ in range(3000):
+        line = "".join(chance.choices(pieces, k=chance.randrange(1, 12)))
+        fixes = [(w, chance.choice(["the", "cat", "it's", "teh"])) for w in chance.sample(["teh", "it's", "cta", "its", "x"], k=chance.randrange(1, 5))]
+        expected = rewritten(line, fixes)
+        rows = [(2, i, 0, w.encode(), r) for i, (w, r) in enumerate(fixes)]
+        chance.shuffle(rows)
+        got = list(rewriting.changed(f"a\n{line}\n".encode(), [*rows, (9, 0, 0, b"a", "b")]))
+        assert got == ([(2, line.encode(), expected.encode())] if expected != line else [])
+
+
+def test_fixes_ask_no_terminology(spark, monkeypatch):
+    def fail(*_, **__):
+        raise AssertionError("terminology was asked")
+
+    monkeypatch.setattr(lint, "findings", fail)
+    monkeypatch.setattr(lint, "forms", fail)
+    found = check(_texts(spark), Options(_valid(spark)))
+    assert found.occurrences.count() > 10

@@ -76,6 +76,20 @@ def document_texts(docs: DataFrame, markdown: bool = False) -> DataFrame:
     return own.where(~has).select("doc_id", "text").unionByName(kept)
 
 
+def whole_and_cut(docs: DataFrame, markdown: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two tables (doc_id, line, text) of docs(doc_id, text): whole texts, whose first line is 1, and, of texts with a directive, the lines that are not turned off."""
+    own = dealt(docs.select("doc_id", "text"))
+    own = blank_markdown(own) if markdown else own
+    has = _has_directive()
+    return own.where(~has).select("doc_id", F.lit(1).alias("line"), "text"), active_lines(lines(own.where(has))).select("doc_id", "line", F.col("value").alias("text"))
+
+
+def numbered_texts(docs: DataFrame, markdown: bool = False) -> DataFrame:
+    """Both tables of `whole_and_cut` as one."""
+    whole, cut = whole_and_cut(docs, markdown)
+    return whole.unionByName(cut)
+
+
 def distinct_tokens(docs: DataFrame, markdown: bool = False) -> DataFrame:
     """(token, n): the tokens of docs(doc_id, text), those of `tokens`, once each, and in how many texts they are. They are made distinct where the texts are read."""
     return counting.counted(document_texts(docs, markdown), counting.tokens).withColumnRenamed("word", "token")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions import rewriting
 from wordloom.functions import text as T
 from wordloom.operators import heavy
-from wordloom.operators.preprocess import lines
 
 _INK, _BEFORE = "[A-Za-z0-9_]", "(?<=[A-Za-z0-9_])"
 #: Where a word character of ASCII meets another character, or the line's end.
@@ -46,17 +46,15 @@ def rewritten_once(line: Column, words: Column, replacements: Column) -> Column:
 
 
 def fixes(docs: DataFrame, found: DataFrame, suggested: DataFrame) -> DataFrame:
-    """(doc_id, line, old_line, new_line): changed lines of docs, by occurrences and (word, suggestions)."""
+    """(doc_id, line, old_line, new_line): changed lines of docs, by occurrences and (word, suggestions).
+
+    A document meets all its fixes at once, and its lines are rewritten where its text is.
+    """
     top = suggested.where(F.size("suggestions") > 0).select("word", F.element_at("suggestions", 1).alias("replacement"))
-    each = heavy.joined_by(found, top, "word").groupBy("doc_id", "line", F.lower("word").alias("word")).agg(F.min(F.struct("pos", "part_pos", "replacement")).alias("first"))
-    per_line = each.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("f"))
-    words, replacements = F.transform("f", lambda x: x["word"]), F.transform("f", lambda x: x["first"]["replacement"])
-    per_line = per_line.select("doc_id", "line", words.alias("words"), replacements.alias("replacements")).withColumn("independent", independent(F.col("words"), F.col("replacements")))
-    changed = lines(docs).join(per_line, ["doc_id", "line"])
-    each_fix = F.arrays_zip(F.col("words").alias("word"), F.col("replacements").alias("replacement"))
-    new = F.when(F.col("independent"), rewritten_once(F.col("value"), F.col("words"), F.col("replacements"))).otherwise(rewritten(F.col("value"), each_fix))
-    changed = changed.withColumn("new_line", new)
-    return changed.where(F.col("new_line") != F.col("value")).select("doc_id", "line", F.col("value").alias("old_line"), "new_line")
+    each = heavy.met(found.select("doc_id", "line", "pos", "part_pos", "word"), top, "word")
+    fix = F.struct("line", "pos", "part_pos", F.lower("word").cast("binary").alias("word"), "replacement")
+    own = each.groupBy("doc_id").agg(F.collect_list(fix).alias("fixes"))
+    return rewriting.rewritten(docs.select("doc_id", "text").join(own, "doc_id"))
 
 
 def fixed_documents(docs: DataFrame, fixed: DataFrame) -> DataFrame:
